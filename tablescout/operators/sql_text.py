@@ -197,7 +197,10 @@ def sql_lint(queries: DataFrame, columns: DataFrame) -> DataFrame:
         F.transform(F.filter("dotted", bad_dotted), lambda d: d["r"]),
         F.filter("bare", bad_bare),
     )
-    return q.select("db_name", "query_id", F.array_sort(found).alias("unknown_names"))
+    # A tenant without any table has nothing to check against.
+    tenants = columns.select("db_name").distinct().withColumn("_known", F.lit(True))
+    checked = F.when(F.col("_known"), F.array_sort(found)).otherwise(F.array().cast("array<string>"))
+    return q.join(tenants, "db_name", "left").select("db_name", "query_id", checked.alias("unknown_names"))
 
 
 def relevant_blocks(queries: DataFrame, tables: DataFrame) -> DataFrame:
@@ -219,16 +222,21 @@ def relevant_blocks(queries: DataFrame, tables: DataFrame) -> DataFrame:
     refs = F.col("_refs")
     both = F.array_distinct(F.concat(refs, F.transform(refs, lambda r: F.substring_index(r, ".", -1))))
     asked = queries.select("db_name", "query_id", table_refs(F.col("sql")).alias("_refs")).select(
-        "db_name", "query_id", F.explode_outer(both).alias("name")
+        "db_name", "query_id", F.explode(both).alias("name")
+    )
+    hits = (
+        asked.join(keys, ["db_name", "name"])
+        .select("db_name", "query_id", F.lit("referenced").alias("scope"), "schema_name", "table_name")
+        .distinct()
+    )
+    none = F.lit(None).cast("string")
+    rest = queries.select("db_name", "query_id").join(hits, ["db_name", "query_id"], "left_anti")
+    return hits.unionByName(
+        rest.select(
+            "db_name", "query_id", F.lit("all").alias("scope"),
+            none.alias("schema_name"), none.alias("table_name"),
+        )
     )
-    joined = asked.join(keys, ["db_name", "name"], "left")
-    hit = F.when(F.col("table_name").isNotNull(), F.struct("schema_name", "table_name"))
-    per_query = joined.groupBy("db_name", "query_id").agg(F.collect_set(hit).alias("_hits"))
-    return per_query.select(
-        "db_name", "query_id",
-        F.when(F.size("_hits") > 0, "referenced").otherwise("all").alias("scope"),
-        F.explode_outer("_hits").alias("_t"),
-    ).select("db_name", "query_id", "scope", "_t.schema_name", "_t.table_name")
 
 
 def field_hint(queries: DataFrame, columns: DataFrame) -> DataFrame:
