@@ -42,7 +42,7 @@ def spark_names(sql: str) -> str:
     sql = re.sub(rf"(::\s*)({types})\b(?!\s*\()", named, sql, flags=re.I)
     sql = re.sub(rf"(\bas\s+)({types})\b(?=\s*\))", named, sql, flags=re.I)
     sql = re.sub(
-        r"(\bto_(?:char|date|timestamp)\s*\((?:[^()']|\([^()]*\))*,\s*')([^']*)(')",
+        r"(\bto_(?:char|date|timestamp)\s*\((?:[^()']|'[^']*'|\([^()]*\))*,\s*')([^']*)('\s*\))",
         lambda m: m.group(1) + date_pattern(m.group(2)) + m.group(3), sql, flags=re.I,
     )
     sql = re.sub(r"\bunnest\s*\(", "explode(", sql, flags=re.I)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def register_views(spark: SparkSession, folder: str) -> None:
-    """Register every table of the folder as a temporary view for guarded SQL."""
+def register_views(spark: SparkSession, folder: str, sql: str | None = None) -> None:
+    """Register the tables of the folder as temporary views, or only those a text names."""
+    words = set(re.findall(r"\w+", sql.lower())) if sql is not None else set(TABLES)
     for name in TABLES:
-        read_table(spark, folder, name).createOrReplaceTempView(name)
+        if name in words:
+            read_table(spark, folder, name).createOrReplaceTempView(name)
 
 
 def tenant_scan(df: DataFrame, tenant: str, columns: list[str], order: str = "id") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Polling for changed catalogs as a file stream of snapshots."""
+"""Polling for changed catalogs as a stream of announced snapshots."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from tablescout.operators import diff
 from tablescout.plans import sync
 from tablescout.sources import snapshots
 
-ITEMS = "snapshot_at timestamp_ntz, db_name string, schema_name string, table_name string, vector_text string"
+MARKERS = "snapshot_at timestamp_ntz, path string"
 
 
 def apply_snapshot(items: DataFrame, root: str, encoders: dict[str, Callable] | None = None) -> dict:
@@ -42,23 +42,24 @@ def apply_snapshot(items: DataFrame, root: str, encoders: dict[str, Callable] |
 
 def watch(
     spark: SparkSession,
-    source: str,
+    markers: str,
     root: str,
     checkpoint: str,
     seconds: int = 60,
     once: bool = False,
     encoders: dict[str, Callable] | None = None,
 ) -> StreamingQuery:
-    """Apply every new snapshot file. ``once`` handles what is there and stops (daily pass).
+    """Apply every newly announced snapshot. ``once`` handles what is there and stops (daily pass).
 
-    One file is one snapshot of its tenants, taken one per micro-batch, so a later snapshot
-    always follows the earlier one.
+    The stream reads marker rows (``snapshot_at``, ``path``), one small JSON file per finished
+    snapshot; the snapshot itself may have any number of files and is read as a table. It
+    holds all items of its tenants.
     """
-    rows = spark.readStream.schema(ITEMS).option("maxFilesPerTrigger", 1).parquet(source)
+    rows = spark.readStream.schema(MARKERS).option("maxFilesPerTrigger", 16).json(markers)
 
     def each(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            apply_snapshot(batch.drop("snapshot_at"), root, encoders)
+        for marker in batch.orderBy("snapshot_at").collect():
+            apply_snapshot(spark.read.parquet(marker["path"]), root, encoders)
 
     writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
