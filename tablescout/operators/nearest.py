@@ -292,15 +292,17 @@ def rank_explain(
         out = counted if out is None else out.unionByName(counted)
     if out is None:
         out = spark.createDataFrame([], schema)
+    # A target that is not in the corpus has no distance.
+    there = F.col("target_score").isNotNull() & ~F.isnan("target_score")
     return (
         out.groupBy("query_id", "target_id", "target_score")
         .agg(F.sum("ahead").alias("_a"), F.sum("seen").alias("population"), F.min("nearest").alias("_m"))
         .select(
             "query_id",
             "target_id",
-            F.when(~F.isnan("target_score"), F.col("target_score")).alias("target_score"),
-            F.when(~F.isnan("target_score"), F.col("_a") + 1).alias("target_rank"),
-            F.when(~F.isnan("target_score"), F.round(F.col("target_score") - F.col("_m"), V.DISTANCE_DECIMALS)).alias("gap"),
+            F.when(there, F.col("target_score")).alias("target_score"),
+            F.when(there, F.col("_a") + 1).alias("target_rank"),
+            F.when(there, F.round(F.col("target_score") - F.col("_m"), V.DISTANCE_DECIMALS)).alias("gap"),
             "population",
         )
     )

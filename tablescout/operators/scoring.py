@@ -49,7 +49,7 @@ def hit_weights(hits: DataFrame) -> DataFrame:
 
 
 def _keys(weighted: Column) -> Column:
-    """``schema.table`` and ``table`` with the weight; the last entry of a key wins."""
+    """(``schema.table`` or ``table``, weight) per hit; the last entry of a key wins."""
     entries = F.flatten(
         F.transform(
             weighted,
@@ -59,31 +59,30 @@ def _keys(weighted: Column) -> Column:
             ),
         )
     )
-    return F.map_from_entries(
-        F.transform(
-            F.array_distinct(F.transform(entries, lambda e: e["key"])),
-            lambda k: F.struct(
-                k.alias("key"),
-                F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["w"].alias("w"),
-            ),
-        )
+    keys = F.transform(entries, lambda e: e["key"])
+    last = F.transform(
+        F.array_distinct(keys), lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)
     )
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(last)
 
 
 def candidate_scores(candidates: DataFrame, requests: DataFrame, hits: DataFrame) -> DataFrame:
     """Score parts of every candidate; ``requests`` has ``request_id, question``."""
     per_request = requests.select("request_id", text.keywords(F.col("question")).alias("_words")).join(
-        _hit_lists(hits).select("request_id", _keys(_weighted(F.col("_hits"))).alias("_map")), "request_id", "left"
+        _hit_lists(hits).select("request_id", _keys(_weighted(F.col("_hits"))).alias("_keys")), "request_id", "left"
+    )
+    low = candidates.withColumn("_low", F.lower("sql")).join(per_request, "request_id", "left")
+    found = low.select(
+        "request_id", "batch", "sql",
+        F.filter("_keys", lambda e: F.contains(F.col("_low"), e["key"])).alias("_used"),
+        F.size(F.filter("_words", lambda w: F.contains(F.col("_low"), w))).alias("_n"),
     )
-    sql = F.lower("sql")
-    used = F.filter(F.map_entries("_map"), lambda e: F.contains(sql, e["key"]))
-    tables = F.coalesce(F.aggregate(used, F.lit(0.0), lambda a, e: a + e["value"]), F.lit(0.0))
-    words = F.coalesce(F.size(F.filter("_words", lambda w: F.contains(sql, w))), F.lit(0))
-    joined = candidates.join(per_request, "request_id", "left").select(
+    tables = F.aggregate("_used", F.lit(0.0), lambda a, e: a + e["w"])
+    joined = found.select(
         "request_id", "batch", "sql",
-        F.round(tables, 6).alias("table_score"),
-        F.when(F.col("_words").isNull(), 0).otherwise(words).alias("keyword_hits"),
-        F.coalesce(F.size(used), F.lit(0)).alias("tables_used"),
+        F.round(F.coalesce(tables, F.lit(0.0)), 6).alias("table_score"),
+        F.greatest(F.coalesce("_n", F.lit(0)), F.lit(0)).alias("keyword_hits"),
+        F.greatest(F.coalesce(F.size("_used"), F.lit(0)), F.lit(0)).alias("tables_used"),
     )
     total = K.TABLE_WEIGHT * F.col("table_score") + F.col("keyword_hits") + (10 - F.col("batch")) * K.BATCH_STEP
     return joined.withColumn("score", F.round(total, 4))

@@ -31,34 +31,44 @@ def _lower_all(c: Column, pattern: str, group: int = 1) -> Column:
     return F.transform(_all(c, pattern, group), F.lower)
 
 
+# Marker names "#0".."#n": every tenant with a catalog has them, so a text finds out with the
+# same join whether its tenant has any table. Many markers keep a large tenant spread out.
+_MARKERS = 256
+
+
 def name_facts(columns: DataFrame) -> DataFrame:
-    """One row per (tenant, name): is it a schema, a table, a field, and a table's fields.
+    """Rows (tenant, name, role, fields): schemas, tables with their fields, fields, markers.
 
-    Aggregates combine before the shuffle; the field list of a table is bounded by the 1,600
-    columns a table can have (tables of one short name share it, as lint needs).
+    A name may have several roles. Each part is an aggregate that combines before the shuffle;
+    the field list of a table is bounded by the 1,600 columns a table can have (tables of one
+    short name share it, as lint needs).
     """
     low = columns.select(
         "db_name",
         F.lower("schema_name").alias("s"),
         F.lower("table_name").alias("t"),
         F.lower("column_name").alias("c"),
-    ).distinct()
-    roles = F.array(
-        F.struct(F.col("s").alias("name"), F.lit("schema").alias("role"), F.lit(None).cast("string").alias("field")),
-        F.struct(F.col("t").alias("name"), F.lit("table").alias("role"), F.col("c").alias("field")),
-        F.struct(F.col("c").alias("name"), F.lit("field").alias("role"), F.lit(None).cast("string").alias("field")),
     )
-    return (
-        low.select("db_name", F.inline(roles))
-        .where(F.coalesce("name", F.lit("")) != "")
-        .groupBy("db_name", "name")
-        .agg(
-            F.bool_or(F.col("role") == "schema").alias("is_schema"),
-            F.bool_or(F.col("role") == "table").alias("is_table"),
-            F.bool_or(F.col("role") == "field").alias("is_field"),
-            F.array_sort(F.collect_set("field")).alias("fields"),
-        )
+    no_fields = F.array().cast("array<string>").alias("fields")
+
+    def part(name: str, role: str) -> DataFrame:
+        names = low.select("db_name", F.col(name).alias("name")).where("name <> ''").distinct()
+        return names.select("db_name", "name", F.lit(role).alias("role"), no_fields)
+
+    tables = low.groupBy("db_name", F.col("t").alias("name")).agg(
+        F.lit("t").alias("role"), F.collect_set("c").alias("fields")
     )
+    markers = low.select("db_name").distinct().select(
+        "db_name",
+        F.explode(F.array(*[F.lit(f"#{i}") for i in range(_MARKERS)])).alias("name"),
+        F.lit("m").alias("role"),
+        no_fields,
+    )
+    return part("s", "s").unionByName(tables).unionByName(part("c", "f")).unionByName(markers)
+
+
+def _marker(query_id: Column) -> Column:
+    return F.concat(F.lit("#"), F.pmod(F.hash(query_id), F.lit(_MARKERS)).cast("string"))
 
 
 def table_refs(sql: Column) -> Column:
@@ -105,18 +115,39 @@ def sql_aliases(queries: DataFrame, columns: DataFrame, keep: list[str]) -> Data
     )
 
 
-def _with_facts(queries: DataFrame, columns: DataFrame, names: Column, keep: list[str]) -> DataFrame:
-    """Queries with ``facts``: a map of their own names to catalog facts."""
-    facts = name_facts(columns)
-    rows = queries.select("db_name", *keep, F.explode_outer(names).alias("name"))
-    found = rows.join(facts, ["db_name", "name"], "left")
-    entry = F.when(
-        F.col("is_schema").isNotNull(),
-        F.struct("name", F.struct("is_schema", "is_table", "is_field", "fields").alias("f")),
+def _known(role: str) -> Column:
+    """The text's own names that the catalog has in this role."""
+    return F.transform(F.filter("facts", lambda f: f["role"] == role), lambda f: f["name"])
+
+
+def _with_facts(queries: DataFrame, columns: DataFrame, names: Column, carried: list[str]) -> DataFrame:
+    """Queries with ``facts``, a list (role, name, fields) of their own names, and ``known``.
+
+    A text becomes one small row per name; its carried lists ride on just one of these rows,
+    chosen by hash, so they are shuffled once and not once per name.
+    """
+    listed = queries.select(
+        "db_name",
+        "query_id",
+        F.struct(*carried).alias("_lists"),
+        F.concat(F.array(_marker(F.col("query_id"))), names).alias("_names"),
     )
-    carried = [F.first(c).alias(c) for c in keep if c != "query_id"]
-    return found.groupBy("db_name", "query_id").agg(
-        *carried, F.map_from_entries(F.collect_list(entry)).alias("facts")
+    carrier = F.pmod(F.hash("query_id"), F.size("_names"))
+    one_each = F.transform(
+        "_names",
+        lambda n, i: F.struct(n.alias("name"), F.when(i == carrier, F.col("_lists")).alias("_carried")),
+    )
+    rows = listed.select("db_name", "query_id", F.inline(one_each))
+    # The name comes first: it tells keys apart, a tenant has very many of them.
+    found = rows.join(name_facts(columns), ["name", "db_name"], "left")
+    entry = F.when(F.col("role").isNotNull(), F.struct("role", "name", "fields"))
+    grouped = found.groupBy("db_name", "query_id").agg(
+        F.first("_carried", ignorenulls=True).alias("_carried"),
+        F.collect_list(entry).alias("facts"),
+    )
+    return grouped.select(
+        "db_name", "query_id", "_carried.*", "facts",
+        F.exists("facts", lambda f: f["role"] == "m").alias("known"),
     )
 
 
@@ -129,78 +160,61 @@ def sql_lint(queries: DataFrame, columns: DataFrame) -> DataFrame:
     real errors, and double-quoted names are not checked.
     """
     cleaned = queries.select("db_name", "query_id", text.without_literals(F.col("sql")).alias("_c"))
+    dotted = F.zip_with(
+        _all(F.col("_c"), _DOTTED, 1),
+        _all(F.col("_c"), _DOTTED, 2),
+        lambda a, b: F.struct(F.lower(a).alias("left"), F.lower(b).alias("right"), b.alias("written")),
+    )
+    bare = F.filter(
+        F.array_distinct(_all(F.col("_c"), _BARE)), lambda w: ~F.lower(w).isin(K.RESERVED_WORDS)
+    )
     parts = cleaned.select(
         "db_name",
         "query_id",
         _lower_all(F.col("_c"), _CTE).alias("ctes"),
         _lower_all(F.col("_c"), _AS).alias("as_names"),
-        F.arrays_zip(
-            _all(F.col("_c"), _DOTTED, 1).alias("l"), _all(F.col("_c"), _DOTTED, 2).alias("r")
-        ).alias("dotted"),
-        F.array_distinct(_all(F.col("_c"), _BARE)).alias("bare"),
+        dotted.alias("dotted"),
+        F.transform(bare, lambda w: F.struct(w.alias("written"), F.lower(w).alias("name"))).alias("bare"),
         alias_pairs(F.col("_c")).alias("aliases"),
     )
-    lefts = F.transform("dotted", lambda d: F.lower(d["l"]))
     names = F.array_distinct(
         F.concat(
-            F.transform("bare", F.lower),
-            lefts,
-            F.transform("dotted", lambda d: F.lower(d["r"])),
-            F.transform("aliases", lambda a: a["target"]),
+            F.col("bare.name"), F.col("dotted.left"), F.col("dotted.right"), F.col("aliases.target")
         )
     )
-    reserved = F.array(*[F.lit(w) for w in K.RESERVED_WORDS])
-    wanted = F.array_except(names, reserved)
-    keep = ["query_id", "ctes", "as_names", "dotted", "bare", "aliases"]
-    q = _with_facts(parts, columns, wanted, keep)
-    # Lists are empty, not null, so the tests below have no unknown outcome.
-    lists = ("ctes", "as_names", "bare", "dotted", "aliases")
-    q = q.withColumns({c: F.coalesce(F.col(c), F.array()) for c in lists if c not in ("dotted", "aliases")})
-
-    facts = F.col("facts")
-
-    def is_role(name: Column, role: str) -> Column:
-        return F.coalesce(facts[name][role], F.lit(False))
-
-    known_aliases = F.filter(
-        F.col("aliases"), lambda a: ~a["own"] | F.coalesce(facts[a["target"]]["is_table"], F.lit(False))
+    q = _with_facts(parts, columns, names, ["ctes", "as_names", "dotted", "bare", "aliases"])
+    q = q.withColumns({"_schemas": _known("s"), "_tables": _known("t"), "_fields": _known("f")})
+    q = q.withColumn(
+        "_aliases",
+        F.filter("aliases", lambda a: ~a["own"] | F.array_contains("_tables", a["target"])),
     )
-    q = q.withColumn("known_aliases", known_aliases)
 
     def bad_dotted(d: Column) -> Column:
-        left, right = F.lower(d["l"]), F.lower(d["r"])
-        mine = F.filter(F.col("known_aliases"), lambda a: a["prefix"] == left)
+        mine = F.filter("_aliases", lambda a: a["prefix"] == d["left"])
         target = F.try_element_at(mine, F.lit(-1))["target"]
-        has_target = F.coalesce(facts[target]["is_table"], F.lit(False))
         skip = (
-            (is_role(left, "is_schema") & is_role(right, "is_table"))
-            | F.array_contains("as_names", right)
-            | F.array_contains("ctes", right)
-        )
-        by_table = ~F.coalesce(F.array_contains(facts[target]["fields"], right), F.lit(False))
-        by_any = ~F.array_contains("ctes", left) & ~is_role(right, "is_field")
-        return ~skip & F.when(has_target, by_table).otherwise(by_any)
-
-    def bad_bare(b: Column) -> Column:
-        low = F.lower(b)
-        return ~(
-            F.array_contains(reserved, low)
-            | is_role(low, "is_field")
-            | is_role(low, "is_table")
-            | is_role(low, "is_schema")
-            | F.array_contains("ctes", low)
-            | F.array_contains("as_names", low)
-            | F.array_contains(F.transform("dotted", lambda d: F.lower(d["l"])), low)
+            (F.array_contains("_schemas", d["left"]) & F.array_contains("_tables", d["right"]))
+            | F.array_contains("as_names", d["right"])
+            | F.array_contains("ctes", d["right"])
         )
-
+        of_table = F.try_element_at(
+            F.filter("facts", lambda f: (f["role"] == "t") & (f["name"] == target)), F.lit(1)
+        )["fields"]
+        by_table = ~F.array_contains(of_table, d["right"])
+        by_any = ~F.array_contains("ctes", d["left"]) & ~F.array_contains("_fields", d["right"])
+        return ~skip & F.coalesce(by_table, by_any)
+
+    exempt = F.concat("ctes", "as_names", F.col("dotted.left"), "_fields", "_tables", "_schemas")
+    unknown = F.array_except(F.col("bare.name"), exempt)
     found = F.array_union(
-        F.transform(F.filter("dotted", bad_dotted), lambda d: d["r"]),
-        F.filter("bare", bad_bare),
+        F.filter("dotted", bad_dotted)["written"],
+        F.when(F.size(unknown) == 0, F.array().cast("array<string>")).otherwise(
+            F.filter("bare", lambda w: F.array_contains(unknown, w["name"]))["written"]
+        ),
     )
     # A tenant without any table has nothing to check against.
-    tenants = columns.select("db_name").distinct().withColumn("_known", F.lit(True))
-    checked = F.when(F.col("_known"), F.array_sort(found)).otherwise(F.array().cast("array<string>"))
-    return q.join(tenants, "db_name", "left").select("db_name", "query_id", checked.alias("unknown_names"))
+    checked = F.when(F.col("known"), F.array_sort(found)).otherwise(F.array().cast("array<string>"))
+    return q.select("db_name", "query_id", checked.alias("unknown_names"))
 
 
 def relevant_blocks(queries: DataFrame, tables: DataFrame) -> DataFrame:
@@ -244,18 +258,18 @@ def field_hint(queries: DataFrame, columns: DataFrame) -> DataFrame:
     refs = table_refs(F.col("sql"))
     parts = queries.select("db_name", "query_id", refs.alias("refs"))
     names = F.array_distinct(F.transform("refs", lambda r: F.substring_index(r, ".", -1)))
-    q = _with_facts(parts, columns, names, ["query_id", "refs"])
-    facts = F.col("facts")
+    q = _with_facts(parts, columns, names, ["refs"])
     shorts = F.transform("refs", lambda r: F.substring_index(r, ".", -1))
     # A later reference to a table that was already used adds nothing.
+    tables = F.filter("facts", lambda f: f["role"] == "t")
     first_use = F.filter(
-        F.zip_with("refs", F.transform(shorts, lambda s: F.array_position(shorts, s)), lambda r, at: F.struct(r.alias("r"), at.alias("at"))),
-        lambda p, i: (p["at"] == i + 1)
-        & F.coalesce(facts[F.substring_index(p["r"], ".", -1)]["is_table"], F.lit(False)),
+        F.zip_with("refs", shorts, lambda r, t: F.struct(r.alias("r"), t.alias("t"))),
+        lambda p, i: (F.array_position(shorts, p["t"]) == i + 1)
+        & F.exists(tables, lambda f: f["name"] == p["t"]),
     )
 
     def line(p: Column) -> Column:
-        fields = facts[F.substring_index(p["r"], ".", -1)]["fields"]
+        fields = F.array_sort(F.element_at(F.filter(tables, lambda f: f["name"] == p["t"]), 1)["fields"])
         return F.when(
             F.size(fields) > 0,
             F.concat(F.lit("- "), p["r"], F.lit(K.FIELD_HINT), F.array_join(fields, ", ")),

@@ -71,7 +71,7 @@ count(*) AS n, min(o_orderdate + INTERVAL 3 DAY) AS due FROM orders WHERE o_orde
 add("sql_dates_compat", """SELECT event_id, to_char(ts, 'YYYY-MM-DD HH24:MI:SS') AS day, to_date('2024/01/05', 'YYYY/MM/DD') AS d, extract(epoch FROM ts) AS sec,
 extract(day FROM age(ts, to_timestamp('2024-01-01 00:00', 'YYYY-MM-DD HH24:MI'))) AS days FROM events""",
     """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS day, DATE '2024-01-05' AS d, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
-CAST((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) // 86400 AS INTEGER) AS days FROM events""", compat=True)
+CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 86400) AS INTEGER) AS days FROM events""", compat=True)
 add("sql_casts", """SELECT o_orderkey::text AS k, o_totalprice::bigint AS p, cast(o_custkey AS int4) AS c, o_orderdate::date AS d, (o_totalprice::numeric(12, 2))::double precision AS n,
 cast(o_orderkey AS varchar(20)) AS v, '12'::int8 AS i, 'true'::bool AS b, cast('1.5' AS real) AS r FROM orders""",
     """SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(trunc(o_totalprice) AS BIGINT) AS p, CAST(o_custkey AS INTEGER) AS c, CAST(o_orderdate AS DATE) AS d,
