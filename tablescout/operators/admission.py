@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions import constants as K
+from tablescout.functions.times import epoch_micros, from_micros
 from tablescout.sources.lineage import cut_lineage
 
 _OUT = "k string, bucket long, kind string, us long, id long, admitted boolean, state array<long>"
@@ -99,7 +100,7 @@ def admit_events(
     span = window * windows_per_bucket
     base = events.select(
         F.col(key).cast("string").alias("k"),
-        F.unix_micros(F.col(time).cast("timestamp")).alias("us"),
+        epoch_micros(F.col(time), events.schema[time].dataType).alias("us"),
         F.col(tie).cast("long").alias("id"),
     )
     own = F.floor(F.col("us") / F.lit(span)).cast("long")
@@ -138,7 +139,7 @@ def admit_events(
     typ = events.schema[key].dataType
     return decided.select(
         F.col("k").cast(typ).alias(key),
-        F.timestamp_micros("us").cast(events.schema[time].dataType).alias(time),
+        from_micros(F.col("us"), events.schema[time].dataType).alias(time),
         F.col("id").alias(tie),
         "admitted",
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions import constants as K
 from tablescout.functions import text
+from tablescout.functions.times import epoch_micros
 
 STAGES = ("search_duration_ms", "llm_duration_ms", "sql_exec_duration_ms", "total_duration_ms")
 
@@ -65,6 +66,12 @@ def history(
     """Latest runs of one tenant, newest first; the limit is kept between 1 and 200."""
     n = max(1, min(int(limit), K.HISTORY_LIMIT_MAX))
     order = [F.col("created_at").desc()] + ([F.col(tie).desc()] if tie else [])
+    if "log_date" in log.columns:
+        # The partition column repeats the time bounds, so other days are not listed or read.
+        if start_time:
+            log = log.where(F.col("log_date") >= F.to_date(F.lit(start_time)))
+        if end_date:
+            log = log.where(F.col("log_date") <= F.to_date(F.lit(end_date)))
     return log.where(history_filter(db_name, start_time, end_date, search_mode)).orderBy(*order).limit(n)
 
 
@@ -136,7 +143,7 @@ def trailing_counts(
     """
     window = seconds * 1_000_000
     span = window * slots_per_bucket
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    micros = epoch_micros(F.col(time), events.schema[time].dataType)
     at = events.groupBy(key, time).agg(F.count(F.lit(1)).alias("n")).withColumn("_us", micros)
     own = F.floor(F.col("_us") / F.lit(span)).cast("long")
     last = F.floor((F.col("_us") + F.lit(window - 1)) / F.lit(span)).cast("long")

@@ -197,7 +197,9 @@ def merge_batches(batches: DataFrame, group: str, target: int = K.MAX_BATCHES) -
 
 def split_by_length(texts: DataFrame, keep: list[str], text: str, max_chars: int = K.MAX_BATCH_CHARS) -> DataFrame:
     """Consecutive parts of a text without card headers."""
-    return _windows(texts, keep, text, max_chars, max_chars, "batch_no", "part")
+    return texts.where(F.char_length(text) > 0).select(
+        *keep, F.posexplode(_pieces(F.col(text), max_chars)).alias("batch_no", "part")
+    )
 
 
 def chunk_text(
@@ -207,13 +209,22 @@ def chunk_text(
     size: int = K.CHUNK_CHARS,
     overlap: int = K.CHUNK_OVERLAP,
 ) -> DataFrame:
-    """Overlapping chunks of whole texts: ``keep, chunk_no, chunk``."""
-    return _windows(texts, keep, text, size, size - overlap, "chunk_no", "chunk")
-
+    """Overlapping chunks of whole texts: ``keep, chunk_no, chunk``.
 
-def _windows(df: DataFrame, keep: list[str], text: str, size: int, step: int, at: str, out: str) -> DataFrame:
-    starts = F.sequence(F.lit(0), F.char_length(text) - 1, F.lit(step))
-    rows = df.where(F.char_length(text) > 0).select(
-        *keep, F.col(text).alias("_t"), F.posexplode(starts).alias(at, "_from")
+    A chunk is one piece of ``size - overlap`` characters and the head of the next piece, so the
+    work grows with the length of the text.
+    """
+    step = size - overlap
+    if overlap > step:
+        raise ValueError("the overlap may be at most half of the chunk")
+    pieces = texts.where(F.char_length(text) > 0).select(*keep, _pieces(F.col(text), step).alias("_pieces"))
+    chunks = F.transform(
+        "_pieces",
+        lambda p, i: F.concat(p, F.coalesce(F.left(F.get("_pieces", i + 1), F.lit(overlap)), F.lit(""))),
     )
-    return rows.select(*keep, at, F.expr(f"substring(_t, _from + 1, {size})").alias(out))
+    return pieces.select(*keep, F.posexplode(chunks).alias("chunk_no", "chunk"))
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """Consecutive pieces of ``size`` characters, in one scan of the text."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))

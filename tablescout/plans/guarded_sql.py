@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.functions import text
+from tablescout.operators.filters import finite_or_null
+from tablescout.sources.lineage import cut_lineage
+from tablescout.sources.log_sink import append_runs
 
 _QUOTED = "spark.sql.ansi.doubleQuotedIdentifiers"
 
@@ -87,3 +91,39 @@ def run_sql(spark: SparkSession, raw: str, compat: bool = False) -> DataFrame:
         return spark.sql(sql)
     finally:
         spark.conf.set(_QUOTED, before)
+
+
+_RUN = (
+    "db_name string, nl_query string, schema_filter string, search_mode string, selected_table string, "
+    "use_vectors boolean, top_k int, matched_tables array<string>, generated_sql string, execute_status string, "
+    "error_message string, result_rows long, search_duration_ms double, llm_duration_ms double, "
+    "sql_exec_duration_ms double, total_duration_ms double, prompt_tokens long, completion_tokens long, "
+    "total_tokens long, llm_calls long"
+)
+
+
+def run_logged(spark: SparkSession, raw: str, db_name: str, log_path: str, compat: bool = False) -> DataFrame:
+    """Run one guarded query and append its log row, also when it fails.
+
+    The result is written once to the shared folder, so counting and reading it do not run the
+    query again; NaN and infinities become null and times become text.
+    """
+    start = time.perf_counter()
+
+    def log(status: str, rows: int, error: str | None) -> None:
+        ms = (time.perf_counter() - start) * 1000
+        run = (
+            db_name, raw, None, "manual_sql", None, False, None, None, raw, status, error, rows,
+            0.0, 0.0, ms, ms, 0, 0, 0, 0,
+        )
+        one = spark.createDataFrame([run], _RUN)
+        append_runs(one.withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")), log_path)
+
+    try:
+        result = cut_lineage(finite_or_null(run_sql(spark, raw, compat)))
+        rows = result.count()
+    except Exception as e:
+        log("failed", 0, str(e))
+        raise
+    log("success", rows, None)
+    return result

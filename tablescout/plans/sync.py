@@ -3,6 +3,9 @@
 ``items`` has ``db_name, schema_name, table_name, vector_text``; stored vectors have the key,
 ``provider, text_hash, embedding, updated_at``, one row per (item, provider). The hash is kept
 per provider, so one provider's update never hides another's.
+
+Only keys and hashes are joined to find what moved. When few items moved, their keys are
+broadcast and neither texts nor vectors are shuffled; otherwise they are joined by shuffling.
 """
 
 from __future__ import annotations
@@ -14,16 +17,32 @@ from pyspark.sql import functions as F
 
 from tablescout.functions import constants as K
 from tablescout.operators import diff, encode
+from tablescout.operators.catalog_text import glossary_vector_text, knowledge_vector_text
+from tablescout.operators.sized import broadcast_if_small
+from tablescout.sources.lineage import cut_lineage
 
 ITEM = [*diff.KEY, "provider"]
-STORED = "db_name string, schema_name string, table_name string, provider string, text_hash string, embedding array<float>, updated_at timestamp_ntz"
+STORED = (
+    "db_name string, schema_name string, table_name string, provider string, text_hash string, "
+    "embedding array<float>, updated_at timestamp_ntz"
+)
 
 
 def default_encoders() -> dict[str, Callable]:
     return {p: encode.hashed_ngrams for p in K.PROVIDERS}
 
 
-def incremental_sync(
+def sync_classes(items: DataFrame, stored: DataFrame) -> DataFrame:
+    """Status of every (item, provider), written once because the sync reads it three times."""
+    hashed = items.select(*diff.KEY, F.md5("vector_text").alias("text_hash"))
+    old = stored.select(
+        *ITEM, "text_hash", F.col("embedding").isNotNull().alias("has_vector")
+    )
+    return cut_lineage(diff.classify(hashed, old))
+
+
+def apply_sync(
+    classes: DataFrame,
     items: DataFrame,
     stored: DataFrame,
     now: Column,
@@ -32,59 +51,83 @@ def incremental_sync(
     """Next version of the stored vectors, with the ``status`` that led to each row.
 
     New and changed texts are encoded, vectors of removed items become null, all other rows
-    pass through. The stored rows and the current texts meet in one full outer join; only the
-    rows to encode go through Python.
+    pass through as they are; only texts to encode go through Python.
     """
-    current = diff.with_key(items).withColumn("text_hash", F.md5("vector_text"))
-    wanted = current.withColumn("provider", F.explode(F.array(*[F.lit(p) for p in K.PROVIDERS])))
-    cur = wanted.select(
-        *ITEM, F.col("text_hash").alias("_new_hash"), F.col("vector_text").alias("_text"), F.lit(True).alias("_cur")
-    )
-    old = diff.with_key(stored).select(
-        *ITEM, "text_hash", "embedding", "updated_at", F.lit(True).alias("_old")
+    out = [*ITEM, "text_hash", "embedding", "updated_at", "status"]
+    old = diff.with_key(stored)
+    sizes = {r["status"]: r["count"] for r in classes.groupBy("status").count().collect()}
+    n_todo = sizes.get("new", 0) + sizes.get("changed", 0)
+    n_absent = sizes.get("removed", 0) + sizes.get("gone", 0)
+    todo = classes.where(F.col("status").isin("new", "changed"))
+    texts = diff.with_key(items).select(*diff.KEY, "vector_text")
+    work = texts.join(
+        broadcast_if_small(todo.select(*ITEM, F.col("cur_text_hash").alias("text_hash"), "status"), n_todo), diff.KEY
     )
-    both = cur.join(old, ITEM, "full")
-    live = F.col("embedding").isNotNull()
-    status = (
-        F.when(F.col("_old").isNull(), "new")
-        .when(F.col("_cur").isNull(), F.when(live, "removed").otherwise("gone"))
-        .when(~F.col("_new_hash").eqNullSafe(F.col("text_hash")) | ~live, "changed")
-        .otherwise("unchanged")
+    coded = _encode(work, encoders or default_encoders()).withColumn("updated_at", now)
+    moved = classes.where(F.col("status") != "unchanged").select(*ITEM, "status")
+    kept = old.join(broadcast_if_small(moved.select(*ITEM), n_todo + n_absent), ITEM, "left_anti").withColumn(
+        "status", F.lit("unchanged")
     )
-    tagged = both.select(
-        *ITEM,
-        status.alias("status"),
-        F.coalesce("_new_hash", "text_hash").alias("text_hash"),
-        # Only texts to encode are kept; everything else carries no text through Python.
-        F.when(status.isin("new", "changed"), F.col("_text")).alias("_text"),
-        F.when(status == "unchanged", F.col("embedding")).alias("_kept"),
-        F.when(status.isin("unchanged", "gone"), F.col("updated_at")).otherwise(now).alias("updated_at"),
-    )
-    makers = encoders or default_encoders()
-    factory = _by_provider(makers)
-    coded = factory(tagged)
-    return coded.select(
-        *ITEM, "text_hash", F.coalesce("_coded", "_kept").alias("embedding"), "updated_at", "status"
+    absent = moved.where(F.col("status").isin("removed", "gone"))
+    left = old.drop("embedding").join(broadcast_if_small(absent, n_absent), ITEM)
+    cleared = left.withColumns(
+        {
+            "embedding": F.lit(None).cast("array<float>"),
+            "updated_at": F.when(F.col("status") == "removed", now).otherwise(F.col("updated_at")),
+        }
     )
+    return coded.select(*out).unionByName(kept.select(*out)).unionByName(cleared.select(*out))
 
 
-def _by_provider(makers: dict[str, Callable]):
+def _encode(work: DataFrame, makers: dict[str, Callable], keep_text: bool = False) -> DataFrame:
     """Encode in one pass when all providers share an encoder, else one pass per provider."""
+    if len(set(makers.values())) == 1:
+        coded = encode.encode(work, "vector_text", next(iter(makers.values())))
+    else:
+        coded = encode.encode_for_providers(work, "vector_text", makers)
+    return coded if keep_text else coded.drop("vector_text")
 
-    def run(tagged: DataFrame) -> DataFrame:
-        if len(set(makers.values())) == 1:
-            out = encode.encode(tagged, "_text", next(iter(makers.values())), out="_coded")
-        else:
-            out = encode.encode_for_providers(tagged, "_text", makers, out="_coded")
-        return out.drop("_text")
 
-    return run
+def incremental_sync(
+    items: DataFrame,
+    stored: DataFrame,
+    now: Column,
+    encoders: dict[str, Callable] | None = None,
+) -> DataFrame:
+    return apply_sync(sync_classes(items, stored), items, stored, now, encoders)
 
 
 def rebuild_all(items: DataFrame, now: Column, encoders: dict[str, Callable] | None = None) -> DataFrame:
-    """Encode every item for every provider."""
-    empty = items.sparkSession.createDataFrame([], STORED)
-    return incremental_sync(items, empty, now, encoders)
+    """Encode every item for every provider; nothing is compared."""
+    every = diff.with_key(items).select(
+        *diff.KEY, "vector_text", F.md5("vector_text").alias("text_hash"),
+        F.explode(F.array(*[F.lit(p) for p in K.PROVIDERS])).alias("provider"),
+    )
+    coded = _encode(every, encoders or default_encoders())
+    return coded.withColumn("updated_at", now).select(
+        *ITEM, "text_hash", "embedding", "updated_at", F.lit("new").alias("status")
+    )
+
+
+def text_vectors(
+    knowledge: DataFrame, glossary: DataFrame, encoders: dict[str, Callable] | None = None
+) -> DataFrame:
+    """Vectors of knowledge and glossary rows for every provider.
+
+    Pass filtered frames to encode single rows after a write. Rows are ``kind, db_name, id,
+    provider, vector_text, embedding``.
+    """
+    pairs = knowledge.select(
+        F.lit("knowledge").alias("kind"), "db_name", "id",
+        knowledge_vector_text(F.col("question"), F.col("sql")).alias("vector_text"),
+    ).unionByName(
+        glossary.select(
+            F.lit("glossary").alias("kind"), "db_name", "id",
+            glossary_vector_text(F.col("term"), F.col("definition")).alias("vector_text"),
+        )
+    )
+    every = pairs.withColumn("provider", F.explode(F.array(*[F.lit(p) for p in K.PROVIDERS])))
+    return _encode(every, encoders or default_encoders(), keep_text=True)
 
 
 def store(synced: DataFrame) -> DataFrame:
@@ -105,9 +148,11 @@ def check_and_sync(
 ) -> DataFrame:
     """Sync the tenants that need it and drop rows of excluded schemas.
 
-    Tenants whose gate says ``none`` pass through unread by the encoder.
+    Tenants whose gate says ``none`` pass through unread by the encoder. The tenant list is one
+    row per tenant, so its joins are broadcast when it is small.
     """
-    todo = check_tenants(items, stored, fingerprints).where(F.col("action") != "none").select("db_name")
+    gate = cut_lineage(check_tenants(items, stored, fingerprints))
+    todo = broadcast_if_small(gate.where(F.col("action") != "none").select("db_name"))
     busy = items.join(todo, "db_name", "left_semi")
     synced = store(incremental_sync(busy, stored.join(todo, "db_name", "left_semi"), now))
     rest = stored.join(todo, "db_name", "left_anti")

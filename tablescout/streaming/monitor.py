@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tablescout.operators import diff
 from tablescout.plans import sync
 from tablescout.sources import snapshots
 
@@ -25,15 +24,14 @@ def apply_snapshot(items: DataFrame, root: str, encoders: dict[str, Callable] |
     stored = spark.createDataFrame([], sync.STORED) if first else snapshots.read_snapshot(spark, root)
     tenants = items.select("db_name").distinct()
     mine = stored.join(tenants, "db_name", "left_semi")
-    hashed = items.withColumn("text_hash", F.md5("vector_text"))
     # Hashes first: texts are encoded only when some hash differs.
-    classes = diff.classify(hashed, mine.withColumn("has_vector", F.col("embedding").isNotNull()))
-    counts = classes.groupBy().agg(
+    classes = sync.sync_classes(items, mine)
+    counts = classes.agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in ("new", "changed", "unchanged", "removed", "gone")]
     ).first().asDict()
     if counts["new"] + counts["changed"] + counts["removed"] + counts["gone"] == 0:
         return counts
-    synced = sync.incremental_sync(items, mine, F.current_timestamp().cast("timestamp_ntz"), encoders)
+    synced = sync.apply_sync(classes, items, mine, F.current_timestamp().cast("timestamp_ntz"), encoders)
     kept = sync.store(synced.where(~F.col("status").isin("removed", "gone")))
     others = stored.join(tenants, "db_name", "left_anti").select(*kept.columns)
     snapshots.write_snapshot(kept.unionByName(others), root)

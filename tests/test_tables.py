@@ -251,6 +251,16 @@ def test_guard_runs_and_restores_settings(spark):
     assert out == "select x::string, cast(y as bigint) from t where a rlike '^(?:b.*)$' and explode(z)"
 
 
+def test_run_logged(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = guarded_sql.run_logged(spark, "select id, cast('NaN' as double) as x, timestamp_ntz'2024-01-02 03:04:05' as t from range(3)", "d", path)
+    assert [tuple(r) for r in df.orderBy("id").limit(1).collect()] == [(0, None, "2024-01-02 03:04:05")]
+    with pytest.raises(ValueError):
+        guarded_sql.run_logged(spark, "drop table x", "d", path)
+    rows = {r["execute_status"]: (r["result_rows"], r["search_mode"]) for r in spark.read.parquet(path).collect()}
+    assert rows == {"success": (3, "manual_sql"), "failed": (0, "manual_sql")}
+
+
 def _announce(folder, name, at, path):
     with open(f"{folder}/{name}.json", "w") as f:
         f.write(json.dumps({"snapshot_at": at, "path": path}) + "\n")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from tablescout.functions import vectors as V
 from tablescout.operators import diff, encode, numbering, upsert
 from tablescout.plans import search, sync
+from tablescout.sources import ingest
 from workload.catalog_queries import fingerprint_sql
 from workload.inputs import frame, table, with_inputs
 
@@ -227,3 +228,35 @@ add(
     ).withColumn("has_hash", F.col("schema_hash").isNotNull()),
     "SELECT doc_id, lang, n_chars, CAST(NULL AS VARCHAR) AS schema_hash, CAST(NULL AS VARCHAR) AS owner, false AS has_hash FROM documents",
 )
+
+
+def _text_vectors(s, d):
+    knowledge = frame(s, d, "knowledge").withColumn("sql", F.coalesce("sql", F.lit("")))
+    out = sync.text_vectors(knowledge, frame(s, d, "glossary"))
+    return out.select("kind", "db_name", "id", "provider", F.md5("vector_text").alias("text_hash"), F.round(V.l2_norm(F.col("embedding")), 4).alias("norm"))
+
+
+add(
+    "text_vectors",
+    _text_vectors,
+    with_inputs("knowledge glossary", """, t AS (SELECT 'knowledge' AS kind, db_name, id, '问题: ' || question || chr(10) || 'SQL: ' || coalesce(sql, '') AS x FROM knowledge
+        UNION ALL SELECT 'glossary', db_name, id, term || ': ' || definition FROM glossary)
+      SELECT kind, db_name, id, provider, md5(x) AS text_hash, 1.0::DOUBLE AS norm FROM t CROSS JOIN (VALUES ('local'), ('api')) p(provider)"""),
+)
+
+
+def _ingested(s, d):
+    raw = ingest.read_file(s, f"{d}/lineitem.parquet", "parquet").select(
+        F.col("l_orderkey").alias(" order key"), F.col("l_linenumber").alias("line number "), F.col("l_quantity").alias("qty"),
+        (F.col("l_returnflag") == "R").alias("is returned"), F.col("l_shipdate").alias("ship date"),
+        F.to_date("l_shipdate").alias("day"), F.col("l_discount").cast("decimal(4,2)").alias("disc"), F.col("l_tax").cast("float").alias("tax"),
+    )
+    return ingest.typed(raw).withColumn("tax", F.col("tax").cast("double"))
+
+
+add(
+    "ingest_typed",
+    _ingested,
+    """SELECT l_orderkey AS order_key, l_linenumber::BIGINT AS line_number, l_quantity AS qty, l_returnflag = 'R' AS is_returned, l_shipdate AS ship_date,
+       CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, CAST(CAST(l_discount AS DECIMAL(4, 2)) AS VARCHAR) AS disc, CAST(l_tax AS FLOAT)::VARCHAR::DOUBLE AS tax FROM lineitem""",
+)
