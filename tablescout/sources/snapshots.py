@@ -1,16 +1,17 @@
 """Versioned tables: a change is written as a new folder, then a pointer row names it.
 
 A reader never sees a half-written version, and a version is never overwritten, so nothing
-that was read needs to be invalidated.
+that was read needs to be invalidated. A table kept by parts (one per tenant) writes only the
+parts that changed; the others stay in the folder of an earlier version.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_POINTER = "version long, rows long, written_at timestamp"
+_POINTER = "version long, rows long, part string, written_at timestamp"
 
 
 def current_version(spark: SparkSession, root: str) -> int:
@@ -31,17 +32,60 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
 
 def write_snapshot(df: DataFrame, root: str, partition_by: list[str] = ()) -> int:
     """Write the next version and name it last; returns its number."""
-    spark = df.sparkSession
-    n = current_version(spark, root) + 1
+    n = current_version(df.sparkSession, root) + 1
     path = f"{root}/v={n:08d}"
     # A folder left by a failed run was never named, so it may be replaced.
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    rows = spark.read.parquet(path).count()
-    spark.range(1).select(
-        F.lit(n).cast("long").alias("version"), F.lit(rows).cast("long").alias("rows"),
+    rows = df.sparkSession.read.parquet(path).groupBy().agg(F.count(F.lit(1)).alias("rows"))
+    _name(rows.withColumn("part", F.lit(None).cast("string")), root, n)
+    return n
+
+
+def _name(parts: DataFrame, root: str, version: int) -> None:
+    parts.select(
+        F.lit(version).cast("long").alias("version"), F.col("rows").cast("long").alias("rows"), "part",
         F.current_timestamp().alias("written_at"),
     ).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+
+
+def _part(value: Column) -> Column:
+    """Folder name of a part: safe in a path and never read as a number."""
+    return F.concat(F.lit("p"), F.md5(value))
+
+
+def write_parts(df: DataFrame, root: str, by: str, changed: DataFrame) -> int:
+    """Write the next version of the ``changed`` parts only (a frame with the column ``by``).
+
+    ``df`` holds all rows of these parts; a part without rows is named as empty.
+    """
+    spark = df.sparkSession
+    n = current_version(spark, root) + 1
+    path = f"{root}/v={n:08d}"
+    df.withColumn("part", _part(F.col(by))).write.mode("overwrite").partitionBy("part").parquet(path)
+    written = spark.read.schema(df.schema.add("part", "string")).parquet(path)
+    rows = written.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    parts = changed.select(_part(F.col(by)).alias("part")).distinct()
+    _name(parts.join(rows, "part", "left").withColumn("rows", F.coalesce("rows", F.lit(0))), root, n)
     return n
+
+
+def read_parts(spark: SparkSession, root: str, schema: str, by: str, wanted: DataFrame | None = None) -> DataFrame:
+    """The newest version of every part, or of the ``wanted`` parts (a frame with ``by``).
+
+    The pointer has one short row per change of a part; only the chosen folders are listed.
+    """
+    if not current_version(spark, root):
+        return spark.createDataFrame([], schema)
+    pointer = spark.read.schema(_POINTER).parquet(f"{root}/pointer")
+    newest = pointer.groupBy("part").agg(
+        F.max("version").alias("version"), F.max_by("rows", "version").alias("rows")
+    ).where("rows > 0")
+    if wanted is not None:
+        newest = newest.join(wanted.select(_part(F.col(by)).alias("part")).distinct(), "part", "left_semi")
+    paths = [f"{root}/v={r['version']:08d}/part={r['part']}" for r in newest.collect()]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths)

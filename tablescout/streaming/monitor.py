@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tablescout.operators.sized import broadcast_if_small
 from tablescout.plans import sync
 from tablescout.sources import snapshots
+from tablescout.sources.lineage import cut_lineage
 
 MARKERS = "snapshot_at timestamp_ntz, path string"
 
@@ -17,24 +19,30 @@ MARKERS = "snapshot_at timestamp_ntz, path string"
 def apply_snapshot(items: DataFrame, root: str, encoders: dict[str, Callable] | None = None) -> dict:
     """Bring the stored vectors of the snapshot's tenants up to date: deletes, then upserts.
 
-    Nothing is written when nothing changed. Tenants outside the snapshot stay as they are.
+    Only the folders of these tenants are read, only tenants with a change are written, and
+    nothing is written when nothing changed.
     """
     spark = items.sparkSession
-    first = not snapshots.current_version(spark, root)
-    stored = spark.createDataFrame([], sync.STORED) if first else snapshots.read_snapshot(spark, root)
     tenants = items.select("db_name").distinct()
-    mine = stored.join(tenants, "db_name", "left_semi")
+    stored = snapshots.read_parts(spark, root, sync.STORED, "db_name", tenants)
     # Hashes first: texts are encoded only when some hash differs.
-    classes = sync.sync_classes(items, mine)
+    classes = sync.sync_classes(items, stored)
     counts = classes.agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in ("new", "changed", "unchanged", "removed", "gone")]
     ).first().asDict()
+    moved = classes.where(F.col("status") != "unchanged").select("db_name").distinct()
     if counts["new"] + counts["changed"] + counts["removed"] + counts["gone"] == 0:
         return counts
-    synced = sync.apply_sync(classes, items, mine, F.current_timestamp().cast("timestamp_ntz"), encoders)
+    busy = broadcast_if_small(cut_lineage(moved))
+    synced = sync.apply_sync(
+        classes.join(busy, "db_name", "left_semi"),
+        items.join(busy, "db_name", "left_semi"),
+        stored.join(busy, "db_name", "left_semi"),
+        F.current_timestamp().cast("timestamp_ntz"),
+        encoders,
+    )
     kept = sync.store(synced.where(~F.col("status").isin("removed", "gone")))
-    others = stored.join(tenants, "db_name", "left_anti").select(*kept.columns)
-    snapshots.write_snapshot(kept.unionByName(others), root)
+    snapshots.write_parts(kept, root, "db_name", busy)
     return counts
 
 

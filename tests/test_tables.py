@@ -160,6 +160,17 @@ def test_snapshots_are_versions(spark, tmp_path):
     assert snapshots.read_snapshot(spark, root).count() == 5
 
 
+def test_parts_keep_other_tenants(spark, tmp_path):
+    root, schema = str(tmp_path / "p"), "db_name string, v long"
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    read = lambda w=None: {tuple(r) for r in snapshots.read_parts(spark, root, schema, "db_name", w).collect()}
+    assert read() == set()
+    snapshots.write_parts(make([("007", 1), ("a/b", 2), ("c", 3)]), root, "db_name", make([("007", 0), ("a/b", 0), ("c", 0)]))
+    snapshots.write_parts(make([("007", 9)]), root, "db_name", make([("007", 0), ("c", 0)]))
+    assert read() == {("007", 9), ("a/b", 2)}
+    assert read(make([("a/b", 0), ("zz", 0)])) == {("a/b", 2)}
+
+
 def test_ingest(spark, tmp_path):
     path = str(tmp_path / "in.csv")
     with open(path, "w", encoding="utf-8") as f:
@@ -274,9 +285,12 @@ def test_monitor_applies_snapshots_once(spark, tmp_path):
         items(spark, rows).write.parquet(str(tmp_path / f"s{n}"))
         _announce(markers, f"m{n}", f"2024-01-0{n} 00:00:00", str(tmp_path / f"s{n}"))
     monitor.watch(spark, str(markers), root, check, once=True).awaitTermination(120)
-    got = snapshots.read_snapshot(spark, root)
+    got = snapshots.read_parts(spark, root, sync.STORED, "db_name")
     assert {(r["db_name"], r["table_name"]) for r in got.collect()} == {("d", "t1"), ("d", "t3"), ("e", "t1")}
     assert got.count() == 6
+    # The unchanged tenant stays in the folder of the first version.
+    folders = {f.split("/v=")[1].split("/")[0] for f in got.inputFiles()}
+    assert folders == {"00000001", "00000002"}
     version = snapshots.current_version(spark, root)
     # The same content again writes no version, and seen markers are not read twice.
     _announce(markers, "m3", "2024-01-03 00:00:00", str(tmp_path / "s2"))
