@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions import vectors as V
+from tablescout.sources.lineage import cut_lineage
 
 # A block of queries is at most this many bytes of float64.
 BLOCK_BYTES = 32 * 1024 * 1024
@@ -196,7 +197,10 @@ def knn_batch(
 def fit_cells(
     corpus: DataFrame, cells: int = 16, vector_col: str = "embedding", seed: int = 7, rounds: int = 10
 ) -> np.ndarray:
-    """Centres of a k-means partition of the corpus (``cells`` x dimension numbers)."""
+    """Centres of a k-means partition of the given rows (``cells`` x dimension numbers).
+
+    The centres only steer the search, so they may be fitted on a part of a very large corpus.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -207,54 +211,65 @@ def fit_cells(
     return np.asarray(model.clusterCenters())
 
 
+def assign_cells(
+    corpus: DataFrame, centers: np.ndarray, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
+    """Rows ``id, v, cell`` with the nearest centre; nothing is shuffled.
+
+    Written with ``partitionBy("cell")`` once, later searches read only the probed folders.
+    """
+    norms = np.einsum("ij,ij->i", centers, centers)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = norms[None, :] - 2.0 * _matrix(b.column(1)) @ centers.T
+                cell = pa.array(np.argmin(d, axis=1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cell], names=["id", "v", "cell"])
+
+    rows = corpus.where(F.col(vector_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")
+    )
+    return rows.mapInArrow(assign, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())]))
+
+
 def knn_approx(
-    corpus: DataFrame,
+    placed: DataFrame,
     queries: DataFrame,
     centers: np.ndarray,
     k: int = 10,
     probes: int = 4,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
     query_id: str = "query_id",
     query_vector: str = "query_vector",
 ) -> DataFrame:
     """Approximate k nearest rows: each query is compared with its nearest cells only.
 
-    Rows stay where they are, so a crowded cell is spread over all tasks that hold a part of
-    it. A query whose cells hold fewer than k rows is searched again exactly.
+    ``placed`` comes from ``assign_cells``. Rows stay where they are, so a crowded cell is spread
+    over all tasks that hold a part of it. A query whose cells hold fewer than k rows is
+    searched again exactly.
     """
-    spark = corpus.sparkSession
-    center_norms = np.einsum("ij,ij->i", centers, centers)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = _matrix(b.column(1))
-            d = center_norms[None, :] - 2.0 * rows @ centers.T if b.num_rows else np.zeros((0, 1))
-            cell = pa.array(np.argmin(d, axis=1).astype(np.int32) if b.num_rows else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cell], names=["id", "v", "cell"])
-
-    rows = corpus.where(F.col(vector_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")
-    )
-    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())])
-    placed = rows.mapInArrow(assign, schema)
+    spark = placed.sparkSession
+    norms = np.einsum("ij,ij->i", centers, centers)
+    rows = placed.select("id", "v", "cell")
     out = None
     for ids, matrix in _query_blocks(queries, query_id, query_vector):
-        d = center_norms[None, :] - 2.0 * matrix @ centers.T
-        nearest = np.argsort(d, axis=1)[:, :probes]
+        nearest = np.argsort(norms[None, :] - 2.0 * matrix @ centers.T, axis=1)[:, :probes]
         probed = np.zeros((len(ids), len(centers)), dtype=bool)
         np.put_along_axis(probed, nearest, True, axis=1)
+        used = np.flatnonzero(probed.any(axis=0)).tolist()
+        part = rows if len(used) == len(centers) else rows.where(F.col("cell").isin(used))
         block, cells = spark.sparkContext.broadcast(matrix), spark.sparkContext.broadcast(probed)
-        hits = placed.mapInArrow(_scan_block(ids, block, k, cells), _HIT)
+        hits = part.mapInArrow(_scan_block(ids, block, k, cells), _HIT)
         out = hits if out is None else out.unionByName(hits)
-    found = _rank(spark.createDataFrame([], _HIT) if out is None else out, k)
-    short = (
-        queries.select(query_id, query_vector)
-        .join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k), query_id, "left_anti")
+    if out is None:
+        return _rank(spark.createDataFrame([], _HIT), k)
+    found = cut_lineage(_rank(out, k))
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    short = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("query_vector")).join(
+        full, "query_id", "left_anti"
     )
-    exact = knn_batch(corpus, short, k, id_col, vector_col, query_id, query_vector)
-    full = found.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    return full.unionByName(exact)
+    exact = knn_batch(placed, short, k, "id", "v")
+    return found.join(full, "query_id", "left_semi").unionByName(exact)
 
 
 def rank_explain(

@@ -88,9 +88,11 @@ def test_approx_is_exact_when_all_cells_are_probed_and_falls_back(spark, points,
     queries = as_queries(spark, points, 8)
     centers = nearest.fit_cells(corpus, 6)
     exact = {tuple(r) for r in nearest.knn_batch(corpus, queries, 5).collect()}
-    assert {tuple(r) for r in nearest.knn_approx(corpus, queries, centers, 5, probes=len(centers)).collect()} == exact
+    placed = nearest.assign_cells(corpus, centers)
+    assert placed.count() == 120
+    assert {tuple(r) for r in nearest.knn_approx(placed, queries, centers, 5, probes=len(centers)).collect()} == exact
     # One cell never holds 100 rows of 120 here, so every query is searched again exactly.
-    wide = {tuple(r) for r in nearest.knn_approx(corpus, queries, centers, 100, probes=1).collect()}
+    wide = {tuple(r) for r in nearest.knn_approx(placed, queries, centers, 100, probes=1).collect()}
     assert wide == {tuple(r) for r in nearest.knn_batch(corpus, queries, 100).collect()}
 
 
@@ -98,7 +100,8 @@ def test_approx_recall_on_embeddings(spark):
     corpus = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     queries = corpus.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     exact = nearest.knn_batch(corpus, queries, 5)
-    approx = nearest.knn_approx(corpus, queries, nearest.fit_cells(corpus, 8), 5, probes=4)
+    centers = nearest.fit_cells(corpus, 8)
+    approx = nearest.knn_approx(nearest.assign_cells(corpus, centers), queries, centers, 5, probes=4)
     recall = exact.join(approx, ["query_id", "vec_id"]).count() / exact.count()
     assert recall > 0.6
 

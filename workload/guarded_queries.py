@@ -64,9 +64,9 @@ ltrim(concat('  ', p_name)) AS t2, rtrim(concat(p_name, '  ')) AS t3, replace(p_
 split_part(p_brand, '#', 2) AS sp, position('i' IN p_name) AS po FROM part""")
 add("sql_regex", """SELECT page_id, regexp_replace(url, '[0-9]+', '#') AS masked, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM pages""",
     """SELECT page_id, regexp_replace(url, '[0-9]+', '#', 'g') AS masked, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM pages""")
-add("sql_dates", """SELECT date_trunc('month', o_orderdate) AS month, extract(year FROM o_orderdate) AS y, date_part('quarter', o_orderdate) AS q,
+add("sql_dates", """SELECT cast(date_trunc('month', o_orderdate) AS date) AS month, extract(year FROM o_orderdate) AS y, date_part('quarter', o_orderdate) AS q,
 count(*) AS n, min(o_orderdate + INTERVAL '3' DAY) AS due FROM orders WHERE o_orderdate < current_timestamp GROUP BY 1, 2, 3""",
-    """SELECT date_trunc('month', o_orderdate) AS month, extract(year FROM o_orderdate) AS y, date_part('quarter', o_orderdate) AS q,
+    """SELECT cast(date_trunc('month', o_orderdate) AS date) AS month, extract(year FROM o_orderdate) AS y, date_part('quarter', o_orderdate) AS q,
 count(*) AS n, min(o_orderdate + INTERVAL 3 DAY) AS due FROM orders WHERE o_orderdate < now()::TIMESTAMP GROUP BY 1, 2, 3""")
 add("sql_dates_compat", """SELECT event_id, to_char(ts, 'YYYY-MM-DD HH24:MI:SS') AS day, to_date('2024/01/05', 'YYYY/MM/DD') AS d, extract(epoch FROM ts) AS sec,
 extract(day FROM age(ts, to_timestamp('2024-01-01 00:00', 'YYYY-MM-DD HH24:MI'))) AS days FROM events""",

@@ -69,7 +69,8 @@ add(
 
 def _approx(s, d):
     corpus = table(s, d, "embeddings")
-    return nearest.knn_approx(corpus, _label_queries(s, d), nearest.fit_cells(corpus, 8), 10, 4)
+    centers = nearest.fit_cells(corpus, 8)
+    return nearest.knn_approx(nearest.assign_cells(corpus, centers), _label_queries(s, d), centers, 10, 4)
 
 
 add("knn_approx", _approx)
