@@ -63,6 +63,18 @@ def is_read_query(sql: Column) -> Column:
     return F.coalesce(sql.rlike(r"(?i)^(select|with)\b"), F.lit(False))
 
 
+# Statements that Spark accepts after a WITH clause besides queries.
+_WRITES_AFTER_WITH = (
+    r"(?i)\b(INSERT\s+(INTO|OVERWRITE)|MERGE\s+(WITH\s+SCHEMA\s+EVOLUTION\s+)?INTO|DELETE\s+FROM"
+    r"|UPDATE\s+[^\s()]+(\s+(AS\s+)?\w+)?\s+SET)\b"
+)
+
+
+def has_write_statement(sql: Column) -> Column:
+    """A write hidden behind a WITH clause; literals, quoted names and comments are not read."""
+    return F.coalesce(without_literals(sql).rlike(_WRITES_AFTER_WITH), F.lit(False))
+
+
 def usable_answer(content: Column) -> Column:
     """Answers that do not decline and yield a query."""
     declined = content.startswith("-- " + K.REFUSAL) | F.left(content, F.lit(50)).contains(

@@ -63,15 +63,19 @@ def checked_sql(spark: SparkSession, raw: str) -> str:
     one = spark.sql("SELECT :q AS sql", args={"q": raw or ""})
     row = (
         one.select(text.clean_sql(F.col("sql")).alias("s"))
-        .select("s", text.is_read_query(F.col("s")).alias("ok"), text.first_write_pattern(F.col("s")).alias("bad"))
+        .select(
+            "s",
+            (text.is_read_query(F.col("s")) & ~text.has_write_statement(F.col("s"))).alias("ok"),
+            text.first_write_pattern(F.col("s")).alias("bad"),
+        )
         .first()
     )
     if not row["s"]:
         raise ValueError("the SQL text is empty")
-    if not row["ok"]:
-        raise ValueError("only SELECT queries are allowed")
     if row["bad"]:
         raise ValueError(f"the SQL text holds a forbidden operation: {row['bad']}")
+    if not row["ok"]:
+        raise ValueError("only SELECT queries are allowed")
     return row["s"]
 
 

@@ -243,13 +243,19 @@ def test_log_sink_and_history(spark, tmp_path):
 
 
 @pytest.mark.parametrize(
-    "sql", ["", "delete from t", "selection", "select 1; drop table x", "with a as (select 1) insert into t select 1", "hello select 1", "select call from t"]
+    "sql", ["", "delete from t", "selection", "select 1; drop table x", "with a as (select 1) insert into t select 1", "hello select 1", "select call from t",
+     "with q as (select 1 as a) insert overwrite table t select a from q", "with q as (select 1) merge into t using q on true when matched then delete",
+     "with q as (select 1) update a.b x set c = 1"]
 )
 def test_guard_rejects(spark, sql):
     with pytest.raises(ValueError):
         guarded_sql.run_sql(spark, sql)
 
 
+def test_guard_reads_no_literals_for_the_statement_test(spark):
+    assert guarded_sql.run_sql(spark, "select 'merge into t' as a, 'insert overwrite' as b").count() == 1
+
+
 def test_guard_runs_and_restores_settings(spark):
     before = spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers")
     df = guarded_sql.run_sql(spark, '```sql\nselect 1 as "26x" -- c\n```')

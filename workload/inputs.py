@@ -163,7 +163,7 @@ def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
     sql = f"WITH {ctes} SELECT * FROM {name}"
     register_views(spark, folder, sql)
     df = spark.sql(sql)
-    # CAST(.. AS VARCHAR) only matters to the text form; timestamps carry no zone.
+    # A cast to TIMESTAMP has a zone in Spark and none in DuckDB.
     for f in df.schema.fields:
         if f.dataType.simpleString() == "timestamp":
             df = df.withColumn(f.name, df[f.name].cast("timestamp_ntz"))

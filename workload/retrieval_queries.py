@@ -47,8 +47,8 @@ add(
 )
 add(
     "topk_inner_product",
-    lambda s, d: _round(nearest.topk_inner_product(table(s, d, "embeddings"), _center(s, d), 5, 0.01), "score"),
-    f"WITH {_CENTER}{_SCORED} SELECT vec_id, label, round(dot, 6) AS score FROM scored WHERE dot >= 0.01 ORDER BY dot DESC, vec_id LIMIT 5",
+    lambda s, d: _round(nearest.topk_inner_product(table(s, d, "embeddings"), _center(s, d), 5, 0.001), "score"),
+    f"WITH {_CENTER}{_SCORED} SELECT vec_id, label, round(dot, 6) AS score FROM scored WHERE dot >= 0.001 ORDER BY dot DESC, vec_id LIMIT 5",
 )
 add(
     "knn_batch",

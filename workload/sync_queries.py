@@ -37,10 +37,10 @@ def _old(s, d, name="hash"):
     return _hashed(frame(s, d, "stored_items"), name)
 
 
-_KEYED = """, cur AS (SELECT db_name, coalesce(schema_name, '') AS schema_name, table_name, md5(vector_text) AS hash FROM items)
+_KEYED = """, cur AS (SELECT db_name, coalesce(schema_name, '') AS schema_name, table_name, md5(vector_text) AS hash, length(vector_text) AS n_chars FROM items)
   , old AS (SELECT db_name, coalesce(schema_name, '') AS schema_name, table_name, md5(vector_text) AS hash FROM stored_items)
   , vec AS (SELECT db_name, coalesce(schema_name, '') AS schema_name, table_name, provider, text_hash, embedding, updated_at FROM stored_vectors)
-  , cls AS (SELECT db_name, schema_name, table_name, provider, c.hash AS new_hash, v.text_hash AS old_hash, v.embedding,
+  , cls AS (SELECT db_name, schema_name, table_name, provider, c.hash AS new_hash, c.n_chars, v.text_hash AS old_hash, v.embedding,
        CASE WHEN v.text_hash IS NULL THEN 'new' WHEN c.hash IS NULL THEN CASE WHEN v.embedding IS NOT NULL THEN 'removed' ELSE 'gone' END
             WHEN c.hash <> v.text_hash OR v.embedding IS NULL THEN 'changed' ELSE 'unchanged' END AS status
      FROM (SELECT * FROM cur CROSS JOIN (VALUES ('local'), ('api')) p(provider)) c FULL JOIN vec v USING (db_name, schema_name, table_name, provider))
@@ -128,7 +128,7 @@ add(
     with_inputs(_ALL, _KEYED + f"""SELECT {KEY}, provider, coalesce(new_hash, old_hash) AS text_hash, status,
         CASE WHEN status IN ('unchanged', 'gone') THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '{NOW}' END AS updated_at,
         status IN ('new', 'changed', 'unchanged') AS has_vector,
-        CASE WHEN status IN ('new', 'changed', 'unchanged') THEN 1.0::DOUBLE END AS norm FROM cls"""),
+        CASE WHEN status IN ('new', 'changed') AND n_chars < 3 THEN 0.0::DOUBLE WHEN status IN ('new', 'changed', 'unchanged') THEN 1.0::DOUBLE END AS norm FROM cls"""),
 )
 
 
