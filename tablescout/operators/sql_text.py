@@ -60,7 +60,9 @@ def name_facts(columns: DataFrame) -> DataFrame:
     )
     markers = low.select("db_name").distinct().select(
         "db_name",
-        F.explode(F.array(*[F.lit(f"#{i}") for i in range(_MARKERS)])).alias("name"),
+        F.explode(
+            F.transform(F.sequence(F.lit(0), F.lit(_MARKERS - 1)), lambda i: F.concat(F.lit("#"), i.cast("string")))
+        ).alias("name"),
         F.lit("m").alias("role"),
         no_fields,
     )
@@ -183,34 +185,49 @@ def sql_lint(queries: DataFrame, columns: DataFrame) -> DataFrame:
         )
     )
     q = _with_facts(parts, columns, names, ["ctes", "as_names", "dotted", "bare", "aliases"])
+    # Each step is a column of its own, so no lambda evaluates it again for every element.
     q = q.withColumns({"_schemas": _known("s"), "_tables": _known("t"), "_fields": _known("f")})
     q = q.withColumn(
         "_aliases",
         F.filter("aliases", lambda a: ~a["own"] | F.array_contains("_tables", a["target"])),
     )
 
-    def bad_dotted(d: Column) -> Column:
+    def with_target(d: Column) -> Column:
         mine = F.filter("_aliases", lambda a: a["prefix"] == d["left"])
-        target = F.try_element_at(mine, F.lit(-1))["target"]
-        skip = (
+        return F.struct(
+            d["left"].alias("left"), d["right"].alias("right"), d["written"].alias("written"),
+            F.try_element_at(mine, F.lit(-1))["target"].alias("target"),
+        )
+
+    # Dotted names that are no schema.table and whose right side is no AS or CTE name.
+    open_names = F.filter(
+        F.array_distinct("dotted"),
+        lambda d: ~(
             (F.array_contains("_schemas", d["left"]) & F.array_contains("_tables", d["right"]))
             | F.array_contains("as_names", d["right"])
             | F.array_contains("ctes", d["right"])
+        ),
+    )
+    q = q.withColumn("_dotted", F.transform(open_names, with_target))
+
+    def bad_dotted(d: Column) -> Column:
+        has_it = F.exists(
+            "facts",
+            lambda f: (f["role"] == "t") & (f["name"] == d["target"]) & F.array_contains(f["fields"], d["right"]),
         )
-        of_table = F.try_element_at(
-            F.filter("facts", lambda f: (f["role"] == "t") & (f["name"] == target)), F.lit(1)
-        )["fields"]
-        by_table = ~F.array_contains(of_table, d["right"])
         by_any = ~F.array_contains("ctes", d["left"]) & ~F.array_contains("_fields", d["right"])
-        return ~skip & F.coalesce(by_table, by_any)
+        of_table = F.coalesce(F.array_contains("_tables", d["target"]), F.lit(False))
+        return F.when(of_table, ~has_it).otherwise(by_any)
 
     exempt = F.concat("ctes", "as_names", F.col("dotted.left"), "_fields", "_tables", "_schemas")
-    unknown = F.array_except(F.col("bare.name"), exempt)
+    q = q.withColumns(
+        {
+            "_bad": F.filter("_dotted", bad_dotted)["written"],
+            "_unknown": F.array_except(F.col("bare.name"), exempt),
+        }
+    )
     found = F.array_union(
-        F.filter("dotted", bad_dotted)["written"],
-        F.when(F.size(unknown) == 0, F.array().cast("array<string>")).otherwise(
-            F.filter("bare", lambda w: F.array_contains(unknown, w["name"]))["written"]
-        ),
+        "_bad", F.filter("bare", lambda w: F.array_contains("_unknown", w["name"]))["written"]
     )
     # A tenant without any table has nothing to check against.
     checked = F.when(F.col("known"), F.array_sort(found)).otherwise(F.array().cast("array<string>"))

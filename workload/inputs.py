@@ -74,7 +74,7 @@ INPUTS: dict[str, tuple[list[str], str]] = {
                length(props) + length(event_type) AS total_tokens, ts AS created_at, props AS nl_query
         FROM events"""),
     # SQL texts, one per order.
-    "sql_texts": (["classes", "namespaces", "attributes"], """
+    "sql_texts": (["classes", "namespaces"], """
         SELECT c.db_name, c.class_id AS query_id, c.priority, c.status,
                CASE c.priority
                  WHEN '1-URGENT' THEN '```sql' || chr(10) || 'SELECT o.' || t.col || ', o.' || t.last_col || ' FROM ' || t.ref || ' o -- tail' || chr(10) || chr(10) || '  WHERE o.' || t.last_col || ' > 5' || chr(10) || '```'
@@ -86,14 +86,16 @@ INPUTS: dict[str, tuple[list[str], str]] = {
                     ELSE 'hello' || chr(10) || 'select ' || t.col || ' from ' || t.ref END
                  ELSE 'plan' || chr(10) || '## 最终 SQL' || chr(10) || chr(10) || 'SELECT ' || t.ref || '.' || t.col || ' FROM ' || t.ref || ' -- end' END AS sql
         FROM classes c
-        JOIN (SELECT a.class_id, 'part_' || CAST(min(a.part_key) AS VARCHAR(20)) AS col, 'part_' || CAST(max(a.part_key) AS VARCHAR(20)) AS last_col,
-                     min(n.schema_name || '.' || k.table_name) AS ref
-              FROM attributes a JOIN classes k ON k.class_id = a.class_id JOIN namespaces n ON n.namespace_id = k.namespace_id
-              GROUP BY a.class_id) t ON t.class_id = c.class_id"""),
+        JOIN (SELECT k.class_id, 'part_' || CAST(p.lo AS VARCHAR(20)) AS col, 'part_' || CAST(p.hi AS VARCHAR(20)) AS last_col,
+                     n.schema_name || '.' || k.table_name AS ref
+              FROM (SELECT l_orderkey, min(l_partkey) AS lo, max(l_partkey) AS hi FROM lineitem GROUP BY l_orderkey) p
+              JOIN classes k ON k.class_id = p.l_orderkey JOIN namespaces n ON n.namespace_id = k.namespace_id) t ON t.class_id = c.class_id"""),
     # The catalog of the SQL texts has plain names only.
-    "lint_catalog": (["catalog"], """
-        SELECT db_name, schema_name, table_name, table_comment, column_order, replace(column_name, '列_', 'part_') AS column_name, data_type, column_comment
-        FROM catalog"""),
+    "lint_catalog": (["classes", "namespaces"], """
+        SELECT c.db_name, n.schema_name, c.table_name, 'part_' || CAST(l.l_partkey AS VARCHAR(20)) AS column_name
+        FROM lineitem l JOIN classes c ON c.class_id = l.l_orderkey JOIN namespaces n ON n.namespace_id = c.namespace_id
+        WHERE n.has_usage AND n.schema_name NOT IN ('information_schema', 'pg_catalog', 'knowledge', 'hg_recyclebin')
+          AND substring(n.schema_name, 1, 3) <> 'pg_' AND c.table_name NOT LIKE '%!_middle%' ESCAPE '!'"""),
     # Requests, hits, candidates and raw answers.
     "requests": (["classes"], """
         SELECT class_id AS request_id, db_name, 'Show ' || priority || ' part 订单 of ' || db_name || ' select' AS question FROM classes"""),
