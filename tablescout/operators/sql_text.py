@@ -36,37 +36,54 @@ def _lower_all(c: Column, pattern: str, group: int = 1) -> Column:
 _MARKERS = 256
 
 
-def name_facts(columns: DataFrame) -> DataFrame:
-    """Rows (tenant, name, role, fields): schemas, tables with their fields, fields, markers.
-
-    A name may have several roles. Each part is an aggregate that combines before the shuffle;
-    the field list of a table is bounded by the 1,600 columns a table can have (tables of one
-    short name share it, as lint needs).
-    """
-    low = columns.select(
+def _lower_catalog(columns: DataFrame) -> DataFrame:
+    return columns.select(
         "db_name",
         F.lower("schema_name").alias("s"),
         F.lower("table_name").alias("t"),
         F.lower("column_name").alias("c"),
     )
-    no_fields = F.array().cast("array<string>").alias("fields")
 
-    def part(name: str, role: str) -> DataFrame:
-        names = low.select("db_name", F.col(name).alias("name")).where("name <> ''").distinct()
-        return names.select("db_name", "name", F.lit(role).alias("role"), no_fields)
 
-    tables = low.groupBy("db_name", F.col("t").alias("name")).agg(
-        F.lit("t").alias("role"), F.collect_set("c").alias("fields")
+def _markers(columns: DataFrame) -> DataFrame:
+    every = F.transform(
+        F.sequence(F.lit(0), F.lit(_MARKERS - 1)), lambda i: F.concat(F.lit("#"), i.cast("string"))
     )
-    markers = low.select("db_name").distinct().select(
-        "db_name",
-        F.explode(
-            F.transform(F.sequence(F.lit(0), F.lit(_MARKERS - 1)), lambda i: F.concat(F.lit("#"), i.cast("string")))
-        ).alias("name"),
-        F.lit("m").alias("role"),
-        no_fields,
+    return columns.select("db_name").distinct().select(
+        "db_name", F.explode(every).alias("name"), F.lit("m").alias("role")
     )
-    return part("s", "s").unionByName(tables).unionByName(part("c", "f")).unionByName(markers)
+
+
+def name_facts(columns: DataFrame) -> DataFrame:
+    """Rows (tenant, name, role): schemas ``s``, tables ``t``, fields ``f``, ``table.field`` pairs ``p``, markers ``m``.
+
+    A name may have several roles but one row per role. Nothing is collected, so a table name
+    that occurs in very many schemas is no large group.
+    """
+    low = _lower_catalog(columns)
+
+    def part(name: Column, role: str) -> DataFrame:
+        names = low.select("db_name", name.alias("name")).where("name <> ''").distinct()
+        return names.select("db_name", "name", F.lit(role).alias("role"))
+
+    pair = F.concat("t", F.lit("."), "c")
+    parts = [part(F.col("s"), "s"), part(F.col("t"), "t"), part(F.col("c"), "f"), part(pair, "p")]
+    out = _markers(columns)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def table_fields(columns: DataFrame) -> DataFrame:
+    """Rows (tenant, name, role ``t``, fields) per short table name, and markers.
+
+    The list holds the distinct field names of all tables of one short name; a single table has
+    at most 1,600.
+    """
+    tables = _lower_catalog(columns).groupBy("db_name", F.col("t").alias("name")).agg(
+        F.lit("t").alias("role"), F.collect_set("c").alias("fields")
+    )
+    return tables.unionByName(_markers(columns), allowMissingColumns=True)
 
 
 def _marker(query_id: Column) -> Column:
@@ -122,8 +139,8 @@ def _known(role: str) -> Column:
     return F.transform(F.filter("facts", lambda f: f["role"] == role), lambda f: f["name"])
 
 
-def _with_facts(queries: DataFrame, columns: DataFrame, names: Column, carried: list[str]) -> DataFrame:
-    """Queries with ``facts``, a list (role, name, fields) of their own names, and ``known``.
+def _with_facts(queries: DataFrame, known_names: DataFrame, names: Column, carried: list[str]) -> DataFrame:
+    """Queries with ``facts``, a list (role, name, ..) of their own names, and ``known``.
 
     A text becomes one small row per name; its carried lists ride on just one of these rows,
     chosen by hash, so they are shuffled once and not once per name.
@@ -141,8 +158,8 @@ def _with_facts(queries: DataFrame, columns: DataFrame, names: Column, carried:
     )
     rows = listed.select("db_name", "query_id", F.inline(one_each))
     # The name comes first: it tells keys apart, a tenant has very many of them.
-    found = rows.join(name_facts(columns), ["name", "db_name"], "left")
-    entry = F.when(F.col("role").isNotNull(), F.struct("role", "name", "fields"))
+    found = rows.join(known_names, ["name", "db_name"], "left")
+    entry = F.when(F.col("role").isNotNull(), F.struct("role", "name", *[c for c in known_names.columns if c == "fields"]))
     grouped = found.groupBy("db_name", "query_id").agg(
         F.first("_carried", ignorenulls=True).alias("_carried"),
         F.collect_list(entry).alias("facts"),
@@ -179,14 +196,26 @@ def sql_lint(queries: DataFrame, columns: DataFrame) -> DataFrame:
         F.transform(bare, lambda w: F.struct(w.alias("written"), F.lower(w).alias("name"))).alias("bare"),
         alias_pairs(F.col("_c")).alias("aliases"),
     )
+    # Every table a prefix may stand for, with the field: looked up as one name.
+    pairs = F.flatten(
+        F.transform(
+            "dotted",
+            lambda d: F.transform(
+                F.filter("aliases", lambda a: a["prefix"] == d["left"]),
+                lambda a: F.concat(a["target"], F.lit("."), d["right"]),
+            ),
+        )
+    )
     names = F.array_distinct(
         F.concat(
-            F.col("bare.name"), F.col("dotted.left"), F.col("dotted.right"), F.col("aliases.target")
+            F.col("bare.name"), F.col("dotted.left"), F.col("dotted.right"), F.col("aliases.target"), pairs
         )
     )
-    q = _with_facts(parts, columns, names, ["ctes", "as_names", "dotted", "bare", "aliases"])
+    q = _with_facts(parts, name_facts(columns), names, ["ctes", "as_names", "dotted", "bare", "aliases"])
     # Each step is a column of its own, so no lambda evaluates it again for every element.
-    q = q.withColumns({"_schemas": _known("s"), "_tables": _known("t"), "_fields": _known("f")})
+    q = q.withColumns(
+        {"_schemas": _known("s"), "_tables": _known("t"), "_fields": _known("f"), "_pairs": _known("p")}
+    )
     q = q.withColumn(
         "_aliases",
         F.filter("aliases", lambda a: ~a["own"] | F.array_contains("_tables", a["target"])),
@@ -211,10 +240,7 @@ def sql_lint(queries: DataFrame, columns: DataFrame) -> DataFrame:
     q = q.withColumn("_dotted", F.transform(open_names, with_target))
 
     def bad_dotted(d: Column) -> Column:
-        has_it = F.exists(
-            "facts",
-            lambda f: (f["role"] == "t") & (f["name"] == d["target"]) & F.array_contains(f["fields"], d["right"]),
-        )
+        has_it = F.array_contains("_pairs", F.concat(d["target"], F.lit("."), d["right"]))
         by_any = ~F.array_contains("ctes", d["left"]) & ~F.array_contains("_fields", d["right"])
         of_table = F.coalesce(F.array_contains("_tables", d["target"]), F.lit(False))
         return F.when(of_table, ~has_it).otherwise(by_any)
@@ -275,7 +301,7 @@ def field_hint(queries: DataFrame, columns: DataFrame) -> DataFrame:
     refs = table_refs(F.col("sql"))
     parts = queries.select("db_name", "query_id", refs.alias("refs"))
     names = F.array_distinct(F.transform("refs", lambda r: F.substring_index(r, ".", -1)))
-    q = _with_facts(parts, columns, names, ["refs"])
+    q = _with_facts(parts, table_fields(columns), names, ["refs"])
     shorts = F.transform("refs", lambda r: F.substring_index(r, ".", -1))
     # A later reference to a table that was already used adds nothing.
     tables = F.filter("facts", lambda f: f["role"] == "t")
