@@ -56,7 +56,6 @@ CARD_HEADER = "表名: "
 CARD_COMMENT = " 表注释: "
 CARD_COLUMNS = "列:"
 ONE_CARD_HEADER = "表: "
-NO_TABLES = "无可用表结构"
 NOT_FOUND = "未找到表: "
 VECTOR_COLUMNS = " 字段: "
 VECTOR_SEPARATOR = "、"
@@ -68,8 +67,7 @@ FINAL_SQL_HEADING = "最终"
 REFUSAL = "本批无相关表"
 CJK = "[一-龥]"
 CUT_MARKER = "\n...(表结构已截断)"
-NO_KNOWLEDGE = "无可用知识库示例"
-NO_GLOSSARY = "无业务名词配置"
+NO_EXAMPLES = "无可用示例"
 
 # Packing, scoring, history and admission defaults.
 MAX_BATCH_CHARS = 20000

@@ -280,3 +280,18 @@ def single_card(columns: DataFrame) -> DataFrame:
         *KEY,
         F.concat(head, F.lit("\n" + K.CARD_COLUMNS + "\n"), F.col("columns_card")).alias("card"),
     )
+
+
+def named_cards(resolved: DataFrame, columns: DataFrame) -> DataFrame:
+    """The one-table card of every resolved name (see ``resolve_names``), a not-found text for a miss."""
+    # A miss gets a key of its own that no table has, so all misses do not meet in one task.
+    spread = F.concat(F.lit("? "), F.col("request_id").cast("string"), F.lit(" "), F.col("pos").cast("string"))
+    keyed = resolved.withColumns(
+        {
+            "schema_name": F.when(F.col("table_name").isNull(), "").otherwise(F.col("schema_name")),
+            "table_name": F.coalesce("table_name", spread),
+        }
+    )
+    found = keyed.join(single_card(columns), KEY, "left")
+    missing = F.concat(F.lit(K.NOT_FOUND), F.col("name"))
+    return found.select("request_id", "pos", "db_name", "name", F.coalesce("card", missing).alias("card"))

@@ -107,7 +107,7 @@ def few_shot(items: DataFrame, n: int = 5) -> DataFrame:
     )
     ordered = F.array_sort(F.collect_list(F.when(both, F.struct("_rank", example.alias("x")))))
     joined = F.array_join(F.transform(ordered, lambda s: s["x"]), "\n\n")
-    return first.groupBy("db_name").agg(F.coalesce(F.nullif(joined, F.lit("")), F.lit("无可用示例")).alias("examples"))
+    return first.groupBy("db_name").agg(F.coalesce(F.nullif(joined, F.lit("")), F.lit(K.NO_EXAMPLES)).alias("examples"))
 
 
 def glossary_text(items: DataFrame, ids_per_part: int = 256) -> DataFrame:

@@ -94,6 +94,24 @@ add(
     lambda s, d: C.field_sets(frame(s, d, "catalog")).withColumn("fields", F.array_join("fields", ",")),
     with_inputs("catalog", "SELECT db_name, schema_name, table_name, string_agg(DISTINCT lower(column_name), ',' ORDER BY lower(column_name)) AS fields FROM catalog GROUP BY ALL"),
 )
+
+
+def _named_cards(s, d):
+    wanted = frame(s, d, "classes").join(frame(s, d, "namespaces"), "namespace_id").select(
+        F.col("class_id").alias("request_id"), F.lit(0).alias("pos"), "db_name", F.concat_ws(".", "schema_name", "table_name").alias("name")
+    )
+    columns = frame(s, d, "catalog")
+    return C.named_cards(C.resolve_names(wanted, columns.select(*C.KEY).distinct()), columns).drop("pos")
+
+
+add(
+    "named_cards",
+    _named_cards,
+    with_inputs("catalog classes namespaces", _TEXTS + """, one AS (SELECT db_name, schema_name || '.' || table_name AS name, '表: ' || schema_name || '.' || table_name
+        || CASE WHEN table_comment <> '' THEN ' (注释: ' || table_comment || ')' ELSE '' END || chr(10) || '列:' || chr(10) || columns_card AS card FROM texts)
+      SELECT c.class_id AS request_id, c.db_name, n.schema_name || '.' || c.table_name AS name, coalesce(one.card, '未找到表: ' || n.schema_name || '.' || c.table_name) AS card
+      FROM classes c JOIN namespaces n USING (namespace_id) LEFT JOIN one ON one.db_name = c.db_name AND one.name = n.schema_name || '.' || c.table_name"""),
+)
 _RESOLVE = """, f AS (SELECT db_name, table_name, min(schema_name) AS first_schema FROM named_tables GROUP BY ALL)
   , k AS (SELECT DISTINCT db_name, schema_name FROM named_tables)
   , p AS (SELECT *, CASE WHEN contains(name, '.') THEN split_part(name, '.', 1) END AS qs,
