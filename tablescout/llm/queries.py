@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import mixing, pii, secrets
+from tablescout.llm import mixing, packing, pii, secrets
 from tablescout.llm import spans as S
 from tablescout.sources.tables import read_table
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of an installed public tokenizer file, the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=2, with_ids=False)
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     ledger, paths = secrets.advance(read_table(spark, folder, "documents"))
     rows = secrets.findings(ledger, paths)
@@ -36,6 +48,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 Q = {
+    "op2_packing": (op2_packing, None),
     "op3_secrets": (op3_secrets, None),
     "op4_pii": (op4_pii, None),
     "op10_mixing": (op10_mixing, None),
