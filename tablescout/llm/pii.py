@@ -149,11 +149,11 @@ def disclosing_terms(
         .where(F.col("support") >= min_support),
         "pii-pairs",
     )
-    # Documents per candidate term, over the whole corpus; counts combine before the shuffle.
+    # Documents per term over the whole corpus: counts combine before the shuffle, and only then
+    # are the candidate terms picked, so that no row per word of the corpus passes a join.
     in_corpus = (
         docs.where(text.isNotNull())
         .select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))).alias("term"))
-        .join(pairs.select("term").distinct(), "term", "left_semi")
         .groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     )
     total = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
