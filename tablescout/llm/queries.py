@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import mixing, packing, pii, secrets
+from tablescout.llm import mixing, packing, pii, secrets, wavelet
 from tablescout.llm import spans as S
 from tablescout.sources.tables import read_table
 
@@ -41,6 +41,12 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_wavelet(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    path = wavelet.write_shards(docs, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return wavelet.read_shards(spark.read.parquet(path), with_ids=False)
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read_table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "copies"
@@ -51,5 +57,6 @@ Q = {
     "op2_packing": (op2_packing, None),
     "op3_secrets": (op3_secrets, None),
     "op4_pii": (op4_pii, None),
+    "op8_wavelet": (op8_wavelet, None),
     "op10_mixing": (op10_mixing, None),
 }
