@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import mixing, packing, pii, secrets, wavelet
+from tablescout.llm import minhash, mixing, packing, pii, secrets, wavelet
 from tablescout.llm import spans as S
 from tablescout.sources.tables import read_table
 
@@ -47,6 +47,11 @@ def op8_wavelet(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.read_shards(spark.read.parquet(path), with_ids=False)
 
 
+def op9_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    rows = minhash.near_duplicates(read_table(spark, folder, "documents"))
+    return rows.select("doc_id", "component_id", "kept")
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read_table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "copies"
@@ -58,5 +63,6 @@ Q = {
     "op3_secrets": (op3_secrets, None),
     "op4_pii": (op4_pii, None),
     "op8_wavelet": (op8_wavelet, None),
+    "op9_dart_minhash": (op9_dart_minhash, None),
     "op10_mixing": (op10_mixing, None),
 }
