@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import minhash, mixing, packing, pii, secrets, wavelet
+from tablescout.llm import language, minhash, mixing, packing, pii, quality, secrets, wavelet
 from tablescout.llm import spans as S
+from tablescout.llm.common import held_out
 from tablescout.sources.tables import read_table
 
 
@@ -41,6 +42,20 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    rows = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    rows = quality.score(docs, quality.fit(docs, read_table(spark, folder, "labels")))
+    return rows.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op8_wavelet(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     path = wavelet.write_shards(docs, tokenizer_file("word_bpe_49k.json"), end_id=1)
@@ -62,6 +77,8 @@ Q = {
     "op2_packing": (op2_packing, None),
     "op3_secrets": (op3_secrets, None),
     "op4_pii": (op4_pii, None),
+    "op5_language": (op5_language, None),
+    "op7_quality": (op7_quality, None),
     "op8_wavelet": (op8_wavelet, None),
     "op9_dart_minhash": (op9_dart_minhash, None),
     "op10_mixing": (op10_mixing, None),
