@@ -117,7 +117,7 @@ def _throw(text, shingle, weight, bound, texts: int, k: int) -> tuple[np.ndarray
     most = int(weight.max()) if len(weight) else 0
     while low < most:
         own = np.flatnonzero(weight > low)
-        state = [text[own], shingle[own] + _C[20] * np.uint64(region), weight[own], np.zeros(len(own))]
+        state = [text[own], shingle[own] + np.uint64(int(_C[20]) * region % (1 << 64)), weight[own], np.zeros(len(own))]
         nth, step = 0, 1
         while len(state[0]):
             t, seed, w, rank = state

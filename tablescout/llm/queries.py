@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import language, minhash, mixing, packing, pii, quality, secrets, wavelet
+from tablescout.llm import embedding_dedup, language, minhash, mixing, neighbours, packing, pii, quality, secrets, wavelet
 from tablescout.llm import spans as S
 from tablescout.llm.common import held_out
 from tablescout.sources.tables import read_table
@@ -18,6 +18,15 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "embeddings")
+    return neighbours.MultiIndex(rows).search(rows.where(F.col("vec_id") % 50 == 0))
+
+
+def op6_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(read_table(spark, folder, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=2, with_ids=False)
@@ -73,13 +82,22 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 Q = {
+    "op1_multi_index": (op1_multi_index, None),
     "op2_packing": (op2_packing, None),
     "op3_secrets": (op3_secrets, None),
     "op4_pii": (op4_pii, None),
     "op5_language": (op5_language, None),
+    "op6_vector_dedup": (op6_vector_dedup, None),
     "op7_quality": (op7_quality, None),
     "op8_wavelet": (op8_wavelet, None),
     "op9_dart_minhash": (op9_dart_minhash, None),
     "op10_mixing": (op10_mixing, None),
+    "pipeline": (pipeline, None),
 }
