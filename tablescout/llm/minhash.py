@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.llm import textbytes as B
-from tablescout.llm.common import stored
+from tablescout.llm.common import fresh, stored
 from tablescout.llm.graph import components
 
 SHINGLE_WORDS = 5
@@ -165,7 +165,8 @@ def _sign(bands: int, rows: int):
                 node = pa.compute.if_else(none, pa.scalar(None, pa.binary()), _binary(content))
                 lists = pa.compute.if_else(none, pa.scalar(None, lists.type), lists)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, n), node, lists], names=["doc_id", "node", "bands"]
+                    [b.column(0).slice(at, n), b.column(2).slice(at, n), node, lists],
+                    names=["doc_id", "text_hash", "node", "bands"],
                 )
 
     return run
@@ -290,7 +291,7 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
     bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """One row per document: ``doc_id, node, component_id, kept``.
+    """One row per document: ``doc_id, text_hash, node, component_id, kept``.
 
     ``component_id`` is the least id of the documents reachable by links of weighted Jaccard
     similarity at or over the threshold, over whole texts; ``kept`` marks the rows that bear it. ``node``
@@ -300,9 +301,12 @@ def near_duplicates(
     equal results. Null ids never name a component unless all its ids are null. An empty table gives
     no rows; other columns are not read.
     """
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    chosen = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+        F.xxhash64(text_col).alias("text_hash"),
+    )
     signed = stored(
-        chosen.mapInArrow(_sign(bands, rows), "doc_id long, node binary, bands array<long>"), "near-signed"
+        chosen.mapInArrow(_sign(bands, rows), "doc_id long, text_hash long, node binary, bands array<long>"), "near-signed"
     )
     nodes = signed.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.min("bands").alias("bands")
@@ -342,21 +346,20 @@ def near_duplicates(
     )
     least = final.groupBy("top").agg(F.min("first").alias("component_id"))
     classes = final.join(least, "top").select("node", "component_id")
-    return signed.select("doc_id", "node").join(classes, "node", "left").select(
-        "doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    return signed.select("doc_id", "text_hash", "node").join(classes, "node", "left").select(
+        "doc_id", "text_hash", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with one document of each group; all columns stay."""
-    from pyspark.sql import Window
-
-    from tablescout.llm.common import fresh
-
-    found = near_duplicates(docs, id_col, text_col, **options).where("kept")
-    key, nth, many = fresh(docs, "_near_id", "_near_nth", "_near_many")
-    # A document may come as several equal rows, and an id may stand for several documents.
-    kept = found.groupBy(F.col("doc_id").alias(key)).agg(F.countDistinct(F.coalesce(F.hex("node"), F.lit(""))).alias(many))
-    joined = docs.join(kept.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(kept[key]))
-    order = Window.partitionBy(key).orderBy(text_col)
-    return joined.withColumn(nth, F.row_number().over(order)).where(F.col(nth) <= F.col(many)).select(*docs.columns)
+    id_, hash_, nth = fresh(docs, "_near_id", "_near_hash", "_near_nth")
+    # An id may stand for several texts, and a text may come as several equal rows.
+    kept = (
+        near_duplicates(docs, id_col, text_col, **options).where("kept")
+        .groupBy("doc_id", F.coalesce(F.hex("node"), F.col("text_hash").cast("string")))
+        .agg(F.min("text_hash").alias(hash_)).select(F.col("doc_id").alias(id_), hash_).distinct()
+    )
+    same = docs[id_col].cast("long").eqNullSafe(kept[id_]) & (F.xxhash64(docs[text_col]) == kept[hash_])
+    first = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(F.lit(1)))
+    return docs.join(kept.hint("shuffle_hash"), same).withColumn(nth, first).where(F.col(nth) == 1).select(*docs.columns)
