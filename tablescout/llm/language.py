@@ -216,13 +216,14 @@ def identify(
     has = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     if net is None:
         return docs.withColumn(lang, F.lit(UNKNOWN)).withColumn(score, F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(net))
     (letters,) = fresh(docs, "_lang_letters")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Tables(shared.value)
-        names = np.array([*shared.value.languages, UNKNOWN], dtype=object)
+        net = Network(*shared.value)
+        tables = Tables(net)
+        names = np.array([*net.languages, UNKNOWN], dtype=object)
         for b in batches:
             best, share = [np.empty(0, dtype=np.int64)], [np.empty(0)]
             for _, some in B.chunks(b.column(at), _CHUNK):

@@ -164,13 +164,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     Without any label the score is 0.5. Equal texts have equal scores; an empty table gives no rows.
     ``out`` must be free in ``docs``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     at = docs.columns.index(text_col)
     names = [*docs.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [vote(shared.value, features(some), k) for _, some in B.chunks(b.column(at), _CHUNK)]
+            parts = [vote(Model(*shared.value), features(some), k) for _, some in B.chunks(b.column(at), _CHUNK)]
             column = pa.array(np.concatenate([np.empty(0), *parts]), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=names)
 

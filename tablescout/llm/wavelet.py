@@ -32,7 +32,7 @@ from tablescout.llm.tokens import encoder
 SHARD_ROWS, PART_TOKENS = 2048, 8_000_000
 #: Most shards of a run; beyond it shards get more documents and more parts.
 MOST_SHARDS = 20_000
-_MAGIC, _HEAD = b"WVM1", struct.Struct("<4sQIB")
+_MAGIC, _HEAD = b"WVM1", "<4sQIB"
 _RANK_BYTES = 64
 _BLOCK = 1 << 16  # bytes of a plane that are compressed together
 
@@ -46,7 +46,7 @@ def write(ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray) -> byte
     """The file of some documents: all ids one after another, the documents' ids and their lengths."""
     ids = np.asarray(ids, dtype=np.uint32)
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    out = [_HEAD.pack(_MAGIC, len(ids), len(doc_ids), planes)]
+    out = [struct.pack(_HEAD, _MAGIC, len(ids), len(doc_ids), planes)]
     _section(out, np.array([0 if d is None else d for d in doc_ids], dtype="<i8").tobytes())
     _section(out, np.packbits([d is None for d in doc_ids]).tobytes())
     _section(out, np.asarray(sizes, dtype="<u4").tobytes())
@@ -67,10 +67,10 @@ class WaveletFile:
     """Reader of one file image."""
 
     def __init__(self, data: bytes):
-        magic, self.n, docs, self.planes = _HEAD.unpack_from(data)
+        magic, self.n, docs, self.planes = struct.unpack_from(_HEAD, data)
         if magic != _MAGIC:
             raise ValueError("not a wavelet file")
-        self._data, at = data, _HEAD.size
+        self._data, at = data, struct.calcsize(_HEAD)
         sections = []
         while at < len(data):
             raw, packed = struct.unpack_from("<II", data, at)
