@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.llm.common import checkpoint_folder, folds
+from tablescout.llm.textbytes import chunks
 from tablescout.llm.tokens import encoder
 
 #: Documents of a shard, and tokens of a part at which a shard goes on in a new one.
@@ -233,7 +234,8 @@ def write_shards(
                 if of[lo] != shard:
                     yield from close()
                     shard, part = int(of[lo]), 0
-                for at, some in _bounded(b.column(1).slice(lo, hi - lo), part_tokens):
+                # A part has about as many bytes of text as tokens at most.
+                for at, some in chunks(b.column(1).slice(lo, hi - lo), part_tokens):
                     flat, offsets = encode.ids(some)
                     ends = offsets[1:] + np.arange(len(some))
                     keys.extend(b.column(0).slice(lo + at, len(some)).to_pylist())
@@ -255,13 +257,6 @@ def write_shards(
     return path
 
 
-def _bounded(texts: pa.Array, part_tokens: int):
-    """Slices that hold about as many bytes as a part has tokens."""
-    from tablescout.llm.textbytes import chunks
-
-    return chunks(texts, part_tokens)
-
-
 def read_shards(docs_of: DataFrame, with_ids: bool = True) -> DataFrame:
     """Documents of the token files: ``doc_id, start, n_tokens, ids_crc32`` and ``ids``.
 
