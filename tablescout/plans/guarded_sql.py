@@ -1,9 +1,16 @@
-"""Read-only SQL: clean, gate, screen, then Spark SQL."""
+"""Read-only SQL: clean, screen, parse and inspect the plan, then Spark SQL.
+
+The word screen is the named contract; what decides is the plan that the session's own parser makes
+of the text. Anything but a query is refused wherever it stands: commands, inserts, merges, updates,
+deletes, scripts, and functions that call into the JVM. Paths cannot be read as tables. The plan is
+reached through the classic session's JVM handle.
+"""
 
 from __future__ import annotations
 
 import re
 import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,23 +46,111 @@ def date_pattern(pattern: str) -> str:
     return re.sub(names, lambda m: table[m.group(0).lower()], pattern, flags=re.IGNORECASE)
 
 
+_APART = re.compile(
+    r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/""", re.S
+)
+_HELD = r"\x00\d+\x00"
+
+
 def spark_names(sql: str) -> str:
-    """Names that differ between the two dialects: types, date patterns, unnest, epoch, SIMILAR TO."""
-    types = "|".join(sorted(TYPE_NAMES, key=len, reverse=True))
-    named = lambda m: m.group(1) + TYPE_NAMES[m.group(2).lower()]
+    """Names that differ between the two dialects: types, date patterns, unnest, epoch, SIMILAR TO.
+
+    Literals, quoted names and comments are set aside first; only the patterns of date functions and
+    of SIMILAR TO are changed in them.
+    """
+    held: list[str] = []
+
+    def hold(m: re.Match) -> str:
+        held.append(m.group(0))
+        return f"\0{len(held) - 1}\0"
+
+    def change(m: re.Match, fn) -> None:
+        at = int(m.group("at"))
+        held[at] = "'" + fn(held[at][1:-1]) + "'"
+
+    def dated(m: re.Match) -> str:
+        change(m, date_pattern)
+        return m.group(0)
+
+    def similar(m: re.Match) -> str:
+        change(m, lambda p: _similar(p).replace("\\", "\\\\"))
+        return f"rlike \0{m.group('at')}\0"
+
+    sql = _APART.sub(hold, sql)
+    types = "|".join(re.escape(t).replace(r"\ ", r"\s+") for t in sorted(TYPE_NAMES, key=len, reverse=True))
+    named = lambda m: m.group(1) + TYPE_NAMES[re.sub(r"\s+", " ", m.group(2).lower())]
     sql = re.sub(rf"(::\s*)({types})\b(?!\s*\()", named, sql, flags=re.I)
     sql = re.sub(rf"(\bas\s+)({types})\b(?=\s*\))", named, sql, flags=re.I)
-    sql = re.sub(
-        r"(\bto_(?:char|date|timestamp)\s*\((?:[^()']|'[^']*'|\([^()]*\))*,\s*')([^']*)('\s*\))",
-        lambda m: m.group(1) + date_pattern(m.group(2)) + m.group(3), sql, flags=re.I,
-    )
+    sql = re.sub(r"\bcharacter\s+varying\b(?=\s*\()", "varchar", sql, flags=re.I)
+    sql = re.sub(r"(\bto_(?:char|date|timestamp)\s*\((?:[^()]|\([^()]*\))*,\s*)\x00(?P<at>\d+)\x00(?=\s*\))", dated, sql, flags=re.I)
     sql = re.sub(r"\bunnest\s*\(", "explode(", sql, flags=re.I)
     sql = re.sub(r"\bextract\s*\(\s*epoch\s+from\s+((?:[^()]|\([^()]*\))+)\)", r"unix_timestamp(\1)", sql, flags=re.I)
-    return re.sub(r"\bsimilar\s+to\s+'([^']*)'", lambda m: f"rlike '{_similar(m.group(1))}'", sql, flags=re.I)
+    sql = re.sub(r"\bsimilar\s+to\s+\x00(?P<at>\d+)\x00", similar, sql, flags=re.I)
+    return re.sub(_HELD, lambda m: held[int(m.group(0)[1:-1])], sql)
 
 
 def _similar(pattern: str) -> str:
-    return "^(?:" + pattern.replace("%", ".*").replace("_", ".") + ")$"
+    """A SIMILAR TO pattern as a regular expression over the whole text."""
+    out, bracket, at = [], False, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\" and at + 1 < len(pattern):
+            at += 1
+            out.append(re.escape(pattern[at]))
+        elif bracket:
+            bracket = c != "]"
+            out.append(c)
+        elif c == "%":
+            out.append(".*")
+        elif c == "_":
+            out.append(".")
+        elif c in ".^$":
+            out.append("\\" + c)
+        else:
+            bracket = c == "["
+            out.append(c)
+        at += 1
+    return "(?s)^(?:" + "".join(out) + ")$"
+
+
+_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
+#: Functions that run methods of the JVM.
+_CALLS = {"reflect", "java_method", "try_reflect"}
+
+
+def _each(seq):
+    return (seq.apply(i) for i in range(seq.size()))
+
+
+def plan_fault(spark: SparkSession, sql: str) -> str | None:
+    """What makes a text more than a query, or null; a text that cannot be parsed is a fault too."""
+    from py4j.java_gateway import is_instance_of
+
+    gateway = spark.sparkContext._gateway
+    try:
+        root = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:
+        return "it cannot be parsed: " + str(e).split("\n")[0]
+    todo = [root]
+    while todo:
+        plan = todo.pop()
+        name = plan.getClass().getSimpleName()
+        if "ScriptTransformation" in name or any(
+            is_instance_of(gateway, plan, _LOGICAL + k) for k in ("Command", "ParsedStatement")
+        ):
+            return f"{name} is not a query"
+        expressions = list(_each(plan.expressions()))
+        while expressions:
+            e = expressions.pop()
+            if e.getClass().getSimpleName() == "UnresolvedFunction":
+                called = e.nameParts().last().lower()
+                if called in _CALLS:
+                    return f"{called} calls into the JVM"
+            expressions.extend(_each(e.children()))
+        # Tables of a WITH clause are inner children, queries in expressions are subqueries.
+        for some in (plan.children(), plan.subqueries(), plan.innerChildren()):
+            todo.extend(x for x in _each(some) if is_instance_of(gateway, x, _LOGICAL + "LogicalPlan"))
+    return None
 
 
 def checked_sql(spark: SparkSession, raw: str) -> str:
@@ -79,6 +174,20 @@ def checked_sql(spark: SparkSession, raw: str) -> str:
     return row["s"]
 
 
+@contextmanager
+def _guarded(spark: SparkSession):
+    """Double quotes name identifiers, and a path is never a table, while a query is analysed."""
+    wanted = {_QUOTED: "true", "spark.sql.runSQLOnFiles": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def run_sql(spark: SparkSession, raw: str, compat: bool = False) -> DataFrame:
     """Run one guarded query; ``"name"`` quotes an identifier.
 
@@ -89,12 +198,11 @@ def run_sql(spark: SparkSession, raw: str, compat: bool = False) -> DataFrame:
         sql = spark_names(sql)
         for statement in _COMPAT_FUNCTIONS:
             spark.sql(statement)
-    before = spark.conf.get(_QUOTED)
-    spark.conf.set(_QUOTED, "true")
-    try:
+    with _guarded(spark):
+        fault = plan_fault(spark, sql)
+        if fault:
+            raise ValueError(f"only SELECT queries are allowed: {fault}")
         return spark.sql(sql)
-    finally:
-        spark.conf.set(_QUOTED, before)
 
 
 _RUN = (
