@@ -95,6 +95,9 @@ def admit_events(
 ) -> DataFrame:
     """Decision per event: ``key, time, tie, admitted``. ``tie`` is a unique integer id.
 
+    Events with a null key share one key of their own. An event without a time lies in no window and
+    is not admitted.
+
     ``run_up`` is in windows and defaults to a sixteenth of a bucket: two folds of the same
     events from different states mostly agree after some windows, also over the limit.
     """
@@ -105,10 +108,13 @@ def admit_events(
     window = seconds * 1_000_000
     span = window * windows_per_bucket
     base = events.select(
-        F.col(key).cast("string").alias("k"),
+        # A mark before the value keeps null apart from any text.
+        F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("k"),
         epoch_micros(F.col(time), events.schema[time].dataType).alias("us"),
         F.col(tie).cast("long").alias("id"),
     )
+    timeless = events.where(F.col(time).isNull()).select(key, time, F.col(tie).cast("long").alias(tie), F.lit(False).alias("admitted"))
+    base = base.where(F.col("us").isNotNull())
     own = F.floor(F.col("us") / F.lit(span)).cast("long")
     early = F.floor((F.col("us") + F.lit(run_up * window)) / F.lit(span)).cast("long")
     pieces = base.withColumn("bucket", F.explode(F.sequence(own, early)))
@@ -144,11 +150,11 @@ def admit_events(
         decided = rows if decided is None else decided.unionByName(rows)
     typ = events.schema[key].dataType
     return decided.select(
-        F.col("k").cast(typ).alias(key),
+        F.when(F.col("k") != "", F.substring("k", 2, 2**31 - 1)).cast(typ).alias(key),
         from_micros(F.col("us"), events.schema[time].dataType).alias(time),
         F.col("id").alias(tie),
         "admitted",
-    )
+    ).unionByName(timeless)
 
 
 def _wrong_guesses(states: DataFrame) -> DataFrame:

@@ -29,15 +29,15 @@ def hashed_ngrams(dim: int = 64, n: int = 3) -> Encoder:
     weights = [31 ** (n - 1 - i) for i in range(n)]
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for row, t in enumerate(texts):
-            codes = np.frombuffer((t or "").encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-            if len(codes) < n:
-                continue
-            last = len(codes) - n + 1
-            h = sum(w * codes[i : i + last] for i, w in enumerate(weights))
-            out[row] = np.bincount((h % 1000003) % dim, minlength=dim)
-        return unit_rows(out)
+        # One buffer of code points for the batch; a gram counts when it lies in one text.
+        codes = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(t or "") for t in texts])
+        last = max(len(codes) - n + 1, 0)
+        h = sum(w * codes[i : i + last] for i, w in enumerate(weights))
+        own = np.flatnonzero(row[:last] == row[n - 1 : n - 1 + last])
+        cell = row[own] * dim + (h[own] % 1000003) % dim if last else own
+        out = np.bincount(cell, minlength=len(texts) * dim).reshape(len(texts), dim)
+        return unit_rows(out.astype(np.float64))
 
     return encode
 
@@ -106,7 +106,10 @@ def encode(
 def encode_for_providers(
     items: DataFrame, text: str, factories: dict[str, Callable[[], Encoder]], **options
 ) -> DataFrame:
-    """Encode the rows of each provider with its own encoder (``provider`` column)."""
+    """Encode the rows of each provider with its own encoder (``provider`` column).
+
+    Rows of a provider without an encoder, or without a provider, keep a null vector.
+    """
     parts = [
         encode(items.where(F.col("provider") == name), text, make, **options)
         for name, make in factories.items()
@@ -114,7 +117,9 @@ def encode_for_providers(
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    served = F.coalesce(F.col("provider").isin(list(factories)), F.lit(False))
+    column = options.get("out", "embedding")
+    return out.unionByName(items.where(~served).withColumn(column, F.lit(None).cast("array<float>")))
 
 
 def vector_rejects(vectors: DataFrame, dims: dict[str, int]) -> DataFrame:

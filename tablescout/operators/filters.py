@@ -62,8 +62,11 @@ def usable_tenants(tenants: DataFrame, excluded: Iterable[str] = ()) -> DataFram
     return tenants.where(host_ok & ~F.col("db_name").isin(list(excluded)))
 
 
-def finite_or_null(df: DataFrame, time_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
-    """NaN and infinities become null, dates and times become text."""
+def finite_or_null(df: DataFrame, time_format: str | None = None) -> DataFrame:
+    """NaN and infinities become null, dates and times become text.
+
+    Without a format, a time is written to the second, with its fraction where it has one.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -71,7 +74,7 @@ def finite_or_null(df: DataFrame, time_format: str = "yyyy-MM-dd HH:mm:ss") -> D
             bad = F.isnan(c) | (F.abs(c) == float("inf"))
             c = F.when(~bad, c)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, time_format)
+            c = F.date_format(c, time_format) if time_format else c.cast("string")
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         out.append(c.alias(f.name))

@@ -97,7 +97,7 @@ def latency_stats(log: DataFrame, by: list[str] = ()) -> DataFrame:
         log.where(F.col("execute_status") == "success")
         .groupBy(*by)
         .agg(
-            F.round(F.avg(d), 6).alias("avg_ms"),
+            F.avg(d).alias("avg_ms"),
             F.max(d).alias("max_ms"),
             F.min(d).alias("min_ms"),
             F.count(F.lit(1)).alias("runs"),
@@ -109,7 +109,7 @@ def stage_durations(log: DataFrame) -> DataFrame:
     """Mean and largest time of each stage by mode and status."""
     aggs = []
     for c in STAGES:
-        aggs += [F.round(F.avg(c), 6).alias("avg_" + c), F.max(c).alias("max_" + c)]
+        aggs += [F.avg(c).alias("avg_" + c), F.max(c).alias("max_" + c)]
     return log.groupBy("search_mode", "execute_status").agg(*aggs)
 
 
@@ -119,15 +119,28 @@ def usage_totals(calls: DataFrame, by: list[str]) -> DataFrame:
     return calls.groupBy(*by).agg(*sums, F.count(F.lit(1)).alias("llm_calls"))
 
 
-def retrieval_quality(hits: DataFrame, by: list[str], within: float) -> DataFrame:
-    """Score spread and the share of hits at or under a distance."""
+def retrieval_quality(
+    hits: DataFrame, by: list[str], within: float, percentiles: tuple[float, ...] = (0.5, 0.95), latency: str | None = None
+) -> DataFrame:
+    """Score spread, percentiles and the share of hits at or under a distance.
+
+    Percentile ``p`` is column ``score_p50`` and so on; ``latency`` names a column of durations whose
+    mean and percentiles are added as ``latency_avg``, ``latency_p50`` and so on. Percentiles
+    lie between two rows where they must; values are counted, not listed.
+    """
     good = F.count_if(F.col("score") <= within).cast("double")
+
+    def spread(column: str, prefix: str) -> list[Column]:
+        return [F.percentile(column, p).alias(f"{prefix}_p{round(100 * p)}") for p in percentiles]
+
+    more = [F.avg(latency).alias("latency_avg"), *spread(latency, "latency")] if latency else []
     return hits.groupBy(*by).agg(
         F.count(F.lit(1)).alias("hits"),
-        F.round(F.avg("score"), 6).alias("avg_score"),
-        F.round(F.min("score"), 6).alias("min_score"),
-        F.round(F.max("score"), 6).alias("max_score"),
-        F.round(good / F.count(F.lit(1)), 6).alias("hit_share"),
+        F.avg("score").alias("avg_score"),
+        F.min("score").alias("min_score"),
+        F.max("score").alias("max_score"),
+        (good / F.count(F.lit(1))).alias("hit_share"),
+        *spread("score", "score"), *more,
     )
 
 
@@ -139,7 +152,8 @@ def trailing_counts(
     Equal times of a key are counted before the shuffle. Time is cut into buckets of several
     windows, and the counts of the last window of a bucket are also sent to the next one, so
     a task holds one bucket of one key, never a whole key. The result has one row per
-    (key, time) with ``n`` events at that time and ``trailing`` in the window.
+    (key, time) with ``n`` events at that time and ``trailing`` in the window. A null time lies in no
+    window, so its row has a null ``trailing``.
     """
     window = seconds * 1_000_000
     span = window * slots_per_bucket
@@ -147,10 +161,12 @@ def trailing_counts(
     at = events.groupBy(key, time).agg(F.count(F.lit(1)).alias("n")).withColumn("_us", micros)
     own = F.floor(F.col("_us") / F.lit(span)).cast("long")
     last = F.floor((F.col("_us") + F.lit(window - 1)) / F.lit(span)).cast("long")
-    spread = at.withColumn("_own", own).withColumn("_bucket", F.explode(F.sequence("_own", last)))
+    timeless = at.where(F.col(time).isNull()).select(key, time, "n", F.lit(None).cast("long").alias("trailing"))
+    spread = at.where(F.col(time).isNotNull()).withColumn("_own", own).withColumn("_bucket", F.explode(F.sequence("_own", last)))
     w = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-(window - 1), 0)
     return (
         spread.withColumn("trailing", F.sum("n").over(w))
         .where(F.col("_bucket") == F.col("_own"))
         .select(key, time, "n", "trailing")
+        .unionByName(timeless)
     )

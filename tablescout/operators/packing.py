@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.functions import constants as K
@@ -138,7 +138,8 @@ def pack_blocks(
 
     ``pos`` is a unique integer order inside the group. A batch holds at most ``max_chars``
     characters with two between blocks. When a block does not fit and the batch has fewer
-    than ``least`` blocks, the block is added anyway and the batch is closed.
+    than ``least`` blocks, the block is added anyway and the batch is closed. Blocks without a
+    header are not packed; ``headerless_parts`` takes the groups that have no other.
     """
     gtype = blocks.schema[group].dataType.simpleString()
     lengths = blocks.where(is_block(F.col(block))).select(
@@ -165,6 +166,48 @@ def pack_blocks(
     return out.select(F.col("g").alias(group), F.col("pos").alias(pos), "chars", "batch_no")
 
 
+def headerless_parts(
+    blocks: DataFrame, group: str, pos: str, block: str, max_chars: int = K.MAX_BATCH_CHARS, piece_rows: int = 4096
+) -> DataFrame:
+    """Groups without any headed block, cut by length: ``group, batch_no, pos, fragment``.
+
+    The blocks of such a group, two line ends between them, are one text that is cut every
+    ``max_chars`` characters; a block that lies across a cut gives a fragment to each side. Places
+    are sums over pieces of ``piece_rows`` positions and within them, so no task holds a group. Null
+    blocks count as empty.
+    """
+    text = F.coalesce(F.col(block), F.lit(""))
+    plain = blocks.groupBy(F.col(group).alias("_g")).agg(
+        F.max(F.coalesce(is_block(F.col(block)), F.lit(False))).alias("_headed"), F.max(pos).alias("_last")
+    ).where("NOT _headed")
+    rows = blocks.join(plain, blocks[group].eqNullSafe(F.col("_g"))).select(
+        F.col(group), F.col(pos).cast("long").alias("_pos"), F.floor(F.col(pos) / piece_rows).cast("long").alias("_piece"),
+        F.when(F.col(pos) < F.col("_last"), F.concat(text, F.lit("\n" * GAP))).otherwise(text).alias("_text"),
+    )
+    size = F.char_length("_text").cast("long")
+    sums = rows.groupBy(F.col(group).alias("_g"), "_piece").agg(F.sum(size).alias("_n"))
+    earlier = Window.partitionBy("_g").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n").withColumnRenamed("_piece", "_p")
+    within = Window.partitionBy(group, "_piece").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_in", F.coalesce(F.sum(size).over(within), F.lit(0))).join(
+        starts, rows[group].eqNullSafe(F.col("_g")) & (F.col("_piece") == F.col("_p"))
+    ).withColumn("_start", F.col("_before") + F.col("_in")).withColumn("_end", F.col("_start") + size)
+    cut = placed.where("_end > _start").withColumn(
+        "batch_no", F.explode(F.sequence(F.floor(F.col("_start") / max_chars), F.floor((F.col("_end") - 1) / max_chars)))
+    )
+    lo = F.greatest(F.col("batch_no") * max_chars, F.col("_start"))
+    hi = F.least((F.col("batch_no") + 1) * max_chars, F.col("_end"))
+    fragment = F.substring("_text", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int"))
+    return cut.select(group, "batch_no", F.col("_pos").alias(pos), fragment.alias("fragment"))
+
+
+def headerless_texts(parts: DataFrame, group: str, pos: str) -> DataFrame:
+    """Text of every batch of ``headerless_parts``; its length is bounded by the cuts."""
+    return parts.groupBy(group, "batch_no").agg(
+        F.expr(f"listagg(fragment, '') within group (order by `{pos}`)").alias("batch_text")
+    )
+
+
 def batch_sizes(packed: DataFrame, group: str) -> DataFrame:
     """Blocks and characters of every batch."""
     return packed.groupBy(group, "batch_no").agg(

@@ -41,11 +41,7 @@ def _weighted(hits: Column) -> Column:
 
 def hit_weights(hits: DataFrame) -> DataFrame:
     """Weight of each hit: 0.6 of its place plus 0.4 of its closeness."""
-    return (
-        _hit_lists(hits)
-        .select("request_id", F.inline(_weighted(F.col("_hits"))))
-        .withColumn("weight", F.round("weight", 6))
-    )
+    return _hit_lists(hits).select("request_id", F.inline(_weighted(F.col("_hits"))))
 
 
 def _keys(weighted: Column) -> Column:
@@ -80,12 +76,12 @@ def candidate_scores(candidates: DataFrame, requests: DataFrame, hits: DataFrame
     tables = F.aggregate("_used", F.lit(0.0), lambda a, e: a + e["w"])
     joined = found.select(
         "request_id", "batch", "sql",
-        F.round(F.coalesce(tables, F.lit(0.0)), 6).alias("table_score"),
+        F.coalesce(tables, F.lit(0.0)).alias("table_score"),
         F.greatest(F.coalesce("_n", F.lit(0)), F.lit(0)).alias("keyword_hits"),
         F.greatest(F.coalesce(F.size("_used"), F.lit(0)), F.lit(0)).alias("tables_used"),
     )
     total = K.TABLE_WEIGHT * F.col("table_score") + F.col("keyword_hits") + (10 - F.col("batch")) * K.BATCH_STEP
-    return joined.withColumn("score", F.round(total, 4))
+    return joined.withColumn("score", total)
 
 
 def best_candidate(scored: DataFrame) -> DataFrame:

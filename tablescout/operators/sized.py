@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows of short keys up to this count are broadcast; more are joined by shuffling.
-BROADCAST_ROWS = 200_000
+# Keys of up to this many bytes are broadcast; more are joined by shuffling.
+BROADCAST_BYTES = 10 * 1024 * 1024
 
 
-def broadcast_if_small(keys: DataFrame, count: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``keys`` (already written) with a broadcast hint when it has at most ``limit`` rows.
+def measured_bytes(keys: DataFrame) -> int:
+    """Bytes of the values, with eight for each field as in Spark's rows."""
+    parts = [
+        F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.lit(0)
+        for f in keys.schema.fields
+    ]
+    row = sum(parts, F.lit(8 * len(parts)))
+    return keys.agg(F.sum(row.cast("long")).alias("b")).first()["b"] or 0
 
-    An unknown count is taken here and stops just over the limit. Without the hint Spark plans
-    the join by itself.
+
+def broadcast_if_small(keys: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``keys`` (already written) with a broadcast hint when they are measured to be small.
+
+    Without the hint Spark plans the join by itself.
     """
-    if count is None:
-        count = keys.limit(limit + 1).count()
-    return F.broadcast(keys) if count <= limit else keys
+    return F.broadcast(keys) if measured_bytes(keys) <= limit else keys

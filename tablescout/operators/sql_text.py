@@ -60,18 +60,18 @@ def name_facts(columns: DataFrame) -> DataFrame:
     A name may have several roles but one row per role. Nothing is collected, so a table name
     that occurs in very many schemas is no large group.
     """
-    low = _lower_catalog(columns)
-
-    def part(name: Column, role: str) -> DataFrame:
-        names = low.select("db_name", name.alias("name")).where("name <> ''").distinct()
-        return names.select("db_name", "name", F.lit(role).alias("role"))
-
     pair = F.concat("t", F.lit("."), "c")
-    parts = [part(F.col("s"), "s"), part(F.col("t"), "t"), part(F.col("c"), "f"), part(pair, "p")]
-    out = _markers(columns)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    roles = {"s": F.col("s"), "t": F.col("t"), "f": F.col("c"), "p": pair}
+    # The catalog is read once: a column gives its four names, and one distinct settles them all.
+    named = F.array(*[F.struct(n.alias("name"), F.lit(r).alias("role")) for r, n in roles.items()])
+    tenant = F.struct(F.lit("#").alias("name"), F.lit("m").alias("role"))
+    rows = _lower_catalog(columns).select("db_name", F.explode(F.array_append(named, tenant)).alias("x"))
+    distinct = rows.select("db_name", "x.name", "x.role").where("name <> ''").distinct()
+    # A tenant's one marker becomes all of them.
+    every = F.when(F.col("role") == "m", F.transform(
+        F.sequence(F.lit(0), F.lit(_MARKERS - 1)), lambda i: F.concat(F.lit("#"), i.cast("string"))
+    )).otherwise(F.array("name"))
+    return distinct.select("db_name", F.explode(every).alias("name"), "role")
 
 
 def table_fields(columns: DataFrame) -> DataFrame:

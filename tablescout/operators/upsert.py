@@ -47,8 +47,13 @@ def bulk_upsert(
     """Update matched keys and insert the others, in one full outer join.
 
     ``keep`` lists columns whose stored value survives an update (creation time, id). A null in
-    a key column is taken as ''.
+    a key column is taken as ''. A column that the stored table lacks is an error; add it first with
+    ``add_missing_columns``.
     """
+    unknown = [c for c in incoming.columns if c not in stored.columns]
+    if unknown:
+        raise ValueError(f"the stored table has no column {', '.join(unknown)}")
+
     def clean(df: DataFrame) -> DataFrame:
         strings = [f.name for f in df.schema.fields if f.name in key and isinstance(f.dataType, T.StringType)]
         return df.withColumns({k: F.coalesce(k, F.lit("")) for k in strings}) if strings else df
@@ -76,14 +81,16 @@ def bulk_upsert(
 
 
 def pk_upsert(stored: DataFrame, incoming: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Union, newest row per key.
+    """Union, newest row per key; of equally new rows the incoming one wins.
 
     The newest row is picked by an aggregate that combines before the shuffle, so many
     versions of one key never meet in one task.
     """
-    both = stored.unionByName(incoming.select(*stored.columns))
+    both = stored.withColumn("_side", F.lit(0)).unionByName(
+        incoming.select(*stored.columns).withColumn("_side", F.lit(1))
+    )
     rest = [c for c in stored.columns if c not in key]
-    newest = F.max(F.struct(F.col(order), *[c for c in rest if c != order])).alias("_row")
+    newest = F.max(F.struct(F.col(order), F.col("_side"), *[c for c in rest if c != order])).alias("_row")
     return both.groupBy(*key).agg(newest).select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 

@@ -26,24 +26,31 @@ _QUOTED = "spark.sql.ansi.doubleQuotedIdentifiers"
 TYPE_NAMES = {
     "text": "string", "int8": "bigint", "int4": "int", "int2": "smallint",
     "timestamptz": "timestamp", "double precision": "double", "float8": "double",
-    "float4": "float", "bool": "boolean", "varchar": "string",
+    "float4": "float", "bool": "boolean", "varchar": "string", "character varying": "string",
+    "json": "string", "jsonb": "string", "uuid": "string",
 }
 # PostgreSQL date pattern parts and their Java letters.
 DATE_PARTS = (
-    ("YYYY", "yyyy"), ("YY", "yy"), ("MM", "MM"), ("DD", "dd"), ("HH24", "HH"), ("HH12", "hh"),
-    ("HH", "hh"), ("MI", "mm"), ("SS", "ss"), ("MS", "SSS"), ("US", "SSSSSS"), ("AM", "a"), ("PM", "a"),
+    ("YYYY", "yyyy"), ("YY", "yy"), ("MONTH", "MMMM"), ("MON", "MMM"), ("MM", "MM"), ("DAY", "EEEE"), ("DY", "EEE"), ("DD", "dd"), ("HH24", "HH"), ("HH12", "hh"),
+    ("HH", "hh"), ("MI", "mm"), ("SS", "ss"), ("MS", "SSS"), ("US", "SSSSSS"), ("AM", "a"), ("PM", "a"), ("Q", "Q"),
 )
 _COMPAT_FUNCTIONS = (
-    "CREATE OR REPLACE TEMPORARY FUNCTION age(a TIMESTAMP, b TIMESTAMP) "
-    "RETURNS INTERVAL DAY TO SECOND RETURN a - b",
+    # With one argument the age is counted to the start of today.
+    "CREATE OR REPLACE TEMPORARY FUNCTION age(a TIMESTAMP, b TIMESTAMP DEFAULT NULL) RETURNS INTERVAL DAY TO SECOND "
+    "RETURN CASE WHEN b IS NULL THEN cast(current_date() AS TIMESTAMP) - a ELSE a - b END",
 )
 
 
 def date_pattern(pattern: str) -> str:
-    """A PostgreSQL date pattern in Java letters."""
+    """A PostgreSQL date pattern in Java letters, as it stands between quotes in a SQL text."""
     table = {k.lower(): v for k, v in DATE_PARTS}
     names = "|".join(k for k, _ in DATE_PARTS)
-    return re.sub(names, lambda m: table[m.group(0).lower()], pattern, flags=re.IGNORECASE)
+
+    def part(m: re.Match) -> str:
+        found = m.group(0)
+        return "''" + found[1:-1] + "''" if found[0] == '"' else table[found.lower()]
+
+    return re.sub('"[^"]*"|' + names, part, pattern, flags=re.IGNORECASE)
 
 
 _APART = re.compile(
@@ -86,6 +93,7 @@ def spark_names(sql: str) -> str:
     sql = re.sub(r"\bunnest\s*\(", "explode(", sql, flags=re.I)
     sql = re.sub(r"\bextract\s*\(\s*epoch\s+from\s+((?:[^()]|\([^()]*\))+)\)", r"unix_timestamp(\1)", sql, flags=re.I)
     sql = re.sub(r"\bsimilar\s+to\s+\x00(?P<at>\d+)\x00", similar, sql, flags=re.I)
+    sql = re.sub(r"\blocaltimestamp\b(?!\s*\()", "localtimestamp()", sql, flags=re.I)
     return re.sub(_HELD, lambda m: held[int(m.group(0)[1:-1])], sql)
 
 
@@ -110,7 +118,7 @@ def _similar(pattern: str) -> str:
             bracket = c == "["
             out.append(c)
         at += 1
-    return "(?s)^(?:" + "".join(out) + ")$"
+    return "^(?:" + "".join(out) + ")$"
 
 
 _LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."

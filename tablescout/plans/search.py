@@ -36,8 +36,20 @@ def search_questions(
 
 
 def search_or_build(
-    questions: DataFrame, vectors: DataFrame, build: Callable[[], DataFrame], k: int = 10
+    questions: DataFrame,
+    vectors: DataFrame,
+    build: Callable[[], DataFrame],
+    k: int = 10,
+    tenant: str | None = None,
+    provider: str | None = None,
 ) -> DataFrame:
-    """Search, building the vectors first when there are none."""
-    ready = vectors if filters.any_row(vectors.where(F.col("embedding").isNotNull())) else build()
-    return search_questions(questions, ready, k)
+    """Search, building the vectors first when the tenant and provider have none.
+
+    ``build`` gives the vectors of that tenant and provider.
+    """
+    own = vectors.where(F.col("embedding").isNotNull())
+    if tenant is not None:
+        own = own.where(F.col("db_name") == tenant)
+    if provider is not None:
+        own = own.where(F.col("provider") == provider)
+    return search_questions(questions, own if filters.any_row(own) else build(), k)

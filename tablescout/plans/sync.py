@@ -4,8 +4,9 @@
 ``provider, text_hash, embedding, updated_at``, one row per (item, provider). The hash is kept
 per provider, so one provider's update never hides another's.
 
-Only keys and hashes are joined to find what moved. When few items moved, their keys are
-broadcast and neither texts nor vectors are shuffled; otherwise they are joined by shuffling.
+Only keys and hashes are joined to find what moved. When the keys of the moved items are measured to
+be small they are broadcast, and neither texts nor vectors are shuffled; otherwise all are joined
+by shuffling.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions import constants as K
-from tablescout.operators import diff, encode
+from tablescout.operators import diff, encode, upsert
 from tablescout.operators.catalog_text import glossary_vector_text, knowledge_vector_text
+from tablescout.operators.filters import visible_items
 from tablescout.operators.sized import broadcast_if_small
 from tablescout.sources.lineage import cut_lineage
 
@@ -55,21 +57,17 @@ def apply_sync(
     """
     out = [*ITEM, "text_hash", "embedding", "updated_at", "status"]
     old = diff.with_key(stored)
-    sizes = {r["status"]: r["count"] for r in classes.groupBy("status").count().collect()}
-    n_todo = sizes.get("new", 0) + sizes.get("changed", 0)
-    n_absent = sizes.get("removed", 0) + sizes.get("gone", 0)
     todo = classes.where(F.col("status").isin("new", "changed"))
     texts = diff.with_key(items).select(*diff.KEY, "vector_text")
-    work = texts.join(
-        broadcast_if_small(todo.select(*ITEM, F.col("cur_text_hash").alias("text_hash"), "status"), n_todo), diff.KEY
-    )
+    keys = todo.select(*ITEM, F.col("cur_text_hash").alias("text_hash"), "status")
+    work = texts.join(broadcast_if_small(keys), diff.KEY)
     coded = _encode(work, encoders or default_encoders()).withColumn("updated_at", now)
     moved = classes.where(F.col("status") != "unchanged").select(*ITEM, "status")
-    kept = old.join(broadcast_if_small(moved.select(*ITEM), n_todo + n_absent), ITEM, "left_anti").withColumn(
+    kept = old.join(broadcast_if_small(moved.select(*ITEM)), ITEM, "left_anti").withColumn(
         "status", F.lit("unchanged")
     )
     absent = moved.where(F.col("status").isin("removed", "gone"))
-    left = old.drop("embedding").join(broadcast_if_small(absent, n_absent), ITEM)
+    left = old.drop("embedding").join(broadcast_if_small(absent), ITEM)
     cleared = left.withColumns(
         {
             "embedding": F.lit(None).cast("array<float>"),
@@ -146,16 +144,15 @@ def check_tenants(
 def check_and_sync(
     items: DataFrame, stored: DataFrame, fingerprints: DataFrame, now: Column
 ) -> DataFrame:
-    """Sync the tenants that need it and drop rows of excluded schemas.
+    """Sync the tenants that need it and drop rows of excluded schemas and tables.
 
-    Tenants whose gate says ``none`` pass through unread by the encoder. The tenant list is one
-    row per tenant, so its joins are broadcast when it is small.
+    Tenants whose gate says ``none`` pass through unread by the encoder; a null schema counts as the
+    empty one and is never excluded.
     """
     gate = cut_lineage(check_tenants(items, stored, fingerprints))
     todo = broadcast_if_small(gate.where(F.col("action") != "none").select("db_name"))
     busy = items.join(todo, "db_name", "left_semi")
     synced = store(incremental_sync(busy, stored.join(todo, "db_name", "left_semi"), now))
-    rest = stored.join(todo, "db_name", "left_anti")
-    return synced.unionByName(rest.select(*synced.columns)).where(
-        ~F.col("schema_name").isin(list(K.EXCLUDED_SCHEMAS))
-    )
+    rest = diff.with_key(stored).join(todo, "db_name", "left_anti")
+    visible = visible_items(F.col("schema_name"), F.col("table_name"))
+    return upsert.delete_where(synced.unionByName(rest.select(*synced.columns)), ~visible)

@@ -13,18 +13,24 @@ from tablescout.plans import sync
 from tablescout.sources import snapshots
 from tablescout.sources.lineage import cut_lineage
 
-MARKERS = "snapshot_at timestamp_ntz, path string"
+MARKERS = "snapshot_at timestamp_ntz, path string, tenants array<string>"
 
 
-def apply_snapshot(items: DataFrame, root: str, encoders: dict[str, Callable] | None = None) -> dict:
+def apply_snapshot(
+    items: DataFrame, root: str, encoders: dict[str, Callable] | None = None, tenants: list[str] | None = None
+) -> dict:
     """Bring the stored vectors of the snapshot's tenants up to date: deletes, then upserts.
 
+    ``tenants`` names what the snapshot covers, so that a tenant without any item is cleared; without
+    it the tenants are those that have items.
     Only the folders of these tenants are read, only tenants with a change are written, and
     nothing is written when nothing changed.
     """
     spark = items.sparkSession
-    tenants = items.select("db_name").distinct()
-    stored = snapshots.read_parts(spark, root, sync.STORED, "db_name", tenants)
+    covered = items.select("db_name")
+    if tenants:
+        covered = covered.unionByName(spark.createDataFrame([(t,) for t in tenants], "db_name string"))
+    stored = snapshots.read_parts(spark, root, sync.STORED, "db_name", covered.distinct())
     # Hashes first: texts are encoded only when some hash differs.
     classes = sync.sync_classes(items, stored)
     counts = classes.agg(
@@ -59,13 +65,13 @@ def watch(
 
     The stream reads marker rows (``snapshot_at``, ``path``), one small JSON file per finished
     snapshot; the snapshot itself may have any number of files and is read as a table. It
-    holds all items of its tenants.
+    holds all items of its tenants, which ``tenants`` of the marker may name.
     """
     rows = spark.readStream.schema(MARKERS).option("maxFilesPerTrigger", 16).json(markers)
 
     def each(batch: DataFrame, _: int) -> None:
         for marker in batch.orderBy("snapshot_at").collect():
-            apply_snapshot(spark.read.parquet(marker["path"]), root, encoders)
+            apply_snapshot(spark.read.parquet(marker["path"]), root, encoders, marker["tenants"])
 
     writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}

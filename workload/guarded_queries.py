@@ -72,6 +72,14 @@ add("sql_dates_compat", """SELECT event_id, to_char(ts, 'YYYY-MM-DD HH24:MI:SS')
 extract(day FROM age(ts, to_timestamp('2024-01-01 00:00', 'YYYY-MM-DD HH24:MI'))) AS days FROM events""",
     """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS day, DATE '2024-01-05' AS d, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
 CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 86400) AS INTEGER) AS days FROM events""", compat=True)
+add("sql_date_names", """SELECT o_orderkey, to_char(o_orderdate, 'DD Mon YYYY "at" HH24') AS d, to_char(o_orderdate, 'Month') AS m, to_char(o_orderdate, 'Dy') AS w,
+to_char(o_orderdate, 'Q') AS q, extract(day FROM age(o_orderdate)) > 0 AS old, now() > o_orderdate AS n, current_date > cast(o_orderdate AS date) AS c, localtimestamp > o_orderdate AS l FROM orders""",
+    """SELECT o_orderkey, strftime(o_orderdate, '%d %b %Y at %H') AS d, strftime(o_orderdate, '%B') AS m, strftime(o_orderdate, '%a') AS w,
+CAST(quarter(o_orderdate) AS VARCHAR) AS q, true AS old, true AS n, true AS c, true AS l FROM orders""", compat=True)
+add("sql_subquery_any", """SELECT p_partkey FROM part WHERE p_size IN (SELECT p_size FROM part WHERE p_type LIKE 'S%') AND 'a.b::text' NOT SIMILAR TO 'a.b' AND p_brand SIMILAR TO 'Brand#[1-3]%|.+4_'""",
+    """SELECT p_partkey FROM part WHERE p_size IN (SELECT p_size FROM part WHERE p_type LIKE 'S%') AND regexp_full_match(p_brand, 'Brand#[1-3].*|\\.+4.')""", compat=True)
+add("sql_type_names", """SELECT event_id, props::json AS j, props::jsonb AS b, cast(event_type AS character varying(30)) AS v, event_type::character varying AS w, 'x::int8'::text AS t FROM events""",
+    """SELECT event_id, props AS j, props AS b, event_type AS v, event_type AS w, 'x::int8' AS t FROM events""", compat=True)
 add("sql_casts", """SELECT o_orderkey::text AS k, o_totalprice::bigint AS p, cast(o_custkey AS int4) AS c, o_orderdate::date AS d, (o_totalprice::numeric(12, 2))::double precision AS n,
 cast(o_orderkey AS varchar(20)) AS v, '12'::int8 AS i, 'true'::bool AS b, cast('1.5' AS real) AS r FROM orders""",
     """SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(trunc(o_totalprice) AS BIGINT) AS p, CAST(o_custkey AS INTEGER) AS c, CAST(o_orderdate AS DATE) AS d,

@@ -14,6 +14,11 @@ def add(name, fn, sql=None):
     Q[name] = (fn, sql)
 
 
+def rounded(df, names, digits=6):
+    """Sums of doubles differ in the last places between engines."""
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
 _PAGE = ["event_id", "nl_query", "search_mode", "execute_status", "total_duration_ms", "created_at"]
 add(
     "log_history",
@@ -56,20 +61,20 @@ add(
 )
 add(
     "latency_stats",
-    lambda s, d: logs.latency_stats(frame(s, d, "runs")),
+    lambda s, d: rounded(logs.latency_stats(frame(s, d, "runs")), ["avg_ms"]),
     with_inputs("runs", """SELECT round(avg(total_duration_ms), 6) AS avg_ms, max(total_duration_ms) AS max_ms, min(total_duration_ms) AS min_ms, count(*) AS runs
         FROM runs WHERE execute_status = 'success'"""),
 )
 add(
     "latency_by_mode",
-    lambda s, d: logs.latency_stats(frame(s, d, "runs"), ["db_name", "search_mode"]),
+    lambda s, d: rounded(logs.latency_stats(frame(s, d, "runs"), ["db_name", "search_mode"]), ["avg_ms"]),
     with_inputs("runs", """SELECT db_name, search_mode, round(avg(total_duration_ms), 6) AS avg_ms, max(total_duration_ms) AS max_ms, min(total_duration_ms) AS min_ms, count(*) AS runs
         FROM runs WHERE execute_status = 'success' GROUP BY ALL"""),
 )
 _STAGE_SQL = ", ".join(f"round(avg({c}), 6) AS avg_{c}, max({c}) AS max_{c}" for c in logs.STAGES)
 add(
     "stage_durations",
-    lambda s, d: logs.stage_durations(frame(s, d, "runs")),
+    lambda s, d: rounded(logs.stage_durations(frame(s, d, "runs")), ["avg_" + c for c in logs.STAGES]),
     with_inputs("runs", f"SELECT search_mode, execute_status, {_STAGE_SQL} FROM runs GROUP BY ALL"),
 )
 add(
@@ -80,9 +85,14 @@ add(
 )
 add(
     "retrieval_quality",
-    lambda s, d: logs.retrieval_quality(frame(s, d, "hits"), ["schema_name"], 1.0),
+    lambda s, d: rounded(
+        logs.retrieval_quality(frame(s, d, "hits").withColumn("ms", F.col("score") * 10 + F.col("rank")), ["schema_name"], 1.0, latency="ms"),
+        ["avg_score", "min_score", "max_score", "hit_share", "score_p50", "score_p95", "latency_avg", "latency_p50", "latency_p95"],
+    ),
     with_inputs("hits", """SELECT schema_name, count(*) AS hits, round(avg(score), 6) AS avg_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score,
-        round(count(*) FILTER (score <= 1.0) / count(*), 6) AS hit_share FROM hits GROUP BY ALL"""),
+        round(count(*) FILTER (score <= 1.0) / count(*), 6) AS hit_share, round(quantile_cont(score, 0.5), 6) AS score_p50, round(quantile_cont(score, 0.95), 6) AS score_p95,
+        round(avg(score * 10 + rank), 6) AS latency_avg, round(quantile_cont(score * 10 + rank, 0.5), 6) AS latency_p50, round(quantile_cont(score * 10 + rank, 0.95), 6) AS latency_p95
+        FROM hits GROUP BY ALL"""),
 )
 add(
     "trailing_count",
@@ -90,9 +100,37 @@ add(
     """SELECT DISTINCT user_id, ts, count(*) OVER (PARTITION BY user_id, ts) AS n,
        count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS trailing FROM events""",
 )
+
+
+def _odd_events(s, d):
+    ev = table(s, d, "events")
+    return ev.select(
+        F.when(F.col("event_type") != "error", F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_type") != "signup", F.col("ts")).alias("ts"), "event_id",
+    )
+
+
+add(
+    "admit_null_keys",
+    lambda s, d: admission.admit_events(_odd_events(s, d), "user_id", "ts", "event_id", limit=2, seconds=86400, windows_per_bucket=3, run_up=1),
+    """WITH e AS (SELECT CASE WHEN event_type <> 'error' THEN user_id END AS user_id, CASE WHEN event_type <> 'signup' THEN ts END AS ts, event_id FROM events)
+       , l AS (SELECT user_id, list({'t': epoch_us(ts), 'e': event_id} ORDER BY ts, event_id) AS ev FROM e WHERE ts IS NOT NULL GROUP BY 1)
+       , f AS (SELECT list_reduce(ev, lambda acc, x: CASE WHEN len(list_filter(acc.h, lambda t: x.t - t < 86400000000)) < 2
+              THEN {'h': list_append(list_filter(acc.h, lambda t: x.t - t < 86400000000), x.t), 'a': list_append(acc.a, x.e)} ELSE acc END,
+              {'h': CAST([] AS BIGINT[]), 'a': CAST([] AS BIGINT[])}) AS r FROM l)
+       , ok AS (SELECT unnest(r.a) AS event_id FROM f)
+       SELECT user_id, ts, event_id, event_id IN (SELECT event_id FROM ok) AS admitted FROM e""",
+)
+add(
+    "trailing_null_times",
+    lambda s, d: logs.trailing_counts(_odd_events(s, d), "user_id", "ts", 86400),
+    """WITH e AS (SELECT CASE WHEN event_type <> 'error' THEN user_id END AS user_id, CASE WHEN event_type <> 'signup' THEN ts END AS ts FROM events)
+       SELECT DISTINCT user_id, ts, count(*) OVER (PARTITION BY user_id, ts) AS n,
+       CASE WHEN ts IS NOT NULL THEN count(*) OVER (PARTITION BY user_id, ts IS NULL ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) END AS trailing FROM e""",
+)
 add(
     "admit_events",
-    lambda s, d: admission.admit_events(table(s, d, "events"), "user_id", "ts", "event_id", limit=2, seconds=86400),
+    lambda s, d: admission.admit_events(table(s, d, "events"), "user_id", "ts", "event_id", limit=2, seconds=86400, windows_per_bucket=3, run_up=1),
     """WITH l AS (SELECT user_id, list({'t': epoch_us(ts), 'e': event_id} ORDER BY ts, event_id) AS ev FROM events GROUP BY 1)
        , f AS (SELECT user_id, list_reduce(ev, lambda acc, x: CASE WHEN len(list_filter(acc.h, lambda t: x.t - t < 86400000000)) < 2
               THEN {'h': list_append(list_filter(acc.h, lambda t: x.t - t < 86400000000), x.t), 'a': list_append(acc.a, x.e)} ELSE acc END,

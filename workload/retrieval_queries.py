@@ -173,6 +173,15 @@ _PACK = """WITH RECURSIVE b AS (SELECT source, doc_id, length('表名: ' || sour
         CASE WHEN f.c = 0 THEN b.chars WHEN f.l + b.chars + 2 <= 20000 THEN f.l + b.chars + 2 WHEN f.c >= 2 THEN b.chars ELSE 0 END
       FROM f JOIN b ON b.source = f.source AND b.n = f.n + 1)
   """
+add(
+    "pack_no_header",
+    lambda s, d: packing.headerless_texts(
+        packing.headerless_parts(table(s, d, "documents"), "source", "doc_id", "text"), "source", "doc_id"
+    ).select("source", "batch_no", F.md5("batch_text").alias("batch_text")),
+    """WITH j AS (SELECT source, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY 1)
+       , n AS (SELECT source, t, unnest(range(0, CAST(ceil(length(t) / 20000) AS BIGINT))) AS batch_no FROM j)
+       SELECT source, batch_no, md5(substr(t, batch_no * 20000 + 1, 20000)) AS batch_text FROM n""",
+)
 add(
     "pack_blocks",
     lambda s, d: packing.pack_blocks(_cards(s, d), "source", "doc_id", "card"),

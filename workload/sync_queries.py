@@ -151,6 +151,25 @@ add(
 )
 
 
+def _checked(s, d):
+    items = frame(s, d, "items")
+    out = sync.check_and_sync(items, frame(s, d, "stored_vectors"), diff.fingerprint(items, ["db_name"]), _now())
+    return out.select(*sync.ITEM, "text_hash", F.col("embedding").isNotNull().alias("has_vector"))
+
+
+add(
+    "check_and_sync",
+    _checked,
+    with_inputs(_ALL, _KEYED + f""", m AS (SELECT DISTINCT db_name FROM (SELECT {KEY}, provider FROM cur CROSS JOIN (VALUES ('local'), ('api')) p(provider)
+             EXCEPT SELECT {KEY}, provider FROM vec WHERE embedding IS NOT NULL))
+      , done AS (SELECT {KEY}, provider, coalesce(new_hash, old_hash) AS text_hash, status IN ('new', 'changed', 'unchanged') AS has_vector
+             FROM cls WHERE db_name IN (SELECT db_name FROM m)
+             UNION ALL SELECT {KEY}, provider, text_hash, embedding IS NOT NULL FROM vec WHERE db_name NOT IN (SELECT db_name FROM m))
+      SELECT * FROM done WHERE schema_name NOT IN ('information_schema', 'pg_catalog', 'knowledge', 'hg_recyclebin')
+        AND schema_name NOT LIKE 'pg_%' AND table_name NOT LIKE '%_middle%'"""),
+)
+
+
 def _upserted(s, d):
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     stored = _old(s, d, "text_hash").withColumns({"created_at": start, "updated_at": start})
@@ -174,7 +193,7 @@ def _newest(s, d):
 add(
     "pk_upsert",
     _newest,
-    """SELECT user_id, ts, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""",
+    """SELECT user_id, ts, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type = 'error' DESC, event_id DESC) AS n FROM events) WHERE n = 1""",
 )
 add(
     "keyed_update",
@@ -199,11 +218,11 @@ add(
     "insert_with_ids",
     lambda s, d: numbering.insert_with_ids(
         table(s, d, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("ref"), F.lit("page").alias("kind")),
-        table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("ref"), F.lit("order").alias("kind")),
+        table(s, d, "orders").select(F.col("o_orderkey").alias("ref"), F.lit("order").alias("kind")),
         "ref",
     ),
     """SELECT page_id AS id, page_id AS ref, 'page' AS kind FROM pages UNION ALL
-       SELECT (SELECT max(page_id) FROM pages) + row_number() OVER (ORDER BY o_orderkey), o_orderkey, 'order' FROM orders WHERE o_orderstatus = 'F'""",
+       SELECT (SELECT max(page_id) FROM pages) + row_number() OVER (ORDER BY o_orderkey), o_orderkey, 'order' FROM orders""",
 )
 
 

@@ -137,7 +137,7 @@ _WEIGHTS = """, w AS (SELECT request_id, rank, lower(schema_name) AS schema_name
  """
 add(
     "hit_weights",
-    lambda s, d: scoring.hit_weights(frame(s, d, "hits")),
+    lambda s, d: scoring.hit_weights(frame(s, d, "hits")).withColumn("weight", F.round("weight", 6)),
     with_inputs("hits", _WEIGHTS + "SELECT request_id, rank, schema_name, table_name, round(weight, 6) AS weight FROM w"),
 )
 _SCORES = _WEIGHTS + """, k AS (SELECT request_id, key, arg_max(weight, rank) AS weight FROM (SELECT request_id, rank, weight, schema_name || '.' || table_name AS key FROM w
@@ -147,12 +147,14 @@ _SCORES = _WEIGHTS + """, k AS (SELECT request_id, key, arg_max(weight, rank) AS
   , t AS (SELECT c.cid, sum(k.weight) AS ts, count(*) AS used FROM c JOIN k ON k.request_id = c.request_id AND contains(lower(c.sql), k.key) GROUP BY 1)
   , kw AS (SELECT c.cid, count(*) AS n FROM c JOIN words ON words.request_id = c.request_id AND contains(lower(c.sql), word) GROUP BY 1)
   , scored AS (SELECT request_id, batch, sql, round(coalesce(ts, 0), 6) AS table_score, coalesce(n, 0) AS keyword_hits, coalesce(used, 0) AS tables_used,
-       round(5.0::DOUBLE * round(coalesce(ts, 0), 6) + coalesce(n, 0) + (10 - batch) * 0.1::DOUBLE, 4) AS score FROM c LEFT JOIN t USING (cid) LEFT JOIN kw USING (cid))
+       round(5.0::DOUBLE * coalesce(ts, 0) + coalesce(n, 0) + (10 - batch) * 0.1::DOUBLE, 4) AS score FROM c LEFT JOIN t USING (cid) LEFT JOIN kw USING (cid))
   """
 
 
 def _scored(s, d):
-    return scoring.candidate_scores(frame(s, d, "candidates"), frame(s, d, "requests"), frame(s, d, "hits"))
+    scored = scoring.candidate_scores(frame(s, d, "candidates"), frame(s, d, "requests"), frame(s, d, "hits"))
+    # Sums of doubles differ in the last places between engines.
+    return scored.withColumns({"table_score": F.round("table_score", 6), "score": F.round("score", 4)})
 
 
 add("candidate_scores", _scored, with_inputs("candidates requests hits", _SCORES + "SELECT * FROM scored"))
