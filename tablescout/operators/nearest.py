@@ -1,10 +1,11 @@
 """Nearest neighbours by squared Euclidean distance or inner product.
 
-One query uses a column expression and a top-k. Many queries are compared block by block: a
-block of queries has a fixed byte size, is sent to every task, and each task keeps its own k
-best rows per query while it reads its part of the corpus. The corpus is never shuffled and
-no query-row pair leaves a task unless it is among that task's k best. More queries than one
-block holds mean more passes over the corpus, not a larger block.
+One query uses a column expression and a top-k. Many queries meet the corpus in blocks: rows and
+queries are dealt into blocks of bounded size, and a task holds one block of each. Nothing passes
+through the driver, and the corpus is read a fixed number of times however many queries there are.
+Where the corpus has several blocks, its first one gives every query a bound of its k-th distance,
+and the others send on only what lies within the bound. Queries may be held against the rows of
+their own group (tenant, provider), against listed schemas only, and may bring their own k.
 """
 
 from __future__ import annotations
@@ -12,18 +13,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tablescout.functions import vectors as V
 from tablescout.sources.lineage import cut_lineage
 
-# A block of queries is at most this many bytes of float64.
+# A block of queries is at most this many bytes of float64, and at most this many queries.
 BLOCK_BYTES = 32 * 1024 * 1024
-# Queries compared with a batch of rows at a time inside a task.
+QUERY_ROWS = 4096
+# Rows of the corpus in a block.
+CORPUS_ROWS = 16384
+# Queries compared with a block of rows at a time inside a task.
 _TILE = 512
 
 
@@ -67,29 +71,22 @@ def topk_inner_product(
     )
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column as doubles; vectors of different lengths are an error."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+    if not len(column):
+        return flat.reshape(0, 1)
+    lengths = np.unique(np.diff(column.offsets.to_numpy()))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors differ in length: {lengths.tolist()}")
+    return flat.reshape(len(column), -1)
 
 
-def _query_blocks(queries: DataFrame, id_col: str, vector_col: str):
-    """Blocks (ids, matrix) of bounded size; the queries are read partition by partition.
-
-    Only one block is in driver memory at a time.
-    """
-    ids: list[int] = []
-    rows: list = []
-    used = 0
-    for r in queries.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).toLocalIterator():
-        v = np.asarray(r[1], dtype=np.float64)
-        if rows and used + v.nbytes > BLOCK_BYTES:
-            yield np.asarray(ids, dtype=np.int64), np.vstack(rows)
-            ids, rows, used = [], [], 0
-        ids.append(r[0])
-        rows.append(v)
-        used += v.nbytes
-    if rows:
-        yield np.asarray(ids, dtype=np.int64), np.vstack(rows)
+def _same_length(rows: np.ndarray, queries: np.ndarray) -> None:
+    if rows.shape[1] != queries.shape[1]:
+        raise ValueError(f"vectors differ in length: {rows.shape[1]} and {queries.shape[1]}")
 
 
 def _distances(corpus: np.ndarray, queries: np.ndarray, query_norms: np.ndarray) -> np.ndarray:
@@ -117,81 +114,154 @@ def _merge(state: tuple, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -
     found[who] = i[keep].reshape(len(who), k)
 
 
-_HIT = T.StructType(
-    [
-        T.StructField("query_id", T.LongType()),
-        T.StructField("vec_id", T.LongType()),
-        T.StructField("score", T.DoubleType()),
-    ]
-)
-
-
-def _scan_block(block_ids: np.ndarray, block, k: int, cells=None):
-    """Task function: the k best rows of this partition for every query of the block.
+def _dealt(rows: DataFrame, queries: DataFrame, grouped: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with their block numbers ``_rb, _qb`` in each group ``_t``, and the most row blocks.
 
-    With ``cells`` (queries x cells, true where probed) the third column is the row's cell.
+    A row goes to every block of queries of its group and a query to every block of rows, so each
+    pair meets once. Groups without rows or without queries drop out.
     """
+    width = F.greatest(F.max(F.size("qv")), F.lit(1))
+    fit = F.greatest(F.least(F.floor(F.lit(BLOCK_BYTES) / (8 * width)), F.lit(QUERY_ROWS)), F.lit(1))
+    rbs = F.ceil(F.count(F.lit(1)) / F.lit(CORPUS_ROWS)).cast("int").alias("_rbs")
+    qbs = F.ceil(F.count(F.lit(1)) / fit).cast("int").alias("_qbs")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    row_block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    query_block = lambda n: F.pmod(F.xxhash64("query_id"), n).cast("int")
+    if not grouped:
+        # One group: two counts, and no join.
+        most, parts = rows.agg(rbs).first()["_rbs"], queries.agg(qbs).first()["_qbs"] or 0
+        r, q = F.lit(max(most, 1)), F.lit(max(parts, 1))
+        left = rows.withColumn("_rb", row_block(r)).withColumn("_qb", upto(q))
+        return left, queries.withColumn("_qb", query_block(q)).withColumn("_rb", upto(r)), most
+    sizes = cut_lineage(rows.groupBy("_t").agg(rbs).join(queries.groupBy("_t").agg(qbs), "_t"))
+    most = sizes.agg(F.max("_rbs").alias("m")).first()["m"] or 0
+    r, q = F.col("_rbs"), F.col("_qbs")
+    left = rows.join(sizes, "_t").withColumn("_rb", row_block(r)).withColumn("_qb", upto(q))
+    right = queries.join(sizes, "_t").withColumn("_qb", query_block(q)).withColumn("_rb", upto(r))
+    return left.drop("_rbs", "_qbs"), right.drop("_rbs", "_qbs"), most
+
+
+_BLOCK_KEY = ["_t", "_rb", "_qb"]
+
+
+def _met(left: DataFrame, right: DataFrame, fn, schema) -> DataFrame:
+    return left.groupBy(*_BLOCK_KEY).cogroup(right.groupBy(*_BLOCK_KEY)).applyInArrow(fn, schema)
+
+
+def _best_in_block(id_type: pa.DataType, query_type: pa.DataType):
+    """Group function: the best rows of a block for each query of a block, within its bound."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        if left.num_rows and right.num_rows:
+            # Ids by their order settle ties, whatever their type.
+            left = left.sort_by("id")
+            ids, asked = left.column("id").combine_chunks(), right.column("query_id").combine_chunks()
+            rows, queries = _matrix(left.column("v")), _matrix(right.column("qv"))
+            _same_length(rows, queries)
+            norms = np.einsum("ij,ij->i", queries, queries)
+            k, bound = right.column("k").to_numpy(), right.column("bound").to_numpy()
+            allowed = _allowed(left, right)
+            place = np.arange(len(rows))
+            for at in range(0, len(queries), _TILE):
+                part = np.arange(at, min(at + _TILE, len(queries)))
+                most = int(k[part].max())
+                state = (np.full((len(part), most), np.inf), np.full((len(part), most), len(rows)))
+                d = _distances(rows, queries[part], norms[part])
+                d[d > bound[part, None]] = np.inf
+                if allowed is not None:
+                    d[~allowed[part]] = np.inf
+                _merge(state, np.arange(len(part)), d, place)
+                q, nth = np.nonzero(np.isfinite(state[0]) & (np.arange(most)[None, :] < k[part, None]))
+                out["query_id"].append(asked.take(pa.array(part[q])))
+                out["vec_id"].append(ids.take(pa.array(state[1][q, nth])))
+                out["score"].append(pa.array(state[0][q, nth]))
+        types = {"query_id": query_type, "vec_id": id_type, "score": pa.float64()}
+        return pa.table({n: pa.chunked_array(c, t) for (n, c), t in zip(out.items(), types.values())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = block.value
-        norms = np.einsum("ij,ij->i", queries, queries)
-        n = len(block_ids)
-        state = (np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max))
+    return run
 
-        def compare(who: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
-            for at in range(0, len(who), _TILE):
-                part = who[at : at + _TILE]
-                _merge(state, part, _distances(rows, queries[part], norms[part]), ids)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = _matrix(b.column(1))
-            if cells is None:
-                compare(np.arange(n), rows, ids)
-                continue
-            cell = b.column(2).to_numpy(zero_copy_only=False)
-            for c in np.unique(cell):
-                who = np.flatnonzero(cells.value[:, c])
-                if len(who):
-                    compare(who, rows[cell == c], ids[cell == c])
-        best, found = state
-        real = np.isfinite(best)
-        q = np.broadcast_to(block_ids[:, None], best.shape)[real]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q), pa.array(found[real]), pa.array(best[real])],
-            names=["query_id", "vec_id", "score"],
-        )
+def _allowed(left: pa.Table, right: pa.Table) -> np.ndarray | None:
+    """Which rows each query may see: queries x rows, null when all may see all.
 
-    return run
+    A row's mark (schema or cell) must be in the query's list; a query without a list sees all.
+    """
+    if "mark" not in left.column_names:
+        return None
+    code = {m: i for i, m in enumerate(dict.fromkeys(left.column("mark").to_pylist()))}
+    marks = np.array([code[m] for m in left.column("mark").to_pylist()])
+    out = np.ones((right.num_rows, left.num_rows), dtype=bool)
+    for i, listed in enumerate(right.column("listed").to_pylist()):
+        if listed:
+            own = np.zeros(len(code), dtype=bool)
+            own[[code[m] for m in listed if m in code]] = True
+            out[i] = own[marks]
+    return out
+
+
+def _search(rows: DataFrame, queries: DataFrame, grouped: bool) -> DataFrame:
+    """Unranked hits ``query_id, vec_id, score`` of rows ``_t, id, v[, mark]`` and queries
+    ``_t, query_id, qv, k[, listed]``."""
+    left, right, most = _dealt(rows, queries, grouped)
+    types = rows.schema["id"].dataType, queries.schema["query_id"].dataType
+    schema = T.StructType([
+        T.StructField("query_id", types[1]), T.StructField("vec_id", types[0]), T.StructField("score", T.DoubleType())
+    ])
+    fn = _best_in_block(*(to_arrow_type(t) for t in types))
+    free = right.withColumn("bound", F.lit(float("inf")))
+    if most <= 1:
+        return _met(left, free, fn, schema)
+    first = cut_lineage(_met(left.where("_rb = 0"), free.where("_rb = 0"), fn, schema))
+    kth = first.groupBy("query_id").agg(F.max("score").alias("_kth"), F.count(F.lit(1)).alias("_n"))
+    bound = F.when(F.col("_n") >= F.col("k"), F.col("_kth")).otherwise(F.lit(float("inf")))
+    bounded = right.where("_rb > 0").join(kth, "query_id", "left").withColumn("bound", bound).drop("_kth", "_n")
+    return first.unionByName(_met(left.where("_rb > 0"), bounded, fn, schema))
+
+
+def _ranked(hits: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    out = hits.withColumn("rank", F.row_number().over(w))
+    if k is not None:
+        return out.where(F.col("rank") <= k)
+    return out.join(queries.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k")).drop("k")
 
 
-def _rank(hits: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _group(by: list[str]) -> Column:
+    return F.to_json(F.struct(*by)) if by else F.lit("")
 
 
 def knn_batch(
     corpus: DataFrame,
     queries: DataFrame,
     k: int = 10,
-    id_col: str = "vec_id",
+    id_col: str | Column = "vec_id",
     vector_col: str = "embedding",
     query_id: str = "query_id",
     query_vector: str = "query_vector",
+    by: list[str] = (),
+    k_col: str | None = None,
+    listed: str | None = None,
+    mark: str = "schema_name",
 ) -> DataFrame:
-    """Exact k nearest rows of every query: ``query_id, vec_id, score, rank``."""
-    spark = corpus.sparkSession
+    """Exact k nearest rows of every query: ``query_id, vec_id, score, rank``.
+
+    ``by`` names columns of both frames that must be equal, such as tenant and provider. ``k_col`` is
+    a column of the queries with a k of their own. ``listed`` is an array column of the queries: only
+    rows whose ``mark`` is in it are seen; an empty or null list sees all. Ids may be of any type
+    with an order, also an expression over several columns; query ids must be unique. Vectors of
+    different lengths are an error, null vectors take no part.
+    """
+    id_ = F.col(id_col) if isinstance(id_col, str) else id_col
     rows = corpus.where(F.col(vector_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")
+        _group(list(by)).alias("_t"), id_.alias("id"), F.col(vector_col).alias("v"),
+        *([F.col(mark).alias("mark")] if listed else []),
     )
-    out = None
-    for ids, matrix in _query_blocks(queries, query_id, query_vector):
-        block = spark.sparkContext.broadcast(matrix)
-        hits = rows.mapInArrow(_scan_block(ids, block, k), _HIT)
-        out = hits if out is None else out.unionByName(hits)
-    return _rank(spark.createDataFrame([], _HIT) if out is None else out, k)
+    asked = queries.where(F.col(query_vector).isNotNull()).select(
+        _group(list(by)).alias("_t"), F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"),
+        (F.col(k_col) if k_col else F.lit(k)).cast("int").alias("k"), *([F.col(listed).alias("listed")] if listed else []),
+    )
+    return _ranked(_search(rows, asked, bool(by)), asked, None if k_col else k)
 
 
 def fit_cells(
@@ -248,24 +318,27 @@ def knn_approx(
     over all tasks that hold a part of it. A query whose cells hold fewer than k rows is
     searched again exactly.
     """
-    spark = placed.sparkSession
     norms = np.einsum("ij,ij->i", centers, centers)
-    rows = placed.select("id", "v", "cell")
-    out = None
-    for ids, matrix in _query_blocks(queries, query_id, query_vector):
-        nearest = np.argsort(norms[None, :] - 2.0 * matrix @ centers.T, axis=1)[:, :probes]
-        probed = np.zeros((len(ids), len(centers)), dtype=bool)
-        np.put_along_axis(probed, nearest, True, axis=1)
-        used = np.flatnonzero(probed.any(axis=0)).tolist()
-        part = rows if len(used) == len(centers) else rows.where(F.col("cell").isin(used))
-        block, cells = spark.sparkContext.broadcast(matrix), spark.sparkContext.broadcast(probed)
-        hits = part.mapInArrow(_scan_block(ids, block, k, cells), _HIT)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return _rank(spark.createDataFrame([], _HIT), k)
-    found = cut_lineage(_rank(out, k))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = np.argsort(norms[None, :] - 2.0 * _matrix(b.column(1)) @ centers.T, axis=1)[:, :probes]
+                lists = pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["query_id", "qv", "listed"])
+
+    asked = queries.where(F.col(query_vector).isNotNull()).select(
+        F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).alias("qv")
+    )
+    fields = [*asked.schema.fields, T.StructField("listed", T.ArrayType(T.IntegerType()))]
+    # A query goes to the cells it probes; within a cell, blocks meet as in the exact search.
+    probed = asked.mapInArrow(probe, T.StructType(fields)).select(
+        F.explode(F.col("listed").cast("array<string>")).alias("_t"), "query_id", "qv", F.lit(k).alias("k")
+    )
+    rows = placed.select(F.col("cell").cast("string").alias("_t"), "id", "v")
+    found = cut_lineage(_ranked(_search(rows, probed, True), probed, k))
     full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    short = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("query_vector")).join(
+    short = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).alias("query_vector")).join(
         full, "query_id", "left_anti"
     )
     exact = knn_batch(placed, short, k, "id", "v")
@@ -277,39 +350,30 @@ def rank_explain(
     targets: DataFrame,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
+    first: int = 0,
 ) -> DataFrame:
     """Why a target missed the top: its rank, distance, gap to rank 1 and the population.
 
     ``targets`` has ``query_id, query_vector, target_id``. The rank is one more than the number
-    of rows that come before the target, so tasks only count and no full order is built.
+    of rows that come before the target, so tasks only count and no full order is built. ``first``
+    adds the ids of the first hits in order. Filter the corpus for the schemas that count.
     """
-    spark = corpus.sparkSession
     own = corpus.select(F.col(id_col).alias("target_id"), F.col(vector_col).alias("_tv"))
     aimed = targets.join(own, "target_id", "left")
     rows = corpus.where(F.col(vector_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")
+        F.lit("").alias("_t"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")
     )
-    schema = "query_id long, target_id long, target_score double, ahead long, seen long, nearest double"
-    out = None
-    packed = aimed.select(
-        "query_id",
-        F.concat(
-            F.transform("query_vector", lambda x: x.cast("double")),
-            F.array(
-                F.col("target_id").cast("double"),
-                F.round(V.squared_distance(F.col("query_vector"), F.col("_tv")), V.DISTANCE_DECIMALS),
-            ),
-        ).alias("_p"),
+    asked = aimed.select(
+        F.lit("").alias("_t"), F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").alias("qv"),
+        F.col("target_id").cast("long").alias("target_id"),
+        F.round(V.squared_distance(F.col("query_vector"), F.col("_tv")), V.DISTANCE_DECIMALS).alias("target_score"),
     )
-    for ids, matrix in _query_blocks(packed, "query_id", "_p"):
-        block = spark.sparkContext.broadcast(matrix)
-        counted = rows.mapInPandas(_count_ahead(ids, block), schema)
-        out = counted if out is None else out.unionByName(counted)
-    if out is None:
-        out = spark.createDataFrame([], schema)
+    schema = "query_id long, target_id long, target_score double, ahead long, seen long, nearest double"
+    left, right, _ = _dealt(rows, asked, False)
+    out = _met(left, right, _count_ahead, schema)
     # A target that is not in the corpus has no distance.
     there = F.col("target_score").isNotNull() & ~F.isnan("target_score")
-    return (
+    ranks = (
         out.groupBy("query_id", "target_id", "target_score")
         .agg(F.sum("ahead").alias("_a"), F.sum("seen").alias("population"), F.min("nearest").alias("_m"))
         .select(
@@ -321,33 +385,35 @@ def rank_explain(
             "population",
         )
     )
-
-
-def _count_ahead(block_ids: np.ndarray, block):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packed = block.value
-        queries, target, score = packed[:, :-2], packed[:, -2], packed[:, -1]
+    if not first:
+        return ranks
+    hits = knn_batch(corpus, targets.select("query_id", "query_vector").dropDuplicates(["query_id"]), first, id_col, vector_col)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda h: h["vec_id"])
+    return ranks.join(hits.groupBy("query_id").agg(listed.alias("first_hits")), "query_id", "left")
+
+
+def _count_ahead(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Group function: how many rows of a block come before each query's target."""
+    target = right.column("target_id").to_numpy()
+    score = right.column("target_score").to_numpy().astype(np.float64)
+    ahead, nearest = np.zeros(right.num_rows, dtype=np.int64), np.full(right.num_rows, np.inf)
+    if left.num_rows and right.num_rows:
+        rows, queries = _matrix(left.column("v")), _matrix(right.column("qv"))
+        _same_length(rows, queries)
         norms = np.einsum("ij,ij->i", queries, queries)
-        ahead = np.zeros(len(block_ids), dtype=np.int64)
-        seen = 0
-        nearest = np.full(len(block_ids), np.inf)
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            d = _distances(np.vstack(pdf["v"].to_numpy()).astype(np.float64), queries, norms)
-            ids = pdf["id"].to_numpy()[None, :]
-            before = (d < score[:, None]) | ((d == score[:, None]) & (ids < target[:, None]))
-            ahead += (before & (ids != target[:, None])).sum(axis=1)
-            nearest = np.minimum(nearest, d.min(axis=1))
-            seen += len(pdf)
-        yield pd.DataFrame(
-            {
-                "query_id": block_ids, "target_id": target.astype(np.int64), "target_score": score,
-                "ahead": ahead, "seen": seen, "nearest": nearest,
-            }
-        )
-
-    return run
+        ids = left.column("id").to_numpy()[None, :]
+        for at in range(0, right.num_rows, _TILE):
+            part = slice(at, at + _TILE)
+            d = _distances(rows, queries[part], norms[part])
+            aim, goal = target[part, None], score[part, None]
+            before = (d < goal) | ((d == goal) & (ids < aim))
+            ahead[part] = (before & (ids != aim)).sum(axis=1)
+            nearest[part] = d.min(axis=1)
+    return pa.table({
+        "query_id": right.column("query_id"), "target_id": right.column("target_id"),
+        "target_score": right.column("target_score"), "ahead": ahead,
+        "seen": np.full(right.num_rows, left.num_rows, dtype=np.int64), "nearest": nearest,
+    })
 
 
 def centroid(df: DataFrame, vector_col: str = "embedding") -> DataFrame:

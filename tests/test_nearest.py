@@ -139,3 +139,53 @@ def test_search_questions_finds_the_same_text(spark):
     assert search.search_questions(ask, items, 1).first()["vec_id"] == 2
     empty = items.where("vec_id > 5")
     assert search.search_or_build(ask, empty, lambda: items, 2).count() == 2
+
+
+def test_tenants_lists_and_own_k(spark, points):
+    rows = [(f"i{i:03d}", "ab"[i % 2], f"s{i % 3}", [float(x) for x in v]) for i, v in enumerate(points)]
+    corpus = spark.createDataFrame(rows, "item string, db string, schema_name string, embedding array<float>")
+    asked = [(i, "abc"[i % 3], i + 1, [None, ["s0"], [], ["s1", "s9"]][i % 4], [float(x) for x in points[i]]) for i in range(12)]
+    queries = spark.createDataFrame(asked, "query_id long, db string, k int, listed array<string>, query_vector array<float>")
+    got = {}
+    for r in nearest.knn_batch(corpus, queries, id_col="item", by=["db"], k_col="k", listed="listed").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for i, db, k, listed, _ in asked:
+        d = np.round(((points.astype(float) - points[i].astype(float)) ** 2).sum(axis=1), 9)
+        order = [j for j in np.lexsort((np.arange(len(d)), d)) if rows[j][1] == db and (not listed or rows[j][2] in listed)]
+        assert sorted(got.get(i, [])) == [(n + 1, rows[j][0]) for n, j in enumerate(order[:k])]
+
+
+def test_blocks_of_rows_send_on_what_is_within_the_bound(spark, points, corpus, monkeypatch):
+    whole = {tuple(r) for r in nearest.knn_batch(corpus, as_queries(spark, points, 30), 4).collect()}
+    monkeypatch.setattr(nearest, "CORPUS_ROWS", 25)
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 7)
+    assert {tuple(r) for r in nearest.knn_batch(corpus, as_queries(spark, points, 30), 4).collect()} == whole
+
+
+def test_vectors_of_different_lengths_are_an_error(spark):
+    ragged = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0, 4.0])], "vec_id long, embedding array<float>")
+    ask = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "query_id long, query_vector array<float>")
+    with pytest.raises(Exception, match="differ in length"):
+        nearest.knn_batch(ragged, ask, 1).collect()
+    with pytest.raises(Exception, match="differ in length"):
+        nearest.knn_batch(ragged.where("vec_id = 1"), ask, 1).collect()
+
+
+def test_explain_lists_the_first_hits(spark, points, corpus):
+    targets = as_queries(spark, points, 3).withColumn("target_id", F.lit(30).cast("long"))
+    for r in nearest.rank_explain(corpus, targets, first=15).collect():
+        assert r["first_hits"] == [i for i, _ in brute(points, points[r["query_id"]], 15)]
+
+
+def test_build_is_asked_for_the_tenant_and_provider(spark):
+    t = "vec_id long, db_name string, provider string, t string"
+    items = encode.encode(spark.createDataFrame([(1, "d", "local", "orders"), (2, "e", "api", "pages")], t), "t")
+    ask = spark.createDataFrame([(10, "orders")], "query_id long, question string")
+    asked = []
+
+    def build():
+        asked.append(1)
+        return items
+
+    assert search.search_or_build(ask, items, build, 5, "d", "local").count() == 1 and not asked
+    assert search.search_or_build(ask, items, build, 5, "d", "api").count() == 2 and asked == [1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tablescout.functions import text
@@ -76,6 +77,56 @@ def _approx(s, d):
 add("knn_approx", _approx)
 
 
+def _own_k(s, d):
+    """Label queries with the label as tenant, a k of their own and a list of visible labels."""
+    q = _label_queries(s, d)
+    return q.select(
+        "query_id", "query_vector", F.col("query_id").cast("int").alias("label"), (3 + F.col("query_id") % 4).alias("k"),
+        F.when(F.col("query_id") != 0, F.array(F.col("query_id").cast("string"), (F.col("query_id") + 1).cast("string"))).alias("listed"),
+    )
+
+
+add(
+    "knn_tenant",
+    lambda s, d: _round(nearest.knn_batch(table(s, d, "embeddings"), _own_k(s, d), by=["label"], k_col="k"), "score"),
+    f"""WITH {_LABELS}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM dists WHERE label = query_id)
+        SELECT query_id, vec_id, round(score, 6) AS score, n AS rank FROM own WHERE n <= 3 + query_id % 4""",
+)
+add(
+    "knn_filtered",
+    lambda s, d: _round(
+        nearest.knn_batch(
+            table(s, d, "embeddings").withColumn("schema_name", F.col("label").cast("string")), _own_k(s, d), 7,
+            F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 9, "0")), listed="listed",
+        ), "score",
+    ),
+    f"""WITH {_LABELS}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM dists WHERE query_id = 0 OR label IN (query_id, query_id + 1))
+        SELECT query_id, 'v' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS vec_id, round(score, 6) AS score, n AS rank FROM own WHERE n <= 7""",
+)
+
+
+def _cells(s, d):
+    corpus = table(s, d, "embeddings")
+    # Label means as centres: a row per label.
+    means = nearest.group_centroids(corpus, "label").orderBy("label").collect()
+    centers = np.array([r["centroid"] for r in means])
+    return nearest.knn_approx(nearest.assign_cells(corpus, centers), _label_queries(s, d), centers, 10, 4)
+
+
+add(
+    "knn_cells",
+    lambda s, d: _round(_cells(s, d), "score"),
+    f"""WITH {_LABELS}, dc AS (SELECT e.vec_id, c.query_id AS cell, list_sum(list_transform(list_zip(e.embedding::DOUBLE[], c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS x
+          FROM embeddings e CROSS JOIN queries c), home AS (SELECT vec_id, arg_min(cell, x) AS cell FROM dc GROUP BY vec_id)
+      , qc AS (SELECT a.query_id, b.query_id AS cell, row_number() OVER (PARTITION BY a.query_id ORDER BY list_sum(list_transform(list_zip(a.q, b.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS n
+          FROM queries a CROSS JOIN queries b)
+      , cand AS (SELECT r.query_id, r.vec_id, r.score, row_number() OVER (PARTITION BY r.query_id ORDER BY r.score, r.vec_id) AS rank, count(*) OVER (PARTITION BY r.query_id) AS have
+          FROM dists r JOIN home USING (vec_id) JOIN qc ON qc.query_id = r.query_id AND qc.cell = home.cell AND qc.n <= 4)
+      SELECT query_id, vec_id, round(score, 6) AS score, rank FROM cand WHERE rank <= 10 AND have >= 10
+      UNION ALL SELECT query_id, vec_id, round(score, 6), rank FROM ranked WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM cand WHERE have >= 10)""",
+)
+
+
 def _targets(s, d):
     last = table(s, d, "embeddings").groupBy(F.col("label").cast("long").alias("query_id")).agg(F.max("vec_id").alias("target_id"))
     return _label_queries(s, d).join(last, "query_id")
@@ -89,6 +140,16 @@ add(
       SELECT r.query_id, t.target_id, round(r.score, 6) AS target_score, r.rank AS target_rank, round(r.score - near.best, 6) AS gap, near.population
       FROM ranked r JOIN t ON t.query_id = r.query_id AND t.target_id = r.vec_id JOIN near ON near.query_id = r.query_id""",
 )
+add(
+    "rank_explain_top",
+    lambda s, d: nearest.rank_explain(table(s, d, "embeddings").where("label <> 3"), _targets(s, d).where("query_id <> 3"), first=15).select(
+        "query_id", "target_id", "target_rank", F.concat_ws(",", F.transform("first_hits", lambda x: x.cast("string"))).alias("first_hits")
+    ),
+    f"""WITH {_LABELS}, seen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM dists WHERE label <> 3 AND query_id <> 3)
+      , t AS (SELECT label::BIGINT AS query_id, max(vec_id) AS target_id FROM embeddings GROUP BY label)
+      , top AS (SELECT query_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY n) AS first_hits FROM seen WHERE n <= 15 GROUP BY 1)
+      SELECT query_id, target_id, seen.n AS target_rank, first_hits FROM t JOIN seen USING (query_id) JOIN top USING (query_id) WHERE seen.vec_id = t.target_id""",
+)
 add(
     "hits_with_cards",
     lambda s, d: nearest.hits_with_cards(
