@@ -26,8 +26,8 @@ from tablescout.llm.graph import components
 from tablescout.llm.neighbours import matrix, sample_of, type_of, unit_rows, vectors_of
 
 SIMILARITY = 0.95
-#: Vectors per cell that the number of centres aims at; most centres; vectors in a block.
-CELL_ROWS, MOST_CELLS, BLOCK_ROWS = 512, 4096, 2048
+#: Vectors per cell that the number of centres aims at; most centres; residents and guests in a block.
+CELL_ROWS, MOST_CELLS, BLOCK_ROWS, GUEST_ROWS = 512, 4096, 2048, 4096
 ROUNDS = 6
 REACH = 4.0
 
@@ -152,11 +152,19 @@ def near_duplicate_vectors(
             _place(centre, similarity, reach), f"node long, v {type_of(rows, 'v')}, n long, cell int, home boolean"
         )
         placed = stored(placed, "vector-cells")
-        # One row per cell, at most MOST_CELLS.
-        sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        blocked = placed.join(F.broadcast(sizes), "cell").withColumn("block", block)
-        met = blocked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # Residents and guests of a cell have blocks of their own: residents meet all blocks, guests
+        # only those of residents. One row per cell, at most MOST_CELLS.
+        blocks_of = lambda of, rows: F.ceil(F.count_if(of) / F.lit(rows)).cast("int")
+        sizes = placed.groupBy("cell").agg(
+            blocks_of(F.col("home"), BLOCK_ROWS).alias("mine"), blocks_of(~F.col("home"), GUEST_ROWS).alias("guests")
+        ).where("mine > 0")
+        mine, guests = F.col("mine"), F.col("guests")
+        block = F.when(F.col("home"), F.pmod(F.xxhash64("node"), mine)).otherwise(
+            mine + F.pmod(F.xxhash64("node"), F.greatest(guests, F.lit(1)))
+        )
+        blocked = placed.join(F.broadcast(sizes), "cell").withColumn("block", block.cast("int"))
+        last = F.when(F.col("home"), mine + guests).otherwise(mine) - 1
+        met = blocked.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
         tasks = met.select(
             "cell", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
             (F.col("block") > F.col("with")).cast("int").alias("side"), "node", "v", "n", "home",

@@ -136,6 +136,7 @@ def unit(x):
 @pytest.mark.parametrize("block", [2048, 16])
 def test_vector_links_equal_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(embedding_dedup, "GUEST_ROWS", 2 * block)
     x = vectors()
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(frame(spark, x), similarity=0.9, cell_rows=64).collect()}
     linked = unit(x) @ unit(x).T >= 0.9
