@@ -251,8 +251,11 @@ def _star_tasks(members: DataFrame, buckets: DataFrame) -> DataFrame:
         F.col("hub").alias("task"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
         F.lit(0).alias("side"), F.col("hub").alias("node"), F.col("hub").alias("component"),
     )
-    others = pairs.join(many, "hub").select(
-        F.col("hub").alias("task"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"),
+    # Few hubs have more than a block of members, so looking these up seldom moves the pairs.
+    large = stored(many.where("parts > 1"), "near-large-hubs")
+    others = pairs.join(large, "hub", "left").select(
+        F.col("hub").alias("task"),
+        F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"),
         F.lit(1).alias("side"), "node", F.col("node").alias("component"),
     )
     return hubs.unionByName(others)

@@ -32,7 +32,7 @@ from tablescout.llm.common import folds, stored
 from tablescout.llm.tokens import encoder
 
 #: Pieces numbered in one block.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 
 
 class Limits(NamedTuple):
