@@ -18,6 +18,77 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _matches_sql(kinds: list[tuple[str, str, str]], source: str) -> str:
+    """Rows ``id, kind, rank, start, stop, hit`` of each kind's matches that pass its test.
+
+    ``kinds`` are name, pattern and a test of ``hit``. Gaps and matches, added up, give the places.
+    """
+    parts = [
+        f"""SELECT id, '{kind}' AS kind, {rank} AS rank, string_split_regex(t, $p${pattern}$p$) AS gaps, regexp_extract_all(t, $p${pattern}$p$) AS hits
+            FROM {source} WHERE regexp_matches(t, $p${pattern}$p$)""" for rank, (kind, pattern, _) in enumerate(kinds)
+    ]
+    tests = " ".join(f"WHEN kind = '{kind}' THEN {test}" for kind, _, test in kinds)
+    return f"""(SELECT id, kind, rank, start, start + length(hit) AS stop, hit FROM (
+        SELECT id, kind, rank, hits[i] AS hit, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+          + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+        FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM ({" UNION ALL ".join(parts)}))) WHERE CASE {tests} END)"""
+
+
+_WRITTEN = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+_SECRETS = [
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
+     r"""length(regexp_extract(hit, $p$^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$p$, 1)) >= 6"""),
+    ("access", "AKIA[A-Z0-9]+", "length(hit) >= 20"),
+    ("hex", "[0-9a-f]{24,}", "true"),
+    ("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
+    ("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}", "true"),
+]
+_OP3_SQL = f"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents)
+  , m AS (SELECT * FROM {_matches_sql(_SECRETS, "d")})
+  , g AS (SELECT id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      {_WRITTEN} FILTER (kind IN ('assign', 'access', 'hex')) AS base, {_WRITTEN} AS spans FROM m GROUP BY id)
+  SELECT d.id AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.id = d.id"""
+
+
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER)
+    ELSE CAST(c AS INTEGER) * 2 - CASE WHEN CAST(c AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+_PERSONAL = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+     "len(list_filter(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
+]
+_TERM = r"$p$\p{L}{3,}$p$"
+_OP4_SQL = rf"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents)
+  , m AS (SELECT * FROM {_matches_sql(_PERSONAL, "d")})
+  , texts AS (SELECT t, min(id) AS id, count(*) AS n FROM d WHERE id IN (SELECT id FROM m) GROUP BY t)
+  , near AS (SELECT t, n, kind || ':' || lower(hit) AS entity, substr(t, greatest(start - {pii.CONTEXT}, 0) + 1, least(start, {pii.CONTEXT})) AS l, start,
+      substr(t, stop + 1, {pii.CONTEXT}) AS r FROM m JOIN texts USING (id))
+  , words AS (SELECT DISTINCT t, n, entity, unnest(
+        regexp_extract_all(lower(CASE WHEN start > {pii.CONTEXT} THEN regexp_replace(l, '^\S*', '') ELSE l END), {_TERM})[-{pii.CONTEXT_WORDS}:]
+        || regexp_extract_all(lower(CASE WHEN length(r) = {pii.CONTEXT} THEN regexp_replace(r, '\S*$', '') ELSE r END), {_TERM})[1:{pii.CONTEXT_WORDS}]) AS term FROM near)
+  , pairs AS (SELECT entity, term, sum(n) AS n_et FROM words GROUP BY ALL HAVING count(*) >= {pii.MIN_SUPPORT})
+  , entities AS (SELECT entity, sum(n) AS n_e FROM (SELECT DISTINCT t, n, entity FROM near) GROUP BY 1)
+  , seen AS (SELECT term, count(*) AS n_t FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(t), {_TERM}))) AS term FROM d) GROUP BY 1)
+  , reveals AS (SELECT entity, term, ln(n_et * (SELECT count(*) FROM d)::DOUBLE / (n_e * n_t)) / ln((SELECT count(*) FROM d)::DOUBLE / n_e) AS x
+      FROM pairs JOIN entities USING (entity) JOIN seen USING (term))
+  , shown AS (SELECT t, term, max(x) AS x FROM words JOIN reveals USING (entity, term) WHERE x >= {pii.THRESHOLD} GROUP BY ALL)
+  , runs AS (SELECT id, t, hits[i] AS hit, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0) AS BIGINT) AS start
+      FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT id, t, string_split_regex(t, '\p{{L}}+') AS gaps, regexp_extract_all(t, '\p{{L}}+') AS hits
+        FROM d WHERE t IN (SELECT t FROM shown))))
+  , more AS (SELECT id, CASE WHEN x >= {pii.REMOVE_AT} THEN 'cut' ELSE 'term' END AS kind, CASE WHEN x >= {pii.REMOVE_AT} THEN 5 ELSE 4 END AS rank,
+      start, start + length(hit) AS stop FROM runs JOIN shown ON shown.t = runs.t AND shown.term = lower(hit))
+  , spans AS (SELECT id, kind, rank, start, stop FROM m UNION ALL SELECT id, kind, rank, start, stop FROM more
+      WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.id = more.id AND more.start < m.stop AND m.start < more.stop))
+  , g AS (SELECT id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.KINDS)}, {_WRITTEN} FILTER (rank < 4) AS base, {_WRITTEN} AS spans FROM spans GROUP BY id)
+  SELECT d.id AS doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256,
+    coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.id = d.id"""
+
+
 def op1_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "embeddings")
     return neighbours.MultiIndex(rows).search(rows.where(F.col("vec_id") % 50 == 0))
@@ -91,8 +162,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 Q = {
     "op1_multi_index": (op1_multi_index, None),
     "op2_packing": (op2_packing, None),
-    "op3_secrets": (op3_secrets, None),
-    "op4_pii": (op4_pii, None),
+    "op3_secrets": (op3_secrets, _OP3_SQL),
+    "op4_pii": (op4_pii, _OP4_SQL),
     "op5_language": (op5_language, None),
     "op6_vector_dedup": (op6_vector_dedup, None),
     "op7_quality": (op7_quality, None),

@@ -126,3 +126,26 @@ def test_empty_tables(spark):
     assert ledger.count() == 0 and secrets.findings(ledger, paths).count() == 0
     assert pii.find_pii(docs.select("doc_id", "text")).count() == 0
     assert pii.sanitise(docs).count() == 0
+
+
+def test_queries_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from tablescout.llm import queries
+
+    rng = random.Random(8)
+    rows = [(i, f"{C.prose(rng, 20)} Zorblatt quim@corp.example the {C.prose(rng, 60)} zorblatt.", "s") for i in range(6)]
+    rows += [(10 + i, f"{C.prose(rng, 10)} +1 (988) 555-2485 Erika {C.prose(rng, 10)}", "s") for i in range(3)] + [(19, rows[0][1], "s")]
+    rows += [(100 + i, f"{C.prose(rng, 30)} the quick the erika {C.prose(rng, 5)}"[: rng.randint(0, 300)], "s") for i in range(400)]
+    rows += [(1000 + i, t, "s") for i, t in enumerate(soup(150, 9))] + [(5000, None, "s")]
+    C.documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("op3_secrets", "op4_pii"):
+        run, sql = queries.Q[name]
+        got = run(spark, str(tmp_path))
+        relation = con.execute(sql)
+        columns = [c[0] for c in relation.description]
+        assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(relation.fetchall()), name
+        if name == "op4_pii":
+            assert sum("cut:" in r["spans"] or "term:" in r["spans"] for r in got.collect()) >= 7
