@@ -5,27 +5,31 @@ Everything here is a contract: the strings must stay as they are for results to
 
 # Words that are never reported as unknown identifiers.
 RESERVED_WORDS = (
-    "select from where join left right inner outer full on and or not as with group by "
-    "order asc desc limit offset case when then else end null is in between like ilike "
-    "exists distinct union intersect except all any some having cast true false lateral "
-    "using count sum avg min max coalesce nullif greatest least round floor ceil ceiling "
-    "abs mod power sqrt sign length char_length octet_length lower upper initcap substring "
-    "substr concat concat_ws trim ltrim rtrim replace translate split_part regexp_replace "
-    "regexp_match position to_char to_date to_timestamp to_number date_trunc date_part "
-    "extract now current_date current_time current_timestamp localtime localtimestamp "
-    "interval age epoch numeric decimal int int2 int4 int8 bigint integer smallint text "
-    "varchar char character date timestamp timestamptz time boolean bool real double "
-    "precision float json jsonb uuid over partition row_number rank dense_rank lag lead "
-    "first_value last_value ntile percent_rank cume_dist nulls first last array array_agg "
-    "string_agg unnest window within rows range preceding following unbounded current "
-    "returning collate similar tsvector tsquery"
-).split()
+    "select", "from", "where", "join", "left", "right", "inner", "outer", "full", "on", "and", "or",
+    "not", "as", "with", "group", "by", "order", "asc", "desc", "limit", "offset", "case", "when",
+    "then", "else", "end", "null", "is", "in", "between", "like", "ilike", "exists", "distinct",
+    "union", "intersect", "except", "all", "any", "some", "having", "cast", "true", "false",
+    "lateral", "using", "count", "sum", "avg", "min", "max", "coalesce", "nullif", "greatest",
+    "least", "round", "floor", "ceil", "ceiling", "abs", "mod", "power", "sqrt", "sign", "length",
+    "char_length", "octet_length", "lower", "upper", "initcap", "substring", "substr", "concat",
+    "concat_ws", "trim", "ltrim", "rtrim", "replace", "translate", "split_part", "regexp_replace",
+    "regexp_match", "position", "to_char", "to_date", "to_timestamp", "to_number", "date_trunc",
+    "date_part", "extract", "now", "current_date", "current_time", "current_timestamp", "localtime",
+    "localtimestamp", "interval", "age", "epoch", "numeric", "decimal", "int", "int2", "int4",
+    "int8", "bigint", "integer", "smallint", "text", "varchar", "char", "character", "date",
+    "timestamp", "timestamptz", "time", "boolean", "bool", "real", "double", "precision", "float",
+    "json", "jsonb", "uuid", "over", "partition", "row_number", "rank", "dense_rank", "lag", "lead",
+    "first_value", "last_value", "ntile", "percent_rank", "cume_dist", "nulls", "first", "last",
+    "array", "array_agg", "string_agg", "unnest", "window", "within", "rows", "range", "preceding",
+    "following", "unbounded", "current", "returning", "collate", "similar", "tsvector", "tsquery",
+)
 
 # Words that cannot be a table alias.
 NON_ALIAS_WORDS = (
-    "where on group order having left right inner outer full cross lateral using limit "
-    "offset as union intersect except join with select and or not"
-).split()
+    "where", "on", "group", "order", "having", "left", "right", "inner", "outer", "full", "cross",
+    "lateral", "using", "limit", "offset", "as", "union", "intersect", "except", "join", "with",
+    "select", "and", "or", "not",
+)
 
 # Write patterns, in the order in which they are tried.
 WRITE_PATTERNS = (
@@ -45,6 +49,14 @@ WRITE_PATTERNS = (
     r"\bCALL\b",
 )
 
+# Patterns over SQL texts, in Java form (names, aliases, dotted and bare words, WITH names, AS names).
+SQL_REF = r"(?i)(?U)\b(?:FROM|JOIN)\s+([\w.]+)"
+SQL_REF_ALIAS = r"(?i)(?U)\b(?:FROM|JOIN)\s+([\w.]+)(?:\s+(?:AS\s+)?(\w+))?"
+SQL_DOTTED = r"(?U)\b(\w+)\.(\w+)\b"
+SQL_BARE = r"(?U)\b([a-zA-Z_][a-zA-Z_0-9]*)\b"
+SQL_CTE = r"(?i)(?U)\b(\w+)\s+AS\s*\("
+SQL_AS = r"(?i)(?U)\bAS\s+(\w+)"
+
 # Exclusion set of the catalog extraction.
 EXCLUDED_SCHEMAS = ("information_schema", "pg_catalog", "knowledge", "hg_recyclebin")
 EXCLUDED_SCHEMA_LIKE = ("pg_%",)

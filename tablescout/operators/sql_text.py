@@ -15,13 +15,6 @@ from pyspark.sql import functions as F
 from tablescout.functions import constants as K
 from tablescout.functions import text
 
-_REF = r"(?i)(?U)\b(?:FROM|JOIN)\s+([\w.]+)"
-_REF_ALIAS = r"(?i)(?U)\b(?:FROM|JOIN)\s+([\w.]+)(?:\s+(?:AS\s+)?(\w+))?"
-_DOTTED = r"(?U)\b(\w+)\.(\w+)\b"
-_BARE = r"(?U)\b([a-zA-Z_][a-zA-Z_0-9]*)\b"
-_CTE = r"(?i)(?U)\b(\w+)\s+AS\s*\("
-_AS = r"(?i)(?U)\bAS\s+(\w+)"
-
 
 def _all(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
@@ -92,7 +85,7 @@ def _marker(query_id: Column) -> Column:
 
 def table_refs(sql: Column) -> Column:
     """Lower-case names after FROM and JOIN, in order."""
-    return _lower_all(text.without_literals(sql, quoted_names=False), _REF)
+    return _lower_all(text.without_literals(sql, quoted_names=False), K.SQL_REF)
 
 
 def alias_pairs(cleaned: Column) -> Column:
@@ -100,8 +93,8 @@ def alias_pairs(cleaned: Column) -> Column:
 
     An empty alias or a keyword in its place gives no alias entry.
     """
-    tables = _lower_all(cleaned, _REF_ALIAS, 1)
-    aliases = _lower_all(cleaned, _REF_ALIAS, 2)
+    tables = _lower_all(cleaned, K.SQL_REF_ALIAS, 1)
+    aliases = _lower_all(cleaned, K.SQL_REF_ALIAS, 2)
     keywords = F.array(*[F.lit(w) for w in ["", *K.NON_ALIAS_WORDS]])
 
     def pair(t: Column, a: Column) -> Column:
@@ -180,18 +173,18 @@ def sql_lint(queries: DataFrame, columns: DataFrame) -> DataFrame:
     """
     cleaned = queries.select("db_name", "query_id", text.without_literals(F.col("sql")).alias("_c"))
     dotted = F.zip_with(
-        _all(F.col("_c"), _DOTTED, 1),
-        _all(F.col("_c"), _DOTTED, 2),
+        _all(F.col("_c"), K.SQL_DOTTED, 1),
+        _all(F.col("_c"), K.SQL_DOTTED, 2),
         lambda a, b: F.struct(F.lower(a).alias("left"), F.lower(b).alias("right"), b.alias("written")),
     )
     bare = F.filter(
-        F.array_distinct(_all(F.col("_c"), _BARE)), lambda w: ~F.lower(w).isin(K.RESERVED_WORDS)
+        F.array_distinct(_all(F.col("_c"), K.SQL_BARE)), lambda w: ~F.lower(w).isin(*K.RESERVED_WORDS)
     )
     parts = cleaned.select(
         "db_name",
         "query_id",
-        _lower_all(F.col("_c"), _CTE).alias("ctes"),
-        _lower_all(F.col("_c"), _AS).alias("as_names"),
+        _lower_all(F.col("_c"), K.SQL_CTE).alias("ctes"),
+        _lower_all(F.col("_c"), K.SQL_AS).alias("as_names"),
         dotted.alias("dotted"),
         F.transform(bare, lambda w: F.struct(w.alias("written"), F.lower(w).alias("name"))).alias("bare"),
         alias_pairs(F.col("_c")).alias("aliases"),
