@@ -80,6 +80,10 @@ REFUSAL = "本批无相关表"
 CJK = "[一-龥]"
 CUT_MARKER = "\n...(表结构已截断)"
 NO_EXAMPLES = "无可用示例"
+NO_KNOWLEDGE = "无可用知识库示例"
+NO_GLOSSARY = "无业务名词配置"
+NO_TABLES = "无可用表结构"
+SELECTED_NOT_FOUND = "未找到指定的表: "
 
 # Packing, scoring, history and admission defaults.
 MAX_BATCH_CHARS = 20000

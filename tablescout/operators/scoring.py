@@ -92,8 +92,19 @@ def best_candidate(scored: DataFrame) -> DataFrame:
     )
 
 
-def few_shot(items: DataFrame, n: int = 5) -> DataFrame:
-    """Example text per tenant: the first n items, those with both fields."""
+def _with_all(texts: DataFrame, tenants: DataFrame | None, column: str, empty: str) -> DataFrame:
+    """The texts, and for each listed tenant without one the text that says so."""
+    if tenants is None:
+        return texts
+    bare = tenants.select("db_name").distinct().join(texts.select("db_name").distinct(), "db_name", "left_anti")
+    return texts.unionByName(bare.withColumn(column, F.lit(empty)), allowMissingColumns=True)
+
+
+def few_shot(items: DataFrame, n: int = 5, tenants: DataFrame | None = None) -> DataFrame:
+    """Example text per tenant: the first n items, those with both fields.
+
+    ``tenants`` adds those without any item.
+    """
     from tablescout.operators.numbering import first_n_per_group
 
     first = first_n_per_group(items, ["db_name"], ["id"], n, "_rank")
@@ -103,23 +114,25 @@ def few_shot(items: DataFrame, n: int = 5) -> DataFrame:
     )
     ordered = F.array_sort(F.collect_list(F.when(both, F.struct("_rank", example.alias("x")))))
     joined = F.array_join(F.transform(ordered, lambda s: s["x"]), "\n\n")
-    return first.groupBy("db_name").agg(F.coalesce(F.nullif(joined, F.lit("")), F.lit(K.NO_EXAMPLES)).alias("examples"))
+    texts = first.groupBy("db_name").agg(F.coalesce(F.nullif(joined, F.lit("")), F.lit(K.NO_EXAMPLES)).alias("examples"))
+    return _with_all(texts, tenants, "examples", K.NO_KNOWLEDGE)
 
 
-def glossary_text(items: DataFrame, ids_per_part: int = 256) -> DataFrame:
+def glossary_text(items: DataFrame, ids_per_part: int = 256, tenants: DataFrame | None = None) -> DataFrame:
     """Glossary lines per tenant as ordered parts of at most ``ids_per_part`` ids.
 
     The parts of a tenant in order, joined by newlines, are its whole glossary text, and no
-    task puts a whole tenant together.
+    task puts a whole tenant together. ``tenants`` adds those without a line, with a null part.
     """
     term, definition = text.strip(F.col("term")), text.strip(F.col("definition"))
     lines = items.select(
         "db_name", "id", F.floor(F.col("id") / ids_per_part).cast("long").alias("part"),
         F.concat(F.lit("- **"), term, F.lit("**："), definition).alias("_line"),
     ).where((term != "") & (definition != ""))
-    return lines.groupBy("db_name", "part").agg(
+    parts = lines.groupBy("db_name", "part").agg(
         F.expr("listagg(_line, '\n') within group (order by id)").alias("glossary")
     )
+    return _with_all(parts, tenants, "glossary", K.NO_GLOSSARY)
 
 
 def context_choice(questions: DataFrame, named: DataFrame, nearest: DataFrame) -> DataFrame:

@@ -129,3 +129,25 @@ def test_a_checkpoint_folder_must_be_named():
 
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         lineage.checkpoint_folder(Session())
+
+
+def test_contexts_and_their_none_texts(spark):
+    from tablescout.operators import scoring
+    from tablescout.plans import context
+
+    cards = spark.createDataFrame([("d", "s", "a", "表名: s.a", 1), ("d", "s", "b", "表名: s.b", 2)], "db_name string, schema_name string, table_name string, card string, pos long")
+    asked = spark.createDataFrame([(1, 0, "d", "s.b", "s", "b"), (1, 1, "d", "a", "s", "a"), (1, 2, "d", "x", None, None), (2, 0, "d", "x", None, None), (2, 1, "d", "y.z", None, None)],
+        "request_id long, pos int, db_name string, name string, schema_name string, table_name string")
+    got = {r["request_id"]: r["context"] for r in context.cards_selected(asked, cards).collect()}
+    assert got == {1: "表名: s.b\n\n表名: s.a", 2: "未找到指定的表: x, y.z"}
+    tenants = spark.createDataFrame([("d",), ("e",)], "db_name string")
+    got = {r["db_name"]: r["context"] for r in context.tenant_contexts(cards, "pos", tenants).collect()}
+    assert got == {"d": "表名: s.a\n\n表名: s.b", "e": "无可用表结构"}
+    choice = spark.createDataFrame([(1, "named", 1, "s", "a"), (2, "nearest", 2, "s", "a"), (2, "nearest", 1, "s", "b"), (3, "nearest", 1, "q", "z"), (4, "named", 1, "q", "z"), (5, "all", None, None, None)],
+        "request_id long, scope string, rank int, schema_name string, table_name string")
+    requests = spark.createDataFrame([(i, "d") for i in range(1, 6)], "request_id long, db_name string")
+    got = {r["request_id"]: (r["scope"], r["context"]) for r in context.question_context(choice, requests, cards).collect()}
+    assert got == {1: ("named", "表名: s.a"), 2: ("nearest", "表名: s.b\n\n表名: s.a"), 3: ("nearest", "未找到指定的表: q.z"), 4: ("all", None), 5: ("all", None)}
+    none = spark.createDataFrame([], "db_name string, id long, term string, definition string, question string, sql string")
+    assert {r["db_name"]: r["examples"] for r in scoring.few_shot(none, tenants=tenants).collect()} == {"d": "无可用知识库示例", "e": "无可用知识库示例"}
+    assert {r["glossary"] for r in scoring.glossary_text(none, tenants=tenants).collect()} == {"无业务名词配置"}

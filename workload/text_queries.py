@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from tablescout.functions import constants as K
 from tablescout.functions import text
 from tablescout.operators import scoring, sql_text
+from tablescout.operators.catalog_text import resolve_names, schema_cards
+from tablescout.plans import context
+from workload.catalog_queries import _TEXTS
 from workload.inputs import frame, with_inputs
 
 Q: dict = {}
@@ -185,6 +188,52 @@ def _choice(s, d):
     return scoring.context_choice(frame(s, d, "requests"), named, frame(s, d, "hits").where("score < 1.5"))
 
 
+def _cards_by_order(s, d):
+    """Cards with the order number in the table's name as their place."""
+    return schema_cards(frame(s, d, "catalog")).withColumn("pos", F.substring("table_name", 7, 20).cast("long"))
+
+
+add(
+    "question_context",
+    lambda s, d: context.question_context(_choice(s, d), frame(s, d, "requests"), _cards_by_order(s, d)).select(
+        "request_id", "db_name", "scope", F.md5(F.coalesce("context", F.lit(""))).alias("context")
+    ),
+    with_inputs("catalog classes namespaces requests hits", _TEXTS + """, nm AS (SELECT c.class_id AS request_id, c.db_name, n.schema_name, c.table_name FROM classes c JOIN namespaces n USING (namespace_id) WHERE c.priority = '1-URGENT' AND n.has_usage)
+      , named AS (SELECT request_id, 'named' AS scope, card AS context FROM nm JOIN cards USING (db_name, schema_name, table_name))
+      , near AS (SELECT request_id, 'nearest' AS scope, '未找到指定的表: ' || string_agg(schema_name || '.' || table_name, ', ' ORDER BY rank) AS context
+          FROM hits WHERE score < 1.5 AND request_id NOT IN (SELECT request_id FROM nm) GROUP BY 1)
+      , own AS (SELECT * FROM named UNION ALL SELECT * FROM near)
+      SELECT request_id, db_name, coalesce(scope, 'all') AS scope, md5(coalesce(context, '')) AS context FROM requests LEFT JOIN own USING (request_id)"""),
+)
+
+
+def _selected(s, d):
+    columns = frame(s, d, "catalog")
+    wanted = frame(s, d, "requests").select("request_id", "db_name").join(
+        frame(s, d, "classes").select(F.col("class_id").alias("request_id"), "table_name", "namespace_id", "status"), "request_id"
+    ).join(frame(s, d, "namespaces"), "namespace_id")
+    qualified = F.concat("schema_name", F.lit("."), "table_name")
+    names = F.array(F.when(F.col("status") == "F", F.col("table_name")).otherwise(qualified), F.lit("no.where"))
+    asked = wanted.select("request_id", "db_name", F.posexplode(names).alias("pos", "name"))
+    tables = columns.select("db_name", "schema_name", "table_name").distinct()
+    return context.cards_selected(resolve_names(asked, tables, strict_schema=True), schema_cards(columns))
+
+
+add(
+    "cards_selected",
+    lambda s, d: _selected(s, d).withColumn("context", F.md5("context")),
+    with_inputs("catalog classes namespaces requests", _TEXTS + """, w AS (SELECT c.class_id AS request_id, c.db_name, n.schema_name, c.table_name,
+           CASE WHEN c.status = 'F' THEN c.table_name ELSE n.schema_name || '.' || c.table_name END AS name FROM classes c JOIN namespaces n USING (namespace_id))
+      SELECT w.request_id, md5(coalesce(cards.card, '未找到指定的表: ' || name || ', no.where')) AS context FROM w
+      LEFT JOIN cards ON cards.db_name = w.db_name AND cards.schema_name = w.schema_name AND cards.table_name = w.table_name"""),
+)
+add(
+    "few_shot_tenants",
+    lambda s, d: scoring.few_shot(frame(s, d, "knowledge").where("db_name <> 'tenant_1'"), tenants=frame(s, d, "knowledge")).withColumn("examples", F.md5("examples")),
+    with_inputs("knowledge", """, f AS (SELECT *, row_number() OVER (PARTITION BY db_name ORDER BY id) AS n FROM knowledge)
+       SELECT db_name, md5(CASE WHEN db_name = 'tenant_1' THEN '无可用知识库示例' ELSE coalesce(string_agg('问题: ' || question || chr(10) || 'SQL: ' || sql, chr(10) || chr(10) ORDER BY id)
+         FILTER (question <> '' AND sql <> ''), '无可用示例') END) AS examples FROM f WHERE n <= 5 GROUP BY db_name"""),
+)
 add(
     "context_choice",
     lambda s, d: _choice(s, d).withColumn("rank", F.coalesce("rank", F.lit(0))),
