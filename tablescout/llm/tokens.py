@@ -20,11 +20,11 @@ from tablescout.llm import textbytes as B
 from tablescout.llm.common import worker_memo
 
 #: Pieces whose ids a worker remembers; each takes about 150 bytes.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: A piece longer than this is encoded each time it comes.
 LONG_PIECE = 64
 #: Bytes of text cut at a time, so that the arrays stay small.
-_CHUNK = 2 * 1024 * 1024
+_CHUNK = 1024 * 1024
 _JOINED = 4000
 _ASCII_SPACE = np.zeros(256, dtype=bool)
 _ASCII_SPACE[[*range(9, 14), *range(28, 33)]] = True
