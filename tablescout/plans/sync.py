@@ -115,6 +115,11 @@ def text_vectors(
     Pass filtered frames to encode single rows after a write. Rows are ``kind, db_name, id,
     provider, vector_text, embedding``.
     """
+    return _encode(_text_pairs(knowledge, glossary), encoders or default_encoders(), keep_text=True)
+
+
+def _text_pairs(knowledge: DataFrame, glossary: DataFrame) -> DataFrame:
+    """The text of every knowledge and glossary row, once per provider."""
     pairs = knowledge.select(
         F.lit("knowledge").alias("kind"), "db_name", "id",
         knowledge_vector_text(F.col("question"), F.col("sql")).alias("vector_text"),
@@ -124,8 +129,27 @@ def text_vectors(
             glossary_vector_text(F.col("term"), F.col("definition")).alias("vector_text"),
         )
     )
-    every = pairs.withColumn("provider", F.explode(F.array(*[F.lit(p) for p in K.PROVIDERS])))
-    return _encode(every, encoders or default_encoders(), keep_text=True)
+    return pairs.withColumn("provider", F.explode(F.array(*[F.lit(p) for p in K.PROVIDERS])))
+
+
+TEXT_KEY = ["kind", "db_name", "id", "provider"]
+
+
+def backfilled_text_vectors(
+    knowledge: DataFrame, glossary: DataFrame, stored: DataFrame, encoders: dict[str, Callable] | None = None
+) -> DataFrame:
+    """Next version of the knowledge and glossary vectors: gaps are encoded, rows without an item go.
+
+    ``stored`` has ``kind, db_name, id, provider, text_hash, embedding``; so has the result, with
+    ``encoded`` where a missing vector, a null one or a changed text was encoded again.
+    """
+    wanted = _text_pairs(knowledge, glossary).withColumn("text_hash", F.md5("vector_text"))
+    ready = stored.where(F.col("embedding").isNotNull()).select(*TEXT_KEY, "text_hash", "embedding")
+    keys = wanted.select(*TEXT_KEY, "text_hash")
+    kept = ready.join(keys, [*TEXT_KEY, "text_hash"], "left_semi").withColumn("encoded", F.lit(False))
+    work = wanted.join(ready.select(*TEXT_KEY, "text_hash"), [*TEXT_KEY, "text_hash"], "left_anti")
+    coded = _encode(work, encoders or default_encoders()).withColumn("encoded", F.lit(True))
+    return kept.unionByName(coded.select(*kept.columns))
 
 
 def store(synced: DataFrame) -> DataFrame:
@@ -156,3 +180,21 @@ def check_and_sync(
     rest = diff.with_key(stored).join(todo, "db_name", "left_anti")
     visible = visible_items(F.col("schema_name"), F.col("table_name"))
     return upsert.delete_where(synced.unionByName(rest.select(*synced.columns)), ~visible)
+
+
+def sync_pass(
+    items: DataFrame, stored: DataFrame, fingerprints: DataFrame, now: Column
+) -> tuple[DataFrame, DataFrame]:
+    """``(vectors, fingerprints)`` to store after a gated check.
+
+    The fingerprints are those of the items that were synced, so that a second pass over the same
+    items finds nothing to do for any tenant. Items of excluded schemas and tables take no part;
+    tenants without items keep the fingerprint they had.
+    """
+    shown = upsert.delete_where(
+        items, ~visible_items(F.coalesce("schema_name", F.lit("")), F.col("table_name"))
+    )
+    vectors = check_and_sync(shown, stored, fingerprints, now)
+    current = diff.fingerprint(shown, ["db_name"])
+    left = fingerprints.select("db_name", "fingerprint").join(current.select("db_name"), "db_name", "left_anti")
+    return vectors, current.unionByName(left)

@@ -45,6 +45,12 @@ def write_snapshot(df: DataFrame, root: str, partition_by: list[str] = ()) -> in
 
 
 def _name(parts: DataFrame, root: str, version: int) -> None:
+    """Name a version, unless another writer named it or a later one meanwhile.
+
+    The test and the append are two steps, so writers of one table should still take turns.
+    """
+    if current_version(parts.sparkSession, root) >= version:
+        raise RuntimeError(f"version {version} of {root} was named by another writer")
     parts.select(
         F.lit(version).cast("long").alias("version"), F.col("rows").cast("long").alias("rows"), "part",
         F.current_timestamp().alias("written_at"),

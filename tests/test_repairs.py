@@ -151,3 +151,29 @@ def test_contexts_and_their_none_texts(spark):
     none = spark.createDataFrame([], "db_name string, id long, term string, definition string, question string, sql string")
     assert {r["db_name"]: r["examples"] for r in scoring.few_shot(none, tenants=tenants).collect()} == {"d": "无可用知识库示例", "e": "无可用知识库示例"}
     assert {r["glossary"] for r in scoring.glossary_text(none, tenants=tenants).collect()} == {"无业务名词配置"}
+
+
+def test_a_second_pass_finds_nothing_to_do(spark):
+    now = F.lit("2024-02-01").cast("timestamp_ntz")
+    rows = [("d", None, "t1", "x"), ("d", "s", "t2", "y"), ("e", "pg_temp", "t3", "z"), ("e", "s", "t4", "w")]
+    items = spark.createDataFrame(rows, "db_name string, schema_name string, table_name string, vector_text string")
+    stored = spark.createDataFrame([], sync.STORED)
+    prints = spark.createDataFrame([("gone", "f")], "db_name string, fingerprint string")
+    vectors, after = sync.sync_pass(items, stored, prints, now)
+    vectors, after = lineage.cut_lineage(vectors), lineage.cut_lineage(after)
+    assert {r["table_name"] for r in vectors.collect()} == {"t1", "t2", "t4"}
+    assert {r["db_name"] for r in after.collect()} == {"d", "e", "gone"}
+    shown = items.where("table_name <> 't3'")
+    assert {r["action"] for r in sync.check_tenants(shown, vectors, after).collect()} == {"none"}
+    again, _ = sync.sync_pass(items, vectors, after, now)
+    assert sorted(map(str, again.collect())) == sorted(map(str, vectors.collect()))
+
+
+def test_a_version_is_named_once(spark, tmp_path):
+    from tablescout.sources import snapshots
+
+    root = str(tmp_path / "t")
+    df = spark.range(3)
+    assert snapshots.write_snapshot(df, root) == 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        snapshots._name(df.groupBy().count().withColumnsRenamed({"count": "rows"}).withColumn("part", F.lit(None).cast("string")), root, 1)

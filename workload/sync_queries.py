@@ -264,6 +264,29 @@ add(
 )
 
 
+def _backfilled(s, d):
+    knowledge = frame(s, d, "knowledge").withColumn("sql", F.coalesce("sql", F.lit("")))
+    glossary = frame(s, d, "glossary")
+    now = sync.text_vectors(knowledge, glossary).withColumn("text_hash", F.md5("vector_text"))
+    # One kind has no vector of one provider, and the texts of one tenant have changed since.
+    stale = F.when(F.col("db_name") == "tenant_1", F.lit("old")).otherwise(F.col("text_hash"))
+    stored = now.where("kind = 'glossary' OR provider = 'local'").withColumns({
+        "text_hash": stale, "embedding": F.when(F.col("db_name") != "tenant_2", F.col("embedding")),
+    })
+    out = sync.backfilled_text_vectors(knowledge, glossary, stored)
+    return out.select(*sync.TEXT_KEY, "text_hash", "encoded", F.round(V.l2_norm(F.col("embedding")), 4).alias("norm"))
+
+
+add(
+    "backfilled_vectors",
+    _backfilled,
+    with_inputs("knowledge glossary", """, t AS (SELECT 'knowledge' AS kind, db_name, id, '问题: ' || question || chr(10) || 'SQL: ' || coalesce(sql, '') AS x FROM knowledge
+        UNION ALL SELECT 'glossary', db_name, id, term || ': ' || definition FROM glossary)
+      SELECT kind, db_name, id, provider, md5(x) AS text_hash, (kind = 'knowledge' AND provider = 'api') OR db_name IN ('tenant_1', 'tenant_2') AS encoded, 1.0::DOUBLE AS norm
+      FROM t CROSS JOIN (VALUES ('local'), ('api')) p(provider)"""),
+)
+
+
 def _ingested(s, d):
     raw = ingest.read_file(s, f"{d}/lineitem.parquet", "parquet").select(
         F.col("l_orderkey").alias(" order key"), F.col("l_linenumber").alias("line number "), F.col("l_quantity").alias("qty"),
