@@ -145,15 +145,15 @@ class MultiIndex:
 
         placed = rows.mapInArrow(assign, f"id long, v {type_of(rows, 'v')}, cell int")
         placed = stored(placed, "multi-index")
-        # At most 256 * 256 counts.
-        counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+        # At most 256 * 256 cells, on the driver and in the broadcast.
+        sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
         self.rows = np.zeros(len(first) * len(second), dtype=np.int64)
-        for r in counts:
+        for r in sizes.collect():
             self.rows[r["cell"]] = r["n"]
-        blocks = np.maximum(-(-self.rows // BLOCK_ROWS), 1)
-        self.blocks = blocks
-        cell_blocks = F.element_at(F.lit(blocks.tolist()), F.col("cell") + 1)
-        self.placed = placed.withColumn("block", F.pmod(F.xxhash64("id", "v"), cell_blocks).cast("int"))
+        self.blocks = np.maximum(-(-self.rows // BLOCK_ROWS), 1)
+        blocks = F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int")
+        block = F.pmod(F.xxhash64("id", "v"), blocks).cast("int")
+        self.placed = placed.join(F.broadcast(sizes), "cell").select("id", "v", "cell", block.alias("block"))
 
     def search(
         self, queries: DataFrame, k: int = 5, share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding"
