@@ -34,8 +34,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: A pair at the threshold shares no bucket with probability (1 - 0.8**6)**32, 6 in 100,000.
 BANDS, ROWS = 32, 6
-#: Members of a bucket or hub that are checked in one task.
-BLOCK = 512
+#: Members of a bucket or hub that are checked in one task, and words of all of them together; a task
+#: holds more only where one text is longer.
+BLOCK, BLOCK_WORDS = 512, 500_000
 _CHUNK = 1024 * 1024
 _C = [np.uint64(int(x) | 1) for x in B.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))]
 
@@ -230,30 +231,32 @@ def _alike(threshold: float):
 
 def _check(tasks: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
     """Links ``a, b`` between components, from rows ``task, part, side, node, component``."""
-    rows = tasks.join(elements, "node")
+    rows = tasks.join(elements.select("node", "elements"), "node")
     return (
         rows.select("task", "part", "side", "node", "component", "elements")
         .groupBy("task", "part").applyInArrow(_alike(threshold), "a binary, b binary")
     )
 
 
-def _blocks(n: Column) -> Column:
-    return F.ceil(n / F.lit(BLOCK)).cast("int")
+def _blocks(n: Column, words: Column) -> Column:
+    return F.ceil(F.greatest(n / F.lit(BLOCK), words / F.lit(BLOCK_WORDS))).cast("int")
 
 
-def _star_tasks(members: DataFrame, buckets: DataFrame) -> DataFrame:
+def _star_tasks(members: DataFrame, buckets: DataFrame, elements: DataFrame) -> DataFrame:
     """Every node with the hub of each of its buckets, once per hub."""
     pairs = members.join(buckets, "bucket").where("node != hub").select("hub", "node").distinct()
     pairs = stored(pairs, "near-hubs")
-    many = pairs.groupBy("hub").agg(_blocks(F.count(F.lit(1))).alias("parts"))
+    many = pairs.join(elements.select("node", "words"), "node").groupBy("hub").agg(
+        _blocks(F.count(F.lit(1)), F.sum("words")).alias("parts")
+    )
+    many = stored(many, "near-hub-parts")
     # The hub stands on side 0 of each part.
     hubs = many.select(
         F.col("hub").alias("task"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
         F.lit(0).alias("side"), F.col("hub").alias("node"), F.col("hub").alias("component"),
     )
     # Few hubs have more than a block of members, so looking these up seldom moves the pairs.
-    large = stored(many.where("parts > 1"), "near-large-hubs")
-    others = pairs.join(large, "hub", "left").select(
+    others = pairs.join(many.where("parts > 1"), "hub", "left").select(
         F.col("hub").alias("task"),
         F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"),
         F.lit(1).alias("side"), "node", F.col("node").alias("component"),
@@ -261,19 +264,25 @@ def _star_tasks(members: DataFrame, buckets: DataFrame) -> DataFrame:
     return hubs.unionByName(others)
 
 
-def _rest_tasks(members: DataFrame) -> DataFrame:
+def _rest_tasks(members: DataFrame, elements: DataFrame) -> DataFrame:
     """Blocks of the buckets that hold several components, so that all pairs across them meet.
 
     The largest component of a bucket is never held against itself.
     """
-    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = members.join(elements.select("node", "words"), "node").groupBy("bucket", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")
+    )
     split = (
         sizes.groupBy("bucket")
-        .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"))
+        .agg(
+            F.max(F.struct("n", "component", "words")).alias("top"), F.sum("n").alias("n"), F.sum("words").alias("words"),
+            F.count(F.lit(1)).alias("parts"),
+        )
         .where("parts > 1")
         .select(
             "bucket", F.col("top.component").alias("main"),
-            _blocks(F.col("all") - F.col("top.n")).alias("few"), _blocks(F.col("top.n")).alias("many"),
+            _blocks(F.col("n") - F.col("top.n"), F.col("words") - F.col("top.words")).alias("few"),
+            _blocks(F.col("top.n"), F.col("top.words")).alias("many"),
         )
     )
     rows = members.join(split, "bucket")
@@ -328,16 +337,17 @@ def near_duplicates(
     texts = chosen.join(wanted.hint("shuffle_hash"), chosen["doc_id"].eqNullSafe(wanted["first"]), "left_semi")
     elements = stored(
         texts.select("text").mapInArrow(_elements(), "node binary, elements array<long>")
-        .join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]),
+        .join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        .select("node", F.size("elements").alias("words"), "elements"),
         "near-elements",
     )
     members = members.select("bucket", "node")
-    star = stored(_check(_star_tasks(members, buckets), elements, similarity), "near-star")
+    star = stored(_check(_star_tasks(members, buckets, elements), elements, similarity), "near-star")
     named = components(star, "near-star")
     labelled = members.join(named, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component")
     )
-    rest = stored(_check(_rest_tasks(stored(labelled, "near-labelled")), elements, similarity), "near-rest")
+    rest = stored(_check(_rest_tasks(stored(labelled, "near-labelled"), elements), elements, similarity), "near-rest")
     upper = components(rest, "near-rest").select(F.col("node").alias("component"), F.col("component").alias("top"))
     # Components of components; nodes without links are their own.
     all_nodes = nodes.select("node", "first").join(named, "node", "left").select(

@@ -75,6 +75,7 @@ def check_groups(spark, rows, **options):
 @pytest.mark.parametrize("block", [512, 3])
 def test_near_groups_equal_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_WORDS", 1000 * block)
     rng = random.Random(3)
     rows = C.awkward(3)
     one = C.prose(rng, 120)
