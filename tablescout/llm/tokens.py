@@ -19,13 +19,14 @@ import pyarrow as pa
 from tablescout.llm import textbytes as B
 from tablescout.llm.common import worker_memo
 
-#: Pieces whose ids a worker remembers; each takes about 150 bytes.
-REMEMBERED = 500_000
+#: Pieces whose ids a worker remembers; each takes about 50 bytes.
+REMEMBERED = 2_000_000
 #: A piece longer than this is encoded each time it comes.
 LONG_PIECE = 64
 #: Bytes of text cut at a time, so that the arrays stay small.
 _CHUNK = 1024 * 1024
-_JOINED = 4000
+_JOINED = 500
+_LATEST = 65_536
 _ASCII_SPACE = np.zeros(256, dtype=bool)
 _ASCII_SPACE[[*range(9, 14), *range(28, 33)]] = True
 #: 1 letter, 2 punctuation (without what may open a contraction or a special token), 0 other.
@@ -57,10 +58,29 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}  # hash of a piece -> its row in ``begin`` and ``size``
-        self.begin, self.size = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        # Hashes of pieces in order, with their rows in ``begin`` and ``size``: many, and the latest.
+        empty = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)
+        self.known, self.latest = empty, empty
+        self.begin, self.size = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int32)
         self.pool, self.used, self.rows = np.zeros(4096, dtype=np.uint32), 0, 0
 
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 for new ones."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        for keys, rows in (self.known, self.latest):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                out[hit] = rows[at[hit]]
+        return out
+
+    def _insert(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        """Remember sorted new hashes; the latest are merged into the many now and then."""
+        self.latest = _merged(self.latest, (hashes, rows.astype(np.int32)))
+        if len(self.latest[0]) > _LATEST:
+            self.known = _merged(self.known, self.latest)
+            self.latest = self.latest[0][:0], self.latest[1][:0]
+
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -92,23 +112,28 @@ class PieceEncoder:
                 out[i] = np.asarray(self._encode(p.decode()), dtype=np.uint32)
             else:
                 plain.append(i)
-        for at in range(0, len(plain), _JOINED):
-            part = plain[at : at + _JOINED]
-            for i, ids in zip(part, self._together([pieces[i] for i in part])):
-                out[i] = ids
+        for i, ids in zip(plain, self._together([pieces[i] for i in plain])):
+            out[i] = ids
         return out
 
-    def _together(self, part: list[bytes]) -> list[np.ndarray]:
+    def _together(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Many pieces in one call; a mark that none of them holds tells their ids apart."""
-        text = b"".join(p + self.between.encode() for p in part).decode()
-        ids = np.asarray(self._encode(text), dtype=np.uint32)
-        end = np.flatnonzero(ids == self.marker[0])
-        if len(self.marker) != 1 or len(end) != len(part):
-            return [np.asarray(self._encode(p.decode()), dtype=np.uint32) for p in part]
-        begin = np.append(0, end[:-1] + 1)
-        return [ids[b:e] for b, e in zip(begin.tolist(), end.tolist())]
-
-    def _keep(self, hashes: list[int], ids: list[np.ndarray]) -> None:
+        between, out = self.between.encode(), []
+        parts = [pieces[at : at + _JOINED] for at in range(0, len(pieces), _JOINED)]
+        texts = [(between.join(part) + between).decode() for part in parts]
+        # This call leaves out the places in the text, which are not needed.
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.asarray(found.ids, dtype=np.uint32)
+            end = np.flatnonzero(ids == self.marker[0])
+            if len(self.marker) != 1 or len(end) != len(part):
+                out += [np.asarray(self._encode(p.decode()), dtype=np.uint32) for p in part]
+            else:
+                begin = np.append(0, end[:-1] + 1)
+                out += [ids[b:e] for b, e in zip(begin.tolist(), end.tolist())]
+        return out
+
+    def _keep(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Put the ids of new pieces into the pool; gives their rows."""
         rows, more = self.rows, sum(map(len, ids))
         while len(self.begin) < rows + len(ids):
             self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
@@ -121,7 +146,7 @@ class PieceEncoder:
             self.pool[self.used : self.used + more] = np.concatenate(ids)
         self.used += more
         self.rows += len(ids)
-        self.place.update(zip(hashes, range(rows, rows + len(ids))))
+        return np.arange(rows, rows + len(ids))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and where each text's begin; a null text has none."""
@@ -149,15 +174,17 @@ class PieceEncoder:
         hashes, first, piece = np.unique(hash_, return_index=True, return_inverse=True)
         if self.rows > REMEMBERED or self.used > 8 * REMEMBERED:
             self._forget()  # frequent pieces come back at once
-        known = hashes.tolist()
-        for h in range(len(long)):
-            self.place.pop(h, None)
-        new = [i for i, h in enumerate(known) if h not in self.place]
+        short = end[first] - begin[first] <= LONG_PIECE
+        place = self._find(hashes)
+        place[~short] = -1
+        new = np.flatnonzero(place < 0)
         slices = [raw[b:e] for b, e in zip(begin[first[new]].tolist(), end[first[new]].tolist())]
-        self._keep([known[i] for i in new], self._learn(slices))
-        row = np.fromiter(map(self.place.__getitem__, known), dtype=np.int64, count=len(known))[piece]
+        place[new] = self._keep(self._learn(slices))
+        stays = new[short[new]]
+        self._insert(hashes[stays], place[stays])
+        row = place[piece]
         size = self.size[row]
-        stop = np.cumsum(size)
+        stop = np.cumsum(size, dtype=np.int64)
         source = np.repeat(self.begin[row] - (stop - size), size) + np.arange(stop[-1])
         flat = self.pool[source]
         # A text's pieces are those that begin in it.
@@ -165,6 +192,12 @@ class PieceEncoder:
         return flat, np.diff(upto)
 
 
+def _merged(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of keys with their values as one."""
+    at = np.searchsorted(one[0], two[0])
+    return np.insert(one[0], at, two[0]), np.insert(one[1], at, two[1])
+
+
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder for a tokenizer file."""
     memo = worker_memo("encoders")
