@@ -1,15 +1,15 @@
 """Personal data: identifier spans, and terms that give an identifier away.
 
-Identifiers (email, ip, card, phone) are found by pattern and check. A word beside an identifier can
-reveal it when the two keep company across the corpus, so that taking out the identifier alone does
-not help. How strongly a term t reveals an identifier e is their pointwise mutual information over
+Identifiers (email, ip, card, phone) are found by pattern and check. A word of the same text can
+reveal an identifier when the two keep company across the corpus, so that taking out the identifier
+alone does not help. How strongly a term t reveals an identifier e is their pointwise mutual information over
 the information content of e::
 
     disclosure = ln(n(e, t) * N / (n(e) * n(t))) / ln(N / n(e))
 
-with n the number of documents: 1 means that t occurs only where e does. Pairs are counted in the
-words around each mention, so their number grows with the mentions and not with the square of a
-text; n(t) and N are counted over the whole corpus. Terms at or over the threshold are generalised
+with n the number of documents: 1 means that t occurs only where e does. A document holds a pair when
+both stand anywhere in it. Pairs that cannot reach the support or the threshold are dropped by the
+counts of e and t alone, before they are formed. Terms at or over the threshold are generalised
 to a placeholder, terms that reveal all are removed. Only documents that mention e are touched.
 
 Everything is a column expression or a join, nothing runs outside the JVM.
@@ -33,9 +33,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: What an identifier and a revealing term become.
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>", "cut": ""}
 
-#: Code points of context on either side of a mention.
+#: Code points of context on either side of a mention, where terms are held to its surroundings.
 CONTEXT = 200
-#: Words of context on either side.
+#: Words of context on either side, likewise.
 CONTEXT_WORDS = 8
 #: Distinct texts that must show a pair before it counts.
 MIN_SUPPORT = 3
@@ -118,48 +118,77 @@ def _mentions(flagged: DataFrame) -> DataFrame:
     return rows.select("key", value.alias("entity"), near.alias("terms"))
 
 
+def _entities(text: Column, base: Column) -> Column:
+    """Distinct identifiers of a text as ``kind:value``."""
+    value = lambda s: F.lower(text.substr(s["start"] + 1, s["end"] - s["start"]))
+    return F.array_distinct(F.transform(base, lambda s: F.concat(s["kind"], F.lit(":"), value(s))))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
+
+
 def disclosing_terms(
     docs: DataFrame,
     text_col: str = "text",
     min_support: int = MIN_SUPPORT,
     threshold: float = THRESHOLD,
+    nearby: bool = False,
 ) -> DataFrame:
     """``key, term, disclosure``: per distinct text with identifiers, the terms that reveal one.
 
     ``key`` is the SHA-256 of the text. Support counts distinct texts, all other numbers count rows.
+    With ``nearby`` a text holds a pair only where the term stands in the context of a mention.
     """
     text = F.col(text_col)
-    flagged = stored(
+    total = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    n = F.lit(float(total))
+    flagged = (
         docs.select(text.alias("text"), identifier_spans(text).alias("base"))
         .where(F.size("base") > 0)
-        .select(F.sha2(F.col("text").cast("binary"), 256).alias("key"), "text", "base"),
-        "pii-flagged",
+        .select(F.sha2(F.col("text").cast("binary"), 256).alias("key"), "text", "base")
     )
-    texts = flagged.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    mentions = _mentions(flagged.dropDuplicates(["key"]))
-    mentioned = stored(
-        mentions.groupBy("key", "entity").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-        .join(texts, "key"),
-        "pii-mentions",
+    each = stored(
+        flagged.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.first("text").alias("text"), F.first("base").alias("base")),
+        "pii-flagged",
     )
-    entities = mentioned.groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count(F.lit(1)).alias("texts"))
-    pairs = stored(
-        mentioned.select("entity", "rows", F.explode("terms").alias("term"))
-        .groupBy("entity", "term").agg(F.sum("rows").alias("n_et"), F.count(F.lit(1)).alias("support"))
-        .where(F.col("support") >= min_support),
-        "pii-pairs",
+    mentioned = each.select("key", "rows", F.explode(_entities(F.col("text"), F.col("base"))).alias("entity"))
+    # No pair has more support than its identifier; one that is in every document is told by nothing.
+    entities = (
+        mentioned.groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+        .where((F.col("texts") >= min_support) & (F.col("n_e") < n)).drop("texts")
     )
-    # Documents per term over the whole corpus: counts combine before the shuffle, and only then
-    # are the candidate terms picked, so that no row per word of the corpus passes a join.
+    mentioned = stored(mentioned.join(entities, "entity"), "pii-mentions")
+    most = mentioned.agg(F.max("n_e").alias("n")).first()["n"]
+
+    def within_reach(n_e: Column) -> Column:
+        # As n(e, t) is at most n(e), a term of more documents than this stays under the threshold.
+        return F.ln(n / F.col("n_t")) >= F.lit(float(threshold)) * F.ln(n / n_e) - 1e-9
+
+    # Documents per term over the whole corpus: counts combine before the shuffle.
     in_corpus = (
-        docs.where(text.isNotNull())
-        .select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))).alias("term"))
+        docs.where(text.isNotNull()).select(F.explode(_terms(text)).alias("term"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+        .where((F.col("n_t") >= min_support) & within_reach(F.lit(float(most or 1))))
+    )
+    if nearby:
+        words = _mentions(each).select("key", "entity", F.explode("terms").alias("term")).distinct()
+        held = words.join(mentioned, ["key", "entity"]).join(in_corpus, "term")
+    else:
+        words = each.join(mentioned.select("key").distinct(), "key", "left_semi").select(
+            "key", F.explode(_terms(F.col("text"))).alias("term")
+        )
+        held = words.join(in_corpus, "term").join(mentioned, "key")
+    held = stored(
+        held.where(within_reach(F.col("n_e"))).select("key", "rows", "entity", "n_e", "term", "n_t"), "pii-pairs"
     )
-    total = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    n = F.lit(float(total))
     revealing = (
-        pairs.join(entities, "entity").join(in_corpus, "term")
+        held.groupBy("entity", "term")
+        .agg(
+            F.sum("rows").alias("n_et"), F.count(F.lit(1)).alias("support"),
+            F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"),
+        )
+        .where(F.col("support") >= min_support)
         .select(
             "entity", "term",
             (F.ln(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / F.ln(n / F.col("n_e"))).alias("disclosure"),
@@ -167,8 +196,7 @@ def disclosing_terms(
         .where(F.col("disclosure") >= threshold)
     )
     return (
-        mentioned.select("key", "entity", F.explode("terms").alias("term"))
-        .join(revealing, ["entity", "term"])
+        held.select("key", "entity", "term").join(revealing, ["entity", "term"])
         .groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
     )
 
@@ -190,6 +218,7 @@ def find_pii(
     min_support: int = MIN_SUPPORT,
     threshold: float = THRESHOLD,
     remove_at: float = REMOVE_AT,
+    nearby: bool = False,
     base: str = "base_spans",
     spans: str = "spans",
 ) -> DataFrame:
@@ -203,7 +232,7 @@ def find_pii(
     key, found = fresh(docs, "_pii_key", "_pii_terms")
     text = F.col(text_col)
     terms = (
-        disclosing_terms(docs, text_col, min_support, threshold)
+        disclosing_terms(docs, text_col, min_support, threshold, nearby)
         .groupBy(F.col("key").alias(key))
         .agg(F.collect_list(F.struct((F.col("disclosure") >= remove_at).alias("cut"), "term")).alias(found))
     )

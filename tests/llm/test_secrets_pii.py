@@ -104,6 +104,30 @@ def test_revealing_words_are_found_and_clean_texts_left(spark):
     assert score == round(math.log(6 * 407 / (6 * 7)) / math.log(407 / 6), 9)
 
 
+def test_revealing_words_count_wherever_they_stand(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(10):
+        # Beside the number in three texts, in a later paragraph in the others; one has no white space.
+        near, far = ("Zorblatt", "") if i < 3 else ("", f"{C.prose(rng, 80)}\n\nZorblatt ")
+        rows.append((i, f"{C.prose(rng, 20)} {near} +1 (988) 555-2485 {C.prose(rng, 20)} {far}{C.prose(rng, 5)}", "s"))
+    rows.append((10, "。".join(["语言数据"] * 60) + "+1 (988) 555-2485。zorblatt。" + "中文文本。" * 60, "s"))
+    rows += [(100 + i, C.prose(rng, 30), "s") for i in range(1000)]
+    docs = C.documents(spark, rows)
+    found = {r["key"]: r["disclosure"] for r in pii.disclosing_terms(docs).where("term = 'zorblatt'").collect()}
+    assert set(found) == {C.sha(t) for _, t, _ in rows[:11]}
+    assert {round(x, 9) for x in found.values()} == {1.0}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all("zorblatt" not in clean[i].lower() and "<PHONE>" in clean[i] for i in range(11))
+    # Held to the context of a mention, three of eleven texts show the pair: too few.
+    assert pii.disclosing_terms(docs, nearby=True).where("term = 'zorblatt'").count() == 0
+
+
+def test_identifier_of_every_document_is_told_by_nothing(spark):
+    docs = C.documents(spark, [(i, f"word{i} Zorblatt a@b.co", "s") for i in range(4)])
+    assert pii.disclosing_terms(docs).count() == 0
+
+
 def test_sanitise_keeps_columns_nulls_and_repeated_rows(spark):
     rows = [(1, None, "s"), (2, "", "s"), (3, "mail a@b.co", "s"), (3, "mail a@b.co", "s"), (None, "+1 (988) 555-2485!", None)]
     docs = C.documents(spark, rows)
