@@ -2,12 +2,12 @@
 
 Centres of length 1 are fitted on a bounded sample; every vector goes to the cell of its nearest
 centre, its home. The partners of a vector near a border may live in another cell, so it is also sent
-as a guest to the cells of smaller number whose border is near. Near means: less than ``REACH``
-standard deviations of what a partner at the threshold differs in the direction across the border,
-its difference taken as spread evenly over the dimensions. A pair meets in one cell only, the one
-where one or both are at home. The recall is measured in the tests and the README.
+as a guest to the cells of smaller number whose border is near. Near means: no further than a partner
+at the threshold can lie, whatever the dimensions, so no link is missed. Neighbouring numbers share a
+bin of bounded size, and a vector goes to a bin once. A pair meets in one bin only, the one where one
+or both are at home.
 
-The residents and guests of a cell are cut into blocks of bounded size and compared block by block
+The residents and guests of a bin are cut into blocks of bounded size and compared block by block
 as matrix products in double precision; only counts per vector and a spanning forest per block leave
 a task. Equal vectors are one class with a count, so copies are not compared with each other.
 """
@@ -29,7 +29,6 @@ SIMILARITY = 0.95
 #: Vectors per cell that the number of centres aims at; most centres; residents and guests in a block.
 CELL_ROWS, MOST_CELLS, BLOCK_ROWS, GUEST_ROWS = 512, 4096, 2048, 4096
 ROUNDS = 6
-REACH = 4.0
 
 
 def spherical_centres(points: np.ndarray, k: int, seed: int = 1, rounds: int = ROUNDS) -> np.ndarray:
@@ -49,30 +48,65 @@ def spherical_centres(points: np.ndarray, k: int, seed: int = 1, rounds: int = R
     return np.unique(centre, axis=0)
 
 
-def guest_cells(near: np.ndarray, own: np.ndarray, centre: np.ndarray, similarity: float, reach: float) -> np.ndarray:
+def guest_cells(near: np.ndarray, own: np.ndarray, centre: np.ndarray, similarity: float) -> np.ndarray:
     """Which cells each vector visits as a guest: ``rows x cells``.
 
     The border of two cells is where both centres are equally near; a vector's distance from it is the
-    difference of its two cosines over the distance of the centres.
+    difference of its two cosines over the distance of the centres. A vector ``a`` from the border and
+    one beyond it, both of length 1, have a cosine of at most ``sqrt(1 - a * a)``.
     """
     at = np.arange(len(near))
     apart = np.sqrt(np.maximum(2.0 - 2.0 * centre @ centre.T, 1e-18))
     from_border = (near[at, own][:, None] - near) / apart[own]
-    spread = np.sqrt(max(0.0, 1.0 - similarity**2) / centre.shape[1])
-    return (from_border <= reach * spread) & (np.arange(len(centre))[None, :] < own[:, None])
+    reach = np.sqrt(max(0.0, 1.0 - similarity**2)) + 1e-7 if similarity > 0 else np.inf
+    return (from_border <= reach) & (np.arange(len(centre))[None, :] < own[:, None])
 
 
-def _place(centre: np.ndarray, similarity: float, reach: float):
+def bins_of(rows: np.ndarray, most: int) -> np.ndarray:
+    """Bin of each cell: consecutive cells together hold at most ``most`` rows, a larger cell is alone."""
+    out, at, held = np.zeros(len(rows), dtype=np.int32), 0, 0
+    for cell, n in enumerate(rows):
+        if held and held + n > most:
+            at, held = at + 1, 0
+        out[cell], held = at, held + n
+    return out
+
+
+def _place(centre: np.ndarray, similarity: float):
+    """Rows ``node, v, n`` with their home cell and the cells that they visit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 some = b.slice(lo, 1024)
                 near = unit_rows(matrix(some.column(1))) @ centre.T
                 own = near.argmax(axis=1)
-                row, cell = np.nonzero(guest_cells(near, own, centre, similarity, reach))
-                at = pa.array(np.concatenate([np.arange(len(own)), row]))
-                cells = pa.array(np.concatenate([own, cell]).astype(np.int32))
-                home = pa.array(np.arange(len(at)) < len(own))
+                row, cell = np.nonzero(guest_cells(near, own, centre, similarity))
+                ends = np.concatenate([[0], np.bincount(row, minlength=len(own)).cumsum()]).astype(np.int32)
+                visits = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(some.column(i) for i in range(3)), pa.array(own.astype(np.int32)), visits],
+                    names=["node", "v", "n", "own", "visits"],
+                )
+
+    return run
+
+
+def _deal(bin_of: np.ndarray):
+    """Placed rows, once for their home bin and once for every other bin that they visit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                some = b.slice(lo, 1024)
+                mine = bin_of[some.column(3).to_numpy()]
+                visits = some.column(4)
+                row = np.repeat(np.arange(len(mine)), np.diff(visits.offsets.to_numpy()))
+                met = np.unique(np.stack([row, bin_of[visits.flatten().to_numpy()]], axis=1), axis=0)
+                met = met[met[:, 1] != mine[met[:, 0]]]
+                at = pa.array(np.concatenate([np.arange(len(mine)), met[:, 0]]))
+                cells = pa.array(np.concatenate([mine, met[:, 1]]).astype(np.int32))
+                home = pa.array(np.arange(len(at)) < len(mine))
                 yield pa.RecordBatch.from_arrays(
                     [*(some.column(i).take(at) for i in range(3)), cells, home], names=["node", "v", "n", "cell", "home"]
                 )
@@ -126,7 +160,7 @@ def _compare(similarity: float):
 
 def near_duplicate_vectors(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", similarity: float = SIMILARITY,
-    cell_rows: int = CELL_ROWS, reach: float = REACH,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
@@ -148,21 +182,31 @@ def near_duplicate_vectors(
     if len(sample):
         total = found.count()
         centre = spherical_centres(sample, min(MOST_CELLS, folds(total, cell_rows)))
-        placed = classes.select("node", "v", "n").mapInArrow(
-            _place(centre, similarity, reach), f"node long, v {type_of(rows, 'v')}, n long, cell int, home boolean"
+        vector = type_of(rows, "v")
+        placed = stored(
+            classes.select("node", "v", "n").mapInArrow(
+                _place(centre, similarity), f"node long, v {vector}, n long, own int, visits array<int>"
+            ),
+            "vector-cells",
+        )
+        # One row per cell, at most MOST_CELLS.
+        held = np.zeros(len(centre), dtype=np.int64)
+        for r in placed.groupBy("own").agg(F.count(F.lit(1)).alias("n")).collect():
+            held[r["own"]] = r["n"]
+        dealt = placed.mapInArrow(
+            _deal(bins_of(held, BLOCK_ROWS)), f"node long, v {vector}, n long, cell int, home boolean"
         )
-        placed = stored(placed, "vector-cells")
-        # Residents and guests of a cell have blocks of their own: residents meet all blocks, guests
-        # only those of residents. One row per cell, at most MOST_CELLS.
+        # Residents and guests of a bin have blocks of their own: residents meet all blocks, guests
+        # only those of residents.
         blocks_of = lambda of, rows: F.ceil(F.count_if(of) / F.lit(rows)).cast("int")
-        sizes = placed.groupBy("cell").agg(
+        sizes = dealt.groupBy("cell").agg(
             blocks_of(F.col("home"), BLOCK_ROWS).alias("mine"), blocks_of(~F.col("home"), GUEST_ROWS).alias("guests")
         ).where("mine > 0")
         mine, guests = F.col("mine"), F.col("guests")
         block = F.when(F.col("home"), F.pmod(F.xxhash64("node"), mine)).otherwise(
             mine + F.pmod(F.xxhash64("node"), F.greatest(guests, F.lit(1)))
         )
-        blocked = placed.join(F.broadcast(sizes), "cell").withColumn("block", block.cast("int"))
+        blocked = dealt.join(F.broadcast(sizes), "cell").withColumn("block", block.cast("int"))
         last = F.when(F.col("home"), mine + guests).otherwise(mine) - 1
         met = blocked.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
         tasks = met.select(

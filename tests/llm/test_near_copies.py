@@ -157,6 +157,36 @@ def test_vector_links_equal_all_pairs(spark, monkeypatch, block):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_vectors_of_low_rank_miss_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(embedding_dedup, "GUEST_ROWS", 2 * block)
+    rng = np.random.default_rng(9)
+    # Three active directions of 64, so that differences are not spread over all dimensions.
+    x = (rng.normal(size=(500, 3)) @ rng.normal(size=(3, 64))).astype(np.float32)
+    got = embedding_dedup.near_duplicate_vectors(frame(spark, x, False), cell_rows=16).collect()
+    linked = unit(x) @ unit(x).T >= 0.95
+    np.fill_diagonal(linked, False)
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(linked.sum(axis=1).tolist()))
+
+
+def test_guests_reach_every_partner():
+    rng = np.random.default_rng(10)
+    for d in (2, 3, 16, 64):
+        x = unit(rng.normal(size=(300, d)))
+        # Partners just within the threshold, on the line between a vector and a centre.
+        centre = embedding_dedup.spherical_centres(x, 12)
+        near = x @ centre.T
+        other = centre[np.argsort(-near, axis=1)[:, min(1, len(centre) - 1)]]
+        across = unit(other - (other * x).sum(axis=1)[:, None] * x)
+        x = np.concatenate([x, unit(0.951 * x + np.sqrt(1 - 0.951**2) * across)])
+        near = x @ centre.T
+        own = near.argmax(axis=1)
+        visits = embedding_dedup.guest_cells(near, own, centre, 0.95)
+        a, b = np.nonzero((x @ x.T >= 0.95) & (own[:, None] > own[None, :]))
+        assert len(a) and visits[a, own[b]].all()
+
+
 def test_one_cell_misses_no_link(spark):
     x = vectors(2, 200)
     got = embedding_dedup.near_duplicate_vectors(frame(spark, x, False), similarity=0.9, cell_rows=1000).collect()
