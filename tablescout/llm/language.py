@@ -159,7 +159,7 @@ def fit(
 ) -> Network | None:
     """Learn from at most ``per_language`` documents of each language that are not held out.
 
-    They are those with the least hashes of their ids; from a long document ``WINDOWS_EACH`` windows
+    They are those with the least hashes of their ids, and one row stands for all of an id; from a long document ``WINDOWS_EACH`` windows
     spread over it are taken. Null languages and texts without a letter are skipped; without any
     document there is no network. A language is a label, of which there are few.
     """
@@ -168,10 +168,11 @@ def fit(
     )
     # A share of the ids that leaves four times the bound or all; the least hashes of these are taken.
     place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40))
+    known = known.distinct()
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     some = known.join(counts, "lang").where(place < F.lit(float(1 << 40)) * 4 * per_language / F.col("n"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = some.select("lang", "id").distinct().withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
+    chosen = some.select("lang", "id").withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +192,14 @@ def fit(
                 names=["id", "bytes", "lang"],
             )
 
+    # Rows of one id are combined before the shuffle: the text with the least hash stands for them.
+    one = (
+        rows.join(F.broadcast(chosen), ["id", "lang"]).where(F.col("text").rlike(r"\p{L}"))
+        .groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    )
     # The bound per language and the number of languages bound this side.
     got = (
-        rows.join(F.broadcast(chosen), ["id", "lang"]).where(F.col("text").rlike(r"\p{L}")).select("id", "text", "lang")
+        one.select("id", "text", "lang")
         .mapInArrow(cut, "id long, bytes binary, lang string").orderBy("id", "bytes", "lang").collect()
     )
     if not got:

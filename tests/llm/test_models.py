@@ -87,6 +87,19 @@ def test_language_of_held_out_documents(spark):
     assert all(np.array_equal(a, b) for a, b in zip(net.filters, again.filters))
 
 
+def test_repeated_ids_count_once(spark, monkeypatch):
+    ids = [i for i in range(100) if not held_out(i)]
+    # One language of many rows and few ids, one of many ids with copies.
+    rows = [(ids[i % 4], f"wort {i}", "xx") for i in range(4000)]
+    rows += [(i, f"mot {i}", "yy") for i in ids[4:34]] + [(i, f"mot {n}", "yy") for i in ids[4:34] for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = {}
+    monkeypatch.setattr(language, "train", lambda x, y, languages: seen.update(n=np.bincount(y).tolist(), names=languages))
+    language.fit(docs, per_language=5)
+    # Every text is one window.
+    assert seen == {"names": ["xx", "yy"], "n": [4, 5]}
+
+
 def test_awkward_texts_and_no_model(spark, small_net):
     net, _ = small_net
     docs = C.documents(spark, C.awkward()).drop("score")
