@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import embedding_dedup, language, minhash, mixing, neighbours, packing, pii, quality, secrets, wavelet
+from tablescout.llm import (
+    binary_packing,
+    embedding_dedup,
+    hard_negatives,
+    language,
+    minhash,
+    mixing,
+    neighbours,
+    packing,
+    pii,
+    quality,
+    secrets,
+    spelling,
+    wavelet,
+)
 from tablescout.llm import spans as S
 from tablescout.llm.common import held_out
 from tablescout.sources.tables import read_table
@@ -89,6 +103,45 @@ _OP4_SQL = rf"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM doc
     coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.id = d.id"""
 
 
+_OP12_SQL = """WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+  , scored AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.id % 50 = 0 AND a.id <> b.id)
+  , positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+  SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+  WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
+
+# The checksum byte by byte, with its table made by the usual rule; near words by equal remains: one word's
+# letters without the i-th are another word, or two words without their i-th are alike.
+_OP13_SQL = r"""WITH RECURSIVE steps(i, k, c) AS (SELECT range, 0, range FROM range(256)
+      UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8)
+  , crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8)
+  , runs AS (SELECT doc_id, row, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM
+      (SELECT doc_id, row, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM (SELECT *, row_number() OVER () AS row FROM documents)))
+  , own AS (SELECT row, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key, run, count(*) AS n FROM runs GROUP BY ALL)
+  , bytes AS (SELECT run, n, flatten(list_transform(string_split(key, ''), lambda x:
+      CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 | (unicode(x) >> 6), 128 | (unicode(x) & 63)] END)) AS b FROM own)
+  , hashed AS (SELECT run, n, xor(list_reduce(list_transform(b, lambda x: CAST(x AS BIGINT)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM bytes, crc)
+  , words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 <> 0 THEN run
+        ELSE left(run, h % length(run)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) END AS word FROM hashed)
+      WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2)
+  , less AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS remains
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words))
+  , longer AS (SELECT DISTINCT less.word AS a, less.n AS a_n, words.word AS b, words.n AS b_n FROM less JOIN words ON words.word = less.remains)
+  , near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.remains = b.remains AND a.word <> b.word
+      UNION ALL SELECT a, b, b_n FROM longer UNION ALL SELECT b, a, a_n FROM longer)
+  , best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word)
+  , forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form,
+      CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word))
+  , up(word, root, next) AS (SELECT word, word, form FROM forms UNION ALL SELECT up.word, up.next, f.form FROM up JOIN forms f ON f.word = up.next)
+  SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM forms f JOIN up ON up.word = f.word AND up.next IS NULL"""
+
+
 def op1_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "embeddings")
     return neighbours.MultiIndex(rows).search(rows.where(F.col("vec_id") % 50 == 0))
@@ -153,6 +206,21 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return binary_packing.pack_binary(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, with_ids=False)
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, folder, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, folder, "documents"), slips=31)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -170,5 +238,8 @@ Q = {
     "op8_wavelet": (op8_wavelet, None),
     "op9_dart_minhash": (op9_dart_minhash, None),
     "op10_mixing": (op10_mixing, None),
+    "op11_binary_packing": (op11_binary_packing, None),
+    "op12_hard_negatives": (op12_hard_negatives, _OP12_SQL),
+    "op13_spelling": (op13_spelling, _OP13_SQL),
     "pipeline": (pipeline, None),
 }
