@@ -120,8 +120,11 @@ def _mentions(flagged: DataFrame) -> DataFrame:
 
 def _entities(text: Column, base: Column) -> Column:
     """Distinct identifiers of a text as ``kind:value``."""
-    value = lambda s: F.lower(text.substr(s["start"] + 1, s["end"] - s["start"]))
-    return F.array_distinct(F.transform(base, lambda s: F.concat(s["kind"], F.lit(":"), value(s))))
+    value = lambda parts, s: F.lower(S.cut(parts, s["start"], s["end"]))
+    return S.let(
+        S.chunks(text),
+        lambda parts: F.array_distinct(F.transform(base, lambda s: F.concat(s["kind"], F.lit(":"), value(parts, s)))),
+    )
 
 
 def _terms(text: Column) -> Column:
@@ -205,10 +208,7 @@ def _term_spans(text: Column, base: Column, terms: Column, kind: str) -> Column:
     """Whole-word occurrences of the terms, outside the identifiers."""
     # Terms are runs of letters, so they need no escaping.
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(terms, "|"), F.lit(r")(?!\p{L})"))
-    found = F.filter(
-        S.matches(text, pattern),
-        lambda m: ~F.exists(base, lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])),
-    )
+    found = S.outside(S.matches(text, pattern), base)
     return F.when(F.size(terms) > 0, S.spans(found, kind, len(KINDS) + (kind == "cut"))).otherwise(S.no_spans())
 
 
