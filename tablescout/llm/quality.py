@@ -125,18 +125,17 @@ def fit(
     """Learn from at most ``bound`` labelled documents that are not held out.
 
     They are those with the least hashes of their ids, so a rerun takes the same. Labels that are
-    null or belong to no document are skipped. Only the terms of the sample reach the driver:
+    null or belong to no document with a text are skipped and take no place of the bound. Only the terms of the sample reach the driver:
     ``bound`` rows of fixed width.
     """
     known = (
         labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     )
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(bound)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    chosen = known.join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(bound)
     # The limit bounds this side.
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(
-        F.broadcast(chosen), "id"
-    ).where(F.col("text").isNotNull())
+    rows = texts.join(F.broadcast(chosen), "id")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
