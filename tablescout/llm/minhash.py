@@ -303,11 +303,12 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
     bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """One row per document: ``doc_id, text_hash, node, component_id, kept``.
+    """One row per document: ``doc_id, text_hash, node, component, component_id, kept``.
 
     ``component_id`` is the least id of the documents reachable by links of weighted Jaccard
-    similarity at or over the threshold, over whole texts; ``kept`` marks the rows that bear it. ``node``
-    is the content hash of the text's words. Documents with the same words are always together.
+    similarity at or over the threshold, over whole texts; ``kept`` marks the rows that bear it, several
+    where rows share that id. ``node`` is the content hash of the text's words, ``component`` one of its
+    group's, so it tells groups with the same least id apart. Documents with the same words are always together.
 
     Null and empty texts, and texts without a word, link with nothing and are kept. Repeated rows have
     equal results. Null ids never name a component unless all its ids are null. An empty table gives
@@ -320,10 +321,12 @@ def near_duplicates(
     signed = stored(
         chosen.mapInArrow(_sign(bands, rows), "doc_id long, text_hash long, node binary, bands array<long>"), "near-signed"
     )
-    nodes = signed.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.min("bands").alias("bands")
+    # The row that stands for a node: least id, null last, then least hash.
+    at = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    nodes = signed.where("node is not null").groupBy("node").agg(at.alias("at"), F.min("bands").alias("bands")).select(
+        "node", F.col("at.doc_id").alias("first"), F.col("at.text_hash").alias("hash"), "bands"
     )
-    placed = stored(nodes.select("node", "first", F.explode("bands").alias("bucket")), "near-bands")
+    placed = stored(nodes.select("node", "first", "hash", F.explode("bands").alias("bucket")), "near-bands")
     # The hub is the least by a hash that differs between a few kinds of buckets.
     by = F.xxhash64("node", F.pmod("bucket", F.lit(4)))
     buckets = (
@@ -332,9 +335,11 @@ def near_duplicates(
         .where("n > 1").select("bucket", F.col("hub.node").alias("hub"))
     )
     buckets = stored(buckets, "near-buckets")
-    members = stored(placed.join(buckets.select("bucket"), "bucket").select("bucket", "node", "first"), "near-members")
-    wanted = members.select("first").distinct()
-    texts = chosen.join(wanted.hint("shuffle_hash"), chosen["doc_id"].eqNullSafe(wanted["first"]), "left_semi")
+    members = stored(placed.join(buckets.select("bucket"), "bucket").select("bucket", "node", "first", "hash"), "near-members")
+    # By id and text, so that the rows of one id, or of none, are spread.
+    wanted = members.select("first", "hash").distinct()
+    same = chosen["doc_id"].eqNullSafe(wanted["first"]) & (chosen["text_hash"] == wanted["hash"])
+    texts = chosen.join(wanted.hint("shuffle_hash"), same, "left_semi")
     elements = stored(
         texts.select("text").mapInArrow(_elements(), "node binary, elements array<long>")
         .join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
@@ -358,21 +363,28 @@ def near_duplicates(
         "near-final",
     )
     least = final.groupBy("top").agg(F.min("first").alias("component_id"))
-    classes = final.join(least, "top").select("node", "component_id")
+    classes = final.join(least, "top").select("node", F.col("top").alias("component"), "component_id")
     return signed.select("doc_id", "text_hash", "node").join(classes, "node", "left").select(
-        "doc_id", "text_hash", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "doc_id", "text_hash", "node", "component",
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with one document of each group; all columns stay."""
+    """The rows of ``docs`` with one document of each group; all columns stay.
+
+    That is one row of the least id, null last; of rows with that id, the least by the hashes of the text
+    and of the row. Rows without a word all stay.
+    """
     id_, hash_, nth = fresh(docs, "_near_id", "_near_hash", "_near_nth")
-    # An id may stand for several texts, and a text may come as several equal rows.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     kept = (
-        near_duplicates(docs, id_col, text_col, **options).where("kept")
-        .groupBy("doc_id", F.coalesce(F.hex("node"), F.col("text_hash").cast("string")))
-        .agg(F.min("text_hash").alias(hash_)).select(F.col("doc_id").alias(id_), hash_).distinct()
+        near_duplicates(docs, id_col, text_col, **options).where("component IS NOT NULL").groupBy("component")
+        .agg(least.alias("at")).select(F.col("at.doc_id").alias(id_), F.col("at.text_hash").alias(hash_)).distinct()
     )
-    same = docs[id_col].cast("long").eqNullSafe(kept[id_]) & (F.xxhash64(docs[text_col]) == kept[hash_])
-    first = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(F.lit(1)))
-    return docs.join(kept.hint("shuffle_hash"), same).withColumn(nth, first).where(F.col(nth) == 1).select(*docs.columns)
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    some = docs.where(worded)
+    same = some[id_col].cast("long").eqNullSafe(kept[id_]) & (F.xxhash64(some[text_col]) == kept[hash_])
+    first = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(F.xxhash64(*[some[c] for c in docs.columns])))
+    one = some.join(kept.hint("shuffle_hash"), same).withColumn(nth, first).where(F.col(nth) == 1).select(*docs.columns)
+    return docs.where(~worded).unionByName(one)
