@@ -105,12 +105,15 @@ def _land(state: list, done: list) -> None:
     done.extend((s[2], int(taken)) for s, taken in zip(state, best))
 
 
-def _walks(seed: int, last: bool):
-    """Task function over rows sorted by group: the group's columns, size, chance and a key."""
+def _walks(seed: int):
+    """Task function over rows sorted by group: the group's columns, size, chance and a key.
+
+    A source that is down to one block lands in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # ``kept`` has the rows of the open documents, three and the saved ones at most.
-        group, state, kept, draw, n = None, [], {}, None, 0
+        group, state, kept, draw, n, last = None, [], {}, None, 0, False
         saved: list = []  # the first documents of a last walk wait for the landing
 
         def flush(done: list, out: list) -> None:
@@ -129,12 +132,12 @@ def _walks(seed: int, last: bool):
 
         for b in batches:
             out: list = []
-            for g, blk, key, tie, size, p in zip(*(c.to_pylist() for c in b.columns)):
+            for g, blk, key, tie, size, blocks, p in zip(*(c.to_pylist() for c in b.columns)):
                 if (g, blk) != group:
                     close(out)
-                    group, draw = (g, blk), np.random.default_rng([seed, g & 0x7FFFFFFF, blk])
+                    group, last, draw = (g, blk), blocks == 1, np.random.default_rng([seed, g & 0x7FFFFFFF, blk])
                 n += 1
-                kept[n] = (g, key, tie, size, p)
+                kept[n] = (g, key, tie, size, blocks, p)
                 done: list = []
                 if p <= _EDGE or p >= 1.0 - _EDGE:
                     done.append((n, 1 if p > 0.5 else 0))
@@ -153,17 +156,17 @@ def _walks(seed: int, last: bool):
     return run
 
 
-_OPEN = "g int, key long, tie int, size long, p double, p2 double, fixed boolean"
+_OPEN = "g int, key long, tie int, size long, blocks int, p double, p2 double, fixed boolean"
 
 
 def _rows(out: list) -> pa.RecordBatch:
-    g, key, tie, size, p, p2, fixed = zip(*out)
+    g, key, tie, size, blocks, p, p2, fixed = zip(*out)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(g, pa.int32()), pa.array(key, pa.int64()), pa.array(tie, pa.int32()), pa.array(size, pa.int64()),
-            pa.array(p, pa.float64()), pa.array(p2, pa.float64()), pa.array(fixed, pa.bool_()),
+            pa.array(blocks, pa.int32()), pa.array(p, pa.float64()), pa.array(p2, pa.float64()), pa.array(fixed, pa.bool_()),
         ],
-        names=["g", "key", "tie", "size", "p", "p2", "fixed"],
+        names=["g", "key", "tie", "size", "blocks", "p", "p2", "fixed"],
     )
 
 
@@ -178,17 +181,19 @@ def mix(
     block_rows: int = BLOCK_ROWS,
     seed: int = 11,
 ) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, copies, taken``.
+    """One row per document: ``doc_id, source, text_hash, size, source_size, target, copies, taken``.
 
     ``copies`` is how often the mix takes the document, ``taken`` its words times that. The draw
-    depends on the ids, sizes and the seed only, so reruns agree however rows are split.
+    depends on the ids, texts and the seed only, so reruns agree however rows are split, and every source
+    lands with the same number of open documents whatever the sizes of the others.
 
     Null texts have no words and are taken 0 times. A null source is a source of its own, last in
-    the order. Rows with the same id are separate documents; those alike in id, source and size
+    the order. Rows with the same id are separate documents; those alike in id, source and text
     are numbered and interchangeable. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"),
+        F.xxhash64(text_col).alias("text_hash"),
     )
     sized = stored(rows, "mix-sizes")
     # One row per source comes to the driver; sources are names of data sets, not keys of rows.
@@ -209,44 +214,46 @@ def mix(
     base = F.floor(F.col("rate") + F.lit(_EDGE)).cast("long")
     chance = F.greatest(F.col("rate") - base, F.lit(0.0))
     keyed = placed.select(
-        "id", "source", "g", "size", "source_size", "target", "blocks", base.alias("base"),
+        "id", "source", "text_hash", "g", "size", "source_size", "target", "blocks", base.alias("base"),
         F.when(F.col("size") > 0, chance).otherwise(F.lit(0.0)).alias("p"),
         # Rows of one key are alike in all that matters here.
-        F.xxhash64("id", "g", "size").alias("key"),
+        F.xxhash64("id", "g", "size", "text_hash").alias("key"),
     )
+    alike = Window.partitionBy("g", "key", "size").orderBy("text_hash")
+    # Documents without words are never taken and need no number, however many share an id.
     keyed = stored(
-        keyed.withColumn(
-            "tie", F.row_number().over(Window.partitionBy("g", "key", "size").orderBy(F.lit(1))).cast("int")
-        ),
+        keyed.where("size > 0").withColumn("tie", F.row_number().over(alike).cast("int"))
+        .unionByName(keyed.where("size = 0").withColumn("tie", F.lit(0))),
         "mix-keys",
     )
     open_rows = keyed.where((F.col("p") > _EDGE)).select(
-        "g", F.pmod("key", F.col("blocks")).cast("int").alias("blk"), "key", "tie", "size", "p"
+        "g", F.pmod("key", F.col("blocks")).cast("int").alias("blk"), "key", "tie", "size", "blocks", "p"
     )
     picked, level = None, 0
     blocks = max([1, *(folds(r["rows"], block_rows) for r in per_source)])
     while True:
-        last = blocks == 1
         tasks = max(1, min(4 * blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         walked = (
             open_rows.repartition(tasks, "g", "blk")
             .sortWithinPartitions("g", "blk", "key", "tie")
-            .mapInArrow(_walks(seed + level, last), _OPEN)
+            .mapInArrow(_walks(seed + level), _OPEN)
         )
         walked = stored(walked, f"mix-walk{level}")
         fixed = walked.where("fixed and p2 > 0.5").select("g", "key", "tie", "size")
         picked = fixed if picked is None else picked.unionByName(fixed)
-        if last:
+        if blocks == 1:
             break
+        # The largest source goes on longest; each has as many blocks as its own open documents need.
         blocks, level = folds(2 * blocks, block_rows), level + 1
-        open_rows = walked.where(~F.col("fixed")).select(
-            "g", F.pmod(F.xxhash64("key", F.lit(level)), F.lit(blocks)).cast("int").alias("blk"), "key", "tie", "size",
-            F.col("p2").alias("p"),
+        fewer = F.ceil(2 * F.col("blocks") / F.lit(block_rows)).cast("int")
+        open_rows = walked.where(~F.col("fixed")).withColumn("blocks", fewer).select(
+            "g", F.pmod(F.xxhash64("key", F.lit(level)), F.col("blocks")).cast("int").alias("blk"), "key", "tie", "size",
+            "blocks", F.col("p2").alias("p"),
         )
     extra = picked.withColumn("extra", F.lit(1))
     copies = F.when(F.col("size") > 0, F.col("base") + F.coalesce("extra", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return keyed.join(extra, ["g", "key", "tie", "size"], "left").select(
-        F.col("id").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"),
+        F.col("id").alias("doc_id"), "source", "text_hash", "size", "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
     )
 
@@ -259,14 +266,14 @@ def mixed_documents(
     key, size, nth, total, alike_n, each = fresh(
         docs, "_mix_key", "_mix_size", "_mix_nth", "_mix_total", "_mix_alike", "_mix_each"
     )
-    # Documents alike in id, source and size are numbered on both sides and paired by the number.
-    alike = Window.partitionBy(key, size).orderBy(F.lit(1))
-    mine = docs.withColumn(size, words(F.col(text_col))).withColumn(
-        key, F.xxhash64(F.col(id_col), F.col(source_col).cast("string"))
+    # Documents alike in id, source and text are numbered on both sides and paired by the number.
+    alike = Window.partitionBy(key, size).orderBy(F.xxhash64(*docs.columns))
+    mine = docs.withColumn(size, words(F.col(text_col))).where(F.col(size) > 0).withColumn(
+        key, F.xxhash64(F.col(id_col), F.col(source_col).cast("string"), F.xxhash64(text_col))
     )
     theirs = (
-        copies
-        .select(F.xxhash64("doc_id", "source").alias(key), F.col("size").alias(size), "copies")
+        copies.where("size > 0")
+        .select(F.xxhash64("doc_id", "source", "text_hash").alias(key), F.col("size").alias(size), "copies")
         .groupBy(key, size).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(alike_n))
     )
     numbered = mine.withColumn(nth, F.row_number().over(alike))
