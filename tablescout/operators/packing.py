@@ -2,20 +2,22 @@
 
 The packing of a group is a fold over its blocks in order, yet a block only matters through
 its length, and what a run of blocks does to an open batch depends on one number (the
-length so far) in a few steps. So the fold runs in three parts:
-
-1. Pieces of consecutive positions, in parallel: each gives a short table of how an open
-   batch leaves the piece. The table has about as many entries as blocks fit in one batch.
-2. One walk per group over these tables, a stream with three numbers of state, gives the open
-   batch at the start of every piece.
+length so far) in a few steps. So the fold is a parallel scan over short tables:
+
+1. Pieces of consecutive positions, in parallel: each gives a table of how an open batch leaves
+   the piece. It has about as many entries as blocks fit in one batch.
+2. Tables of neighbours compose to one table of the same kind and size. Up a tree, ``FAN``
+   neighbours at a time become one; down again, the state at the start of every node gives that
+   of its children. So a group with n pieces takes log n steps, and no task holds more than
+   ``FAN`` tables of it.
 3. Pieces again, in parallel: every block gets its batch number.
 
-A group of any size is thus spread over its pieces, and lengths, not texts, are shuffled.
+A group of any size is thus spread over all tasks, and lengths, not texts, are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,8 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.functions import constants as K
+from tablescout.sources.lineage import cut_lineage
 
 GAP = 2  # characters between two blocks
+FAN = 64  # tables that compose to one
 
 
 def is_block(block: Column, header: str = K.CARD_HEADER) -> Column:
@@ -41,14 +45,57 @@ def _starts(ends: np.ndarray, cap: int, least: int) -> np.ndarray:
     return np.where(closes, np.where(stop - s >= least, stop, stop + 1), n + 1)
 
 
-def _entry_stop(head: np.ndarray, n: int, count: int, length: int, cap: int, least: int) -> int:
-    """Start of the first new batch for an open batch that enters; n + 1 when it stays open."""
-    if count == 0:
-        return 0
-    stop = max(int(np.searchsorted(head, cap - length, side="right")) - 1, 0)
-    if stop >= n:
-        return n + 1
-    return stop if count + stop >= least else stop + 1
+class Passage(NamedTuple):
+    """How a run of blocks passes an open batch on, by the block where the first new batch begins.
+
+    ``head`` has the ends of the first blocks up to the first one that no batch can hold. Batches closed
+    behind the entry and the open batch's blocks and characters at the end are by that block.
+    """
+
+    n: int
+    total: int
+    head: np.ndarray
+    closed: np.ndarray
+    count: np.ndarray
+    length: np.ndarray
+
+    def enter(self, count: np.ndarray, length: np.ndarray, cap: int, least: int) -> np.ndarray:
+        """Start of the first new batch for open batches that enter; n + 1 where one stays open."""
+        stop = np.maximum(np.searchsorted(self.head, cap - length, side="right") - 1, 0)
+        closes = np.where(count + stop >= least, stop, stop + 1)
+        return np.where(count == 0, 0, np.where(stop >= self.n, self.n + 1, closes))
+
+    def leave(self, count: np.ndarray, length: np.ndarray, cap: int, least: int) -> tuple[np.ndarray, ...]:
+        """Batches closed, and the open batch behind the run, for open batches that enter."""
+        at = self.enter(count, length, cap, least)
+        stays = at > self.n
+        at = np.where(stays, 0, at)
+        return (
+            np.where(stays, 0, self.closed[at] + (count > 0)), np.where(stays, count + self.n, self.count[at]),
+            np.where(stays, length + self.total, self.length[at]),
+        )
+
+    def then(self, after: Passage, cap: int, least: int) -> Passage:
+        """This run and the one behind it as one."""
+        more, count, length = after.leave(self.count, self.length, cap, least)
+        columns = [self.closed + more, count, length]
+        head = self.head
+        if len(head) == self.n + 1:
+            # A batch may pass all of this run, so the next one's blocks are entries too.
+            head = np.append(head, self.total + after.head[1:])
+            columns = [np.append(x[: self.n], y) for x, y in zip(columns, (after.closed, after.count, after.length))]
+        last = min(int(np.searchsorted(head, cap, side="right")), len(head) - 1)
+        return Passage(
+            self.n + after.n, self.total + after.total, head[: last + 1], *(x[: last + 1] for x in columns)
+        )
+
+
+_PASSAGE = "n long, total long, head array<long>, closed array<long>, count array<long>, length array<long>"
+
+
+def _passages(pdf: pd.DataFrame) -> list[Passage]:
+    columns = [pdf[c] for c in Passage._fields]
+    return [Passage(int(n), int(t), *(np.asarray(x, dtype=np.int64) for x in rest)) for n, t, *rest in zip(*columns)]
 
 
 def _ends(lengths: np.ndarray) -> np.ndarray:
@@ -69,36 +116,50 @@ def _summary(cap: int, least: int):
                 count[s], length[s] = n - s, ends[n] - ends[s] - GAP
             else:
                 closed[s], count[s], length[s] = closed[t] + 1, count[t], length[t]
-        head = int(np.searchsorted(ends, cap, side="right"))
-        top = min(head, n) + 1
-        return pd.DataFrame(
-            {
-                "g": [pdf["g"].iloc[0]], "piece": [pdf["piece"].iloc[0]], "n": [n], "total": [int(ends[n])],
-                "head": [ends[: head + 1].tolist()], "closed": [closed[:top].tolist()],
-                "count": [count[:top].tolist()], "length": [length[:top].tolist()],
-            }
-        )
+        top = min(int(np.searchsorted(ends, cap, side="right")), n) + 1
+        return _frame(pdf, "piece", Passage(n, int(ends[n]), ends[:top], closed[:top], count[:top], length[:top]))
 
     return run
 
 
-def _walk(cap: int, least: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, count, length, batch = None, 0, 0, 0
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.g != group:
-                    group, count, length, batch = r.g, 0, 0, 0
-                out.append((r.g, r.piece, count, length, batch))
-                s = _entry_stop(np.asarray(r.head), r.n, count, length, cap, least)
-                if s > r.n:
-                    count, length = count + r.n, length + r.total
-                else:
-                    batch += int(r.closed[s]) + (1 if count else 0)
-                    count, length = int(r.count[s]), int(r.length[s])
-            if out:
-                yield pd.DataFrame(out, columns=["g", "piece", "in_count", "in_length", "in_batch"])
+def _frame(pdf: pd.DataFrame, node: str, passage: Passage) -> pd.DataFrame:
+    lists = {c: [x.tolist()] for c, x in passage._asdict().items() if c not in ("n", "total")}
+    return pd.DataFrame({
+        "g": pdf["g"].iloc[:1].to_numpy(), "node": pdf[node].iloc[:1].to_numpy(), "n": [passage.n],
+        "total": [passage.total], **lists,
+    })
+
+
+def _compose(cap: int, least: int):
+    """The tables of the neighbours below a node as one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        first, *rest = _passages(pdf)
+        for passage in rest:
+            first = first.then(passage, cap, least)
+        return _frame(pdf, "parent", first)
+
+    return run
+
+
+_ENTRY = "node long, in_count long, in_length long, in_batch long"
+
+
+def _descend(cap: int, least: int):
+    """The state at the start of every child, from the state at the start of the node."""
+
+    def run(children: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        children = children.sort_values("node")
+        count, length, batch = (np.int64(entry[c].iloc[0]) for c in ("in_count", "in_length", "in_batch"))
+        rows = []
+        for node, passage in zip(children["node"], _passages(children)):
+            rows.append((node, count, length, batch))
+            closed, count, length = (x[()] for x in passage.leave(count, length, cap, least))
+            batch = batch + closed
+        out = pd.DataFrame(rows, columns=["node", "in_count", "in_length", "in_batch"])
+        out.insert(0, "g", children["g"].to_numpy())
+        return out
 
     return run
 
@@ -110,7 +171,8 @@ def _assign(cap: int, least: int):
         n = len(ends) - 1
         e = entry.iloc[0]
         count, batch = int(e["in_count"]), int(e["in_batch"])
-        s = _entry_stop(ends, n, count, int(e["in_length"]), cap, least)
+        whole = Passage(n, int(ends[n]), ends, *([np.empty(0)] * 3))
+        s = int(whole.enter(np.int64(count), np.int64(e["in_length"]), cap, least))
         number = np.full(n, batch, dtype=np.int64)
         if count:
             batch += 1
@@ -133,6 +195,7 @@ def pack_blocks(
     max_chars: int = K.MAX_BATCH_CHARS,
     least: int = K.MIN_BLOCKS_PER_BATCH,
     piece_rows: int = 4096,
+    fan: int = FAN,
 ) -> DataFrame:
     """Batch number (from 0) of each block: ``group, pos, chars, batch_no``.
 
@@ -148,19 +211,30 @@ def pack_blocks(
         F.char_length(block).cast("long").alias("chars"),
         F.floor(F.col(pos) / piece_rows).cast("long").alias("piece"),
     )
-    summary = lengths.groupBy("g", "piece").applyInPandas(
-        _summary(max_chars, least),
-        f"g {gtype}, piece long, n long, total long, head array<long>, closed array<long>, "
-        "count array<long>, length array<long>",
-    )
-    entries = (
-        summary.repartition("g")
-        .sortWithinPartitions("g", "piece")
-        .mapInPandas(_walk(max_chars, least), f"g {gtype}, piece long, in_count long, in_length long, in_batch long")
+    # The lengths and the tables are small and read several times, so they are written once.
+    lengths = cut_lineage(lengths)
+    span = lengths.agg(F.min("piece").alias("least"), F.max("piece").alias("most")).first()
+    first, width = span["least"] or 0, (span["most"] or 0) - (span["least"] or 0) + 1
+    nodes = lengths.groupBy("g", "piece").applyInPandas(_summary(max_chars, least), f"g {gtype}, node long, {_PASSAGE}")
+    nodes = nodes.withColumn("node", F.col("node") - first)
+    parent = F.floor(F.col("node") / fan).cast("long")
+    levels = [cut_lineage(nodes.withColumn("parent", parent))]
+    while width > fan:
+        above = levels[-1].groupBy("g", "parent").applyInPandas(_compose(max_chars, least), f"g {gtype}, node long, {_PASSAGE}")
+        levels.append(cut_lineage(above.withColumn("parent", parent)))
+        width = -(-width // fan)
+    # No batch is open before the first node.
+    zero = F.lit(0).cast("long")
+    entries = levels[-1].select("g", F.col("parent").alias("node")).distinct().select(
+        "g", "node", zero.alias("in_count"), zero.alias("in_length"), zero.alias("in_batch")
     )
+    for level in reversed(levels):
+        entries = level.groupBy("g", "parent").cogroup(entries.groupBy("g", "node")).applyInPandas(
+            _descend(max_chars, least), f"g {gtype}, {_ENTRY}"
+        )
     out = (
-        lengths.groupBy("g", "piece")
-        .cogroup(entries.groupBy("g", "piece"))
+        lengths.withColumn("node", F.col("piece") - first).groupBy("g", "node")
+        .cogroup(entries.groupBy("g", "node"))
         .applyInPandas(_assign(max_chars, least), f"g {gtype}, pos long, chars long, batch_no long")
     )
     return out.select(F.col("g").alias(group), F.col("pos").alias(pos), "chars", "batch_no")

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,40 @@ def test_packing_equals_the_plain_loop(spark, seed, cap, least, piece):
     assert total == {"hot": 150, "same": 60, "big": 12, "one": 1}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_passages_compose_to_that_of_the_whole_run(seed):
+    rng = random.Random(seed)
+    cap, least = rng.choice([40, 100, 300]), rng.choice([1, 2, 4])
+
+    def passage(lengths):
+        pdf = pd.DataFrame({"g": "g", "piece": 0, "pos": range(len(lengths)), "chars": lengths})
+        return packing._passages(packing._summary(cap, least)(pdf))[0]
+
+    lengths = [rng.choice([3, 9, 30, 55, 120]) for _ in range(rng.randint(30, 80))]
+    cuts = sorted({0, len(lengths), *rng.sample(range(len(lengths)), 9)})
+    first, *rest = [passage(lengths[a:b]) for a, b in zip(cuts, cuts[1:])]
+    for p in rest:
+        first = first.then(p, cap, least)
+    whole = passage(lengths)
+    assert (first.n, first.total) == (whole.n, whole.total)
+    for x, y in zip(first[2:], whole[2:]):
+        assert x.tolist() == y.tolist()
+
+
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_a_hot_group_is_packed_through_a_tree(spark, fan):
+    rng = random.Random(fan)
+    sizes = [rng.choice([6, 9, 30, 55, 120]) for _ in range(700)]
+    rows = [("hot", p - 350, "表名:" + "x" * (n - 3)) for p, n in enumerate(sizes)] + [(None, 5, "表名:abc"), ("far", 9000, "表名:abc")]
+    df = spark.createDataFrame(rows, "g string, pos long, block string").repartition(5)
+    got = packing.pack_blocks(df, "g", "pos", "block", 300, 3, 8, fan)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {(r["g"], r["pos"]): r["batch_no"] for r in got.collect()}
+    assert found.pop((None, 5)) == found.pop(("far", 9000)) == 0
+    assert [found["hot", p - 350] for p in range(700)] == plain_pack(sizes, 300, 3)
+    assert packing.pack_blocks(df.limit(0), "g", "pos", "block").count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 5, 6, 11, 23])
 def test_merge_keeps_order_and_puts_the_rest_last(spark, n):
     df = spark.createDataFrame([("g", i) for i in range(n)], "g string, batch_no long")
