@@ -1,8 +1,9 @@
 """Snapshot differences, incremental classes and content fingerprints.
 
 A snapshot is keyed by ``db_name, schema_name, table_name`` (a null schema is the empty
-schema) and carries a content hash. Keys are unique, so the outer join spreads evenly
-whatever the size of a tenant.
+schema) and carries a content hash. Keys are unique. Keys and hashes of both sides are written
+once; digests of key ranges then tell which ranges changed, and only the rows of these are brought
+together, spread evenly whatever the size of a tenant.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions import constants as K
+from tablescout.operators import digests
+from tablescout.sources.lineage import cut_lineage
 
 KEY = ["db_name", "schema_name", "table_name"]
 
@@ -24,27 +27,65 @@ def item_key(schema: Column, table: Column) -> Column:
     return F.concat_ws(".", schema, table)
 
 
-def _full_join(current: DataFrame, stored: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
-    cur = current.select(*key, *[F.col(c).alias("cur_" + c) for c in cols], F.lit(True).alias("in_cur"))
-    old = stored.select(
-        *key,
-        *[F.col(c).alias("old_" + c) for c in stored.columns if c not in key],
-        F.lit(True).alias("in_old"),
+def _sides(current: DataFrame, stored: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+    """Rows of both sides, written once, with their side and the leaf of their key."""
+    columns = [*key, *names]
+    both = current.select(*columns, F.lit(1).cast("long").alias("_side")).unionByName(
+        stored.select(*columns, F.lit(-1).cast("long").alias("_side"))
     )
-    return cur.join(old, key, "full")
+    return cut_lineage(both.withColumn("_leaf", digests.leaf_of(key[:2], key[2:])))
+
+
+def _of(side: int, column: str) -> Column:
+    """The value that a key has on a side; keys are unique on each."""
+    return F.max(F.when(F.col("_side") == side, F.col(column)))
+
+
+def _has(side: int) -> Column:
+    return F.count_if(F.col("_side") == side) > 0
 
 
 def snapshot_diff(current: DataFrame, stored: DataFrame) -> DataFrame:
     """Class of every key: added, deleted, modified or same. A null stored hash is ''."""
     old = with_key(stored).withColumn("hash", F.coalesce("hash", F.lit("")))
-    both = _full_join(with_key(current), old, KEY, ["hash"])
+    rows = _sides(with_key(current), old, KEY, ["hash"])
+    touched, alike = digests.split_by_change(rows, [*KEY, "hash"])
+    both = touched.groupBy(*KEY).agg(
+        _of(1, "hash").alias("cur_hash"), _of(-1, "hash").alias("old_hash"),
+        _has(1).alias("in_cur"), _has(-1).alias("in_old"),
+    )
     change = (
-        F.when(F.col("in_old").isNull(), "added")
-        .when(F.col("in_cur").isNull(), "deleted")
-        .when(~F.col("cur_hash").eqNullSafe(F.col("old_hash")), "modified")
-        .otherwise("same")
+        F.when(~F.col("in_old"), "added").when(~F.col("in_cur"), "deleted")
+        .when(~F.col("cur_hash").eqNullSafe(F.col("old_hash")), "modified").otherwise("same")
     )
-    return both.select(*KEY, "cur_hash", "old_hash", change.alias("change"))
+    same = alike.select(*KEY, F.col("hash").alias("cur_hash"), F.col("hash").alias("old_hash"), F.lit("same").alias("change"))
+    return both.select(*KEY, "cur_hash", "old_hash", change.alias("change")).unionByName(same)
+
+
+def _compared(current: DataFrame, stored: DataFrame, provider: str | None) -> tuple[DataFrame, DataFrame]:
+    """``(touched, alike)`` per (item, provider); a stored row without a vector is like no current one."""
+    wanted = [provider] if provider else list(K.PROVIDERS)
+    cur = with_key(current).withColumn("provider", F.explode(F.array(*[F.lit(p) for p in wanted])))
+    old = with_key(stored).where(F.col("provider").isin(wanted))
+    key = [*KEY, "provider"]
+    cur = cur.withColumn("has_vector", F.lit(True))
+    old = old.withColumn("has_vector", F.coalesce("has_vector", F.lit(False)))
+    return digests.split_by_change(_sides(cur, old, key, ["text_hash", "has_vector"]), [*key, "text_hash", "has_vector"])
+
+
+def _statuses(touched: DataFrame) -> DataFrame:
+    key = [*KEY, "provider"]
+    both = touched.groupBy(*key).agg(
+        _of(1, "text_hash").alias("cur_text_hash"), _of(-1, "text_hash").alias("old_text_hash"),
+        _of(-1, "has_vector").alias("_vector"), _has(1).alias("_cur"), _has(-1).alias("_old"),
+    )
+    status = (
+        F.when(~F.col("_old"), "new")
+        .when(~F.col("_cur"), F.when(F.col("_vector"), "removed").otherwise("gone"))
+        .when(~F.col("cur_text_hash").eqNullSafe(F.col("old_text_hash")) | ~F.col("_vector"), "changed")
+        .otherwise("unchanged")
+    )
+    return both.select(*key, "cur_text_hash", "old_text_hash", status.alias("status"))
 
 
 def classify(current: DataFrame, stored: DataFrame, provider: str | None = None) -> DataFrame:
@@ -54,24 +95,17 @@ def classify(current: DataFrame, stored: DataFrame, provider: str | None = None)
     hash with a missing vector is changed. A stored item that is absent now is removed while it
     still has a vector and gone afterwards, so a second pass finds nothing to do.
     """
-    wanted = [provider] if provider else list(K.PROVIDERS)
-    cur = with_key(current).withColumn(
-        "provider", F.explode(F.array(*[F.lit(p) for p in wanted]))
+    touched, alike = _compared(current, stored, provider)
+    same = alike.select(
+        *KEY, "provider", F.col("text_hash").alias("cur_text_hash"), F.col("text_hash").alias("old_text_hash"),
+        F.lit("unchanged").alias("status"),
     )
-    old = with_key(stored).where(F.col("provider").isin(wanted))
-    key = [*KEY, "provider"]
-    both = _full_join(cur, old.select(*key, "text_hash", "has_vector"), key, ["text_hash"])
-    status = (
-        F.when(F.col("in_old").isNull(), "new")
-        .when(F.col("in_cur").isNull(), F.when(F.col("old_has_vector"), "removed").otherwise("gone"))
-        .when(
-            ~F.col("cur_text_hash").eqNullSafe(F.col("old_text_hash"))
-            | ~F.coalesce("old_has_vector", F.lit(False)),
-            "changed",
-        )
-        .otherwise("unchanged")
-    )
-    return both.select(*key, "cur_text_hash", "old_text_hash", status.alias("status"))
+    return _statuses(touched).unionByName(same)
+
+
+def moved(current: DataFrame, stored: DataFrame, provider: str | None = None) -> DataFrame:
+    """The rows of ``classify`` that are not unchanged; work grows with them, not with the tables."""
+    return _statuses(_compared(current, stored, provider)[0]).where("status <> 'unchanged'")
 
 
 def sync_stats(classes: DataFrame, by: list[str]) -> DataFrame:

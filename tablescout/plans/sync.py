@@ -4,9 +4,9 @@
 ``provider, text_hash, embedding, updated_at``, one row per (item, provider). The hash is kept
 per provider, so one provider's update never hides another's.
 
-Only keys and hashes are joined to find what moved. When the keys of the moved items are measured to
-be small they are broadcast, and neither texts nor vectors are shuffled; otherwise all are joined
-by shuffling.
+Keys and hashes alone tell what moved, by the digests of ``operators.diff``. When the keys of the moved
+items are measured to be small they are broadcast, and neither texts nor vectors are shuffled;
+otherwise all are joined by shuffling. Items and stored vectors are then read once each.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from tablescout.functions import constants as K
 from tablescout.operators import diff, encode, upsert
 from tablescout.operators.catalog_text import glossary_vector_text, knowledge_vector_text
 from tablescout.operators.filters import visible_items
-from tablescout.operators.sized import broadcast_if_small
+from tablescout.operators.sized import BROADCAST_BYTES, broadcast_if_small, measured_bytes
 from tablescout.sources.lineage import cut_lineage
 
 ITEM = [*diff.KEY, "provider"]
@@ -35,12 +35,12 @@ def default_encoders() -> dict[str, Callable]:
 
 
 def sync_classes(items: DataFrame, stored: DataFrame) -> DataFrame:
-    """Status of every (item, provider), written once because the sync reads it three times."""
+    """Status of every (item, provider) that is not unchanged, written once as the sync reads it twice."""
     hashed = items.select(*diff.KEY, F.md5("vector_text").alias("text_hash"))
     old = stored.select(
         *ITEM, "text_hash", F.col("embedding").isNotNull().alias("has_vector")
     )
-    return cut_lineage(diff.classify(hashed, old))
+    return cut_lineage(diff.moved(hashed, old))
 
 
 def apply_sync(
@@ -53,28 +53,26 @@ def apply_sync(
     """Next version of the stored vectors, with the ``status`` that led to each row.
 
     New and changed texts are encoded, vectors of removed items become null, all other rows
-    pass through as they are; only texts to encode go through Python.
+    pass through as they are; only texts to encode go through Python. ``classes`` may hold unchanged
+    rows or leave them out.
     """
     out = [*ITEM, "text_hash", "embedding", "updated_at", "status"]
-    old = diff.with_key(stored)
-    todo = classes.where(F.col("status").isin("new", "changed"))
+    moved = classes.where("status <> 'unchanged'").select(*ITEM, F.col("cur_text_hash").alias("text_hash"), "status")
+    hinted = F.broadcast if measured_bytes(moved) <= BROADCAST_BYTES else lambda df: df
     texts = diff.with_key(items).select(*diff.KEY, "vector_text")
-    keys = todo.select(*ITEM, F.col("cur_text_hash").alias("text_hash"), "status")
-    work = texts.join(broadcast_if_small(keys), diff.KEY)
+    work = texts.join(hinted(moved.where("status IN ('new', 'changed')")), diff.KEY)
     coded = _encode(work, encoders or default_encoders()).withColumn("updated_at", now)
-    moved = classes.where(F.col("status") != "unchanged").select(*ITEM, "status")
-    kept = old.join(broadcast_if_small(moved.select(*ITEM)), ITEM, "left_anti").withColumn(
-        "status", F.lit("unchanged")
-    )
-    absent = moved.where(F.col("status").isin("removed", "gone"))
-    left = old.drop("embedding").join(broadcast_if_small(absent), ITEM)
-    cleared = left.withColumns(
+    # One pass over the stored rows: those encoded anew go, removed ones lose their vector.
+    status = F.coalesce("_status", F.lit("unchanged"))
+    left = diff.with_key(stored).join(hinted(moved.select(*ITEM, F.col("status").alias("_status"))), ITEM, "left")
+    left = left.where("_status IS NULL OR _status IN ('removed', 'gone')").withColumns(
         {
-            "embedding": F.lit(None).cast("array<float>"),
-            "updated_at": F.when(F.col("status") == "removed", now).otherwise(F.col("updated_at")),
+            "embedding": F.when(F.col("_status").isNull(), F.col("embedding")),
+            "updated_at": F.when(F.col("_status") == "removed", now).otherwise(F.col("updated_at")),
+            "status": status,
         }
     )
-    return coded.select(*out).unionByName(kept.select(*out)).unionByName(cleared.select(*out))
+    return coded.select(*out).unionByName(left.select(*out))
 
 
 def _encode(work: DataFrame, makers: dict[str, Callable], keep_text: bool = False) -> DataFrame:
