@@ -8,14 +8,19 @@ completion_tokens, total_tokens, llm_calls, created_at`` and is partitioned by `
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.functions import constants as K
 from tablescout.functions import text
-from tablescout.functions.times import epoch_micros
+from tablescout.functions.times import epoch_micros, from_micros
+from tablescout.operators import ordered
+from tablescout.sources.lineage import cut_lineage
 
 STAGES = ("search_duration_ms", "llm_duration_ms", "sql_exec_duration_ms", "total_duration_ms")
 
@@ -144,29 +149,80 @@ def retrieval_quality(
     )
 
 
-def trailing_counts(
-    events: DataFrame, key: str, time: str, seconds: int, slots_per_bucket: int = 16
-) -> DataFrame:
+_COUNTED = f"k string, us long, n long, trailing long, piece int, {ordered.EDGE}"
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream of sorted rows (k, us, kind, n) to the running sum of each arrival, and the partition's edge."""
+    piece = ordered.this_piece()
+    first, key, at, total = None, None, None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        n, sums = b.column(3).to_numpy(), np.zeros(b.num_rows, dtype=np.int64)
+        for k, lo, hi in ordered.segments(b.column(0)):
+            if first is None:
+                first, at = k, b.column(1)[lo].as_py()
+            if k != key:
+                key, total = k, 0
+            sums[lo:hi] = total + np.cumsum(n[lo:hi])
+            total = int(sums[hi - 1])
+        came = np.flatnonzero(b.column(2).to_numpy() == 1)
+        mine = b.take(pa.array(came))
+        yield ordered.batch_of(
+            [None] * len(came), k=mine.column(0), us=mine.column(1), n=mine.column(3), trailing=pa.array(sums[came]),
+            piece=pa.array(np.full(len(came), piece, dtype=np.int32)),
+        )
+    if first is not None:
+        none = pa.nulls(1, pa.int64())
+        yield ordered.batch_of(
+            [ordered.Edge(piece, first, key, at, [total])], k=pa.nulls(1, pa.string()), us=none, n=none, trailing=none,
+            piece=pa.nulls(1, pa.int32()),
+        )
+
+
+def trailing_counts(events: DataFrame, key: str, time: str, seconds: int, pieces: int | None = None) -> DataFrame:
     """Number of events of the key in the last ``seconds`` (strict), itself included.
 
-    Equal times of a key are counted before the shuffle. Time is cut into buckets of several
-    windows, and the counts of the last window of a bucket are also sent to the next one, so
-    a task holds one bucket of one key, never a whole key. The result has one row per
-    (key, time) with ``n`` events at that time and ``trailing`` in the window. A null time lies in no
-    window, so its row has a null ``trailing``.
+    Equal times of a key are counted before the shuffle. Each count comes once when it enters the
+    window and once, negative, when it leaves; the running sum over both is the count in the window.
+    Sums run in range partitions by key and time, so a hot key is cut by its rows however they
+    crowd, and the sum at the end of a partition is added to its key's rows in the next. ``pieces`` is
+    the number of these, by default the session's.
+
+    The result has one row per (key, time) with ``n`` events at that time and ``trailing`` in the
+    window. A null time lies in no window, so its row has a null ``trailing``; null keys are one key.
     """
-    window = seconds * 1_000_000
-    span = window * slots_per_bucket
-    micros = epoch_micros(F.col(time), events.schema[time].dataType)
-    at = events.groupBy(key, time).agg(F.count(F.lit(1)).alias("n")).withColumn("_us", micros)
-    own = F.floor(F.col("_us") / F.lit(span)).cast("long")
-    last = F.floor((F.col("_us") + F.lit(window - 1)) / F.lit(span)).cast("long")
+    spark, window = events.sparkSession, seconds * 1_000_000
+    ktype, ttype = events.schema[key].dataType, events.schema[time].dataType
+    at = events.groupBy(key, time).agg(F.count(F.lit(1)).alias("n"))
     timeless = at.where(F.col(time).isNull()).select(key, time, "n", F.lit(None).cast("long").alias("trailing"))
-    spread = at.where(F.col(time).isNotNull()).withColumn("_own", own).withColumn("_bucket", F.explode(F.sequence("_own", last)))
-    w = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-(window - 1), 0)
-    return (
-        spread.withColumn("trailing", F.sum("n").over(w))
-        .where(F.col("_bucket") == F.col("_own"))
-        .select(key, time, "n", "trailing")
-        .unionByName(timeless)
+    # Expiries first, as an event is out when the window has passed in full.
+    moves = F.array(
+        F.struct(F.lit(0).cast("long").alias("by"), F.lit(1).alias("kind"), F.lit(1).alias("sign")),
+        F.struct(F.lit(window).cast("long").alias("by"), F.lit(0).alias("kind"), F.lit(-1).alias("sign")),
     )
+    timed = at.where(F.col(time).isNotNull()).select(
+        # A mark before the value keeps null apart from any text.
+        F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("k"),
+        epoch_micros(F.col(time), ttype).alias("us"), "n", F.inline(moves),
+    )
+    rows = timed.select("k", (F.col("us") + F.col("by")).alias("us"), "kind", (F.col("n") * F.col("sign")).alias("n"))
+    summed = cut_lineage(ordered.ranged(rows, "k", "us", "kind", pieces=pieces).mapInArrow(_running, _COUNTED))
+    carry: dict[int, int] = {}
+    heads = []
+    for before, after in ordered.crossings(ordered.edges_of(summed)):
+        over = carry.get(before.piece, 0) if before.first == before.last else 0
+        carry[after.piece] = before.state[0] + over
+        heads.append((after.piece, after.first, carry[after.piece]))
+    counted = summed.where("edge IS NULL")
+    if heads:
+        # At most one small row for each partition.
+        heads = F.broadcast(spark.createDataFrame(heads, "piece int, k string, carry long"))
+        counted = counted.join(heads, ["piece", "k"], "left").withColumn(
+            "trailing", F.col("trailing") + F.coalesce("carry", F.lit(0))
+        )
+    return counted.select(
+        F.when(F.col("k") != "", F.substring("k", 2, 2**31 - 1)).cast(ktype).alias(key),
+        from_micros(F.col("us"), ttype).alias(time), "n", "trailing",
+    ).unionByName(timeless)

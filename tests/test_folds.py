@@ -119,26 +119,30 @@ def as_events(spark, events):
     return df.select("k", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "id")
 
 
-@pytest.mark.parametrize("seed, limit, buckets", [(1, 2, 2), (2, 3, 3), (3, 1, 2), (4, 5, 64)])
-def test_admission_equals_the_plain_loop(spark, seed, limit, buckets):
+@pytest.mark.parametrize("seed, limit, pieces", [(1, 2, 2), (2, 3, 7), (3, 1, 40), (4, 5, None), (5, 30, 3)])
+def test_admission_equals_the_plain_loop(spark, seed, limit, pieces):
     rng = random.Random(seed)
     # Key 0 is hot and stays over its limit for many buckets; the others have pauses.
     events = [(0, rng.randrange(0, 1500), i) for i in range(400)]
     events += [(k, rng.randrange(0, 4000), 1000 * k + i) for k in (1, 2, 3) for i in range(40)]
-    got = admission.admit_events(as_events(spark, events), "k", "ts", "id", limit, 10, windows_per_bucket=buckets)
+    got = admission.admit_events(as_events(spark, events), "k", "ts", "id", limit, 10, pieces)
     assert {r["id"]: r["admitted"] for r in got.collect()} == plain_admit(events, limit, 10)
 
 
 def test_admission_of_equal_times_and_strict_window(spark):
     events = [(1, 0, 1), (1, 0, 2), (1, 0, 3), (1, 10, 4), (1, 10, 5), (1, 10, 6), (1, 19, 7)]
-    got = admission.admit_events(as_events(spark, events), "k", "ts", "id", 2, 10, windows_per_bucket=2)
+    got = admission.admit_events(as_events(spark, events), "k", "ts", "id", 2, 10, pieces=3)
     assert {r["id"]: r["admitted"] for r in got.collect()} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False, 7: False}
 
 
-def test_trailing_counts_across_buckets(spark):
+@pytest.mark.parametrize("pieces", [None, 2, 9, 60])
+def test_trailing_counts_across_pieces(spark, pieces):
     rng = random.Random(9)
-    events = [(k, rng.randrange(0, 900), 1000 * k + i) for k in (1, 2) for i in range(150)]
-    got = logs.trailing_counts(as_events(spark, events), "k", "ts", 7, slots_per_bucket=2)
+    # Key 1 holds most events, many of them in a burst within one window.
+    events = [(1, rng.choice([rng.randrange(0, 900), 450 + i % 5]), i) for i in range(300)]
+    events += [(k, rng.randrange(0, 900), 1000 + i) for k in (2, None) for i in range(100)]
+    got = logs.trailing_counts(as_events(spark, events), "k", "ts", 7, pieces)
+    assert got.count() == len({(k, t) for k, t, _ in events})
     for r in got.select("k", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "n", "trailing").collect():
         t = r["us"] // 1_000_000
         mine = [s for k, s, _ in events if k == r["k"]]

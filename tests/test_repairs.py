@@ -78,7 +78,7 @@ def test_upserts_name_unknown_columns_and_settle_ties(spark):
 def test_null_keys_and_times_get_decisions(spark):
     rows = [(None, i * 30, i) for i in range(41)] + [("a", 0, 100), ("a", None, 101), ("", 5, 102)]
     df = spark.createDataFrame(rows, "k string, s long, id long").select("k", F.timestamp_seconds("s").cast("timestamp_ntz").alias("t"), "id")
-    got = {r["id"]: (r["k"], r["admitted"]) for r in admission.admit_events(df, "k", "t", "id", limit=1, seconds=60, windows_per_bucket=2, run_up=1).collect()}
+    got = {r["id"]: (r["k"], r["admitted"]) for r in admission.admit_events(df, "k", "t", "id", limit=1, seconds=60, pieces=2).collect()}
     assert len(got) == 44
     assert all(got[i] == (None, i % 2 == 0) for i in range(41))
     assert got[100] == ("a", True) and got[101] == ("a", False) and got[102] == ("", True)

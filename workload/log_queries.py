@@ -112,7 +112,7 @@ def _odd_events(s, d):
 
 add(
     "admit_null_keys",
-    lambda s, d: admission.admit_events(_odd_events(s, d), "user_id", "ts", "event_id", limit=2, seconds=86400, windows_per_bucket=3, run_up=1),
+    lambda s, d: admission.admit_events(_odd_events(s, d), "user_id", "ts", "event_id", limit=2, seconds=86400),
     """WITH e AS (SELECT CASE WHEN event_type <> 'error' THEN user_id END AS user_id, CASE WHEN event_type <> 'signup' THEN ts END AS ts, event_id FROM events)
        , l AS (SELECT user_id, list({'t': epoch_us(ts), 'e': event_id} ORDER BY ts, event_id) AS ev FROM e WHERE ts IS NOT NULL GROUP BY 1)
        , f AS (SELECT list_reduce(ev, lambda acc, x: CASE WHEN len(list_filter(acc.h, lambda t: x.t - t < 86400000000)) < 2
@@ -130,7 +130,7 @@ add(
 )
 add(
     "admit_events",
-    lambda s, d: admission.admit_events(table(s, d, "events"), "user_id", "ts", "event_id", limit=2, seconds=86400, windows_per_bucket=3, run_up=1),
+    lambda s, d: admission.admit_events(table(s, d, "events"), "user_id", "ts", "event_id", limit=2, seconds=86400),
     """WITH l AS (SELECT user_id, list({'t': epoch_us(ts), 'e': event_id} ORDER BY ts, event_id) AS ev FROM events GROUP BY 1)
        , f AS (SELECT user_id, list_reduce(ev, lambda acc, x: CASE WHEN len(list_filter(acc.h, lambda t: x.t - t < 86400000000)) < 2
               THEN {'h': list_append(list_filter(acc.h, lambda t: x.t - t < 86400000000), x.t), 'a': list_append(acc.a, x.e)} ELSE acc END,
