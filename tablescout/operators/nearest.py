@@ -1,11 +1,18 @@
 """Nearest neighbours by squared Euclidean distance or inner product.
 
 One query uses a column expression and a top-k. Many queries meet the corpus in blocks: rows and
-queries are dealt into blocks of bounded size, and a task holds one block of each. Nothing passes
-through the driver, and the corpus is read a fixed number of times however many queries there are.
-Where the corpus has several blocks, its first one gives every query a bound of its k-th distance,
-and the others send on only what lies within the bound. Queries may be held against the rows of
-their own group (tenant, provider), against listed schemas only, and may bring their own k.
+queries are dealt into blocks of a bounded number of bytes, and a task holds one block of each. Nothing
+passes through the driver, and the corpus is read a fixed number of times however many queries there
+are.
+
+A corpus of several blocks is cut into cells, the rows nearest to each of some pivots, and so are the
+queries, so that blocks hold neighbours. By the triangle inequality no row of a cell is nearer than
+the query's distance from the pivot less the cell's radius. A query first visits its nearest cells,
+by falling nearness until they hold k rows, which bounds its k-th distance; then only the cells
+that this bound does not rule out. A block of rows goes to the blocks of queries that visit it.
+
+Queries may be held against the rows of their own group (tenant, provider), against listed schemas
+only, and may bring their own k. Within a group, the first block of rows gives the bound.
 """
 
 from __future__ import annotations
@@ -22,13 +29,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tablescout.functions import vectors as V
 from tablescout.sources.lineage import cut_lineage
 
-# A block of queries is at most this many bytes of float64, and at most this many queries.
+# A block of rows, and one of queries, is at most this many bytes of float64.
 BLOCK_BYTES = 32 * 1024 * 1024
-QUERY_ROWS = 4096
-# Rows of the corpus in a block.
-CORPUS_ROWS = 16384
-# Queries compared with a block of rows at a time inside a task.
-_TILE = 512
+# Most pivots; cells that the rows of a block fall into.
+PIVOTS, BLOCK_CELLS = 256, 4
+# Numbers of a matrix of distances that a task holds at a time.
+_TILE = 1 << 21
 
 
 def topk_exact(
@@ -114,22 +120,27 @@ def _merge(state: tuple, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -
     found[who] = i[keep].reshape(len(who), k)
 
 
+def _blocks(vector: str) -> Column:
+    """Blocks that hold the vectors as doubles."""
+    size = 8 * F.greatest(F.max(F.size(vector)), F.lit(1))
+    return F.ceil(F.count(F.lit(1)) / F.greatest(F.floor(F.lit(BLOCK_BYTES) / size), F.lit(1))).cast("int")
+
+
 def _dealt(rows: DataFrame, queries: DataFrame, grouped: bool) -> tuple[DataFrame, DataFrame, int]:
     """Both sides with their block numbers ``_rb, _qb`` in each group ``_t``, and the most row blocks.
 
     A row goes to every block of queries of its group and a query to every block of rows, so each
     pair meets once. Groups without rows or without queries drop out.
     """
-    width = F.greatest(F.max(F.size("qv")), F.lit(1))
-    fit = F.greatest(F.least(F.floor(F.lit(BLOCK_BYTES) / (8 * width)), F.lit(QUERY_ROWS)), F.lit(1))
-    rbs = F.ceil(F.count(F.lit(1)) / F.lit(CORPUS_ROWS)).cast("int").alias("_rbs")
-    qbs = F.ceil(F.count(F.lit(1)) / fit).cast("int").alias("_qbs")
+    rbs, qbs = _blocks("v").alias("_rbs"), _blocks("qv").alias("_qbs")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     row_block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     query_block = lambda n: F.pmod(F.xxhash64("query_id"), n).cast("int")
     if not grouped:
-        # One group: two counts, and no join.
-        most, parts = rows.agg(rbs).first()["_rbs"], queries.agg(qbs).first()["_qbs"] or 0
+        # One group: two counts in one job, and no join.
+        counts = rows.agg(F.lit("r").alias("of"), rbs.alias("n")).unionByName(queries.agg(F.lit("q").alias("of"), qbs.alias("n")))
+        counts = {c["of"]: c["n"] or 0 for c in counts.collect()}
+        most, parts = counts["r"], counts["q"]
         r, q = F.lit(max(most, 1)), F.lit(max(parts, 1))
         left = rows.withColumn("_rb", row_block(r)).withColumn("_qb", upto(q))
         return left, queries.withColumn("_qb", query_block(q)).withColumn("_rb", upto(r)), most
@@ -162,9 +173,9 @@ def _best_in_block(id_type: pa.DataType, query_type: pa.DataType):
             norms = np.einsum("ij,ij->i", queries, queries)
             k, bound = right.column("k").to_numpy(), right.column("bound").to_numpy()
             allowed = _allowed(left, right)
-            place = np.arange(len(rows))
-            for at in range(0, len(queries), _TILE):
-                part = np.arange(at, min(at + _TILE, len(queries)))
+            place, tile = np.arange(len(rows)), max(1, _TILE // len(rows))
+            for at in range(0, len(queries), tile):
+                part = np.arange(at, min(at + tile, len(queries)))
                 most = int(k[part].max())
                 state = (np.full((len(part), most), np.inf), np.full((len(part), most), len(rows)))
                 d = _distances(rows, queries[part], norms[part])
@@ -212,13 +223,157 @@ def _search(rows: DataFrame, queries: DataFrame, grouped: bool) -> DataFrame:
     free = right.withColumn("bound", F.lit(float("inf")))
     if most <= 1:
         return _met(left, free, fn, schema)
+    if not grouped:
+        return _search_cells(rows, queries, fn, schema)
     first = cut_lineage(_met(left.where("_rb = 0"), free.where("_rb = 0"), fn, schema))
-    kth = first.groupBy("query_id").agg(F.max("score").alias("_kth"), F.count(F.lit(1)).alias("_n"))
-    bound = F.when(F.col("_n") >= F.col("k"), F.col("_kth")).otherwise(F.lit(float("inf")))
-    bounded = right.where("_rb > 0").join(kth, "query_id", "left").withColumn("bound", bound).drop("_kth", "_n")
+    bounded = _bounded(right.where("_rb > 0"), first)
     return first.unionByName(_met(left.where("_rb > 0"), bounded, fn, schema))
 
 
+def _bounded(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """Queries with ``bound``, the k-th distance among the hits found; none with fewer hits."""
+    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    nth = found.join(queries.select("query_id", "k").distinct(), "query_id").withColumn("_n", F.row_number().over(w))
+    kth = nth.where(F.col("_n") == F.col("k")).select("query_id", F.col("score").alias("_kth"))
+    return queries.join(kth, "query_id", "left").withColumn("bound", F.coalesce("_kth", F.lit(float("inf")))).drop("_kth")
+
+
+class Cells:
+    """Pivots with the rows and the radius of their cells, and the blocks that hold them; small arrays only."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.rows, self.radius = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))
+
+    def distances(self, m: np.ndarray) -> np.ndarray:
+        _same_length(self.pivots, m)
+        squares = np.einsum("ij,ij->i", self.pivots, self.pivots)[None, :] + np.einsum("ij,ij->i", m, m)[:, None]
+        return np.sqrt(np.maximum(squares - 2.0 * m @ self.pivots.T, 0.0))
+
+    def nearest(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell and distance of each row; one that cannot be measured is as far as can be."""
+        d = self.distances(m)
+        d = np.where(np.isfinite(d), d, np.inf)
+        cell = d.argmin(axis=1)
+        return cell.astype(np.int32), d[np.arange(len(m)), cell]
+
+    def first(self, d: np.ndarray, k: int) -> np.ndarray:
+        """The nearest cells of a query at these distances, until they hold k rows."""
+        order = np.argsort(d, kind="stable")
+        order = order[self.rows[order] > 0]
+        return order[: np.searchsorted(np.cumsum(self.rows[order]), k) + 1]
+
+    def within(self, d: np.ndarray, bound: float) -> np.ndarray:
+        """The cells that may hold a row within the bound."""
+        radius = np.where(np.isfinite(self.radius), self.radius, 0.0)
+        # Distances are rounded, by more where vectors are long, so a cell must be out of reach by more than that.
+        slack = 1e-6 * (1.0 + d + radius + np.sqrt(np.einsum("ij,ij->i", self.pivots, self.pivots).max()))
+        nearest = np.maximum(d - self.radius - slack, 0.0)
+        return np.flatnonzero((self.rows > 0) & ~(nearest * nearest > bound))
+
+
+def _dealing(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """First block and number of blocks of each cell: neighbours share one, a crowded cell has its own."""
+    first, many, at, held = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32), 0, 0
+    for c, n in enumerate(counts.tolist()):
+        need = max(1, -(-n // most))
+        if held and held + n > most:
+            at, held = at + 1, 0
+        first[c], many[c] = at, need
+        at, held = (at + need, 0) if need > 1 else (at, held + n)
+    return first, many, at + 1
+
+
+def _in_line(pivots: np.ndarray) -> np.ndarray:
+    """Pivots along their main direction, so that cells with neighbouring numbers are mostly near."""
+    if len(pivots) < 3:
+        return pivots
+    centred = pivots - pivots.mean(axis=0)
+    direction = np.linalg.svd(centred, full_matrices=False)[2][0]
+    return pivots[np.argsort(centred @ direction, kind="stable")]
+
+
+def _search_cells(rows: DataFrame, queries: DataFrame, fn, schema: T.StructType) -> DataFrame:
+    """The search over cells, in two waves; see the head of this module."""
+    sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(PIVOTS)
+    width = rows.agg(F.max(F.size("v")).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    most = max(1, BLOCK_BYTES // (8 * max(1, width["w"])))
+    pivots = _matrix(sample.limit(max(2, min(PIVOTS, BLOCK_CELLS * width["n"] // most))).toArrow().column("v"))
+    finite = pivots[np.isfinite(pivots).all(axis=1)]
+    cells = Cells(_in_line(finite if len(finite) else np.zeros_like(pivots[:1])))
+
+    def place(vector: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    cell, far = cells.nearest(_matrix(b.column(b.schema.get_field_index(vector))))
+                    yield pa.RecordBatch.from_arrays(
+                        [*b.columns, pa.array(cell), pa.array(far)], names=[*b.schema.names, "_cell", "_far"]
+                    )
+
+        return run
+
+    def placed(df: DataFrame, vector: str) -> tuple[DataFrame, list]:
+        fields = [T.StructField("_cell", T.IntegerType()), T.StructField("_far", T.DoubleType())]
+        out = cut_lineage(df.mapInArrow(place(vector), T.StructType([*df.schema.fields, *fields])))
+        # At most one row for each pivot.
+        return out, out.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("far")).collect()
+
+    corpus, held = placed(rows, "v")
+    asked, parts = placed(queries, "qv")
+    in_part = np.zeros(len(cells.rows), dtype=np.int64)
+    for r in held:
+        cells.rows[r["_cell"]], cells.radius[r["_cell"]] = r["n"], r["far"]
+    for r in parts:
+        in_part[r["_cell"]] = r["n"]
+    row_first, row_many, _ = _dealing(cells.rows, most)
+    query_first, query_many, _ = _dealing(in_part, most)
+
+    def block(first: np.ndarray, many: np.ndarray, name: str) -> Column:
+        """Block of a row by its cell, as one lookup in two short arrays."""
+        cell = F.col("_cell")
+        lookup = lambda x: F.element_at(F.array(*[F.lit(int(v)) for v in x]), cell + 1)
+        return (lookup(first) + F.pmod(F.xxhash64(name), lookup(many))).cast("int")
+
+    left = corpus.withColumn("_rb", block(row_first, row_many, "id")).drop("_cell", "_far")
+    right = asked.withColumn("_qb", block(query_first, query_many, "query_id")).drop("_cell", "_far")
+
+    def blocks_of(some: np.ndarray) -> set[int]:
+        return {x for c in some.tolist() for x in range(row_first[c], row_first[c] + row_many[c])}
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = b.schema.names
+            d = cells.distances(_matrix(b.column(names.index("qv"))))
+            d = np.where(np.isfinite(d), d, 0.0)
+            k, bound = b.column(names.index("k")).to_numpy(), b.column(names.index("bound")).to_numpy()
+            at, to = [], []
+            for i in range(b.num_rows):
+                blocks = blocks_of(cells.first(d[i], int(k[i])))
+                if bound[i] >= 0:
+                    blocks = blocks_of(cells.within(d[i], float(bound[i]))) - blocks
+                at += [i] * len(blocks)
+                to += sorted(blocks)
+            if at:
+                index = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(index) for c in b.columns), pa.array(to, pa.int32())], names=[*names, "_rb"]
+                )
+
+    def wave(df: DataFrame) -> DataFrame:
+        routed = cut_lineage(df.mapInArrow(route, T.StructType([*df.schema.fields, T.StructField("_rb", T.IntegerType())])))
+        routed = routed.withColumn("bound", F.when(F.col("bound") < 0, float("inf")).otherwise(F.col("bound")))
+        pairs = routed.select(F.col("_rb").alias("_b"), F.col("_qb").alias("_q")).distinct()
+        met = left.join(pairs, left["_rb"] == pairs["_b"]).drop("_b").withColumnRenamed("_q", "_qb")
+        return _met(met, routed, fn, schema)
+
+    # The first wave has no bound, which a negative one stands for.
+    first = cut_lineage(wave(right.withColumn("bound", F.lit(-1.0))))
+    return first.unionByName(wave(_bounded(right, first)))
+
+
 def _ranked(hits: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     out = hits.withColumn("rank", F.row_number().over(w))
@@ -402,8 +557,9 @@ def _count_ahead(left: pa.Table, right: pa.Table) -> pa.Table:
         _same_length(rows, queries)
         norms = np.einsum("ij,ij->i", queries, queries)
         ids = left.column("id").to_numpy()[None, :]
-        for at in range(0, right.num_rows, _TILE):
-            part = slice(at, at + _TILE)
+        tile = max(1, _TILE // len(rows))
+        for at in range(0, right.num_rows, tile):
+            part = slice(at, at + tile)
             d = _distances(rows, queries[part], norms[part])
             aim, goal = target[part, None], score[part, None]
             before = (d < goal) | ((d == goal) & (ids < aim))

@@ -157,11 +157,44 @@ def test_tenants_lists_and_own_k(spark, points):
 
 def test_blocks_of_rows_send_on_what_is_within_the_bound(spark, points, corpus, monkeypatch):
     whole = {tuple(r) for r in nearest.knn_batch(corpus, as_queries(spark, points, 30), 4).collect()}
-    monkeypatch.setattr(nearest, "CORPUS_ROWS", 25)
-    monkeypatch.setattr(nearest, "QUERY_ROWS", 7)
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 8 * 8 * 25)
     assert {tuple(r) for r in nearest.knn_batch(corpus, as_queries(spark, points, 30), 4).collect()} == whole
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e4])
+def test_cells_prune_and_lose_nothing(spark, monkeypatch, shift):
+    rng = np.random.default_rng(5)
+    centre = 30 * rng.normal(size=(12, 6))
+    points = (np.repeat(centre, 60, axis=0) + rng.normal(size=(720, 6)) + shift).astype(np.float32)
+    points[100:160] = points[100]
+    corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "vec_id long, embedding array<float>")
+    corpus = corpus.repartition(4)
+    asked = corpus.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    want = {(q, i, n + 1) for q in range(720) for n, (i, _) in enumerate(brute(points, points[q], 7))}
+    met = []
+    plain = nearest._met
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 8 * 6 * 40)
+    monkeypatch.setattr(nearest, "_met", lambda left, right, *a: met.append((left, right)) or plain(left, right, *a))
+    got = {(r["query_id"], r["vec_id"], r["rank"]) for r in nearest.knn_batch(corpus, asked, 7).collect()}
+    assert got == want
+    # Far fewer pairs than all: blocks meet the queries that may find something in them.
+    pairs = 0
+    for left, right in met:
+        n = left.groupBy(*nearest._BLOCK_KEY).count().join(right.groupBy(*nearest._BLOCK_KEY).agg(F.count("k").alias("q")), nearest._BLOCK_KEY)
+        pairs += n.agg(F.sum(F.col("count") * F.col("q"))).first()[0] or 0
+    assert len(met) == 2 and pairs < 0.4 * 720 * 720
+
+
+def test_rows_dealt_grow_with_the_rows(spark):
+    def dealt(n):
+        rows = spark.range(n).select(F.lit("").alias("_t"), "id", F.array(F.rand(1), F.rand(2)).alias("v"))
+        asked = rows.select("_t", F.col("id").alias("query_id"), F.col("v").alias("qv"))
+        left, right, most = nearest._dealt(rows, asked, False)
+        return left.count() + right.count()
+
+    assert dealt(20_000) <= 20 * dealt(2_000)
+
+
 def test_vectors_of_different_lengths_are_an_error(spark):
     ragged = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0, 4.0])], "vec_id long, embedding array<float>")
     ask = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "query_id long, query_vector array<float>")
