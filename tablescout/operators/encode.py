@@ -90,14 +90,15 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = factory()
         for b in batches:
-            texts = b.column(at).to_pylist()
-            vectors: list = [None] * len(texts)
-            filled = [i for i, t in enumerate(texts) if t is not None]
-            for lo in range(0, len(filled), batch):
-                part = filled[lo : lo + batch]
-                for i, v in zip(part, encoder([texts[i] for i in part])):
-                    vectors[i] = np.asarray(v, dtype=np.float32)
-            column = pa.array(vectors, type=pa.list_(pa.float32()))
+            texts = b.column(at)
+            filled = texts.drop_null().to_pylist()
+            parts = [np.asarray(encoder(filled[lo : lo + batch]), dtype=np.float32) for lo in range(0, len(filled), batch)]
+            # The matrix is the column's buffer; a null text has no numbers in it.
+            there = texts.is_valid().to_numpy(zero_copy_only=False)
+            width = parts[0].shape[1] if parts else 0
+            ends = np.append(0, np.cumsum(there * width)).astype(np.int32)
+            flat = pa.array(np.concatenate([p.ravel() for p in parts]) if parts else np.empty(0, dtype=np.float32))
+            column = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(~there))
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """Read-only SQL: clean, screen, parse and inspect the plan, then Spark SQL.
 
-The word screen is the named contract; what decides is the plan that the session's own parser makes
-of the text. Anything but a query is refused wherever it stands: commands, inserts, merges, updates,
+What decides is the plan that the session's own parser makes of the text; the word screen names what was
+wrong, and refuses nothing by itself, as its words may stand in literals. Anything but a query is refused wherever it stands: commands, inserts, merges, updates,
 deletes, scripts, and functions that call into the JVM. Paths cannot be read as tables. The plan is
 reached through the classic session's JVM handle.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions import text
 from tablescout.operators.filters import finite_or_null
+from tablescout.plans import pg_forms
 from tablescout.sources.lineage import cut_lineage
 from tablescout.sources.log_sink import append_runs
 
@@ -34,10 +35,21 @@ DATE_PARTS = (
     ("YYYY", "yyyy"), ("YY", "yy"), ("MONTH", "MMMM"), ("MON", "MMM"), ("MM", "MM"), ("DAY", "EEEE"), ("DY", "EEE"), ("DD", "dd"), ("HH24", "HH"), ("HH12", "hh"),
     ("HH", "hh"), ("MI", "mm"), ("SS", "ss"), ("MS", "SSS"), ("US", "SSSSSS"), ("AM", "a"), ("PM", "a"), ("Q", "Q"),
 )
+# The fields of the earlier time are taken from those of the later one; a day that is lacking is borrowed from
+# the earlier one's month. With one argument the age is counted to the start of today.
+_FIELDS = (
+    "(year(hi) * 12 + month(hi) - year(lo) * 12 - month(lo)) AS m, day(hi) - day(lo) AS d, "
+    "unix_micros(hi) - unix_micros(date_trunc('DAY', hi)) - unix_micros(lo) + unix_micros(date_trunc('DAY', lo)) AS t"
+)
 _COMPAT_FUNCTIONS = (
-    # With one argument the age is counted to the start of today.
-    "CREATE OR REPLACE TEMPORARY FUNCTION age(a TIMESTAMP, b TIMESTAMP DEFAULT NULL) RETURNS INTERVAL DAY TO SECOND "
-    "RETURN CASE WHEN b IS NULL THEN cast(current_date() AS TIMESTAMP) - a ELSE a - b END",
+    "CREATE OR REPLACE TEMPORARY FUNCTION _age_of(hi TIMESTAMP, lo TIMESTAMP, sign INT) RETURNS INTERVAL RETURN "
+    f"(SELECT make_interval(sign * ((m - IF(c < 0, 1, 0)) div 12), sign * ((m - IF(c < 0, 1, 0)) % 12), 0, "
+    "sign * (c + IF(c < 0, day(last_day(lo)), 0)), 0, 0, sign * CAST((t + IF(t < 0, 86400000000, 0)) / 1000000 AS DECIMAL(18, 6))) "
+    f"FROM (SELECT *, d - IF(t < 0, 1, 0) AS c FROM (SELECT {_FIELDS})))",
+    "CREATE OR REPLACE TEMPORARY FUNCTION age(a TIMESTAMP, b TIMESTAMP DEFAULT NULL) RETURNS INTERVAL RETURN "
+    "CASE WHEN coalesce(b, a) IS NULL THEN NULL WHEN b IS NULL THEN CASE WHEN a <= current_date() "
+    "THEN _age_of(CAST(current_date() AS TIMESTAMP), a, 1) ELSE _age_of(a, CAST(current_date() AS TIMESTAMP), -1) END "
+    "WHEN a >= b THEN _age_of(a, b, 1) ELSE _age_of(b, a, -1) END",
 )
 
 
@@ -60,7 +72,7 @@ _HELD = r"\x00\d+\x00"
 
 
 def spark_names(sql: str) -> str:
-    """Names that differ between the two dialects: types, date patterns, unnest, epoch, SIMILAR TO.
+    """Names and forms that differ between the two dialects; see also ``pg_forms``.
 
     Literals, quoted names and comments are set aside first; only the patterns of date functions and
     of SIMILAR TO are changed in them.
@@ -80,7 +92,8 @@ def spark_names(sql: str) -> str:
         return m.group(0)
 
     def similar(m: re.Match) -> str:
-        change(m, lambda p: _similar(p).replace("\\", "\\\\"))
+        escape = held[int(m.group("escape"))][1:-1] if m.group("escape") else "\\"
+        change(m, lambda p: _similar(p, escape.replace("\\\\", "\\")).replace("\\", "\\\\"))
         return f"rlike \0{m.group('at')}\0"
 
     sql = _APART.sub(hold, sql)
@@ -92,17 +105,18 @@ def spark_names(sql: str) -> str:
     sql = re.sub(r"(\bto_(?:char|date|timestamp)\s*\((?:[^()]|\([^()]*\))*,\s*)\x00(?P<at>\d+)\x00(?=\s*\))", dated, sql, flags=re.I)
     sql = re.sub(r"\bunnest\s*\(", "explode(", sql, flags=re.I)
     sql = re.sub(r"\bextract\s*\(\s*epoch\s+from\s+((?:[^()]|\([^()]*\))+)\)", r"unix_timestamp(\1)", sql, flags=re.I)
-    sql = re.sub(r"\bsimilar\s+to\s+\x00(?P<at>\d+)\x00", similar, sql, flags=re.I)
+    sql = re.sub(r"\bsimilar\s+to\s+\x00(?P<at>\d+)\x00(?:\s+escape\s+\x00(?P<escape>\d+)\x00)?", similar, sql, flags=re.I)
     sql = re.sub(r"\blocaltimestamp\b(?!\s*\()", "localtimestamp()", sql, flags=re.I)
+    sql = pg_forms.rewritten(sql, held)
     return re.sub(_HELD, lambda m: held[int(m.group(0)[1:-1])], sql)
 
 
-def _similar(pattern: str) -> str:
-    """A SIMILAR TO pattern as a regular expression over the whole text."""
+def _similar(pattern: str, escape: str = "\\") -> str:
+    """A SIMILAR TO pattern as a regular expression over the whole text; an empty escape means none."""
     out, bracket, at = [], False, 0
     while at < len(pattern):
         c = pattern[at]
-        if c == "\\" and at + 1 < len(pattern):
+        if escape and c == escape and at + 1 < len(pattern):
             at += 1
             out.append(re.escape(pattern[at]))
         elif bracket:
@@ -112,7 +126,7 @@ def _similar(pattern: str) -> str:
             out.append(".*")
         elif c == "_":
             out.append(".")
-        elif c in ".^$":
+        elif c in ".^$\\":
             out.append("\\" + c)
         else:
             bracket = c == "["
@@ -161,25 +175,23 @@ def plan_fault(spark: SparkSession, sql: str) -> str | None:
     return None
 
 
-def checked_sql(spark: SparkSession, raw: str) -> str:
-    """The cleaned text, or ValueError when it is empty, not a query or holds a write."""
+def checked_sql(spark: SparkSession, raw: str) -> tuple[str, str | None]:
+    """The cleaned text and the write pattern that it holds, if any; ValueError when it is empty."""
     one = spark.sql("SELECT :q AS sql", args={"q": raw or ""})
     row = (
         one.select(text.clean_sql(F.col("sql")).alias("s"))
-        .select(
-            "s",
-            (text.is_read_query(F.col("s")) & ~text.has_write_statement(F.col("s"))).alias("ok"),
-            text.first_write_pattern(F.col("s")).alias("bad"),
-        )
+        .select("s", text.is_read_query(F.col("s")).alias("ok"), text.first_write_pattern(F.col("s")).alias("bad"))
         .first()
     )
     if not row["s"]:
         raise ValueError("the SQL text is empty")
-    if row["bad"]:
-        raise ValueError(f"the SQL text holds a forbidden operation: {row['bad']}")
     if not row["ok"]:
-        raise ValueError("only SELECT queries are allowed")
-    return row["s"]
+        raise ValueError(f"only SELECT queries are allowed{_named(row['bad'])}")
+    return row["s"], row["bad"]
+
+
+def _named(pattern: str | None) -> str:
+    return f"; the text holds a forbidden operation: {pattern}" if pattern else ""
 
 
 @contextmanager
@@ -201,7 +213,7 @@ def run_sql(spark: SparkSession, raw: str, compat: bool = False) -> DataFrame:
 
     ``compat`` also maps the names that differ from PostgreSQL.
     """
-    sql = checked_sql(spark, raw)
+    sql, bad = checked_sql(spark, raw)
     if compat:
         sql = spark_names(sql)
         for statement in _COMPAT_FUNCTIONS:
@@ -209,7 +221,7 @@ def run_sql(spark: SparkSession, raw: str, compat: bool = False) -> DataFrame:
     with _guarded(spark):
         fault = plan_fault(spark, sql)
         if fault:
-            raise ValueError(f"only SELECT queries are allowed: {fault}")
+            raise ValueError(f"only SELECT queries are allowed: {fault}{_named(bad)}")
         return spark.sql(sql)
 
 

@@ -26,13 +26,17 @@ def search_questions(
     factory: Callable = encode.hashed_ngrams,
     question_id: str = "query_id",
     question: str = "question",
+    **scope,
 ) -> DataFrame:
     """Encode questions and rank the ``k`` nearest items of each: ``query_id, vec_id, score, rank``.
 
-    ``items`` has ``vec_id, embedding``.
+    ``items`` has ``vec_id, embedding``. ``scope`` goes to ``nearest.knn_batch``: ``by`` holds questions
+    to the items of their tenant and provider, ``listed`` to the schemas that they list, ``k_col`` gives
+    a question a k of its own, and ``id_col`` names what the hits are called by.
     """
-    coded = encode.encode(questions.select(question_id, question), question, factory, out="query_vector")
-    return nearest.knn_batch(items, coded, k, query_id=question_id)
+    used = [question_id, question, *scope.get("by", []), *[scope[c] for c in ("k_col", "listed") if scope.get(c)]]
+    coded = encode.encode(questions.select(*dict.fromkeys(used)), question, factory, out="query_vector")
+    return nearest.knn_batch(items, coded, k, query_id=question_id, **scope)
 
 
 def search_or_build(

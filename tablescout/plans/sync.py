@@ -34,13 +34,16 @@ def default_encoders() -> dict[str, Callable]:
     return {p: encode.hashed_ngrams for p in K.PROVIDERS}
 
 
-def sync_classes(items: DataFrame, stored: DataFrame) -> DataFrame:
-    """Status of every (item, provider) that is not unchanged, written once as the sync reads it twice."""
+def sync_classes(items: DataFrame, stored: DataFrame, unchanged: bool = False) -> DataFrame:
+    """Status of every (item, provider), written once as the sync reads it twice.
+
+    Rows that are unchanged are left out unless asked for.
+    """
     hashed = items.select(*diff.KEY, F.md5("vector_text").alias("text_hash"))
     old = stored.select(
         *ITEM, "text_hash", F.col("embedding").isNotNull().alias("has_vector")
     )
-    return cut_lineage(diff.moved(hashed, old))
+    return cut_lineage((diff.classify if unchanged else diff.moved)(hashed, old))
 
 
 def apply_sync(
@@ -105,6 +108,18 @@ def rebuild_all(items: DataFrame, now: Column, encoders: dict[str, Callable] | N
     )
 
 
+def upsert_items(
+    items: DataFrame, stored: DataFrame, now: Column, encoders: dict[str, Callable] | None = None
+) -> DataFrame:
+    """Next version of the stored vectors with these items encoded anew for every provider.
+
+    For single items after a write, whatever their hashes; the rows of all other items stay. A null
+    schema is the empty one, and the provider is part of the key.
+    """
+    coded = rebuild_all(items, now, encoders).drop("status")
+    return upsert.bulk_upsert(diff.with_key(stored).select(*coded.columns), coded, ITEM, now)
+
+
 def text_vectors(
     knowledge: DataFrame, glossary: DataFrame, encoders: dict[str, Callable] | None = None
 ) -> DataFrame:

@@ -30,9 +30,10 @@ def apply_snapshot(
     covered = items.select("db_name")
     if tenants:
         covered = covered.unionByName(spark.createDataFrame([(t,) for t in tenants], "db_name string"))
+    base = snapshots.current_version(spark, root)
     stored = snapshots.read_parts(spark, root, sync.STORED, "db_name", covered.distinct())
     # Hashes first: texts are encoded only when some hash differs.
-    classes = sync.sync_classes(items, stored)
+    classes = sync.sync_classes(items, stored, unchanged=True)
     counts = classes.agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in ("new", "changed", "unchanged", "removed", "gone")]
     ).first().asDict()
@@ -48,7 +49,7 @@ def apply_snapshot(
         encoders,
     )
     kept = sync.store(synced.where(~F.col("status").isin("removed", "gone")))
-    snapshots.write_parts(kept, root, "db_name", busy)
+    snapshots.write_parts(kept, root, "db_name", busy, base)
     return counts
 
 

@@ -170,10 +170,67 @@ def test_a_second_pass_finds_nothing_to_do(spark):
 
 
 def test_a_version_is_named_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
     from tablescout.sources import snapshots
 
     root = str(tmp_path / "t")
-    df = spark.range(3)
-    assert snapshots.write_snapshot(df, root) == 1
-    with pytest.raises(RuntimeError, match="another writer"):
-        snapshots._name(df.groupBy().count().withColumnsRenamed({"count": "rows"}).withColumn("part", F.lit(None).cast("string")), root, 1)
+    assert snapshots.write_snapshot(spark.range(3), root) == 1
+    with pytest.raises(snapshots.Conflict, match="another writer"):
+        snapshots._name(spark, root, 1, "v=00000001-late")
+    # Many writers at once: each number has one winner, and what it wrote is what is read.
+    with ThreadPoolExecutor(16) as pool:
+        won = list(pool.map(lambda i: snapshots.create_exclusively(spark, f"{root}/commits/00000002.txt", f"2 w{i}\n"), range(16)))
+    assert won.count(True) == 1
+    assert snapshots._commits(spark, root).where("version = 2").first()["folder"] == f"w{won.index(True)}"
+
+
+def test_of_two_writers_one_wins_and_none_is_lost(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tablescout.sources import snapshots
+
+    root = str(tmp_path / "t")
+    make = lambda rows: spark.createDataFrame(rows, "db string, x long")
+
+    def write(name):
+        tries = 0
+        while True:
+            try:
+                return snapshots.write_parts(make([(name, 1), (name, 2)]), root, "db", make([(name, 0)])), tries
+            except snapshots.Conflict:
+                tries += 1
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(write, "abcd"))
+    assert sorted(n for n, _ in done) == [1, 2, 3, 4]
+    got = sorted((r["db"], r["x"]) for r in snapshots.read_parts(spark, root, "db string, x long", "db").collect())
+    assert got == [(n, x) for n in "abcd" for x in (1, 2)]
+    # A folder and pointer rows without a commit are never read.
+    real, snapshots._name = snapshots._name, lambda *a: (_ for _ in ()).throw(snapshots.Conflict("late"))
+    try:
+        with pytest.raises(snapshots.Conflict):
+            snapshots.write_parts(make([("a", 9)]), root, "db", make([("a", 0)]))
+    finally:
+        snapshots._name = real
+    assert snapshots.read_parts(spark, root, "db string, x long", "db").where("x = 9").count() == 0
+
+
+def test_compaction_keeps_the_rows_in_fewer_files(spark, tmp_path):
+    from tablescout.sources import snapshots
+
+    root, schema = str(tmp_path / "t"), "db string, x long"
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    assert snapshots.compact_parts(spark, root, schema, "db") == 0
+    rows = [("ab"[i % 2], i) for i in range(200)]
+    snapshots.write_parts(make(rows).repartition(12), root, "db", make([("a", 0), ("b", 0)]))
+    snapshots.write_parts(make([("c", 1)]), root, "db", make([("c", 0)]))
+    before = snapshots.read_parts(spark, root, schema, "db")
+    files, held = len(before.inputFiles()), sorted(map(tuple, before.collect()))
+    assert snapshots.compact_parts(spark, root, schema, "db") == 3
+    after = snapshots.read_parts(spark, root, schema, "db")
+    assert sorted(map(tuple, after.collect())) == held
+    assert len(after.inputFiles()) == 3 < files
+    # What was made from an older version cannot replace a newer one.
+    with pytest.raises(snapshots.Conflict):
+        snapshots.write_parts(make([("a", 5)]), root, "db", make([("a", 0)]), base=2)

@@ -38,15 +38,16 @@ AND o_orderpriority LIKE '%-%' AND o_orderpriority ILIKE '%high%' AND NOT o_cust
 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40)""")
 add("sql_any_all", """SELECT p_partkey, p_retailprice FROM part WHERE p_type LIKE ANY ('S%', 'P%') AND p_name NOT LIKE ALL ('%ring', '%gadget')""",
     """SELECT p_partkey, p_retailprice FROM part WHERE (p_type LIKE 'S%' OR p_type LIKE 'P%') AND p_name NOT LIKE '%ring' AND p_name NOT LIKE '%gadget'""")
-add("sql_patterns", """SELECT p_partkey, p_brand FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2)_' """,
-    """SELECT p_partkey, p_brand FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2).'""", compat=True)
+add("sql_patterns", """SELECT p_partkey, p_brand, p_name SIMILAR TO '%(ring|nut)!%' ESCAPE '!' AS s FROM part WHERE p_brand SIMILAR TO 'Brand!#(1|2)_' ESCAPE '!'""",
+    """SELECT p_partkey, p_brand, regexp_full_match(p_name, '.*(ring|nut)%') AS s FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2).'""", compat=True)
 add("sql_grouping", """SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, round(sum(l_quantity), 2) AS qty,
 round(avg(l_discount), 6) AS disc, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10""")
 add("sql_distinct", """SELECT DISTINCT lang, source FROM documents""")
 add("sql_set_ops", """SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey FROM supplier UNION ALL SELECT o_custkey FROM orders
 EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity < 2""")
 add("sql_intersect", """SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT p_partkey FROM part WHERE p_size > 25""")
-add("sql_order_limit", """SELECT o_orderkey, o_totalprice, nullif(o_orderstatus, 'P') AS st FROM orders ORDER BY nullif(o_orderstatus, 'P') DESC NULLS FIRST, o_totalprice ASC, o_orderkey LIMIT 100 OFFSET 20""")
+add("sql_order_limit", """SELECT o_orderkey, o_totalprice, nullif(o_orderstatus, 'P') AS st FROM orders ORDER BY nullif(o_orderstatus, 'P') COLLATE "C" DESC NULLS FIRST, o_totalprice ASC, o_orderkey LIMIT 100 OFFSET 20""",
+    """SELECT o_orderkey, o_totalprice, nullif(o_orderstatus, 'P') AS st FROM orders ORDER BY nullif(o_orderstatus, 'P') DESC NULLS FIRST, o_totalprice ASC, o_orderkey LIMIT 100 OFFSET 20""", compat=True)
 add("sql_conditional", """SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS size,
 coalesce(nullif(o_orderstatus, 'P'), 'pending') AS st, greatest(o_custkey, o_orderkey) AS g, least(o_custkey, o_orderkey) AS l FROM orders""")
 add("sql_math", """SELECT p_partkey, round(p_retailprice, 1) AS r, floor(p_retailprice) AS f, ceil(p_retailprice) AS c, ceiling(p_retailprice / 2) AS c2, abs(p_size - 25) AS a,
@@ -62,36 +63,48 @@ array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1])
 substring(p_name, 2, 4) AS s1, substr(p_name, 3) AS s2, concat(p_brand, '/', p_type) AS c1, concat_ws('-', p_brand, p_type, p_name) AS c2, trim(concat('  ', p_name, ' ')) AS t1,
 ltrim(concat('  ', p_name)) AS t2, rtrim(concat(p_name, '  ')) AS t3, replace(p_name, 'e', 'E') AS rp, translate(p_name, 'abc', 'xyz') AS tr,
 split_part(p_brand, '#', 2) AS sp, position('i' IN p_name) AS po FROM part""")
-add("sql_regex", """SELECT page_id, regexp_replace(url, '[0-9]+', '#') AS masked, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM pages""",
-    """SELECT page_id, regexp_replace(url, '[0-9]+', '#', 'g') AS masked, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM pages""")
+add("sql_regex", """SELECT page_id, regexp_replace(url, '[0-9]+', '#') AS masked, regexp_extract(url, '^([a-z]+)://', 1) AS scheme,
+(regexp_match(url, '^([a-z]+)://([^/]+)'))[2] AS host, regexp_match(url, 'no such host') IS NULL AS none FROM pages WHERE url <> 'please call merge into'""",
+    """SELECT page_id, regexp_replace(url, '[0-9]+', '#', 'g') AS masked, regexp_extract(url, '^([a-z]+)://', 1) AS scheme,
+nullif(regexp_extract(url, '^([a-z]+)://([^/]+)', 2), '') AS host, true AS none FROM pages""", compat=True)
 add("sql_dates", """SELECT cast(date_trunc('month', o_orderdate) AS date) AS month, extract(year FROM o_orderdate) AS y, date_part('quarter', o_orderdate) AS q,
-count(*) AS n, min(o_orderdate + INTERVAL '3' DAY) AS due FROM orders WHERE o_orderdate < current_timestamp GROUP BY 1, 2, 3""",
+count(*) AS n, min(o_orderdate + INTERVAL '3' DAY) AS due FROM orders WHERE o_orderdate < current_timestamp AND localtime >= TIME '00:00:00' GROUP BY 1, 2, 3""",
     """SELECT cast(date_trunc('month', o_orderdate) AS date) AS month, extract(year FROM o_orderdate) AS y, date_part('quarter', o_orderdate) AS q,
-count(*) AS n, min(o_orderdate + INTERVAL 3 DAY) AS due FROM orders WHERE o_orderdate < now()::TIMESTAMP GROUP BY 1, 2, 3""")
+count(*) AS n, min(o_orderdate + INTERVAL 3 DAY) AS due FROM orders WHERE o_orderdate < now()::TIMESTAMP GROUP BY 1, 2, 3""", compat=True)
 add("sql_dates_compat", """SELECT event_id, to_char(ts, 'YYYY-MM-DD HH24:MI:SS') AS day, to_date('2024/01/05', 'YYYY/MM/DD') AS d, extract(epoch FROM ts) AS sec,
 extract(day FROM age(ts, to_timestamp('2024-01-01 00:00', 'YYYY-MM-DD HH24:MI'))) AS days FROM events""",
     """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS day, DATE '2024-01-05' AS d, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
 CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 86400) AS INTEGER) AS days FROM events""", compat=True)
 add("sql_date_names", """SELECT o_orderkey, to_char(o_orderdate, 'DD Mon YYYY "at" HH24') AS d, to_char(o_orderdate, 'Month') AS m, to_char(o_orderdate, 'Dy') AS w,
-to_char(o_orderdate, 'Q') AS q, extract(day FROM age(o_orderdate)) > 0 AS old, now() > o_orderdate AS n, current_date > cast(o_orderdate AS date) AS c, localtimestamp > o_orderdate AS l FROM orders""",
+to_char(o_orderdate, 'Q') AS q, extract(year FROM age(o_orderdate)) > 0 AS old, extract(year FROM age(TIMESTAMP '1999-03-01 12:00:00', o_orderdate)) AS years,
+extract(month FROM age(TIMESTAMP '1999-03-01 12:00:00', o_orderdate)) AS months, extract(day FROM age(o_orderdate, TIMESTAMP '1995-02-28 06:00:00')) AS days, now() > o_orderdate AS n, current_date > cast(o_orderdate AS date) AS c, localtimestamp > o_orderdate AS l FROM orders""",
     """SELECT o_orderkey, strftime(o_orderdate, '%d %b %Y at %H') AS d, strftime(o_orderdate, '%B') AS m, strftime(o_orderdate, '%a') AS w,
-CAST(quarter(o_orderdate) AS VARCHAR) AS q, true AS old, true AS n, true AS c, true AS l FROM orders""", compat=True)
-add("sql_subquery_any", """SELECT p_partkey FROM part WHERE p_size IN (SELECT p_size FROM part WHERE p_type LIKE 'S%') AND 'a.b::text' NOT SIMILAR TO 'a.b' AND p_brand SIMILAR TO 'Brand#[1-3]%|.+4_'""",
-    """SELECT p_partkey FROM part WHERE p_size IN (SELECT p_size FROM part WHERE p_type LIKE 'S%') AND regexp_full_match(p_brand, 'Brand#[1-3].*|\\.+4.')""", compat=True)
+CAST(quarter(o_orderdate) AS VARCHAR) AS q, true AS old, extract(year FROM age(TIMESTAMP '1999-03-01 12:00:00', o_orderdate)) AS years,
+extract(month FROM age(TIMESTAMP '1999-03-01 12:00:00', o_orderdate)) AS months, extract(day FROM age(o_orderdate, TIMESTAMP '1995-02-28 06:00:00')) AS days, true AS n, true AS c, true AS l FROM orders""", compat=True)
+add("sql_subquery_any", """SELECT p_partkey FROM part WHERE p_size = ANY (SELECT p_size FROM part WHERE p_type LIKE 'S%') AND p_size + 1 > ALL (SELECT r_regionkey FROM region)
+AND p_retailprice <= SOME (SELECT max(p_retailprice) - 1 FROM part) AND p_partkey <> ALL (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) AND 'a.b::text' NOT SIMILAR TO 'a.b' AND p_brand SIMILAR TO 'Brand#[1-3]%|.+4_'""",
+    """SELECT p_partkey FROM part WHERE p_size = ANY (SELECT p_size FROM part WHERE p_type LIKE 'S%') AND p_size + 1 > ALL (SELECT r_regionkey FROM region)
+AND p_retailprice <= ANY (SELECT max(p_retailprice) - 1 FROM part) AND p_partkey <> ALL (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) AND regexp_full_match(p_brand, 'Brand#[1-3].*|\\.+4.')""", compat=True)
 add("sql_type_names", """SELECT event_id, props::json AS j, props::jsonb AS b, cast(event_type AS character varying(30)) AS v, event_type::character varying AS w, 'x::int8'::text AS t FROM events""",
     """SELECT event_id, props AS j, props AS b, event_type AS v, event_type AS w, 'x::int8' AS t FROM events""", compat=True)
 add("sql_casts", """SELECT o_orderkey::text AS k, o_totalprice::bigint AS p, cast(o_custkey AS int4) AS c, o_orderdate::date AS d, (o_totalprice::numeric(12, 2))::double precision AS n,
 cast(o_orderkey AS varchar(20)) AS v, '12'::int8 AS i, 'true'::bool AS b, cast('1.5' AS real) AS r FROM orders""",
     """SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(trunc(o_totalprice) AS BIGINT) AS p, CAST(o_custkey AS INTEGER) AS c, CAST(o_orderdate AS DATE) AS d,
 CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) AS n, CAST(o_orderkey AS VARCHAR) AS v, CAST(12 AS BIGINT) AS i, true AS b, CAST(1.5 AS FLOAT) AS r FROM orders""", compat=True)
-add("sql_json", """SELECT get_json_object(props, '$.k') AS k, count(*) AS n, max(cast(parse_json(props):k AS int)) AS m FROM events GROUP BY 1""",
-    """SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, max(CAST(json_extract(props, '$.k') AS INTEGER)) AS m FROM events GROUP BY 1""")
-add("sql_arrays", """SELECT doc_id, w AS word FROM (SELECT doc_id, unnest(split(text, ' ')) AS w FROM documents)""",
-    """SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents""", compat=True)
-add("sql_array_agg", """SELECT c_nationkey, concat_ws(',', sort_array(array_agg(DISTINCT c_mktsegment))) AS segs FROM customer GROUP BY c_nationkey""",
-    """SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segs FROM customer GROUP BY c_nationkey""")
-add("sql_string_agg", """SELECT l_orderkey, string_agg(concat(l_partkey, ':', l_linenumber), ',') WITHIN GROUP (ORDER BY l_linenumber, l_partkey) AS items FROM lineitem GROUP BY l_orderkey""",
-    """SELECT l_orderkey, string_agg(concat(l_partkey, ':', l_linenumber), ',' ORDER BY l_linenumber, l_partkey) AS items FROM lineitem GROUP BY l_orderkey""")
+add("sql_json", """SELECT get_json_object(props, '$.k') AS k, count(*) AS n, max(cast(parse_json(props):k AS int)) AS m,
+max((props::jsonb ->> 'k')::int4) AS t, min(props -> 'k') AS j, count(props ->> 'absent') AS a FROM events GROUP BY 1""",
+    """SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, max(CAST(json_extract(props, '$.k') AS INTEGER)) AS m,
+max(CAST(props ->> '$.k' AS INTEGER)) AS t, min(CAST(props -> '$.k' AS VARCHAR)) AS j, count(props ->> '$.absent') AS a FROM events GROUP BY 1""", compat=True)
+add("sql_arrays", """SELECT doc_id, w AS word, (array[lang, source])[2] AS second, cardinality(array[1, 2, n_chars]) AS c FROM (SELECT doc_id, lang, source, n_chars, unnest(split(text, ' ')) AS w FROM documents)""",
+    """SELECT doc_id, unnest(string_split(text, ' ')) AS word, source AS second, 3 AS c FROM documents""", compat=True)
+add("sql_array_agg", """SELECT c_nationkey, concat_ws(',', sort_array(array_agg(DISTINCT c_mktsegment))) AS segs, array_join(array_agg(c_name ORDER BY c_acctbal DESC, c_custkey), ',') AS names,
+(array_agg(c_custkey ORDER BY c_acctbal NULLS FIRST, c_custkey))[1] AS poorest FROM customer GROUP BY c_nationkey""",
+    """SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segs, string_agg(c_name, ',' ORDER BY c_acctbal DESC, c_custkey) AS names,
+first(c_custkey ORDER BY c_acctbal NULLS FIRST, c_custkey) AS poorest FROM customer GROUP BY c_nationkey""", compat=True)
+add("sql_string_agg", """SELECT l_orderkey, string_agg(concat(l_partkey, ':', l_linenumber), ',' ORDER BY l_linenumber, l_partkey) AS items,
+string_agg(l_returnflag, '') WITHIN GROUP (ORDER BY l_linenumber DESC, l_partkey) AS flags FROM lineitem GROUP BY l_orderkey""",
+    """SELECT l_orderkey, string_agg(concat(l_partkey, ':', l_linenumber), ',' ORDER BY l_linenumber, l_partkey) AS items,
+string_agg(l_returnflag, '' ORDER BY l_linenumber DESC, l_partkey) AS flags FROM lineitem GROUP BY l_orderkey""", compat=True)
 add("sql_ranking", """SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt,
 round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, coalesce(lag(o_orderkey) OVER w, -1) AS prev, coalesce(lead(o_orderkey, 2) OVER w, -1) AS nxt
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")

@@ -94,6 +94,30 @@ add(
         round(avg(score * 10 + rank), 6) AS latency_avg, round(quantile_cont(score * 10 + rank, 0.5), 6) AS latency_p50, round(quantile_cont(score * 10 + rank, 0.95), 6) AS latency_p95
         FROM hits GROUP BY ALL"""),
 )
+
+
+def _sketched(s, d, error=0.02):
+    """Percentiles out of merged sketches, and whether their exact ranks are within the error."""
+    hits = frame(s, d, "hits")
+    parts = logs.score_sketches(hits, ["schema_name", "rank"])
+    found = logs.sketch_quantiles(logs.merged_sketches(parts, ["schema_name"]))
+    joined = hits.join(found.select("schema_name", "n", "score_p50", "score_p95"), "schema_name")
+    share = lambda of: F.count_if(of) / F.count(F.lit(1))
+    out = joined.groupBy("schema_name").agg(
+        F.max("n").alias("hits"),
+        *[x for p in ("p50", "p95") for x in (
+            share(F.col("score") < F.col(f"score_{p}")).alias(f"{p}_below"), share(F.col("score") <= F.col(f"score_{p}")).alias(f"{p}_upto"),
+        )],
+    )
+    near = lambda p, q: (F.col(f"{p}_below") <= q + error) & (F.col(f"{p}_upto") >= q - error)
+    return out.select("schema_name", "hits", near("p50", 0.5).alias("p50_near"), near("p95", 0.95).alias("p95_near"))
+
+
+add(
+    "retrieval_sketch",
+    _sketched,
+    with_inputs("hits", "SELECT schema_name, count(score) AS hits, true AS p50_near, true AS p95_near FROM hits GROUP BY ALL"),
+)
 add(
     "trailing_count",
     lambda s, d: logs.trailing_counts(table(s, d, "events"), "user_id", "ts", 86400),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablescout.functions import text
 from tablescout.functions import vectors as V
 from tablescout.operators import encode, nearest, packing
+from tablescout.plans import search
 from workload.inputs import table
 
 Q: dict = {}
@@ -194,6 +195,48 @@ add(
        , n AS (SELECT doc_id, part, count(*)::DOUBLE AS n FROM g GROUP BY ALL)
        SELECT doc_id, part, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM n""",
 )
+
+
+def _asked(s, d):
+    """Questions of users, each put to the documents of one language and, in part, to two sources."""
+    tenants = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])
+    return table(s, d, "conversations").where("role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"),
+        F.element_at(tenants, (F.col("conv_id") % 4 + 1).cast("int")).alias("lang"),
+        F.when(F.col("turn") == 0, F.array(F.lit("src1"), F.lit("src2"))).alias("listed"),
+        (F.col("conv_id") % 3 + 1).cast("int").alias("k"),
+    )
+
+
+def _tenant_hits(s, d):
+    docs = table(s, d, "documents").select("doc_id", "lang", "source", "text")
+    items = encode.encode(docs, "text").select(F.col("doc_id").alias("vec_id"), "lang", "source", "embedding")
+    hits = search.search_questions(_asked(s, d), items, by=["lang"], listed="listed", mark="source", k_col="k")
+    return hits.select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
+
+
+def _coded_sql(source, key):
+    """Vectors of 64 numbers in the single precision that they are stored in."""
+    return f"""SELECT {key}, list(coalesce(x, 0) ORDER BY p) AS v FROM (
+        SELECT ids.{key}, p, CAST(CAST(c / nullif(sqrt(sum(c * c) OVER (PARTITION BY ids.{key})), 0) AS FLOAT) AS DOUBLE) AS x FROM
+          (SELECT {key}, unnest(range(64)) AS p FROM {source}) ids LEFT JOIN
+          (SELECT {key}, part, count(*)::DOUBLE AS c FROM (SELECT {key}, unnest(list_transform(range(1, len(u) - 1), lambda i: ((u[i] * 961 + u[i + 1] * 31 + u[i + 2]) % 1000003) % 64)) AS part
+             FROM (SELECT {key}, list_transform(string_split(text, ''), lambda ch: unicode(ch)::BIGINT) AS u FROM {source}) WHERE len(u) >= 3) GROUP BY ALL) g
+          ON g.{key} = ids.{key} AND g.part = ids.p) GROUP BY {key}"""
+
+
+add(
+    "search_tenants",
+    _tenant_hits,
+    f"""WITH docs AS (SELECT doc_id, lang, source, text FROM documents)
+      , asked AS (SELECT conv_id * 1000 + turn AS query_id, text, ['de', 'en', 'es', 'fr'][CAST(conv_id % 4 + 1 AS INTEGER)] AS lang,
+          CASE WHEN turn = 0 THEN ['src1', 'src2'] END AS listed, conv_id % 3 + 1 AS k FROM conversations WHERE role = 'user')
+      , dv AS ({_coded_sql("docs", "doc_id")}), qv AS ({_coded_sql("asked", "query_id")})
+      , dists AS (SELECT query_id, doc_id AS vec_id, k, round(list_sum(list_transform(list_zip(qv.v, dv.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS score
+          FROM asked JOIN qv USING (query_id) JOIN docs USING (lang) JOIN dv USING (doc_id) WHERE listed IS NULL OR list_contains(listed, source))
+      SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM dists) WHERE rank <= k""",
+)
 add(
     "chunk_text",
     lambda s, d: packing.chunk_text(table(s, d, "documents"), ["doc_id"], "text").withColumn("chunk", F.md5("chunk")),

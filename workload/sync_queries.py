@@ -185,6 +185,23 @@ add(
 )
 
 
+def _one_item(s, d):
+    """The latest item alone, for every provider."""
+    one = frame(s, d, "items").orderBy(F.col("ref").desc()).limit(1).drop("ref")
+    out = sync.upsert_items(one, frame(s, d, "stored_vectors"), _now())
+    return out.select(*sync.ITEM, "text_hash", "updated_at", F.col("embedding").isNotNull().alias("has_vector"))
+
+
+add(
+    "upsert_item",
+    _one_item,
+    with_inputs(_ALL, _KEYED + f""", one AS (SELECT db_name, coalesce(schema_name, '') AS schema_name, table_name, provider, md5(vector_text) AS hash
+         FROM (SELECT * FROM items ORDER BY ref DESC LIMIT 1) CROSS JOIN (VALUES ('local'), ('api')) p(provider))
+       SELECT {KEY}, provider, coalesce(o.hash, v.text_hash) AS text_hash, CASE WHEN o.hash IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE v.updated_at END AS updated_at,
+         o.hash IS NOT NULL OR v.embedding IS NOT NULL AS has_vector FROM vec v FULL JOIN one o USING ({KEY}, provider)"""),
+)
+
+
 def _newest(s, d):
     ev = table(s, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
     return upsert.pk_upsert(ev.where("event_type <> 'error'"), ev.where("event_type = 'error'"), ["user_id"], "ts")
