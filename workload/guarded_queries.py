@@ -102,9 +102,9 @@ add("sql_array_agg", """SELECT c_nationkey, concat_ws(',', sort_array(array_agg(
     """SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segs, string_agg(c_name, ',' ORDER BY c_acctbal DESC, c_custkey) AS names,
 first(c_custkey ORDER BY c_acctbal NULLS FIRST, c_custkey) AS poorest FROM customer GROUP BY c_nationkey""", compat=True)
 add("sql_string_agg", """SELECT l_orderkey, string_agg(concat(l_partkey, ':', l_linenumber), ',' ORDER BY l_linenumber, l_partkey) AS items,
-string_agg(l_returnflag, '') WITHIN GROUP (ORDER BY l_linenumber DESC, l_partkey) AS flags FROM lineitem GROUP BY l_orderkey""",
+string_agg(l_returnflag, '') WITHIN GROUP (ORDER BY l_linenumber DESC, l_partkey, l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey""",
     """SELECT l_orderkey, string_agg(concat(l_partkey, ':', l_linenumber), ',' ORDER BY l_linenumber, l_partkey) AS items,
-string_agg(l_returnflag, '' ORDER BY l_linenumber DESC, l_partkey) AS flags FROM lineitem GROUP BY l_orderkey""", compat=True)
+string_agg(l_returnflag, '' ORDER BY l_linenumber DESC, l_partkey, l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey""", compat=True)
 add("sql_ranking", """SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt,
 round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, coalesce(lag(o_orderkey) OVER w, -1) AS prev, coalesce(lead(o_orderkey, 2) OVER w, -1) AS nxt
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
