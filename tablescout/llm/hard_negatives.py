@@ -132,10 +132,17 @@ class Codebooks:
 
 def fit(rows: DataFrame, cell_rows: int = CELL_ROWS, bin_rows: int = BIN_ROWS) -> tuple[Codebooks, DataFrame] | None:
     """Codebooks for rows ``id, label, v`` with whole components, and the rows with their cell; None without rows."""
-    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(FITTED).toArrow()
+    n = rows.count()
+    # A share by hash first, so that tasks do not each send the whole bound to the driver.
+    mark, share = F.xxhash64("id", "v"), min(1.0, 1.5 * FITTED / max(1, n))
+    some = rows.select("id", "v").where(F.pmod(mark, F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+    sample = some.orderBy(mark, "id").limit(FITTED).toArrow()
+    if not n or not sample.num_rows:
+        # One crowd of copies may all miss the share.
+        sample = rows.select("id", "v").limit(1).toArrow()
     if not sample.num_rows:
         return None
-    books = Codebooks(matrix(sample.column("v")), rows.count(), cell_rows)
+    books = Codebooks(matrix(sample.column("v")), n, cell_rows)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
