@@ -220,7 +220,8 @@ def trailing_counts(events: DataFrame, key: str, time: str, seconds: int, pieces
     """
     spark, window = events.sparkSession, seconds * 1_000_000
     ktype, ttype = events.schema[key].dataType, events.schema[time].dataType
-    at = events.groupBy(key, time).agg(F.count(F.lit(1)).alias("n"))
+    # Written once, as the borders are sampled from it before it is dealt out.
+    at = cut_lineage(events.groupBy(key, time).agg(F.count(F.lit(1)).alias("n")))
     timeless = at.where(F.col(time).isNull()).select(key, time, "n", F.lit(None).cast("long").alias("trailing"))
     # Expiries first, as an event is out when the window has passed in full.
     moves = F.array(
