@@ -34,7 +34,7 @@ _ROW = f"k string, us long, id long, admitted boolean, piece int, {ordered.EDGE}
 _FEW = 16  # rows that are cheaper to walk than to count
 
 
-def _admit(held: list[int], us: np.ndarray, limit: int, window: int) -> tuple[np.ndarray, list[int]]:
+def admit_times(held: list[int], us: np.ndarray, limit: int, window: int) -> tuple[np.ndarray, list[int]]:
     """Decisions for a key's times in order, and the admitted times that may still count."""
     if len(us) >= _FEW:
         # Where no window holds as many events as the limit, all pass.
@@ -67,7 +67,7 @@ def _fold(limit: int, window: int):
                     first, at = k, int(us[lo])
                 if k != key:
                     key, held = k, []
-                flags[lo:hi], held = _admit(held, us[lo:hi], limit, window)
+                flags[lo:hi], held = admit_times(held, us[lo:hi], limit, window)
             yield _decided(b, flags, piece)
         if first is not None:
             yield _edge(Edge(piece, first, key, at, held))
@@ -89,7 +89,7 @@ def _refold(limit: int, window: int):
                     if whole:
                         yield _edge(Edge(int(now), key, key, 0, held))
                     now, key, held, whole = pieces[lo], b.column(0)[lo].as_py(), b.column(4)[lo].as_py(), b.column(5)[lo].as_py()
-                flags[lo:hi], held = _admit(held, us[lo:hi], limit, window)
+                flags[lo:hi], held = admit_times(held, us[lo:hi], limit, window)
             if b.num_rows:
                 yield _decided(b, flags, b.column(3))
         if whole:
