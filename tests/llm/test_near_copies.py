@@ -268,6 +268,51 @@ def test_recall_at_the_usual_share(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_recall_and_rows_compared_on_the_given_vectors(spark, scale):
+    """The walk stops at the share that the index measured: recall 0.9 from at most half of the rows."""
+    df = spark.read.parquet(f"/root/testdata/sf{scale}/embeddings.parquet")
+    index, asked = neighbours.MultiIndex(df), df.where("vec_id % 50 = 0")
+    rows = {r["vec_id"]: r["embedding"] for r in df.select("vec_id", "embedding").collect()}
+    ids = np.array(sorted(rows))
+    x = unit(np.array([rows[i] for i in ids], dtype=float))
+    got = {}
+    for r in index.search(asked).collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    hit = total = 0
+    for q, scores in got.items():
+        want, score = brute_nearest(x, int(np.flatnonzero(ids == q)[0]), 5)
+        hit += sum(s >= score[want[-1]] - 1e-12 for s in scores)
+        total += 5
+    assert hit / total >= 0.9
+    compared = [r["compared"] for r in index.walked(asked).collect()]
+    assert len(compared) == len(got) and np.mean(compared) <= 0.5 * len(x)
+
+
+def test_blocks_hold_whole_cells_or_parts_of_one(monkeypatch):
+    rows = np.array([0, 3, 4, 25, 0, 2, 9, 10, 1])
+    low, count = neighbours.blocks_of(rows, 10)
+    assert count.tolist() == [1, 1, 1, 3, 1, 1, 1, 1, 1]
+    held = {}
+    for c, n in enumerate(rows):
+        for i in range(count[c]):
+            held.setdefault(low[c] + i, []).append(c)
+    assert all(sum(rows[c] for c in cells) <= 10 or len([c for c in cells if rows[c]]) == 1 for cells in held.values())
+
+
+def test_equal_vectors_go_by_the_smaller_id(spark, monkeypatch):
+    """Ties between copies, also where one cell is split into blocks."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 8)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(0, 60)] + [(i, [3.0, -1.0, 0.5]) for i in range(100, 140)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.MultiIndex(df).search(df.where("vec_id IN (0, 50, 100)"), 4, share=1.0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert {q: [v[i] for i in (1, 2, 3, 4)] for q, v in got.items()} == {
+        0: [1, 2, 3, 4], 50: [0, 1, 2, 3], 100: [101, 102, 103, 104],
+    }
+
+
 def test_few_candidates_give_all(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = neighbours.MultiIndex(df).search(df.where("vec_id % 50 = 0"), 5)
