@@ -102,24 +102,29 @@ def nearest(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return distances(points, centre).argmin(axis=1)
 
 
-def walk(first: np.ndarray, second: np.ndarray, rows: np.ndarray, wanted: int) -> list[int]:
+def walk(first: np.ndarray, second: np.ndarray, rows: list[int], wanted: int) -> list[int]:
     """Cells by falling nearness until they hold ``wanted`` vectors; empty ones are left out.
 
     ``first`` and ``second`` are the distances to the centroids of the halves, ``rows`` the vectors per
-    cell, by ``i * len(second) + j``.
+    cell, by ``i * len(second) + j``. The next of a row of pairs enters the heap when its last one leaves, and
+    a new row when the first of the row before leaves, so each pair enters once.
     """
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, seen, out, held = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0
+    order, other = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
+    # Plain numbers, as the loop takes one at a time.
+    x, y, base, col = first[order].tolist(), second[other].tolist(), (order * len(second)).tolist(), other.tolist()
+    heap, out, held = [(x[0] + y[0], 0, 0)], [], 0
     while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * len(second) + int(b[j])
+        _, i, j = heap[0]
+        cell = base[i] + col[j]
         if rows[cell]:
             out.append(cell)
-            held += int(rows[cell])
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (first[a[x]] + second[b[y]], x, y))
+            held += rows[cell]
+        if j + 1 < len(y):
+            heapq.heapreplace(heap, (x[i] + y[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if not j and i + 1 < len(x):
+            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
     return out
 
 
@@ -209,14 +214,14 @@ class MultiIndex:
         if not self.n:
             return empty_frame(self.spark, schema)
         first, second, rows, half = self.first, self.second, self.rows, self.half
-        wanted = self._wanted(k, share)
+        wanted, held = self._wanted(k, share), rows.tolist()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     m = unit_rows(matrix(b.column(1)))
                     d1, d2 = distances(m[:, :half], first), distances(m[:, half:], second)
-                    seen = [int(rows[walk(x, y, rows, wanted)].sum()) for x, y in zip(d1, d2)]
+                    seen = [int(rows[walk(x, y, held, wanted)].sum()) for x, y in zip(d1, d2)]
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seen, pa.int64())], names=["query_id", "compared"])
 
         return vectors_of(queries, id_col, vector_col).mapInArrow(run, schema)
@@ -240,7 +245,7 @@ class MultiIndex:
         schema = "query_id long, rank int, vec_id long, score double"
         if not self.n:
             return empty_frame(self.spark, schema)
-        first, second, rows, half = self.first, self.second, self.rows, self.half
+        first, second, rows, half = self.first, self.second, self.rows.tolist(), self.half
         low, count, wanted = self.low, self.count, self._wanted(k, share)
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
