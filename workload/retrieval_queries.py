@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions import text
 from tablescout.functions import vectors as V
-from tablescout.operators import encode, nearest, packing
+from tablescout.operators import encode, graph_index, nearest, packing
 from tablescout.plans import search
 from workload.inputs import table
 
@@ -78,6 +78,14 @@ def _approx(s, d):
 add("knn_approx", _approx)
 
 
+def _graph(s, d):
+    graph = graph_index.build_graph(table(s, d, "embeddings"))
+    return graph_index.search_graph(graph, _label_queries(s, d), 10, compared=True)
+
+
+add("knn_graph", _graph)
+
+
 def _own_k(s, d):
     """Label queries with the label as tenant, a k of their own and a list of visible labels."""
     q = _label_queries(s, d)
