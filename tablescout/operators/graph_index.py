@@ -28,7 +28,7 @@ from tablescout.sources.lineage import cut_lineage
 #: Nodes of a block, most pivots of a dealing, and entry nodes; pivots and entries are broadcast.
 BLOCK_ROWS, PIVOTS, ENTRIES = 1024, 1024, 128
 #: Neighbours of a node, dealings, rounds of neighbours of neighbours, and how many each node looks through.
-DEGREE, DEALINGS, ROUNDS, LOOK = 16, 4, 2, 8
+DEGREE, DEALINGS, ROUNDS, LOOK = 16, 4, 1, 8
 
 
 class Graph(NamedTuple):
@@ -87,6 +87,15 @@ def _best(links: DataFrame, by: str, other: str, degree: int) -> DataFrame:
     return links.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= degree).drop("_n")
 
 
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two ids and the squared distance of their two vectors."""
+    for b in batches:
+        if b.num_rows:
+            gap = matrix(b.column(2)) - matrix(b.column(3))
+            score = np.einsum("ij,ij->i", gap, gap).round(V.DISTANCE_DECIMALS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["id", "other", "score"])
+
+
 def _through_neighbours(nodes: DataFrame, links: DataFrame, degree: int) -> DataFrame:
     """The links after one look at the neighbours of neighbours, both the named and the naming."""
     both = links.unionByName(_best(links.select(F.col("other").alias("id"), F.col("id").alias("other"), "score"), "id", "other", degree))
@@ -96,11 +105,12 @@ def _through_neighbours(nodes: DataFrame, links: DataFrame, degree: int) -> Data
         .select("id", F.col("next").alias("other")).where("id <> other").distinct()
         .join(links.select("id", "other"), ["id", "other"], "left_anti")
     )
-    scored = (
+    pairs = (
         tried.join(nodes.select("id", F.col("v").alias("a")), "id")
         .join(nodes.select(F.col("id").alias("other"), F.col("v").alias("b")), "other")
-        .select("id", "other", V.squared_distance(F.col("a"), F.col("b")).alias("score"))
+        .select("id", "other", "a", "b")
     )
+    scored = pairs.mapInArrow(_measured, "id long, other long, score double")
     return _best(links.unionByName(scored), "id", "other", degree)
 
 
@@ -170,7 +180,7 @@ def search_graph(
     queries: DataFrame,
     k: int = 10,
     beam: int = 64,
-    width: int = 8,
+    width: int = 16,
     query_id: str = "query_id",
     query_vector: str = "query_vector",
     compared: bool = False,
@@ -184,9 +194,6 @@ def search_graph(
     asked = queries.where(F.col(query_vector).isNotNull()).select(
         F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).cast("array<double>").alias("qv")
     )
-    met = F.struct(
-        F.round(V.squared_distance(F.col("v").cast("array<double>"), F.col("qv")), V.DISTANCE_DECIMALS).alias("score"), F.col("id")
-    )
     if not graph.entries:
         return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int" + ", compared long" * compared)
     state = asked.mapInArrow(_entered(graph.entries), f"query_id long, qv array<double>, best {_BEST}")
@@ -206,7 +213,9 @@ def search_graph(
         new = around.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
         fresh = (
             front.join(new, "query_id").select("query_id", "qv", F.explode(F.array_except("near", "seen")).alias("id"))
-            .join(graph.nodes, "id").groupBy("query_id").agg(F.collect_list(met).alias("more"))
+            .join(graph.nodes, "id").select(F.col("query_id").alias("id"), F.col("id").alias("other"), "v", "qv")
+            .mapInArrow(_measured, "id long, other long, score double")
+            .groupBy(F.col("id").alias("query_id")).agg(F.collect_list(F.struct("score", F.col("other").alias("id"))).alias("more"))
         )
         more = F.coalesce("more", F.array().cast(_BEST))
         state = cut_lineage(
