@@ -77,16 +77,19 @@ _PERSONAL = [
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
 ]
 _TERM = r"$p$\p{L}{3,}$p$"
-_OP4_SQL = rf"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents)
+
+
+def op4_sql(min_support: int = pii.MIN_SUPPORT) -> str:
+    """The rule of ``pii.find_pii``: a text holds a pair wherever its identifier and its term stand in it."""
+    return rf"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents)
   , m AS (SELECT * FROM {_matches_sql(_PERSONAL, "d")})
   , texts AS (SELECT t, min(id) AS id, count(*) AS n FROM d WHERE id IN (SELECT id FROM m) GROUP BY t)
-  , near AS (SELECT t, n, kind || ':' || lower(hit) AS entity, substr(t, greatest(start - {pii.CONTEXT}, 0) + 1, least(start, {pii.CONTEXT})) AS l, start,
-      substr(t, stop + 1, {pii.CONTEXT}) AS r FROM m JOIN texts USING (id))
-  , words AS (SELECT DISTINCT t, n, entity, unnest(
-        regexp_extract_all(lower(CASE WHEN start > {pii.CONTEXT} THEN regexp_replace(l, '^\S*', '') ELSE l END), {_TERM})[-{pii.CONTEXT_WORDS}:]
-        || regexp_extract_all(lower(CASE WHEN length(r) = {pii.CONTEXT} THEN regexp_replace(r, '\S*$', '') ELSE r END), {_TERM})[1:{pii.CONTEXT_WORDS}]) AS term FROM near)
-  , pairs AS (SELECT entity, term, sum(n) AS n_et FROM words GROUP BY ALL HAVING count(*) >= {pii.MIN_SUPPORT})
-  , entities AS (SELECT entity, sum(n) AS n_e FROM (SELECT DISTINCT t, n, entity FROM near) GROUP BY 1)
+  , held AS (SELECT DISTINCT t, n, kind || ':' || lower(hit) AS entity FROM m JOIN texts USING (id))
+  , entities AS (SELECT entity, sum(n) AS n_e FROM held GROUP BY 1 HAVING count(*) >= {min_support} AND sum(n) < (SELECT count(*) FROM d))
+  , own AS (SELECT t, unnest(list_distinct(regexp_extract_all(lower(t), {_TERM}))) AS term FROM texts
+      WHERE t IN (SELECT t FROM held JOIN entities USING (entity)))
+  , words AS (SELECT t, n, entity, term FROM held JOIN entities USING (entity) JOIN own USING (t))
+  , pairs AS (SELECT entity, term, sum(n) AS n_et FROM words GROUP BY ALL HAVING count(*) >= {min_support})
   , seen AS (SELECT term, count(*) AS n_t FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(t), {_TERM}))) AS term FROM d) GROUP BY 1)
   , reveals AS (SELECT entity, term, ln(n_et * (SELECT count(*) FROM d)::DOUBLE / (n_e * n_t)) / ln((SELECT count(*) FROM d)::DOUBLE / n_e) AS x
       FROM pairs JOIN entities USING (entity) JOIN seen USING (term))
@@ -231,7 +234,7 @@ Q = {
     "op1_multi_index": (op1_multi_index, None),
     "op2_packing": (op2_packing, None),
     "op3_secrets": (op3_secrets, _OP3_SQL),
-    "op4_pii": (op4_pii, _OP4_SQL),
+    "op4_pii": (op4_pii, op4_sql()),
     "op5_language": (op5_language, None),
     "op6_vector_dedup": (op6_vector_dedup, None),
     "op7_quality": (op7_quality, None),

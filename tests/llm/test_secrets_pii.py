@@ -173,3 +173,19 @@ def test_queries_equal_their_sql(spark, tmp_path):
         assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(relation.fetchall()), name
         if name == "op4_pii":
             assert sum("cut:" in r["spans"] or "term:" in r["spans"] for r in got.collect()) >= 7
+
+
+def test_terms_follow_the_rule_in_sql(spark):
+    """With a support of one the terms count on the given documents, and both engines agree on all spans."""
+    import duckdb
+
+    from tablescout.llm import queries
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    want = con.execute(f"SELECT doc_id, spans FROM ({queries.op4_sql(1)})").fetchall()
+    found = pii.find_pii(spark.read.parquet(path).select("doc_id", "text"), min_support=1)
+    got = [tuple(r) for r in found.select("doc_id", S.written(F.col("spans")).alias("spans")).collect()]
+    assert sorted(got) == sorted(want)
+    assert sum("term:" in spans or "cut:" in spans for _, spans in got) > 0
