@@ -65,6 +65,6 @@ def test_no_join_of_the_stored_vectors_moves_a_text(spark, folder, shuffled):
     assert text_exchanges(inputs.frame(spark, folder, "stored_vectors")) == []
 
 
-@pytest.mark.parametrize("query", ["check_and_sync"])
+@pytest.mark.parametrize("query", ["incremental_sync", "check_and_sync"])
 def test_sync_moves_the_texts_of_the_items_at_most_once(spark, folder, shuffled, query):
     assert len(text_exchanges(sync_queries.Q[query][0](spark, folder))) <= 1
