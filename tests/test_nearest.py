@@ -1,6 +1,9 @@
 """Nearest neighbours against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +225,37 @@ def test_build_is_asked_for_the_tenant_and_provider(spark):
 
     assert search.search_or_build(ask, items, build, 5, "d", "local").count() == 1 and not asked
     assert search.search_or_build(ask, items, build, 5, "d", "api").count() == 2 and asked == [1]
+
+
+def block_tables(rows, asked, k, marks=None, listed=None):
+    def vectors(m):
+        return pa.array([[float(x) for x in v] for v in m], pa.list_(pa.float32()))
+
+    left = {"id": np.arange(len(rows)), "v": vectors(rows)}
+    right = {"query_id": np.arange(len(asked)), "qv": vectors(asked), "k": np.full(len(asked), k, np.int32), "bound": np.full(len(asked), np.inf)}
+    if marks:
+        left["mark"], right["listed"] = pa.array(marks), pa.array(listed, pa.list_(pa.string()))
+    return pa.table(left), pa.table(right)
+
+
+def test_memory_of_a_block_with_lists_does_not_grow_with_rows_times_queries(monkeypatch):
+    monkeypatch.setattr(nearest, "_TILE", 1 << 14)
+    rng = np.random.default_rng(9)
+    points, seen = rng.normal(size=(8000, 4)).astype(np.float32), [["a"], None, [], ["b", "none"], ["none"]]
+    marks = [("a", "b", None)[i % 3] for i in range(8000)]
+    left, right = block_tables(points, points, 2, marks, [seen[i % 5] for i in range(8000)])
+    run = nearest._best_in_block(pa.int64(), pa.int64())
+    tracemalloc.start()
+    try:
+        got = run(left, right).to_pydict()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # A bit for each pair alone would be 64 MB.
+    assert peak < 24 * 1024 * 1024
+    hits = {}
+    for q, i in zip(got["query_id"], got["vec_id"]):
+        hits.setdefault(q, []).append(i)
+    for q in range(0, 8000, 397):
+        own = [i for i in range(8000) if not seen[q % 5] or marks[i] in seen[q % 5]]
+        assert hits.get(q, []) == [own[i] for i, _ in brute(points[own], points[q], 2)], q
