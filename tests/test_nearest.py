@@ -259,3 +259,20 @@ def test_memory_of_a_block_with_lists_does_not_grow_with_rows_times_queries(monk
     for q in range(0, 8000, 397):
         own = [i for i in range(8000) if not seen[q % 5] or marks[i] in seen[q % 5]]
         assert hits.get(q, []) == [own[i] for i, _ in brute(points[own], points[q], 2)], q
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e-4, 0.0])
+def test_few_pairs_of_a_block_are_measured_in_full(monkeypatch, spread):
+    measured, plain = [], nearest._scores
+    monkeypatch.setattr(nearest, "_scores", lambda r, q: measured.append(len(r)) or plain(r, q))
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(6000, 16)).astype(np.float32)
+    # A third of the rows are near or equal copies of one vector, far from the origin.
+    points[::3] = points[0] + spread * points[::3]
+    points += 3
+    left, right = block_tables(points, points[:600], 5)
+    got = nearest._best_in_block(pa.int64(), pa.int64())(left, right).to_pydict()
+    for q in range(0, 600, 7):
+        mine = [i for n, i in enumerate(got["vec_id"]) if got["query_id"][n] == q]
+        assert mine == [i for i, _ in brute(points, points[q], 5)]
+    assert sum(measured) < 0.1 * 6000 * 600
