@@ -152,6 +152,9 @@ def _with_facts(queries: DataFrame, known_names: DataFrame, names: Column, carri
     rows = listed.select("db_name", "query_id", F.inline(one_each))
     # The name comes first: it tells keys apart, a tenant has very many of them.
     found = rows.join(known_names, ["name", "db_name"], "left")
+    # A name without facts is done. The rows are dealt out as they are: the lists of an aggregate begun before,
+    # mostly of one row, would be larger.
+    found = found.where("role IS NOT NULL OR _carried IS NOT NULL").repartition("db_name", "query_id")
     entry = F.when(F.col("role").isNotNull(), F.struct("role", "name", *[c for c in known_names.columns if c == "fields"]))
     grouped = found.groupBy("db_name", "query_id").agg(
         F.first("_carried", ignorenulls=True).alias("_carried"),
@@ -163,6 +166,49 @@ def _with_facts(queries: DataFrame, known_names: DataFrame, names: Column, carri
     )
 
 
+def _packed(parts: DataFrame, names: Column) -> DataFrame:
+    """The lists of a text as one string, without what can be told from the rest; shuffled, it is far smaller.
+
+    Names hold word characters only, so commas, bars and dots part them; each item has a comma before it, so
+    an empty list is no list of an empty name.
+    """
+    flag = lambda a: F.when(a["own"], F.lit("1")).otherwise(F.lit("0"))
+    lists = [
+        F.col("ctes"),
+        F.col("as_names"),
+        F.transform("dotted", lambda d: F.concat(d["left"], F.lit("."), d["written"])),
+        F.col("bare.written"),
+        F.transform("aliases", lambda a: F.concat(flag(a), F.lit("."), a["prefix"], F.lit("."), a["target"])),
+    ]
+    joined = [F.array_join(F.transform(x, lambda i: F.concat(F.lit(","), i)), "") for x in lists]
+    return parts.select("db_name", "query_id", names.alias("_all"), F.concat_ws("|", *joined).alias("_packed"))
+
+
+def _unpacked(q: DataFrame) -> DataFrame:
+    """The lists that ``_packed`` joined, as columns of their own."""
+    q = q.withColumn("_lists", F.split("_packed", r"\|", -1))
+    none = F.array().cast("array<string>")
+    items = {}
+    for i, name in enumerate(["ctes", "as_names", "dotted", "bare", "aliases"]):
+        joined = F.element_at("_lists", i + 1)
+        items[name] = F.when(joined == "", none).otherwise(F.split(F.substr(joined, F.lit(2)), ",", -1))
+    q = q.withColumns(items)
+
+    def dotted(d: Column) -> Column:
+        written = F.substring_index(d, ".", -1)
+        return F.struct(F.substring_index(d, ".", 1).alias("left"), F.lower(written).alias("right"), written.alias("written"))
+
+    def alias(a: Column) -> Column:
+        part = F.split(a, r"\.", -1)
+        return F.struct(part[1].alias("prefix"), part[2].alias("target"), (part[0] == "1").alias("own"))
+
+    return q.withColumns({
+        "dotted": F.transform("dotted", dotted),
+        "bare": F.transform("bare", lambda w: F.struct(w.alias("written"), F.lower(w).alias("name"))),
+        "aliases": F.transform("aliases", alias),
+    }).drop("_lists", "_packed")
+
+
 def sql_lint(queries: DataFrame, columns: DataFrame) -> DataFrame:
     """Unknown identifiers per query, sorted, in their original case.
 
@@ -204,7 +250,8 @@ def sql_lint(queries: DataFrame, columns: DataFrame) -> DataFrame:
             F.col("bare.name"), F.col("dotted.left"), F.col("dotted.right"), F.col("aliases.target"), pairs
         )
     )
-    q = _with_facts(parts, name_facts(columns), names, ["ctes", "as_names", "dotted", "bare", "aliases"])
+    q = _with_facts(_packed(parts, names), name_facts(columns), F.col("_all"), ["_packed"])
+    q = _unpacked(q)
     # Each step is a column of its own, so no lambda evaluates it again for every element.
     q = q.withColumns(
         {"_schemas": _known("s"), "_tables": _known("t"), "_fields": _known("f"), "_pairs": _known("p")}

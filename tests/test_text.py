@@ -207,3 +207,52 @@ def test_candidates_without_hits_or_request(spark):
     cands = spark.createDataFrame([(1, 2, "select 1"), (2, 1, "select 2")], "request_id long, batch int, sql string")
     got = {r["request_id"]: (r["table_score"], r["keyword_hits"], r["score"]) for r in scoring.candidate_scores(cands, requests, none).collect()}
     assert got == {1: (0.0, 0, 0.8), 2: (0.0, 0, 0.9)}
+
+
+ODD_TEXTS = [
+    "select a.B, c.d from S.Tab a join other. o on a.id = o.id", "", "from", "select 1", "with X as (select y as Z from x.) select * from x",
+    "SELECT 订单.金额, Ünder_1.Col FROM 库.订单 AS 别名 JOIN t", "select a.b.c.d from a.b.c, d", "x from y where z", None, "a, b | c . d",
+]
+
+
+def test_lists_of_a_text_are_shuffled_as_one_string(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    q = spark.createDataFrame([("db", i, t) for i, t in enumerate(ODD_TEXTS)], "db_name string, query_id long, sql string")
+    catalog = spark.createDataFrame([("db", "s", "tab", "b")], "db_name string, schema_name string, table_name string, column_name string")
+    moved = []
+
+    def visit(node):
+        if node.nodeName() == "Exchange":
+            moved.extend(node.output().apply(i).dataType().catalogString() for i in range(node.output().size()))
+        for i in range(node.children().size()):
+            visit(node.children().apply(i))
+
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "false")
+    try:
+        visit(sql_text.sql_lint(q, catalog)._jdf.queryExecution().executedPlan())
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert "struct<_packed:string>" in moved
+    # Neither lists nor the buffers of a list begun before the shuffle.
+    assert not [t for t in moved if "array" in t or t == "binary"]
+
+
+def test_packed_lists_come_back_as_they_were(spark, monkeypatch):
+    q = spark.createDataFrame([("db", i, t) for i, t in enumerate(ODD_TEXTS)], "db_name string, query_id long, sql string")
+    catalog = spark.createDataFrame([("db", "s", "tab", "b")], "db_name string, schema_name string, table_name string, column_name string")
+    lists, seen, plain = ["ctes", "as_names", "dotted", "bare", "aliases"], {}, sql_text._packed
+
+    def packed(parts, names):
+        seen["before"] = {r["query_id"]: tuple(r[c] for c in lists) for r in parts.where("bare IS NOT NULL").collect()}
+        out = plain(parts, names)
+        back = sql_text._unpacked(out.where("_all IS NOT NULL"))
+        seen["after"] = {r["query_id"]: tuple(r[c] for c in lists) for r in back.collect()}
+        return out
+
+    monkeypatch.setattr(sql_text, "_packed", packed)
+    sql_text.sql_lint(q, catalog)
+    assert len(seen["before"]) > 8 and any(a["target"] == "" for row in seen["before"].values() for a in row[4])
+    assert seen["after"] == seen["before"]
