@@ -68,3 +68,12 @@ def test_no_join_of_the_stored_vectors_moves_a_text(spark, folder, shuffled):
 @pytest.mark.parametrize("query", ["incremental_sync", "check_and_sync"])
 def test_sync_moves_the_texts_of_the_items_at_most_once(spark, folder, shuffled, query):
     assert len(text_exchanges(sync_queries.Q[query][0](spark, folder))) <= 1
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_a_join_on_the_tenant_has_a_key(spark, folder, how):
+    tenants = spark.createDataFrame([("en",), ("fr",)], "db_name string")
+    for hinted in (tenants, tenants.hint("broadcast")):
+        plan = inputs.frame(spark, folder, "stored_vectors").join(hinted, "db_name", how)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
