@@ -164,6 +164,20 @@ def test_blocks_of_rows_send_on_what_is_within_the_bound(spark, points, corpus,
     assert {tuple(r) for r in nearest.knn_batch(corpus, as_queries(spark, points, 30), 4).collect()} == whole
 
 
+@pytest.mark.parametrize("rows", [1000, 25])
+def test_many_queries_are_dealt_to_several_tasks(spark, points, corpus, monkeypatch, rows):
+    """One block of rows, or a few, must not leave all pairs to as few tasks."""
+    whole = {tuple(r) for r in nearest.knn_batch(corpus, as_queries(spark, points, 120), 4).collect()}
+    met, plain = [], nearest._met
+    monkeypatch.setattr(nearest, "LEAST_QUERIES", 5)
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 8 * 8 * rows)
+    monkeypatch.setattr(nearest, "_met", lambda left, right, *a: met.append(right) or plain(left, right, *a))
+    assert {tuple(r) for r in nearest.knn_batch(corpus, as_queries(spark, points, 120), 4).collect()} == whole
+    # Copies of one vector share a cell, whose queries are dealt out as well.
+    assert all(right.select("_qb").distinct().count() >= 8 for right in met[-2:])
+    assert met[0].groupBy("_qb").agg(F.countDistinct("query_id").alias("n")).agg(F.max("n")).first()[0] < 60
+
+
 @pytest.mark.parametrize("shift", [0.0, 1e4])
 def test_cells_prune_and_lose_nothing(spark, monkeypatch, shift):
     rng = np.random.default_rng(5)
