@@ -2,6 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tablescout.operators import encode, sized
+from tablescout.plans import sync
 from workload import inputs
 from workload import sync_queries
 
@@ -70,6 +74,45 @@ def test_sync_moves_the_texts_of_the_items_at_most_once(spark, folder, shuffled,
     assert len(text_exchanges(sync_queries.Q[query][0](spark, folder))) <= 1
 
 
+@pytest.mark.parametrize("query", ["incremental_sync", "check_and_sync"])
+def test_sync_moves_no_text_however_many_items_moved(spark, folder, shuffled, query, monkeypatch):
+    few = sync_queries.Q[query][0](spark, folder)
+    rows = few.collect()
+    monkeypatch.setattr(sync, "BROADCAST_BYTES", -1)
+    many = sync_queries.Q[query][0](spark, folder)
+    assert text_exchanges(many) == []
+    assert len(rows) > 5 and sorted(map(str, many.collect())) == sorted(map(str, rows))
+
+
+def flat(dim):
+    return lambda texts: encode.hashed_ngrams(dim)(texts)
+
+
+@pytest.mark.parametrize("makers", [
+    {"local": lambda: flat(4), "api": lambda: flat(8)}, {"local": encode.hashed_ngrams, "api": encode.hashed_ngrams},
+    {"local": lambda: flat(4), "other": lambda: flat(8)},
+])
+def test_texts_encoded_in_place_give_the_same_vectors(spark, folder, monkeypatch, makers):
+    items, stored = inputs.frame(spark, folder, "items").drop("ref"), inputs.frame(spark, folder, "stored_vectors")
+    now = F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")
+    few = sync.incremental_sync(items, stored, now, makers)
+    rows, kinds = few.collect(), few.dtypes
+    monkeypatch.setattr(sync, "BROADCAST_BYTES", -1)
+    many = sync.incremental_sync(items, stored, now, makers)
+    assert many.dtypes == kinds
+    assert len(rows) > 5 and sorted(map(str, many.collect())) == sorted(map(str, rows))
+
+
+def test_rows_likely_among_keys(spark):
+    key = lambda n: spark.range(n).select("id", F.concat(F.lit("k"), "id").alias("a"), F.nullif(F.col("id") % 7, F.lit(3)).alias("b"))
+    rows, keys = key(50_000), key(50_000).where("id % 10 = 1").drop("id")
+    got = sized.likely_among(rows, keys, ["a", "b"])
+    assert got.columns == rows.columns
+    assert got.where("id % 10 = 1").count() == 5_000
+    assert got.where("id % 10 <> 1").count() < 45_000 / 32
+    assert sized.likely_among(rows, keys.limit(0), ["a", "b"]).count() == 0
+
+
 @pytest.mark.parametrize("how", ["left_semi", "left_anti"])
 def test_a_join_on_the_tenant_has_a_key(spark, folder, how):
     tenants = spark.createDataFrame([("en",), ("fr",)], "db_name string")
