@@ -37,7 +37,7 @@ BANDS, ROWS = 32, 6
 #: Members of a bucket or hub that are checked in one task, and words of all of them together; a task
 #: holds more only where one text is longer.
 BLOCK, BLOCK_WORDS = 512, 500_000
-_CHUNK = 1024 * 1024
+_CHUNK = 512 * 1024
 _C = [np.uint64(int(x) | 1) for x in B.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))]
 
 

@@ -201,13 +201,18 @@ def mix(
     goal = targets([(r["source"], r["n"]) for r in per_source], weights, most, share)
     order = sorted(per_source, key=lambda r: (r["source"] is None, r["source"] or ""))
     spark = docs.sparkSession
+    # An Arrow table is read by the JVM alone; a list would start Python workers of another kind, which stay.
     plan = spark.createDataFrame(
-        [
-            (i, r["source"], int(r["n"]), float(goal[r["source"]]), folds(r["rows"], block_rows),
-             goal[r["source"]] / r["n"] if r["n"] else 0.0)
-            for i, r in enumerate(order)
-        ],
-        "g int, source string, source_size long, target double, blocks int, rate double",
+        pa.table(
+            {
+                "g": pa.array(range(len(order)), pa.int32()),
+                "source": pa.array([r["source"] for r in order], pa.string()),
+                "source_size": pa.array([int(r["n"]) for r in order], pa.int64()),
+                "target": pa.array([float(goal[r["source"]]) for r in order], pa.float64()),
+                "blocks": pa.array([folds(r["rows"], block_rows) for r in order], pa.int32()),
+                "rate": pa.array([goal[r["source"]] / r["n"] if r["n"] else 0.0 for r in order], pa.float64()),
+            }
+        )
     )
     # One row per source, so this side is small by its nature.
     placed = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])

@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablescout.llm import textbytes as B
 from tablescout.llm.common import folds, stored
-from tablescout.llm.tokens import encoder
+from tablescout.llm.tokens import CHUNK, encoder
 
 #: Pieces numbered in one block.
 BLOCK_ROWS = 1024
@@ -121,11 +122,12 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for b in batches:
-            ids, at = encode.ids(b.column(1))
-            key = b.column(0).to_pylist()
+        # A part of a batch at a time, so that its ids and pieces stay small.
+        parts = ((b.column(0).slice(at, len(some)), some) for b in batches for at, some in B.chunks(b.column(1), CHUNK))
+        for keys, some in parts:
+            ids, at = encode.ids(some)
             rows: list = []
-            for k, lo, hi in zip(key, at[:-1].tolist(), at[1:].tolist()):
+            for k, lo, hi in zip(keys.to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 own = np.append(ids[lo:hi], np.uint32(end_id)).astype("<u4")
                 n = len(own)
                 start, stop, piece = 0, n - (n - 1) // tokens * tokens, 0

@@ -27,7 +27,9 @@ LABELLED = 4000
 LATENT = 48
 NEIGHBOURS = 15
 TRIPLES, SHAPES = 2048, 256
-_CHUNK = 1024 * 1024
+#: Bytes and rows that are described and held against the labelled rows at a time; the arrays take some
+#: dozens of bytes for each byte and about 70 KB for each row, however short its text.
+_CHUNK, _ROWS = 256 * 1024, 128
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 mark, 1 small letter, 2 capital, 3 digit
 _CLASS[97:123] = 1
 _CLASS[128:] = 1
@@ -139,7 +141,7 @@ def fit(
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, some in B.chunks(b.column(1), _CHUNK):
+            for at, some in B.chunks(b.column(1), _CHUNK, _ROWS):
                 f = features(some).astype(np.float16)
                 packed = pa.array([r.tobytes() for r in f], pa.binary())
                 ids, marks = b.column(0).slice(at, len(some)), b.column(2).slice(at, len(some))
@@ -156,6 +158,20 @@ def fit(
     return learn(x, np.array([r["label"] for r in got]))
 
 
+def _scored(shared, at: int, names: list[str], k: int):
+    """Task function: the rows with the vote on the text in column ``at``; ``shared`` is the broadcast model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # Small batches go back, so that the JVM never holds a second large one.
+            for start, some in B.chunks(b.column(at), _CHUNK, _ROWS):
+                column = pa.array(vote(Model(*shared.value), features(some), k), pa.float64())
+                rows = b.slice(start, len(some))
+                yield pa.RecordBatch.from_arrays([*rows.columns, column], names=names)
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score", k: int = NEIGHBOURS) -> DataFrame:
     """The rows of ``docs`` with a score from 0 to 1, higher where label 1 is likelier.
 
@@ -167,14 +183,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     at = docs.columns.index(text_col)
     names = [*docs.columns, out]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [vote(Model(*shared.value), features(some), k) for _, some in B.chunks(b.column(at), _CHUNK)]
-            column = pa.array(np.concatenate([np.empty(0), *parts]), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, column], names=names)
-
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(_scored(shared, at, names, k), schema)
 
 
 def good_documents(docs: DataFrame, model: Model, text_col: str = "text", at_least: float = 0.5) -> DataFrame:

@@ -24,11 +24,17 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(texts: pa.Array, size: int):
-    """Slices of a string column with about ``size`` bytes each, one text at least: ``(start, slice)``."""
+def chunks(texts: pa.Array, size: int, rows: int | None = None):
+    """Slices of a string column: ``(start, slice)``.
+
+    Each has about ``size`` bytes, one text at least, and ``rows`` texts at most.
+    """
     lengths = np.diff(buffer_of(texts)[1])
     part = np.cumsum(lengths) // size
-    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    cut = np.diff(part, prepend=-1) != 0
+    if rows is not None:
+        cut[::rows] = True
+    cuts = np.flatnonzero(cut)
     for a, b in zip(cuts, np.append(cuts[1:], len(lengths))):
         yield int(a), texts.slice(a, b - a)
 

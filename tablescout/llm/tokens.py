@@ -9,7 +9,6 @@ whole texts. Tests hold it against the tokenizer itself.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 
@@ -24,7 +23,7 @@ REMEMBERED = 2_000_000
 #: A piece longer than this is encoded each time it comes.
 LONG_PIECE = 64
 #: Bytes of text cut at a time, so that the arrays stay small.
-_CHUNK = 1024 * 1024
+CHUNK = 512 * 1024
 _JOINED = 500
 _LATEST = 65_536
 _ASCII_SPACE = np.zeros(256, dtype=bool)
@@ -47,11 +46,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         # Either a token holds the space before its word, or white space is dropped.
-        self.drops_space = bool(spec["model"].get("end_of_word_suffix"))
-        self.lowers = "Lowercase" in json.dumps(spec.get("normalizer"))
+        self.drops_space = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         # Stands between pieces that are encoded in one call.
         self.between = " \0 " if self.drops_space else "\n"
         self.marker = self._encode(self.between)
@@ -151,7 +148,7 @@ class PieceEncoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and where each text's begin; a null text has none."""
         parts, sizes = [np.empty(0, dtype=np.uint32)], [np.zeros(1, dtype=np.int64)]
-        for _, some in B.chunks(texts, _CHUNK):
+        for _, some in B.chunks(texts, CHUNK):
             flat, counts = self._ids(*B.buffer_of(some))
             parts.append(flat)
             sizes.append(counts)

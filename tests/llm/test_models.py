@@ -1,13 +1,15 @@
 """Language and quality: gradients, tables, held-out accuracy and awkward rows."""
 
 import os
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tablescout.llm import language, quality
+from tablescout.llm import language, quality, textbytes
 from tests.llm import cases as C
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001").replace("sf0.001", "sf0.01")
@@ -164,3 +166,34 @@ def test_quality_of_awkward_rows(spark):
     out = quality.score(docs, model)
     assert out.columns == [*docs.columns, "score"] and out.count() == docs.count()
     assert quality.score(docs.where("false"), model).count() == 0
+
+
+def test_many_short_texts_take_little_memory():
+    rng = np.random.default_rng(4)
+    texts = pa.array([None, ""] + [f"Line {i} of {rng.integers(99)} words." for i in range(6000)])
+    model = quality.learn(quality.features(texts[:900]), rng.integers(0, 2, 900))
+    model = model._replace(
+        vectors=np.tile(model.vectors, (5, 1))[:4000], labels=np.tile(model.labels, 5)[:4000]
+    )
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["doc_id", "text"])
+    run = quality._scored(SimpleNamespace(value=tuple(model)), 1, ["doc_id", "text", "score"], quality.NEIGHBOURS)
+    tracemalloc.start()
+    try:
+        got = pa.Table.from_batches(run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 64e6, most  # 6,002 rows at once take 441 MB
+    assert got.select(["doc_id", "text"]).equals(pa.table(batch.to_pydict()))
+    want = np.concatenate([quality.vote(model, quality.features(texts[i : i + 1])) for i in (0, 1, 2, 500, 6001)])
+    assert np.allclose(got["score"].to_numpy()[[0, 1, 2, 500, 6001]], want, atol=1e-4)
+
+
+@pytest.mark.parametrize("size, rows", [(1, None), (10**6, 3), (40, 3), (40, 10**6)])
+def test_chunks_hold_each_text_once(size, rows):
+    texts = pa.array(["", None, "a" * 100, "bc", "", "", "", "d" * 39, "ef"])
+    parts = list(textbytes.chunks(texts, size, rows))
+    assert [t for _, p in parts for t in p.to_pylist()] == texts.to_pylist()
+    assert [at for at, _ in parts] == [sum(len(p) for _, p in parts[:i]) for i in range(len(parts))]
+    assert all(0 < len(p) <= (rows or len(texts)) for _, p in parts)
+    assert list(textbytes.chunks(texts[:0], size, rows)) == []
