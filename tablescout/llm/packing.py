@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 
 from tablescout.llm import textbytes as B
 from tablescout.llm.common import folds, stored
-from tablescout.llm.tokens import CHUNK, encoder
+from tablescout.llm.tokens import encoder
 
 #: Pieces numbered in one block.
 BLOCK_ROWS = 1024
+#: Bytes of text whose ids and pieces a task holds at a time.
+_CHUNK = 512 * 1024
 
 
 class Limits(NamedTuple):
@@ -123,7 +125,7 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         # A part of a batch at a time, so that its ids and pieces stay small.
-        parts = ((b.column(0).slice(at, len(some)), some) for b in batches for at, some in B.chunks(b.column(1), CHUNK))
+        parts = ((b.column(0).slice(at, len(some)), some) for b in batches for at, some in B.chunks(b.column(1), _CHUNK))
         for keys, some in parts:
             ids, at = encode.ids(some)
             rows: list = []

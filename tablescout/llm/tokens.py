@@ -23,7 +23,7 @@ REMEMBERED = 2_000_000
 #: A piece longer than this is encoded each time it comes.
 LONG_PIECE = 64
 #: Bytes of text cut at a time, so that the arrays stay small.
-CHUNK = 512 * 1024
+_CHUNK = 512 * 1024
 _JOINED = 500
 _LATEST = 65_536
 _ASCII_SPACE = np.zeros(256, dtype=bool)
@@ -148,7 +148,7 @@ class PieceEncoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and where each text's begin; a null text has none."""
         parts, sizes = [np.empty(0, dtype=np.uint32)], [np.zeros(1, dtype=np.int64)]
-        for _, some in B.chunks(texts, CHUNK):
+        for _, some in B.chunks(texts, _CHUNK):
             flat, counts = self._ids(*B.buffer_of(some))
             parts.append(flat)
             sizes.append(counts)
